@@ -117,7 +117,7 @@ with recursive steps(c, k, x) as (select c, 0, c from range(256) t(c) union all
   select c, k + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end from steps where k < 8),
 crc_table as (select list(x order by c) as t from steps where k = 8),
 sized as (select doc_id, strlen(coalesce(text, '')) + 1 as size, hex(encode(coalesce(text, ''))) as h from documents),
-summed as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+summed as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::bigint)),
   lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) as text_crc32 from sized, crc_table),
 numbered as (select *, count(*) over () as n, row_number() over (order by coalesce({_mix_sql(f'abs(doc_id % {PRIME})', 97)} % {NUMBER_BUCKETS}, 0), doc_id nulls first, size, text_crc32) - 1 as k from summed),
 radices as (select *, ceil(n / lft)::bigint as rgt from (select *, ceil(sqrt(n))::bigint as lft from numbered)),
