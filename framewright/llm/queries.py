@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, sharding, warc
+from framewright.llm import bpe, line_dedup, sharding, warc
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {
+    "op1_line_dedup": lambda spark, sf_dir: line_dedup.query(table(spark, sf_dir, "documents")),
     "op5_sharding": lambda spark, sf_dir: sharding.query(table(spark, sf_dir, "documents")),
     "op8_bpe": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents"), BPE_FILE),
     "op10_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.oracle(),
     "op5_sharding": sharding.oracle(),
     "op10_warc": warc.ORACLE,
 }
