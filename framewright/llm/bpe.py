@@ -29,6 +29,7 @@ from pathlib import Path
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Fixed value: the pre-tokenization pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,7 +195,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
 
     kept = docs.select(*[docs[c] for c in columns])
-    return kept.mapInArrow(run, kept.schema.add("ids", "array<int>"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -208,7 +209,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     kept = coded.select(*columns)
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("decoded", T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
