@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, line_dedup, sharding, topk, warc
+from framewright.llm import bpe, decontaminate, line_dedup, sharding, topk, warc
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -12,6 +12,7 @@ BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {
     "op1_line_dedup": lambda spark, sf_dir: line_dedup.query(table(spark, sf_dir, "documents")),
+    "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_sharding": lambda spark, sf_dir: sharding.query(table(spark, sf_dir, "documents")),
     "op7_topk": lambda spark, sf_dir: topk.query(table(spark, sf_dir, "embeddings")),
     "op8_bpe": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents"), BPE_FILE),
@@ -20,6 +21,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.oracle(),
+    "op4_decontaminate": decontaminate.oracle(),
     "op5_sharding": sharding.oracle(),
     "op7_topk": topk.ORACLE,
     "op10_warc": warc.ORACLE,
