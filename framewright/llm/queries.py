@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, decontaminate, line_dedup, sharding, topk, warc
+from framewright.llm import bpe, decontaminate, line_dedup, sharding, substrings, topk, warc
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_sharding": lambda spark, sf_dir: sharding.query(table(spark, sf_dir, "documents")),
     "op7_topk": lambda spark, sf_dir: topk.query(table(spark, sf_dir, "embeddings")),
     "op8_bpe": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents"), BPE_FILE),
+    "op9_substrings": lambda spark, sf_dir: substrings.query(table(spark, sf_dir, "documents")),
     "op10_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.oracle(),
     "op5_sharding": sharding.oracle(),
     "op7_topk": topk.ORACLE,
+    "op9_substrings": substrings.ORACLE,
     "op10_warc": warc.ORACLE,
 }
