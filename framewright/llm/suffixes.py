@@ -428,7 +428,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 with hexed as (select doc_id, encode(coalesce(text, '')) as b, hex(encode(coalesce(text, ''))) as h from documents),
-strings as (select doc_id, i, md5(h[2 * i + 1:2 * i + 400]) as k from hexed, unnest(range(octet_length(b) - 199)) t(i)),
+strings as (select doc_id, i, md5(b[i + 1:i + 200]) as k from hexed, unnest(range(octet_length(b) - 199)) t(i)),
 repeated as (select doc_id, i from strings qualify count(*) over (partition by k) > 1),
 starts as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -1000) > 200 as fresh from repeated),
 runs as (select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as r from starts),
