@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, decontaminate, line_dedup, sharding, substrings, suffixes, topk, warc
+from framewright.llm import bpe, decontaminate, line_dedup, near_dups, sharding, substrings, suffixes, topk, warc
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_suffixes": lambda spark, sf_dir: suffixes.query(table(spark, sf_dir, "documents")),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_sharding": lambda spark, sf_dir: sharding.query(table(spark, sf_dir, "documents")),
+    "op6_near_dups": lambda spark, sf_dir: near_dups.query(table(spark, sf_dir, "documents")),
     "op7_topk": lambda spark, sf_dir: topk.query(table(spark, sf_dir, "embeddings")),
     "op8_bpe": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents"), BPE_FILE),
     "op9_substrings": lambda spark, sf_dir: substrings.query(table(spark, sf_dir, "documents")),
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op3_suffixes": suffixes.ORACLE,
     "op4_decontaminate": decontaminate.oracle(),
     "op5_sharding": sharding.oracle(),
+    "op6_near_dups": near_dups.oracle(),
     "op7_topk": topk.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op10_warc": warc.ORACLE,
