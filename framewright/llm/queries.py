@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, decontaminate, line_dedup, near_dups, sharding, substrings, suffixes, topk, warc
+from framewright.llm import bpe, decontaminate, line_dedup, near_dups, quality, sharding, substrings, suffixes, topk, warc
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -12,6 +12,7 @@ BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {
     "op1_line_dedup": lambda spark, sf_dir: line_dedup.query(table(spark, sf_dir, "documents")),
+    "op2_quality": lambda spark, sf_dir: quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_suffixes": lambda spark, sf_dir: suffixes.query(table(spark, sf_dir, "documents")),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_sharding": lambda spark, sf_dir: sharding.query(table(spark, sf_dir, "documents")),
