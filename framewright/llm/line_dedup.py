@@ -3,8 +3,8 @@
 A line's key is the line without white space at both ends and with A-Z lower-cased; keys of at least `min_chars` code points
 count. Documents are taken in batches of ascending ids. A batch's distinct keys, each with its smallest id, are merge-anti-joined
 with the runs, and those that no run holds become a new run of level 0. Runs are tables bucketed and sorted by the key's
-hash, so the anti-joins are sort-merge joins that shuffle only the batch. Once `fanout` runs stand on a level, they are
-compacted into one run of the next level. The runs never share a key, so together they name each key's owner: the
+hash as grouped batches are partitioned, so the anti-joins are sort-merge joins without a shuffle. Once `fanout` runs stand on a level,
+they are compacted, by a merge without a shuffle, into one run of the next level. The runs never share a key, so together they name each key's owner: the
 smallest id that holds it. Lines whose document is not the owner go.
 
 Keys are compared by two 64-bit hashes with different seeds. Line texts are never shuffled; keys are counted per partition before
@@ -27,7 +27,6 @@ from framewright.llm.common import ascii_lower, drop_path, materialise, shared_d
 #: The bytes stripped at both ends of a line.
 SPACES = " \t\n\x0b\x0c\r"
 LAST_ID = 2**63 - 1
-BUCKETS = 48
 
 
 def line_hashes(line: Column, min_chars: int) -> Column:
@@ -45,8 +44,9 @@ def lines_of(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Dat
 class Runs:
     """The family of runs: a list of tables on each level, all below one shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int, buckets: int = BUCKETS):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, fanout: int):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as grouped batches are partitioned
         self.levels: list[list[tuple[str, str]]] = []
 
     def tables(self) -> list[DataFrame]:
@@ -54,7 +54,7 @@ class Runs:
 
     def write(self, keys: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", shared_dir(self.spark, "line-run")
-        keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name, path
 
     def add(self, batch: DataFrame) -> None:
@@ -70,7 +70,8 @@ class Runs:
             full, self.levels[level] = self.levels[level], []
             merged = self.spark.table(full[0][0])
             for name, _ in full[1:]:
-                merged = merged.unionByName(self.spark.table(name))
+                other = self.spark.table(name).withColumnRenamed("owner", "other")
+                merged = merged.join(other.hint("merge"), ["h1", "h2"], "full_outer").select("h1", "h2", F.coalesce("owner", "other").alias("owner"))
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self.write(merged))
