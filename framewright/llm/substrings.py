@@ -64,7 +64,7 @@ class Windows:
             parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
         self.window = window
         self.ends = np.cumsum(counts)
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.words = words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         usable = np.maximum(0, np.array(counts, np.int64) - window + 1)
         begins = self.ends - counts
         self.starts = np.repeat(begins - np.concatenate([[0], np.cumsum(usable)[:-1]]), usable) + np.arange(int(usable.sum())) if len(counts) else np.zeros(0, np.int64)
@@ -167,7 +167,7 @@ def _candidates(sizes: Sizes, window: int):
         windows = Windows(texts, window, WordHashes())
         places = _estimated(windows, sizes, _replies(replies))
         hashes, first = np.unique(windows.hashes[places], return_index=True)
-        more = _more_bits(windows, places[first], texts)
+        more = _more_bits(windows, places[first])
         owner = owners[windows.owner_row[places[first]]].astype(np.uint64)
         out = [(DEPTH, shard, key[0].as_py(), C.squeeze_sorted(hashes[part]), C.squeeze(more[part]), C.squeeze(owner[part])) for shard, part in C.slices_by_shard(sizes.hash_shard(hashes), sizes.hashes)]
         return _rows(out, EXCHANGE)
@@ -175,27 +175,15 @@ def _candidates(sizes: Sizes, window: int):
     return run
 
 
-def _more_bits(windows: Windows, places: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """32 bits of an independent hash of the windows at `places`."""
-    other = WordHashes32()
-    words = np.concatenate([np.fromiter(map(other.__getitem__, t.split()), np.uint64) for t in texts]) if texts else np.zeros(0, np.uint64)
+def _more_bits(windows: Windows, places: np.ndarray) -> np.ndarray:
+    """32 bits of another hash of the windows at `places`: their word hashes in a polynomial with another base."""
     out = np.zeros(len(places), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(windows.window):
-            out = out * np.uint64(0x5851F42D4C957F2D) + words[windows.starts[places] + j]
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x5851F42D4C957F2D) + windows.words[windows.starts[places] + j]
     return (C.scramble(out, 77) >> np.uint64(32)).astype(np.uint32)
 
 
-class WordHashes32(dict):
-    """Hashes of words by another function."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, seed=7)
-        return value
-
-
 def _group_exactly(table: pa.Table) -> pa.Table:
     """Which entries of a range of hashes are not the first place of their window."""
     chunk = np.array(table.column("chunk").to_pylist(), np.int64)
