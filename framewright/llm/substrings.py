@@ -53,6 +53,17 @@ class WordHashes(dict):
         return value
 
 
+_memo = WordHashes()  # a worker's, for all its chunks
+
+
+def _left(words: list[bytes], gone: np.ndarray) -> list[bytes]:
+    """The words that stay, run by run."""
+    edges, out = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=np.int8(1), append=np.int8(1))).tolist(), []
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        out += words[a:b]
+    return out
+
+
 class Windows:
     """The window hashes of a chunk: `hashes` of the valid windows and their `starts` in the row of all words."""
 
@@ -120,10 +131,9 @@ def _sketches(sizes: Sizes, window: int):
     """The chunk's sketch: for each range of cells the cells in use, and a mark on those used twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                windows, out = Windows(C.unpack_documents(blob.as_py())[2], window, memo), []
+                windows, out = Windows(C.unpack_documents(blob.as_py())[2], window, _memo), []
                 for row in range(DEPTH):
                     cells, counts = np.unique(sizes.cell_keys(windows.hashes, row), return_counts=True)
                     for shard, part in C.slices_by_shard((cells // np.uint64(CELLS)).astype(np.int64), sizes.cells):
@@ -145,14 +155,19 @@ def _merge_cells(table: pa.Table) -> pa.Table:
 
 def _estimated(windows: Windows, sizes: Sizes, replies: dict[tuple[int, int], bytes]) -> np.ndarray:
     """Places, among the chunk's windows, of those that all rows of the sketch count twice."""
-    places = np.arange(len(windows.hashes))
+    repeated = np.ones(len(windows.hashes), bool)
     for row in range(DEPTH):
-        cells = np.unique(sizes.cell_keys(windows.hashes, row))
+        keys = sizes.cell_keys(windows.hashes, row)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        cells = ordered[new]
         twice = np.zeros(len(cells), bool)
         for shard, part in C.slices_by_shard((cells // np.uint64(CELLS)).astype(np.int64), sizes.cells):
             twice[part] = C.unbits(replies[row, row * sizes.cells + shard], part.stop - part.start)
-        places = places[twice[np.searchsorted(cells, sizes.cell_keys(windows.hashes[places], row))]]
-    return places
+        repeated[order] &= twice[np.cumsum(new) - 1]
+    return np.flatnonzero(repeated)
 
 
 def _replies(table: pa.Table) -> dict[tuple[int, int], bytes]:
@@ -164,7 +179,7 @@ def _candidates(sizes: Sizes, window: int):
 
     def run(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         owners, _, texts = C.unpack_documents(chunk.column("blob")[0].as_py())
-        windows = Windows(texts, window, WordHashes())
+        windows = Windows(texts, window, _memo)
         places = _estimated(windows, sizes, _replies(replies))
         hashes, first = np.unique(windows.hashes[places], return_index=True)
         more = _more_bits(windows, places[first])
@@ -205,7 +220,7 @@ def _outcome(sizes: Sizes, window: int, texts_too: bool):
 
     def run(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
         _, ids, texts = C.unpack_documents(chunk.column("blob")[0].as_py())
-        windows, answers = Windows(texts, window, WordHashes()), _replies(replies)
+        windows, answers = Windows(texts, window, _memo), _replies(replies)
         places = _estimated(windows, sizes, answers)
         hashes, first, inverse = np.unique(windows.hashes[places], return_index=True, return_inverse=True)
         elsewhere = np.zeros(len(hashes), bool)
@@ -220,7 +235,7 @@ def _outcome(sizes: Sizes, window: int, texts_too: bool):
         gone, out, begin = np.cumsum(change[:-1]) > 0, [], 0
         for doc_id, text, end in zip(ids, texts, windows.ends.tolist(), strict=True):
             words, mask = text.split(), gone[begin:end]
-            kept = b" ".join(words if not mask.any() else [w for w, g in zip(words, mask.tolist(), strict=True) if not g])
+            kept = b" ".join(words if not mask.any() else _left(words, mask))
             out.append((doc_id, len(words), int(mask.sum()), kept.decode() if texts_too else hashlib.sha256(kept).hexdigest()))
             begin = end
         return _rows(out, f"{OUT}, {'kept_text' if texts_too else 'kept_sha256'} string")
