@@ -93,8 +93,9 @@ def split_edges(edge_points: DataFrame, splits: DataFrame) -> DataFrame:
     """Splits curves at given inner vertices (edge_id, i): edge_id, part, i, x, y; the joint belongs to both parts."""
     marked = edge_points.join(splits.distinct().withColumn("cut", F.lit(1)), ["edge_id", "i"], "left")
     by_edge = Window.partitionBy("edge_id").orderBy("i")
-    before = F.coalesce(F.sum("cut").over(by_edge.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = marked.withColumn("part", F.explode(F.when(F.col("cut") == 1, F.array(before, before + 1)).otherwise(F.array(before))))
+    before = F.coalesce(F.sum("cut").over(by_edge.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    marked = marked.withColumn("before", before)
+    parts = marked.withColumn("part", F.explode(F.when(F.col("cut") == 1, F.array(F.col("before"), F.col("before") + 1)).otherwise(F.array("before"))))
     inside = Window.partitionBy("edge_id", "part").orderBy("i")
     return parts.select("edge_id", F.col("part").cast("int").alias("part"), (F.row_number().over(inside) - 1).alias("i"), "x", "y")
 
