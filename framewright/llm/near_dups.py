@@ -1,18 +1,22 @@
 """Operator 6: near-duplicate documents by MinHash, banding, verification and connected components.
 
 A document's set is its distinct shingles of `SHINGLE` words. Documents with equal sets form a class, and only one document of
-each class goes on. `PERMUTATIONS` universal hash minima are its signature; bands of `ROWS` minima put it into buckets. Two rounds
-look at the buckets' members:
+each class goes on. `PERMUTATIONS` universal hash minima are its signature; bands of `ROWS` minima put it into buckets. Three rounds
+look at the buckets' members; each ends with the connected components (large-star and small-star in turn) of all links so far:
 
-1. Each member is paired with the least member of its bucket. Pairs are checked by size and signature, then confirmed on the
-   full sets, and the links' connected components are computed (large-star and small-star in turn).
-2. Members of one bucket that are in different components by now are paired and confirmed too. Afterwards every two members of a bucket
-   are either in one component or have been compared, so no link found by the bands is lost to the choice of the pairs.
+1. Each member is paired with the bucket leader (least member) that it shares most buckets with.
+2. Members are paired with the leaders of their other buckets that are still in another component.
+3. Buckets whose members are in different components are open. Their members are dealt into blocks of about `BLOCK` documents by leader,
+   and block pairs that share an open bucket are compared on the full sets, inside a task, by bit matrices over the shingles that
+   both blocks have. Only links between components leave the task, one for each document and component.
+
+Pairs of rounds 1 and 2 are checked by size and signature, then confirmed on the full sets. After round 3 every two members of a bucket are
+in one component or have been compared, so no link that the bands find is lost to the choice of pairs.
 
 Two sets of similarity 0.75 share a bucket but for 5 cases in a million, and pass the signature check but for 1 in a million; higher
-similarities are missed less. A large group of copies is one class, a large group of near copies mostly one component after round 1: neither
-is expanded into pairs. The full sets are built for documents in pairs only: their ids are broadcast up to `BROADCAST_IDS`,
-joined by a shuffle beyond that.
+similarities are missed less. A group of copies is one class; a group of near copies takes one pair for each document in round 1, and
+what stays apart is compared by blocks, never expanded into rows of pairs. The full sets are built for documents in pairs or open buckets
+only: their ids are broadcast up to `BROADCAST_IDS`, joined by a shuffle beyond that.
 
 Defined cases. Null or empty texts, and texts without words, have no shingles, are linked with nothing and kept. Texts of fewer words than a
 shingle have one, the whole sequence. A null id counts as the largest. Rows that share an id are one document: it has the
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,8 @@ PERMUTATIONS, ROWS = 128, 4
 #: Share of equal minima below which a pair isn't confirmed: over five standard deviations below 0.75.
 LEAST_SHARE = 0.55
 BROADCAST_IDS = 1_000_000
+#: Documents of a block in round 3.
+BLOCK = 256
 LAST_ID = 2**63 - 1
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SIGNED = "owner long, known boolean, n long, c1 long, c2 long, sig array<int>"
@@ -117,6 +124,13 @@ class Verifier:
     def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int):
         self.docs, self.reps, self.percent = _texts(docs, id_col, text_col), reps, percent
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """owner and shingles of the documents with the given ids (`owner`)."""
+        ids = materialise(ids.distinct(), "ids")
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        known = self.docs.withColumn("owner", F.coalesce("owner", F.lit(LAST_ID))).join(wanted, "owner", "left_semi")
+        return materialise(known.mapInArrow(_sets, "owner long, shingles array<long>"), "sets")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The edges (u, v) among the pairs."""
         a, b = (self.reps.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "sig")]) for side in "ab")
@@ -124,10 +138,7 @@ class Verifier:
         equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         checked = checked.where(_similar(F.col("n_a"), F.col("n_b"), self.percent) & (equal >= int(LEAST_SHARE * PERMUTATIONS)))
         checked = materialise(checked.select("a", "b").distinct(), "pairs")
-        ids = materialise(checked.select(F.col("a").alias("owner")).unionByName(checked.select(F.col("b").alias("owner"))).distinct(), "pair-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        known = self.docs.withColumn("owner", F.coalesce("owner", F.lit(LAST_ID))).join(wanted, "owner", "left_semi")
-        sets = materialise(known.mapInArrow(_sets, "owner long, shingles array<long>"), "sets")
+        sets = self.sets(checked.select(F.col("a").alias("owner")).unionByName(checked.select(F.col("b").alias("owner"))))
         a, b = (sets.select(F.col("owner").alias(side), F.col("shingles").alias(f"set_{side}")) for side in "ab")
         both = checked.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         return both.where((F.col("common") > 0) & (100 * F.col("common") >= self.percent * (F.size("set_a") + F.size("set_b") - F.col("common")))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -143,16 +154,15 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     shared = rows.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least")
     members = materialise(rows.join(shared, "key"), "members")
     verifier = Verifier(docs, reps, id_col, text_col, percent)
-    stars = materialise(members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = materialise(verifier.confirm(stars), "links")
+    stars = members.where("rep <> least").groupBy(F.col("least").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = materialise(stars, "stars")
+    best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("m"))).alias("s")).select((-F.col("s.m")).alias("a"), "b")
+    links = materialise(verifier.confirm(best), "links")
+    labels = components(links)
+    apart = _parted(_parted(stars, labels, "a"), labels, "b").where("part_a <> part_b").select("a", "b")
+    links = materialise(links.unionByName(verifier.confirm(apart.join(best, ["a", "b"], "left_anti"))), "links")
     labels = components(links)
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
-    open_rows = materialise(placed.join(mixed, "key", "left_semi").distinct(), "open")
-    left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part")]) for s in "ab")
-    crossing = left.join(right, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("part_a") != F.col("part_b")) & _similar(F.col("n_a"), F.col("n_b"), percent))
-    crossing = crossing.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(verifier.confirm(crossing), "more-links")
+    more = crossing_links(_parted(members, labels, "rep").withColumnRenamed("part_rep", "part"), verifier, percent)
     if more.take(1):
         labels = components(links.unionByName(more))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("c1", "c2", F.coalesce("label", "rep").alias("part"))
@@ -161,6 +171,74 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     return out.select("doc_id", "n_shingles", F.when(F.col("part") != LAST_ID, F.col("part")).alias("component_id"), (F.col("part") == F.col("owner")).alias("kept"))
 
 
+def _parted(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Adds part_<name>: the component that a node is in by now."""
+    named = labels.select(F.col("node").alias(name), F.col("label").alias("__label"))
+    return rows.join(named, name, "left").withColumn(f"part_{name}", F.coalesce("__label", name)).drop("__label")
+
+
+def crossing_links(placed: DataFrame, verifier: Verifier, percent: int) -> DataFrame:
+    """Links (u, v) between components of the members (key, rep, least, part) of a bucket."""
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    open_rows = materialise(placed.join(mixed, "key", "left_semi").select("key", "rep", "least", "part").distinct(), "open")
+    homes = open_rows.groupBy("rep").agg(F.min("least").alias("leader"), F.min("part").alias("part"))
+    sizes = homes.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    block = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
+    homes = materialise(homes.join(sizes, "leader").select("rep", "part", block.alias("block")), "homes")
+    sets = verifier.sets(homes.select(F.col("rep").alias("owner")))
+    blocks = sets.join(homes, sets["owner"] == homes["rep"]).select("block", "rep", "part", "shingles").groupBy("block").applyInArrow(_block, "block long, blob binary")
+    blocks = materialise(blocks, "blocks")
+    met = open_rows.join(homes.select("rep", "block"), "rep").select("key", "block").distinct()
+    pairs = met.select("key", F.col("block").alias("a")).join(met.select("key", F.col("block").alias("b")), "key").where("a <= b").select("a", "b").distinct()
+    both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("blob").alias("blob_a")), "a").join(blocks.select(F.col("block").alias("b"), F.col("blob").alias("blob_b")), "b")
+    return materialise(both.select("blob_a", "blob_b").mapInArrow(_compare(percent), "u long, v long").distinct(), "more-links")
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """The documents of a block as one compressed row."""
+    lists = table.column("shingles").combine_chunks()
+    sink = pa.BufferOutputStream()
+    content = pa.record_batch({"rep": table.column("rep").combine_chunks(), "part": table.column("part").combine_chunks(), "shingles": lists})
+    with pa.ipc.new_stream(sink, content.schema) as out:
+        out.write_batch(content)
+    packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "blob": pa.array([packed], pa.binary())})
+
+
+def _unblock(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, components, set sizes, and all shingles in a row."""
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+    lists = table.column("shingles").combine_chunks()
+    return table.column("rep").to_numpy(), table.column("part").to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+
+
+def _bit_rows(sizes: np.ndarray, shingles: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A bit for each document and shared shingle, in 64-bit words."""
+    place = np.minimum(np.searchsorted(shared, shingles), len(shared) - 1)
+    known = shared[place] == shingles
+    flags = np.zeros((len(sizes), -(-len(shared) // 64) * 64), np.uint8)
+    flags[np.repeat(np.arange(len(sizes)), sizes)[known], place[known]] = 1
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (ids, parts, sizes, shingles), (ids2, parts2, sizes2, shingles2) = _unblock(one.as_py()), _unblock(two.as_py())
+                shared = np.intersect1d(shingles, shingles2)
+                found: list[tuple[int, int]] = []
+                if len(shared):
+                    rows, rows2 = _bit_rows(sizes, shingles, shared), _bit_rows(sizes2, shingles2, shared)
+                    for i in range(len(ids)):
+                        common = np.bitwise_count(rows[i] & rows2).sum(axis=1, dtype=np.int64)
+                        near = np.flatnonzero((common > 0) & (100 * common >= percent * (sizes[i] + sizes2 - common)) & (parts2 != parts[i]))
+                        found += [(int(ids[i]), int(ids2[j])) for j in near[np.unique(parts2[near], return_index=True)[1]]]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
+
+    return run
+
+
 def dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept: one of each group, with their own columns."""
     gone = link(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
