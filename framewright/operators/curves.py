@@ -10,11 +10,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CURVE = Window.partitionBy("curve_id").orderBy("i")
+
+def _curve() -> Window:
+    """A curve's vertices in order."""
+    return Window.partitionBy("curve_id").orderBy("i")
 
 
 def _next(name: str) -> Column:
-    return F.lead(name).over(CURVE)
+    return F.lead(name).over(_curve())
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def lengths(points: DataFrame) -> DataFrame:
 
 def turning_angles(points: DataFrame) -> DataFrame:
     """Turning angle at inner vertices: 0 is straight; null at a segment of length 0."""
-    p = points.select("curve_id", "i", "x", "y", F.lag("x").over(CURVE).alias("px"), F.lag("y").over(CURVE).alias("py"), _next("x").alias("nx"), _next("y").alias("ny")).where("px is not null and nx is not null")
+    p = points.select("curve_id", "i", "x", "y", F.lag("x").over(_curve()).alias("px"), F.lag("y").over(_curve()).alias("py"), _next("x").alias("nx"), _next("y").alias("ny")).where("px is not null and nx is not null")
     ax, ay, bx, by = F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     norm = F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)
     return p.select("curve_id", "i", F.when(norm > 0, F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (ax * bx + ay * by) / norm)))).alias("angle"))
@@ -74,7 +77,7 @@ def merge_pairs(points: DataFrame, pairs: DataFrame, tolerance: float = 1e-9) ->
 def measured(points: DataFrame) -> DataFrame:
     """Segments with their start `s` along the curve and the curve's `total`."""
     seg = segments(points)
-    return seg.withColumns({"s": F.coalesce(F.sum("length").over(CURVE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "total": F.sum("length").over(Window.partitionBy("curve_id")), "last": F.max("i").over(Window.partitionBy("curve_id"))})
+    return seg.withColumns({"s": F.coalesce(F.sum("length").over(_curve().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "total": F.sum("length").over(Window.partitionBy("curve_id")), "last": F.max("i").over(Window.partitionBy("curve_id"))})
 
 
 def _sample(seg: DataFrame, spacing: Column, count: Column) -> DataFrame:
@@ -124,20 +127,20 @@ def smooth(points: DataFrame, sigma: float, derivative: bool = False) -> DataFra
     weights = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)}
 
     def average(name: str) -> Column:
-        shifted = {k: F.lead(name, k).over(CURVE) if k >= 0 else F.lag(name, -k).over(CURVE) for k in weights}
+        shifted = {k: F.lead(name, k).over(_curve()) if k >= 0 else F.lag(name, -k).over(_curve()) for k in weights}
         total = sum((F.coalesce(v * weights[k], F.lit(0.0)) for k, v in shifted.items()), F.lit(0.0))
         return total / sum((F.when(v.isNotNull(), weights[k]).otherwise(0.0) for k, v in shifted.items()), F.lit(0.0))
 
     out = points.select("curve_id", "i", average("x").alias("x"), average("y").alias("y"))
     if not derivative:
         return out
-    central = {n: (F.coalesce(F.lead(n).over(CURVE), F.col(n)) - F.coalesce(F.lag(n).over(CURVE), F.col(n))) / (F.when(F.lead(n).over(CURVE).isNull(), 0).otherwise(1) + F.when(F.lag(n).over(CURVE).isNull(), 0).otherwise(1)) for n in "xy"}
+    central = {n: (F.coalesce(F.lead(n).over(_curve()), F.col(n)) - F.coalesce(F.lag(n).over(_curve()), F.col(n))) / (F.when(F.lead(n).over(_curve()).isNull(), 0).otherwise(1) + F.when(F.lag(n).over(_curve()).isNull(), 0).otherwise(1)) for n in "xy"}
     return out.select("curve_id", "i", *[e.alias(n) for n, e in central.items()])
 
 
 def steepest(profiles: DataFrame, direction: int = 1) -> DataFrame:
     """Position of the steepest step of y in a direction: index + 0.5, the first if tied; null below two points."""
-    step = direction * (F.lead("y").over(CURVE) - F.col("y"))
+    step = direction * (F.lead("y").over(_curve()) - F.col("y"))
     rows = profiles.select("curve_id", "i", step.alias("d"))
     best = rows.groupBy("curve_id").agg(F.max(F.when(F.col("d").isNotNull(), F.struct("d", (-F.col("i")).alias("j")))).alias("m"))
     return best.select("curve_id", (-F.col("m.j") + 0.5).alias("pos"))
@@ -146,7 +149,7 @@ def steepest(profiles: DataFrame, direction: int = 1) -> DataFrame:
 def runs(points: DataFrame, valid: Column) -> DataFrame:
     """Runs of consecutive valid points: curve_id, first, stop (one past the last)."""
     good = points.where(valid)
-    island = F.col("i") - F.row_number().over(CURVE)
+    island = F.col("i") - F.row_number().over(_curve())
     return good.select("curve_id", "i", island.alias("g")).groupBy("curve_id", "g").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("stop")).drop("g")
 
 

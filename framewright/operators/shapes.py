@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from framewright.functions import buckets
 
-RING = Window.partitionBy("poly_id").orderBy("i")
+
+def _ring() -> Window:
+    """A polygon's corners in order."""
+    return Window.partitionBy("poly_id").orderBy("i")
 
 
 def bounding_rects(points: DataFrame, key: str, margin: float = 0.0) -> DataFrame:
@@ -52,8 +55,8 @@ def template_match(pixels: DataFrame, template: DataFrame, positions: DataFrame)
 
 def ring_edges(contours: DataFrame) -> DataFrame:
     """Edges of closed polygons: poly_id, i, x, y, x2, y2."""
-    first = {n: F.first(n).over(RING.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for n in "xy"}
-    return contours.select("poly_id", "i", "x", "y", *[F.coalesce(F.lead(n).over(RING), first[n]).alias(f"{n}2") for n in "xy"])
+    first = {n: F.first(n).over(_ring().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for n in "xy"}
+    return contours.select("poly_id", "i", "x", "y", *[F.coalesce(F.lead(n).over(_ring()), first[n]).alias(f"{n}2") for n in "xy"])
 
 
 def polygon_measures(contours: DataFrame) -> DataFrame:
@@ -101,8 +104,8 @@ def simplify_contours(contours: DataFrame, threshold: float) -> DataFrame:
     from framewright.functions.iterate import cut
 
     now = cut(contours.select("poly_id", "i", "x", "y"))
-    whole = RING.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    around = lambda n: (F.coalesce(F.lag(n).over(RING), F.last(n).over(whole)), F.coalesce(F.lead(n).over(RING), F.first(n).over(whole)))
+    whole = _ring().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    around = lambda n: (F.coalesce(F.lag(n).over(_ring()), F.last(n).over(whole)), F.coalesce(F.lead(n).over(_ring()), F.first(n).over(whole)))
     while True:
         (px, nx), (py, ny) = around("x"), around("y")
         area = F.abs((px - F.col("x")) * (ny - F.col("y")) - (nx - F.col("x")) * (py - F.col("y"))) / 2
