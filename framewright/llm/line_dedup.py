@@ -82,7 +82,7 @@ class Runs:
 
     def owners(self) -> DataFrame:
         """All keys with their owners, read as plain files: the reader may split hot partitions."""
-        return self.spark.read.parquet(*[path for level in self.levels for _, path in level])
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*[path for level in self.levels for _, path in level])
 
     def forget(self) -> None:
         """Drops the tables from the catalogue; the files stay."""
