@@ -1,20 +1,19 @@
 """Operator 6: near-duplicate documents by MinHash, banding, verification and connected components.
 
 A document's set is its distinct shingles of `SHINGLE` words. Documents with equal sets form a class, and only one document of
-each class goes on. `PERMUTATIONS` universal hash minima are its signature; bands of `ROWS` minima put it into buckets. Three rounds
+each class goes on. `PERMUTATIONS` universal hash minima are its signature; bands of `ROWS` minima put it into buckets. Two rounds
 look at the buckets' members; each ends with the connected components (large-star and small-star in turn) of all links so far:
 
-1. Each member is paired with the bucket leader (least member) that it shares most buckets with.
-2. Members are paired with the leaders of their other buckets that are still in another component.
-3. Buckets whose members are in different components are open. Their members are dealt into blocks of about `BLOCK` documents by leader,
+1. Each member is paired with the leader (least member) of each of its buckets.
+2. Buckets whose members are in different components are open. Their members are dealt into blocks of about `BLOCK` documents by leader,
    and block pairs that share an open bucket are compared on the full sets, inside a task, by bit matrices over the shingles that
    both blocks have. Only links between components leave the task, one for each document and component.
 
-Pairs of rounds 1 and 2 are checked by size and signature, then confirmed on the full sets. After round 3 every two members of a bucket are
+Pairs of round 1 are checked by size and signature, then confirmed on the full sets. After round 2 every two members of a bucket are
 in one component or have been compared, so no link that the bands find is lost to the choice of pairs.
 
 Two sets of similarity 0.75 share a bucket but for 5 cases in a million, and pass the signature check but for 1 in a million; higher
-similarities are missed less. A group of copies is one class; a group of near copies takes one pair for each document in round 1, and
+similarities are missed less. A group of copies is one class; a group of near copies takes a pair for each document and band at most in round 1, and
 what stays apart is compared by blocks, never expanded into rows of pairs. The full sets are built for documents in pairs or open buckets
 only: their ids are broadcast up to `BROADCAST_IDS`, joined by a shuffle beyond that.
 
@@ -44,7 +43,7 @@ PERMUTATIONS, ROWS = 128, 4
 #: Share of equal minima below which a pair isn't confirmed: over five standard deviations below 0.75.
 LEAST_SHARE = 0.55
 BROADCAST_IDS = 1_000_000
-#: Documents of a block in round 3.
+#: Documents of a block in round 2.
 BLOCK = 256
 LAST_ID = 2**63 - 1
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -154,13 +153,8 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     shared = rows.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least")
     members = materialise(rows.join(shared, "key"), "members")
     verifier = Verifier(docs, reps, id_col, text_col, percent)
-    stars = members.where("rep <> least").groupBy(F.col("least").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = materialise(stars, "stars")
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("m"))).alias("s")).select((-F.col("s.m")).alias("a"), "b")
-    links = materialise(verifier.confirm(best), "links")
-    labels = components(links)
-    apart = _parted(_parted(stars, labels, "a"), labels, "b").where("part_a <> part_b").select("a", "b")
-    links = materialise(links.unionByName(verifier.confirm(apart.join(best, ["a", "b"], "left_anti"))), "links")
+    stars = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    links = materialise(verifier.confirm(stars), "links")
     labels = components(links)
     more = crossing_links(_parted(members, labels, "rep").withColumnRenamed("part_rep", "part"), verifier, percent)
     if more.take(1):
