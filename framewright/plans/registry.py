@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.plans.base import REGISTRY, Views
 
-FAMILIES = ("source_queries", "frame_queries", "region_queries", "curve_queries", "shape_queries", "graph_queries", "compose_queries", "stream_queries")
+FAMILIES = ("source_queries", "frame_queries", "region_queries", "curve_queries", "shape_queries", "graph_queries", "composite_queries", "compose_queries", "stream_queries")
 
 
 def _registered() -> dict:
