@@ -154,7 +154,7 @@ class Stretches:
         shape = (high - low).astype(np.uint64) << np.uint64(32) | (anchor - low).astype(np.uint64)
         content = C.scramble(b.hashes(low, high + length) ^ C.scramble(shape, 9), 4) & CONTENT_BITS
         shift = b.bases[part] - b.begins[part]
-        return b.docs[part], low + shift, high + shift, grams[anchor], content
+        return b.docs[part], low + shift, high + shift, C.scramble(grams[anchor], 13), content  # minima lie low: mixed anew, they spread over all shards
 
     def strings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, start, hash and 16 more bits of every string of the first stretch of each entry."""
