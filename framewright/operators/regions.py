@@ -114,9 +114,9 @@ def centroid(moment_rows: DataFrame) -> DataFrame:
 
 
 def central(moment_rows: DataFrame) -> DataFrame:
-    """Central second moments mu20, mu11, mu02."""
+    """Central second moments mu20, mu11, mu02, to 9 digits."""
     m = {n: F.col(n).cast("double") for n in ("m00", "m10", "m01", "m20", "m11", "m02")}
-    return moment_rows.withColumns({"mu20": m["m20"] - m["m10"] * m["m10"] / m["m00"], "mu11": m["m11"] - m["m10"] * m["m01"] / m["m00"], "mu02": m["m02"] - m["m01"] * m["m01"] / m["m00"]})
+    return moment_rows.withColumns({"mu20": F.round(m["m20"] - m["m10"] * m["m10"] / m["m00"], 9), "mu11": F.round(m["m11"] - m["m10"] * m["m01"] / m["m00"], 9), "mu02": F.round(m["m02"] - m["m01"] * m["m01"] / m["m00"], 9)})
 
 
 def orientation(a: Column, b: Column, c: Column) -> Column:

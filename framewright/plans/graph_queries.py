@@ -9,7 +9,7 @@ from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import rounded
 
 LEN = "len as (select edge_id, sum(d) as length from (select edge_id, sqrt((lead(x) over w - x) ** 2 + (lead(y) over w - y) ** 2) as d from edge_points window w as (partition by edge_id order by i)) group by 1)"
-QUERIES = "q as (select rect_id as query_id, x as qx, y as qy from rects where rect_id < 50)"
+QUERIES = "q as (select rect_id as query_id, x as qx, y as qy from rects)"
 
 
 def measured(s: Views):
@@ -17,7 +17,7 @@ def measured(s: Views):
 
 
 def asked(s: Views):
-    return s.rects.where("rect_id < 50").select(F.col("rect_id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    return s.rects.select(F.col("rect_id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
 
 
 query("f4_merge_nodes", "with r(a, b) as (select node_id, node_id from nodes union select r.a, m.node_id from r join nodes n on n.node_id = r.b join nodes m on abs(m.x - n.x) <= 2 and abs(m.y - n.y) <= 2) select a as node_id, min(b) as kept from r group by 1", "nodes")(lambda s: graphs.merge_nodes(s.nodes, 2.0))
@@ -41,8 +41,8 @@ def f1(s: Views):
     """Skeleton pixels of polygons: rasterised, then thinned."""
     from framewright.operators import shapes
 
-    mask = shapes.rasterize(s.contours.where("poly_id < 10")).select(F.col("poly_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), (F.col("y") - 36).alias("y"), (F.col("x") - 36).alias("x"))
+    mask = shapes.rasterize(s.contours).select(F.col("poly_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), (F.col("y") - 36).alias("y"), (F.col("x") - 36).alias("x"))
     return regions.thin(mask, 28, 28)
 
 
-query("f3_skeleton_graph")(lambda s: graphs.skeleton_graph(regions.thin(s.mask8.where("frame_idx < 2"), 8, 8))[1])
+query("f3_skeleton_graph")(lambda s: graphs.skeleton_graph(regions.thin(s.mask8, 8, 8))[1])

@@ -45,7 +45,7 @@ best as (select {KEY}, label, area from areas qualify row_number() over (partiti
 query("d9_label", f"with {REACH} select * from labels", "mask8")(lambda s: regions.label(s.mask8))
 query("d10_largest", f"with {REACH} select {KEY}, y, x, area from labels join best using (video_id, frame_idx, label)", "mask8")(lambda s: regions.largest_region(regions.label(s.mask8)))
 
-MOMENTS = f"{REACH}, mom as (select {KEY}, label, count(*) as m00, sum(x)::bigint as m10, sum(y)::bigint as m01, sum(x * x)::bigint as m20, sum(x * y)::bigint as m11, sum(y * y)::bigint as m02 from labels group by all), mu as (select *, m20 - m10 * m10 / m00 as mu20, m11 - m10 * m01 / m00 as mu11, m02 - m01 * m01 / m00 as mu02 from mom), ab as (select *, mu20 / m00 as a, mu11 / m00 as b, mu02 / m00 as c from mu), eig as (select *, a + c + sqrt(4 * b * b + (a - c) * (a - c)) as big, greatest(a + c - sqrt(4 * b * b + (a - c) * (a - c)), 0) as small from ab)"
+MOMENTS = f"{REACH}, mom as (select {KEY}, label, count(*) as m00, sum(x)::bigint as m10, sum(y)::bigint as m01, sum(x * x)::bigint as m20, sum(x * y)::bigint as m11, sum(y * y)::bigint as m02 from labels group by all), mu as (select *, round(m20 - m10 * m10 / m00, 9) as mu20, round(m11 - m10 * m01 / m00, 9) as mu11, round(m02 - m01 * m01 / m00, 9) as mu02 from mom), ab as (select *, mu20 / m00 as a, mu11 / m00 as b, mu02 / m00 as c from mu), eig as (select *, a + c + sqrt(4 * b * b + (a - c) * (a - c)) as big, greatest(a + c - sqrt(4 * b * b + (a - c) * (a - c)), 0) as small from ab)"
 
 
 @query("d11_moments", f"with {MOMENTS} select {KEY}, label, m00, m10, m01, m20, m11, m02, m00 as area, round(m10 / m00, 6) as cx, round(m01 / m00, 6) as cy from mom", "mask8")
@@ -53,9 +53,9 @@ def d11(s: Views):
     return rounded(regions.centroid(regions.moments(regions.label(s.mask8))), "cx", "cy", digits=6)
 
 
-@query("d12_orientation", f"with {MOMENTS} select {KEY}, label, round(case when abs(mu20 - mu02) < 1e-9 then case when mu11 > 0 then -pi() / 4 else pi() / 4 end else -atan2(2 * mu11, mu20 - mu02) / 2 end, 4) as orientation from eig where m00 >= 3 and abs(mu11) > 1e-6", "mask8")
+@query("d12_orientation", f"with {MOMENTS} select {KEY}, label, round(case when abs(mu20 - mu02) < 1e-9 then case when mu11 > 0 then -pi() / 4 else pi() / 4 end else -atan2(2 * mu11, mu20 - mu02) / 2 end, 4) + 0.0 as orientation from eig", "mask8")
 def d12(s: Views):
-    return rounded(regions.shape_figures(regions.moments(regions.label(s.mask8))).where("m00 >= 3 and abs(mu11) > 1e-6").select(*regions.FRAME, "label", "orientation"), "orientation")
+    return rounded(regions.shape_figures(regions.moments(regions.label(s.mask8))).select(*regions.FRAME, "label", "orientation"), "orientation").withColumn("orientation", F.col("orientation") + 0.0)
 
 
 @query("d13_axes", f"with {MOMENTS} select {KEY}, label, round(case when big > 0 then sqrt(1 - small / big) else 0 end, 3) as eccentricity, round(4 * sqrt(big), 4) as major, round(4 * sqrt(small), 2) as minor from eig", "mask8")
@@ -68,13 +68,13 @@ query("d14_bounding_box", f'with {REACH} select {KEY}, label, min(x) - 1 as "lef
 
 
 def few(s: Views):
-    """The largest regions of two frames a video, and their first pixels as seeds."""
-    region = regions.largest_region(regions.label(s.mask8.where("frame_idx < 2"))).select(*regions.PIXEL)
+    """The largest region of every frame, and its first pixel as seed."""
+    region = regions.largest_region(regions.label(s.mask8)).select(*regions.PIXEL)
     first = region.groupBy(*regions.FRAME).agg(F.min(F.struct("y", "x")).alias("p")).select(*regions.FRAME, "p.y", "p.x")
     return region, first
 
 
-WAYS = f"""{REACH.replace('from mask8\n', 'from mask8 where frame_idx < 2\n')},
+WAYS = f"""{REACH},
 region as (select {KEY}, y, x from labels join best using (video_id, frame_idx, label)),
 seed as (select {KEY}, min(y * 8 + x) // 8 as y, min(y * 8 + x) % 8 as x from region group by all),
 ways(video_id, frame_idx, y, x, a, b) as (select {KEY}, y, x, 0, 0 from seed
@@ -105,11 +105,11 @@ def d19(s: Views):
     return rounded(regions.farthest_pair(*few(s)), "d", digits=6)
 
 
-@query("d20_background_distance", f"""with t as (select frame_idx, video_id, y, x from mask8 where frame_idx < 2), cells as (select distinct {KEY}, a as y, b as x from t, range(8) u(a), range(8) w(b)),
+@query("d20_background_distance", f"""with t as (select frame_idx, video_id, y, x from mask8), cells as (select distinct {KEY}, a as y, b as x from t, range(8) u(a), range(8) w(b)),
 bg as (select * from cells except select {KEY}, y, x from t), pairs as (select t.video_id, t.frame_idx, t.y, t.x, greatest(abs(t.y - q.y), abs(t.x - q.x)) as g, least(abs(t.y - q.y), abs(t.x - q.x)) as l from t join bg q on t.video_id = q.video_id and t.frame_idx = q.frame_idx)
 select {KEY}, y, x, round(min(case when g >= 2 * l then l * 2.1969 + (g - 2 * l) else (g - l) * 2.1969 + (2 * l - g) * 1.4 end)::double, 4) as d from pairs group by all""", "mask8")
 def d20(s: Views):
-    return rounded(regions.background_distance(s.mask8.where("frame_idx < 2"), 8, 8), "d")
+    return rounded(regions.background_distance(s.mask8, 8, 8), "d")
 
 
 query("d5_thin")(lambda s: regions.thin(s.mask8, 8, 8))

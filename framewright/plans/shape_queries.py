@@ -12,9 +12,9 @@ from framewright.plans.frame_queries import rounded, sql_table
 query("e14_bounding_rects", "select curve_id, min(x) - 2 as x, min(y) - 2 as y, max(x) - min(x) + 4 as w, max(y) - min(y) + 4 as h from tracks group by 1", "tracks")(lambda s: shapes.bounding_rects(s.tracks, "curve_id", 2.0))
 
 
-@query("e15_points_in_rects", "select t.curve_id, t.i, r.rect_id from tracks t join rects r on t.x between r.x and r.x + r.w and t.y between r.y and r.y + r.h where rect_id % 20 = 0 and t.i = 0", "tracks rects")
+@query("e15_points_in_rects", "select t.curve_id, t.i, r.rect_id from tracks t join rects r on t.x between r.x and r.x + r.w and t.y between r.y and r.y + r.h", "tracks rects")
 def e15(s: Views):
-    return shapes.points_in_rects(s.tracks.where("i = 0"), s.rects.where("rect_id % 20 = 0"), 20.0).select("curve_id", "i", "rect_id")
+    return shapes.points_in_rects(s.tracks, s.rects, 20.0).select("curve_id", "i", "rect_id")
 
 
 @query("e16_overlaps", "select a.rect_id as a, b.rect_id as b, greatest(a.x, b.x) as x, greatest(a.y, b.y) as y, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as w, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as h from rects a join rects b on a.rect_id < b.rect_id and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h", "rects")
@@ -65,7 +65,7 @@ def e22(s: Views):
 
 
 query("e24_simplify_contours")(lambda s: shapes.simplify_contours(s.contours, 30.0))
-query("e25_outlines")(lambda s: shapes.region_outlines(s.mask8.where("frame_idx < 2")))
+query("e25_outlines")(lambda s: shapes.region_outlines(s.mask8))
 
 
 def neighbours(s: Views):
@@ -119,8 +119,8 @@ query("e33_circle_figures", "select rect_id as id, round(pi() * w * w / 4, 4) as
 soft, slope, gauss = kernels.convolution([1.0, 4.0, 6.0, 4.0, 1.0], 8), kernels.convolution([-1.0, -2.0, 0.0, 2.0, 1.0], 8), kernels.convolution(kernels.gaussian(1.0), 8)
 
 
-@query("e34_gradients", f"""with {sql_table(soft, 'sf')}, {sql_table(slope, 'sl')}, {sql_table(gauss, 'ga')}, b as (select video_id, frame_idx, a.d as y, b.d as x, sum(v * a.w * b.w) as v from pixels8 join ga a on a.s = y join ga b on b.s = x where frame_idx < 5 group by all),
+@query("e34_gradients", f"""with {sql_table(soft, 'sf')}, {sql_table(slope, 'sl')}, {sql_table(gauss, 'ga')}, b as (select video_id, frame_idx, a.d as y, b.d as x, sum(v * a.w * b.w) as v from pixels8 join ga a on a.s = y join ga b on b.s = x group by all),
 gx as (select video_id, frame_idx, a.d as y, b.d as x, sum(v * a.w * b.w) as gx from b p join sf a on a.s = p.y join sl b on b.s = p.x group by all), gy as (select video_id, frame_idx, a.d as y, b.d as x, sum(v * a.w * b.w) as gy from b p join sl a on a.s = p.y join sf b on b.s = p.x group by all)
 select video_id, frame_idx, y, x, round(gx, 3) as gx, round(gy, 3) as gy from gx join gy using (video_id, frame_idx, y, x)""", "pixels8")
 def e34(s: Views):
-    return rounded(shapes.gradients(s.pixels8.where("frame_idx < 5"), 8, 8, 1.0), "gx", "gy", digits=3)
+    return rounded(shapes.gradients(s.pixels8, 8, 8, 1.0), "gx", "gy", digits=3)
