@@ -1,12 +1,13 @@
 """Iterate-until-stable and pointer doubling on DataFrames.
 
-Each round is written by checkpoint() to the folder that spark.checkpoint.dir names, so lineage stays short and a lost executor
-costs no recomputation. Only counters reach the driver. All groups (frames, shapes, graphs) advance in the same rounds.
+Each round is written as a table to the folder that spark.checkpoint.dir names, so lineage stays short and a lost executor
+costs no recomputation of earlier rounds. Only counters reach the driver. All groups (frames, shapes, graphs) advance in the same rounds.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager, reliable checkpoint."""
+    """The rows as a table in the shared folder that spark.checkpoint.dir names (a temporary one where it is unset): one pass, no lineage."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-rounds-")
+    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 1000) -> DataFrame:

@@ -21,4 +21,3 @@ def e35(s: Views):
 
 
 query("e36_centerlines")(lambda s: composites.centerlines(s.contours))
-query("e36_smooth_centerlines")(lambda s: rounded(composites.smooth_centerlines(s.contours, 2.0, 1.0), "x", "y"))

@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from framewright.functions import kernels
-from framewright.operators import compose, curves, frames, graphs, regions, shapes, temporal
+from framewright.operators import compose, composites, curves, frames, graphs, regions, shapes, temporal
 from framewright.sources import catalog
 
 
@@ -162,3 +162,25 @@ def test_image_stack(spark, tmp_path):
 def test_noise_figures(spark):
     row = catalog.noise(spark, 50, 10, 10, 5.0, 2.0, 3).agg(F.avg("v"), F.stddev("v"), F.count("v")).first()
     assert abs(row[0] - 5) < 0.15 and abs(row[1] - 2) < 0.15 and row[2] == 5000
+
+
+def bar(spark):
+    return spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(((0, 0), (6, 0), (6, 2), (0, 2)))], "poly_id long, i int, x int, y int")
+
+
+def test_outline_of_a_bar(spark):
+    rows = composites.outlines(bar(spark), 1.0).collect()
+    assert {r["x"] for r in rows} == {k - 0.5 for k in range(8)} and {r["y"] for r in rows} == {k - 0.5 for k in range(4)}
+    assert len(rows) == 2 * (7 + 3)
+
+
+def test_centre_line_of_a_bar(spark):
+    rows = composites.centerlines(bar(spark)).orderBy("i").collect()
+    assert abs(rows[0]["x"] - rows[-1]["x"]) == 6 and [r["i"] for r in rows] == list(range(len(rows)))
+
+
+def test_active_contour_without_forces(spark):
+    line = spark.createDataFrame([(1, 0, 0, i, float(i), 3.0 + (i == 3)) for i in range(6)], "curve_id long, video_id int, frame_idx long, i int, x double, y double")
+    flat = spark.createDataFrame([(0, 0, y, x, 0.0, 0.0) for y in range(8) for x in range(8)], "video_id int, frame_idx long, y int, x int, gx double, gy double")
+    rows = composites.active_contours(line, flat, (8, 8), 6, beta=10.0, gamma=0.1, fixed_ends=True, rounds=3).orderBy("i").collect()
+    assert (rows[0]["y"], rows[5]["y"]) == (3.0, 3.0) and 3.0 < rows[3]["y"] < 4.0
