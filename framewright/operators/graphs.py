@@ -107,18 +107,18 @@ def nearest_nodes(nodes: DataFrame, queries: DataFrame, size: float = 8.0) -> Da
     return best.select("query_id", "best.node_id", "best.x", "best.y", "best.dist")
 
 
-def nearest_edges(edge_points: DataFrame, queries: DataFrame) -> DataFrame:
+def nearest_edges(edge_points: DataFrame, queries: DataFrame, size: float = 8.0) -> DataFrame:
     """Nearest edge of each query by distance to its line, then that edge's nearest vertex: edge_id, i, dist (to the vertex).
 
-    Queries are a stated set against all segments; each segment keeps only its least distance for a query before any shuffle.
+    Rings of grid cells widen until sure. Of segments in the same place only that of the smallest edge id, which wins the tie, is searched.
     """
-    seg = curves.segments(edge_points.withColumnRenamed("edge_id", "curve_id"))
+    seg = curves.segments(edge_points.withColumnRenamed("edge_id", "curve_id")).groupBy("x", "y", "x2", "y2").agg(F.min("curve_id").alias("edge_id"))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("qx") - F.col("x")) * dx + (F.col("qy") - F.col("y")) * dy) / square))).otherwise(0.0)
-    near = seg.join(F.broadcast(queries)).withColumn("t", t)
-    dist = F.round(F.sqrt(F.pow(F.col("x") + F.col("t") * dx - F.col("qx"), F.lit(2)) + F.pow(F.col("y") + F.col("t") * dy - F.col("qy"), F.lit(2))), 9)
-    best = near.groupBy("query_id").agg(F.min(F.struct(dist.alias("d"), F.col("curve_id").alias("edge_id"))).alias("m"))
+    dist = F.round(F.sqrt(F.pow(F.col("x") + t * dx - F.col("qx"), F.lit(2)) + F.pow(F.col("y") + t * dy - F.col("qy"), F.lit(2))), 9)
+    boxes = cut(seg.withColumns({"x0": F.least("x", "x2"), "y0": F.least("y", "y2"), "x1": F.greatest("x", "x2"), "y1": F.greatest("y", "y2")}))
+    best = buckets.nearest(queries, boxes, size, F.struct(dist.alias("dist"), "edge_id"), box=("x0", "y0", "x1", "y1")).select("query_id", F.col("best").alias("m"))
     chosen = queries.join(best, "query_id").select("query_id", "qx", "qy", "m.edge_id").join(edge_points, "edge_id")
     vertex = F.round(F.sqrt(F.pow(F.col("x") - F.col("qx"), F.lit(2)) + F.pow(F.col("y") - F.col("qy"), F.lit(2))), 9)
     return chosen.groupBy("query_id", "edge_id").agg(F.min(F.struct(vertex.alias("d"), "i")).alias("m")).select("query_id", "edge_id", F.col("m.i").alias("i"), F.col("m.d").alias("dist"))
