@@ -10,35 +10,104 @@ get their exact integer scores, and a window over those takes the k best of each
 Queries are taken in blocks of at most `query_block` rows (a stated query set against all rows): a block is what the driver collects and
 broadcasts at once, so neither grows with the input. Candidates are never shuffled; k rows a query and block are.
 
-Defined cases. Rows whose vector is null, holds a null or non-finite component, or a component that quantises beyond +-2^25 take no part,
-as queries or candidates; neither do rows with a null id. Vectors of different lengths: missing components count as 0. A query does not
+Vectors with a component that quantises to +-2^25 or beyond, or of more than 8,192 components, are wide: their scores could pass 63 bits.
+Pairs with a wide side are scored in floating point with an error bound, and all rows that could be among the k best by it in whole
+numbers of any size. All other pairs use the slices.
+
+Defined cases. Rows whose vector is null or holds a null or non-finite component take no part, as queries or candidates; neither do rows with
+a null id. Vectors of different lengths: missing components count as 0. A query does not
 meet rows that have its own id. Repeated rows are separate candidates, in any order among themselves. Fewer than k candidates: all of
-them. Empty table: no rows.
+them. Empty table: no rows. Ranks are exact for all scores; a score beyond 63 bits, which SQL cannot give either, is null as a long, and all
+of its digits come with `text=True`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 1024
+#: Narrow vectors: components below LIMIT and at most WIDTH of them, so that scores stay below 2^63.
 LIMIT = 1 << 25
+WIDTH = 1 << 13
 #: Rows of a candidate block; bytes of a broadcast block of queries follow from QUERY_BLOCK and the vector length.
 BLOCK_ROWS = 1 << 14
 QUERY_BLOCK = 2048
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-RESULT = "query_id long, vec_id long, score long"
+#: A score beyond 63 bits has side 1 or -1, score 0, and a key that sorts as the score does.
+RESULT = "query_id long, vec_id long, score long, side int, key string"
+NINES = str.maketrans("0123456789", "9876543210")
 
 
 def quantise(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and q (array<long>) of the rows that take part."""
-    parts = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    usable = F.forall(F.col(vector_col), lambda x: F.coalesce((~F.isnan(x.cast("double"))) & (F.abs(F.lit(float(scale)) * x.cast("double")) < LIMIT), F.lit(False)))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), parts.alias("q"))
+    """vec_id, and q (array<long>) or, for wide vectors, wide (scale and x, not quantised yet), of the rows that take part."""
+    vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    parts = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x))
+    usable = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    narrow = F.forall(vector, lambda x: F.abs(F.lit(float(scale)) * x) < LIMIT) & (F.size(vector) <= WIDTH)
+    wide = F.struct(F.lit(scale).cast("long").alias("scale"), vector.alias("x"))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), F.when(narrow, parts).alias("q"), F.when(~narrow, wide).alias("wide"))
+
+
+class WideVector:
+    """The components of a vector as whole numbers of any size, and as floats (times 2^-20, so that none overflows)."""
+
+    def __init__(self, scale: int, x: list[float]):
+        self.scale, self.x = scale, np.array(x, np.float64)
+        with np.errstate(over="ignore"):
+            scaled = np.floor(self.x * float(scale))
+        self.floats = np.where(np.isfinite(scaled), scaled * 2.0**-20, self.x * 2.0**-20 * scale)
+
+    def whole(self) -> list[int]:
+        out = []
+        for x in self.x.tolist():
+            scaled = x * float(self.scale)
+            out.append(math.floor(scaled) if math.isfinite(scaled) else int(x) * self.scale)
+        return out
+
+
+class WideBlock:
+    """Rows that are scored against a query in floating point first, then exactly where the error bound leaves it open."""
+
+    def __init__(self, ids: np.ndarray, rows: list[WideVector] | np.ndarray):
+        self.ids, self.rows = ids, rows
+        if isinstance(rows, np.ndarray):
+            floats = rows * 2.0**-20
+        else:
+            floats = np.zeros((len(rows), max((len(r.x) for r in rows), default=0)))
+            for i, r in enumerate(rows):
+                floats[i, : len(r.x)] = r.floats
+        self.floats = floats / 2.0 ** np.frexp(np.abs(floats).max(initial=1e-300))[1]
+
+    def whole(self, i: int) -> list[int]:
+        return self.rows[i].tolist() if isinstance(self.rows, np.ndarray) else self.rows[i].whole()
+
+    def select(self, query: list[int], floats: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows, ties to the smaller id."""
+        width = min(self.floats.shape[1], len(floats))
+        able = np.flatnonzero(self.ids != query_id)
+        if len(able) > k:
+            weight = floats[:width] / 2.0 ** np.frexp(np.abs(floats[:width]).max(initial=1e-300))[1]
+            near = self.floats[able, :width]
+            error = (width + 8) * (2.0**-51 * (np.abs(near) @ np.abs(weight)) + 1e-300)
+            score = near @ weight
+            able = able[score + error >= np.partition(score - error, len(able) - k)[len(able) - k]]
+        exact = [(sum(a * b for a, b in zip(query, self.whole(i), strict=False)), int(self.ids[i])) for i in able.tolist()]
+        return sorted(exact, key=lambda e: (-e[0], e[1]))[:k]
+
+
+def _key(score: int) -> tuple[int, int, str | None]:
+    """score, side and key of a row of RESULT."""
+    if -(1 << 63) <= score < 1 << 63:
+        return score, 0, None
+    digits = str(abs(score))
+    return (0, 1, f"{len(digits):05d}{digits}") if score > 0 else (0, -1, f"{len(digits):05d}{digits}".translate(NINES))
 
 
 class SlicedBlock:
@@ -122,29 +191,49 @@ class SlicedBlock:
 
 def _search(queries, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, weights = queries.value
-        held_ids, held_rows, held = [], [], 0
+        query_ids, weights, wide_ids, wide_queries = queries.value
+        held_ids, held_rows, wide_held, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            width = max(weights.shape[1], max(r.shape[1] for r in held_rows))
-            block = SlicedBlock(np.concatenate(held_ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in held_rows]))
-            wide = np.pad(weights, ((0, 0), (0, width - weights.shape[1])))
-            out: tuple[list, list, list] = ([], [], [])
-            for query_id, weight in zip(query_ids.tolist(), wide, strict=True):
-                best = block.select(weight, query_id, k)
-                out[0].append(np.full(len(best), query_id))
-                out[1].append(block.ids[best])
-                out[2].append(block.rows[best] @ weight)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["query_id", "vec_id", "score"])
+            ids, rows = np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
+            if held_ids:
+                width = max(weights.shape[1], max(r.shape[1] for r in held_rows))
+                ids, rows = np.concatenate(held_ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in held_rows])
+                if len(query_ids):
+                    block = SlicedBlock(ids, rows)
+                    wide = np.pad(weights, ((0, 0), (0, width - weights.shape[1])))
+                    out: tuple[list, list, list] = ([], [], [])
+                    for query_id, weight in zip(query_ids.tolist(), wide, strict=True):
+                        best = block.select(weight, query_id, k)
+                        out[0].append(np.full(len(best), query_id))
+                        out[1].append(block.ids[best])
+                        out[2].append(block.rows[best] @ weight)
+                    found = [pa.array(np.concatenate(c).astype(np.int64)) for c in out]
+                    yield pa.RecordBatch.from_arrays([*found, pa.array(np.zeros(len(found[0]), np.int32)), pa.nulls(len(found[0]), pa.string())], ["query_id", "vec_id", "score", "side", "key"])
+            pairs: list[tuple] = []
+            if wide_held:
+                block = WideBlock(np.array([i for i, _ in wide_held], np.int64), [v for _, v in wide_held])
+                for query_id, weight in zip(query_ids.tolist(), weights, strict=True):
+                    pairs += [(query_id, i, *_key(score)) for score, i in block.select(weight.tolist(), weight * 2.0**-20, query_id, k)]
+                for query_id, query in zip(wide_ids.tolist(), wide_queries, strict=True):
+                    pairs += [(query_id, i, *_key(score)) for score, i in block.select(query.whole(), query.floats, query_id, k)]
+            if len(ids) and len(wide_ids):
+                block = WideBlock(ids, rows)
+                for query_id, query in zip(wide_ids.tolist(), wide_queries, strict=True):
+                    pairs += [(query_id, i, *_key(score)) for score, i in block.select(query.whole(), query.floats, query_id, k)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*pairs, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["query_id", "vec_id", "score", "side", "key"])
 
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            held_ids.append(ids)
-            held_rows.append(_matrix(lists))
-            held += len(ids)
+            narrow, wide = batch.filter(pc.is_valid(batch.column(1))), batch.filter(pc.is_valid(batch.column(2)))
+            if narrow.num_rows:
+                held_ids.append(narrow.column(0).to_numpy())
+                held_rows.append(_matrix(narrow.column(1)))
+            wide_held += [(i, WideVector(v["scale"], v["x"])) for i, v in zip(wide.column(0).to_pylist(), wide.column(2).to_pylist(), strict=True)]
+            held += batch.num_rows
             if held >= BLOCK_ROWS:
                 yield from flush()
-                held_ids, held_rows, held = [], [], 0
+                held_ids, held_rows, wide_held, held = [], [], [], 0
         if held:
             yield from flush()
 
@@ -159,25 +248,31 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
     return out
 
 
-def search(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of every query; both sides as `quantise` gives them."""
+def search(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, text: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest inner products of every query; both sides as `quantise` gives them. `text`: scores as text."""
+    candidates = candidates.select("vec_id", "q", "wide")
     spark = candidates.sparkSession
     count = queries.count()
     blocks = max(1, -(-count // query_block))
     numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     found = None
     for b in range(blocks):
-        for piece in _pieces(numbered.where(F.col("block") == b).select("vec_id", "q"), query_block):
-            ids = np.array([r[0] for r in piece], np.int64)
-            weights = np.zeros((len(piece), max((len(r[1]) for r in piece), default=0)), np.int64)
-            for i, r in enumerate(piece):
+        for piece in _pieces(numbered.where(F.col("block") == b).select("vec_id", "q", "wide"), query_block):
+            narrow, wide = [r for r in piece if r[1] is not None], [r for r in piece if r[1] is None]
+            ids = np.array([r[0] for r in narrow], np.int64)
+            weights = np.zeros((len(narrow), max((len(r[1]) for r in narrow), default=0)), np.int64)
+            for i, r in enumerate(narrow):
                 weights[i, : len(r[1])] = r[1]
-            part = candidates.mapInArrow(_search(spark.sparkContext.broadcast((ids, weights)), k), RESULT)
+            sent = (ids, weights, np.array([r[0] for r in wide], np.int64), [WideVector(r[2]["scale"], r[2]["x"]) for r in wide])
+            part = candidates.mapInArrow(_search(spark.sparkContext.broadcast(sent), k), RESULT)
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = candidates.where("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = spark.createDataFrame([], RESULT)
+    best = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("key"), "vec_id")
+    digits = F.substring("key", 6, 1 << 20)
+    written = F.when(F.col("side") == 0, F.col("score").cast("string")).when(F.col("side") == 1, digits).otherwise(F.concat(F.lit("-"), F.translate(digits, "0123456789", "9876543210")))
+    score = written if text else F.when(F.col("side") == 0, F.col("score"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _pieces(rows: DataFrame, size: int) -> Iterator[list]:
