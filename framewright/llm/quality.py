@@ -6,17 +6,19 @@ segments of the labelled documents (each line carries its document's label) by t
 forward-backward passes. A document's quality is the mean of its lines' marginals for `good`, weighted by their bytes plus 1, and a
 logistic function fitted on the same sample turns it into the score.
 
-The model is fitted on a sample: at most `SAMPLE_DOCS` labelled documents, those with the smallest hashes of their ids, and at most
-`SAMPLE_LINES` of their lines, whole documents in that order. This is the only thing that the driver gathers. Scoring is one narrow pass over all
-whole texts. Labels, language, source and id are never features.
+The model is fitted on a sample: at most `SAMPLE_DOCS` labelled documents, those with the smallest hashes of their ids, but a tenth
+of that of each label where there are so many; and at most `SAMPLE_LINES` of their lines, in that order: a document that does not fit is skipped, one of over
+`DOC_LINES` lines gives so many in evenly spaced segments, and no label takes the last tenth of the lines from the other.
+This is the only thing that the driver gathers. Scoring is one narrow pass over all whole texts. Labels, language, source and id are never features.
 
 Defined cases. A null or empty text is one empty line and gets a score as any other. A null id is not held out and
 never trains. Repeated rows are scored one by one. Null labels are left out; of several labels of an id the smallest counts. With labels of
-one kind only, or none, every score is 1 and predicted 1. Empty tables: no rows. Other columns stay.
+one kind only, or none, every score is 1 and predicted 1; there is a warning if only the sampled documents lack a kind. Empty tables: no rows. Other columns stay.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 120_000
+DOC_LINES = 2048
 #: Lines of a training segment, steps of the optimiser, weight of the penalty.
 SEGMENT, STEPS, PENALTY = 32, 120, 1e-4
 #: Bytes of text that are looked at together (or one longer text).
@@ -217,13 +220,21 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _spaced(lines: int) -> np.ndarray:
+    """The lines of a document that train: all, or evenly spaced segments of DOC_LINES in all."""
+    if lines <= DOC_LINES:
+        return np.arange(lines)
+    starts = np.linspace(0, lines - SEGMENT, DOC_LINES // SEGMENT).astype(np.int64)
+    return np.unique(starts[:, None] + np.arange(SEGMENT))
+
+
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.as_py() or b"" for t in batch.column(2)]
         for a, b in _parts(texts):
             features, weights, per_text = line_features(texts[a:b])
             edges = np.concatenate([[0], np.cumsum(per_text)])
-            rows = [(features[s:e].tobytes(), weights[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(features[own].tobytes(), weights[own].tobytes()) for own in (s + _spaced(e - s) for s, e in zip(edges[:-1], edges[1:], strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["place", "label", "features", "weights"])
 
 
@@ -231,16 +242,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the labelled documents of the training folds."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__label"))
-    chosen = known.select("__id", "__label", F.xxhash64("__id").alias("__place")).orderBy("__place", "__id").limit(SAMPLE_DOCS)
+    placed = known.select("__id", "__label", F.xxhash64("__id").alias("__place"))
+    kinds = [placed.where(F.col("__label") == label).orderBy("__place", "__id").limit(SAMPLE_DOCS // 10).collect() for label in (0, 1)]
+    taken = {r["__id"]: r for kind in kinds for r in kind}
+    for r in placed.orderBy("__place", "__id").limit(SAMPLE_DOCS).collect():
+        if len(taken) < SAMPLE_DOCS:
+            taken.setdefault(r["__id"], r)
+    chosen = docs.sparkSession.createDataFrame(list(taken.values()), "__id long, __label int, __place long")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.encode(F.col(text_col), "utf-8").alias("__text")).join(F.broadcast(chosen), "__id")
     found = rows.select("__place", "__label", "__text").mapInArrow(_sample_features, "place long, label int, features binary, weights binary")
-    samples, lines = [], 0
+    samples, lines, spare = [], [0, 0], SAMPLE_LINES // 10
     for row in found.orderBy("place", "features").toLocalIterator():
         features = np.frombuffer(row["features"], np.float32).reshape(-1, FEATURES)
-        if samples and lines + len(features) > SAMPLE_LINES:
-            break
-        samples.append((row["label"], features, np.frombuffer(row["weights"], np.float64)))
-        lines += len(features)
+        kind = row["label"]
+        if sum(lines) + len(features) + max(0, spare - lines[1 - kind]) > SAMPLE_LINES:
+            continue
+        samples.append((kind, features, np.frombuffer(row["weights"], np.float64)))
+        lines[kind] += len(features)
+    if all(kinds) and not all(lines):
+        warnings.warn("there are labels of both kinds, but no sampled document of one: every document is accepted", stacklevel=2)
     return train(samples)
 
 

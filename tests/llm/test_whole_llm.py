@@ -4,8 +4,9 @@ import math
 from fractions import Fraction
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from framewright.llm import topk
+from framewright.llm import quality, topk
 
 
 def test_topk_keeps_large_vectors(spark):
@@ -25,3 +26,22 @@ def test_topk_keeps_large_vectors(spark):
     ready = topk.quantise(vectors)
     assert {tuple(r) for r in topk.search(ready, ready.where("vec_id % 100 = 0"), 10, 3, text=True).collect()} == exact
     assert {tuple(r) for r in topk.query(vectors).collect()} == longs
+
+
+def test_quality_sample_survives_a_very_long_document(spark):
+    good, bad = "A plain sentence of ordinary words, with an end.", "$$$ CLICK | HERE | NOW | 1234567 !!! $$$"
+    rows = [(i, "\n".join([good if i % 2 else bad] * 3)) for i in range(1, 60)]
+    first = spark.range(60, 2000).where(~quality.held_out("id")).orderBy(F.xxhash64("id")).first()["id"]
+    docs = spark.createDataFrame([*rows, (first, "\n".join([good] * 130_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, i % 2, 0) for i, _ in rows], (first, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = {r["doc_id"]: r["predicted"] for r in quality.query(docs, labels).collect()}
+    assert judged == {i: i % 2 for i, _ in rows} | {first: 1}
+
+
+def test_quality_sample_has_both_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 100)
+    docs = spark.createDataFrame([(i, "\n".join(["$$$ 123 | 456 | !!!" if i == 2998 else "plain words in a line"] * 10)) for i in range(2000, 3000)], "doc_id long, text string")
+    labels = docs.where(~quality.held_out("doc_id") | (F.col("doc_id") == 2998)).select("doc_id", (F.col("doc_id") != 2998).cast("int").alias("quality"))
+    assert labels.where(~quality.held_out("doc_id") & (F.col("doc_id") == 2998)).count() == 1
+    assert quality.fit(docs, labels) is not None
