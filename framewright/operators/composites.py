@@ -42,7 +42,8 @@ def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, in
     """Evolves curves (curve_id, video_id, frame_idx, i, x, y; `count` points each) toward low potential.
 
     `gradients` are gx, gy by pixel. Each round samples the forces, applies the step's matrix (count^2 rows, a literal table) and puts the
-    points back into the frame. Curves that move less than `tolerance` in all are done and leave the loop.
+    points back into the frame. Curves that move less than `tolerance` in all are done and leave the loop; `converged` is false for those that
+    have not come to rest after `rounds`.
     """
     spark = points.sparkSession
     table = F.broadcast(spark.createDataFrame(evolution_table(count, spacing, alpha, beta, gamma, closed), "i int, j int, w double"))
@@ -64,7 +65,8 @@ def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, in
         now = cut(after.join(still, "curve_id", "left_anti").drop("step"))
         if not now.take(1):
             break
-    return now if done is None else done.unionByName(now)
+    now = now.withColumn("converged", F.lit(False))
+    return now if done is None else done.withColumn("converged", F.lit(True)).unionByName(now)
 
 
 def centerlines(contours: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from framewright.operators import composites, shapes
 from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import rounded
 
-query("e32_outlines")(lambda s: composites.outlines(s.contours, 1.0))
+query("e32_outlines")(lambda s: composites.outlines(s.contours, 0.5))
 
 
 @query("e35_active_contours")
@@ -17,7 +17,7 @@ def e35(s: Views):
     start = s.frames8.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7))))
     points = start.select((F.col("video_id") * 100_000_000 + F.col("frame_idx")).alias("curve_id"), "video_id", "frame_idx", "i", F.col("i").cast("double").alias("x"), F.lit(3.5).alias("y"))
     slopes = shapes.gradients(s.pixels8, 8, 8, 1.0)
-    return rounded(composites.active_contours(points, slopes, (8, 8), 8, alpha=0.1, beta=1.0, gamma=0.002, rounds=5), "x", "y")
+    return rounded(composites.active_contours(points, slopes, (8, 8), 8, alpha=0.1, beta=1.0, gamma=0.002), "x", "y")
 
 
 query("e36_centerlines")(lambda s: composites.centerlines(s.contours))
