@@ -21,3 +21,4 @@ def e35(s: Views):
 
 
 query("e36_centerlines")(lambda s: composites.centerlines(s.contours))
+query("e36_centerlines_smooth")(lambda s: rounded(composites.smooth_centerlines(s.contours, 1.0, 2.0), "x", "y"))

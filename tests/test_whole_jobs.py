@@ -55,3 +55,12 @@ def test_composite_queries_use_the_full_settings(spark, sf, monkeypatch):
         registry.queries()[key](spark, sf)
     assert asked["resolution"] == 0.5
     assert asked.get("rounds", 50) == 50
+
+
+def test_smooth_centre_lines_are_registered_and_follow_a_bar(spark):
+    assert "e36_centerlines_smooth" in registry.queries()
+    corners = [(0, 0), (20, 0), (20, 4), (0, 4)]
+    bar = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(corners)], "poly_id long, i int, x int, y int")
+    line = composites.smooth_centerlines(bar, 1.0, 2.0).orderBy("i").collect()
+    assert len(line) > 15 and abs(line[-1]["x"] - line[0]["x"]) > 15
+    assert all(-0.5 <= r["x"] <= 20.5 and -0.5 <= r["y"] <= 4.5 for r in line)
