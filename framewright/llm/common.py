@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder, which spark.checkpoint.dir names.
 
-    Only where that setting is absent (a local session) a temporary folder takes its place.
+    Only in a local session without that setting a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -37,6 +41,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def private(*names: str) -> list[str]:
+    """Column names that no input has."""
+    token = uuid.uuid4().hex
+    return [f"{name}_{token}" for name in names]
+
+
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """`df` less the columns of these names, which new ones replace."""
+    taken = {n.lower() for n in names}
+    return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

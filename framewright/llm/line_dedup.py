@@ -12,7 +12,8 @@ any shuffle, so a line that a third of all documents hold is one row for each ta
 partitions (skew join).
 
 Defined cases. A null or empty text is one empty line. A null id counts as one document with the largest id. Rows with the same id are
-one document: they keep each other's lines, and each is cleaned by itself. An empty table gives an empty result. Any other columns stay.
+one document: they keep each other's lines, and each is cleaned by itself. An empty table gives an empty result. Any other columns of
+any name stay; only input columns that are called as the new ones are (`names`) give way to them.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import ascii_lower, drop_path, materialise, shared_dir
+from framewright.llm.common import ascii_lower, drop_path, private, shared_dir, without
 
 #: The bytes stripped at both ends of a line.
 SPACES = " \t\n\x0b\x0c\r"
 LAST_ID = 2**63 - 1
+NAMES = ("n_lines", "n_dropped", "kept_text")
 
 
 def line_hashes(line: Column, min_chars: int) -> Column:
@@ -91,31 +93,42 @@ class Runs:
                 self.spark.sql(f"drop table {name}")
 
 
-def dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns, and `n_lines`, `n_dropped`, `kept_text` (the lines that stay, joined by a line feed)."""
+def batches_of(docs: DataFrame, batches: int, id_col: str) -> Column:
+    """The number of the batch, of ascending ids and about as many documents, that an `owner` belongs to."""
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("owner"))
+    cuts = ids.agg(F.percentile_approx("owner", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    number = F.lit(0)
+    for cut in sorted(set(cuts)):
+        number = number + (F.col("owner") > cut).cast("int")
+    return number
+
+
+def dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """All columns, and those called `names`: lines, dropped lines, and the lines that stay, joined by a line feed."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    lines = materialise(lines_of(docs, min_chars, id_col, text_col), "lines")
-    cuts = lines.agg(F.percentile_approx("owner", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
+    docs = without(docs, names)
+    path = shared_dir(spark, "lines")
+    numbered = lines_of(docs, min_chars, id_col, text_col).withColumn("batch", batches_of(docs, batches, id_col))
+    numbered.write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema(numbered.schema).parquet(path)  # a batch is a folder of its own: each is read once
     runs = Runs(spark, fanout)
-    for low, high in zip(bounds, bounds[1:]):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("owner") > low)
-        if high is not None:
-            batch = batch.where(F.col("owner") <= high)
-        runs.add(batch.groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
-    owners = runs.owners().withColumnRenamed("owner", "first_owner")
-    runs.forget()
-    gone = lines.join(owners, ["h1", "h2"]).where("first_owner < owner").groupBy("owner", "text_hash").agg(F.collect_set("position").alias("gone"))
-    keys = gone.select(F.col("owner").alias("__owner"), F.col("text_hash").alias("__text_hash"), F.col("gone").alias("__gone"))
-    at = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == keys["__owner"]) & (F.xxhash64(docs[text_col]) == keys["__text_hash"])
-    joined = docs.join(keys, at, "left").withColumn("__lines", F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1))
-    gone_count = F.coalesce(F.size("__gone"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    return joined.select(*[docs[c] for c in docs.columns], F.size("__lines").cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(gone_count).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    try:
+        for number in range(batches):
+            runs.add(lines.where(F.col("batch") == number).groupBy("h1", "h2").agg(F.min("owner").alias("owner")))
+        owners = runs.owners().withColumnRenamed("owner", "first_owner")
+    finally:
+        runs.forget()
+    owner, text_hash, gone, split = private("owner", "text_hash", "gone", "lines")
+    late = lines.join(owners, ["h1", "h2"]).where("first_owner < owner")
+    keys = late.groupBy(F.col("owner").alias(owner), F.col("text_hash").alias(text_hash)).agg(F.collect_set("position").alias(gone))
+    at = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == keys[owner]) & (F.xxhash64(docs[text_col]) == keys[text_hash])
+    joined = docs.join(keys, at, "left").withColumn(split, F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    whole = F.coalesce(docs[text_col], F.lit(""))
+    kept = F.when(F.col(gone).isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n"))
+    dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    counts = [F.size(split).cast("long").alias(names[0]), dropped.alias(names[1]), kept.alias(names[2])]
+    return joined.select(*[docs[c] for c in docs.columns], *counts)
 
 
 def query(docs: DataFrame) -> DataFrame:
