@@ -13,7 +13,8 @@ This is the only thing that the driver gathers. Scoring is one narrow pass over
 
 Defined cases. A null or empty text is one empty line and gets a score as any other. A null id is not held out and
 never trains. Repeated rows are scored one by one. Null labels are left out; of several labels of an id the smallest counts. With labels of
-one kind only, or none, every score is 1 and predicted 1; there is a warning if only the sampled documents lack a kind. Empty tables: no rows. Other columns stay.
+one kind only, or none, every score is (n1 + 1) / (n + 2) for n1 labels 1 among n sampled documents; there is a warning if only the sampled
+documents lack a kind. Empty tables: no rows. Other columns of any name stay; only those called as the new ones are (`names`) give way to them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm.common import private, without
+
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 120_000
 DOC_LINES = 2048
@@ -127,8 +130,9 @@ def qualities(model: Model, features: np.ndarray, weights: np.ndarray, per_text:
     return np.add.reduceat(marginals * weights, heads) / np.add.reduceat(weights, heads)
 
 
-def _expectations(scores: np.ndarray, chain: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of `good` and expected label pairs of padded segments, by forward-backward in log space."""
+def _expectations(scores: np.ndarray, chain: np.ndarray, mask: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of `good`, expected label pairs (each segment's times its balance) and log partition functions of padded segments,
+    by forward-backward in log space."""
     n, length = scores.shape
     node = np.stack([np.zeros_like(scores), scores], axis=2)
     alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
@@ -146,14 +150,32 @@ def _expectations(scores: np.ndarray, chain: np.ndarray, mask: np.ndarray) -> tu
     inner = mask[:, 1:]
     for a in range(2):
         for b in range(2):
-            pairs[a, b] = (np.exp(alpha[:, :-1, a] + chain[a, b] + node[:, 1:, b] + beta[:, 1:, b] - log_z[:, None]) * inner).sum()
-    return good, pairs
-
-
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]]) -> Model | None:
-    """A model from (label, line features, line weights) of documents; None if there are not both labels."""
-    if len({label for label, _, _ in samples}) < 2:
-        return None
+            each = np.exp(alpha[:, :-1, a] + chain[a, b] + node[:, 1:, b] + beta[:, 1:, b] - log_z[:, None]) * inner
+            pairs[a, b] = balance @ each.sum(axis=1)
+    return good, pairs, log_z
+
+
+def likelihood(weights: np.ndarray, chain: np.ndarray, flat: np.ndarray, mask: np.ndarray, labels: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean log-likelihood of the segments, each times its balance, less the penalty; and its gradient (weights, then chain)."""
+    scores = np.zeros(mask.shape)
+    scores[mask] = flat @ weights
+    good, pairs, log_z = _expectations(scores, chain, mask, balance)
+    error = (labels[:, None] * mask - good) * balance[:, None]
+    steps = mask[:, 1:].sum(axis=1)
+    observed = np.diag([balance[labels == label] @ steps[labels == label] for label in (0, 1)])
+    held = labels * scores.sum(axis=1) + steps * chain[labels, labels] - log_z
+    beta = np.concatenate([weights, chain.reshape(-1)])
+    gradient = np.concatenate([error[mask] @ flat, (observed - pairs).reshape(-1)]) / len(labels) - PENALTY * beta
+    return float(balance @ held) / len(labels) - PENALTY / 2 * float(beta @ beta), gradient
+
+
+def train(samples: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
+    """A model from (label, line features, line weights) of documents. Without both labels it gives every text the rate of label 1
+    among n sampled documents, (n1 + 1) / (n + 2)."""
+    labels = [label for label, _, _ in samples]
+    if len(set(labels)) < 2:
+        rate = (sum(labels) + 1) / (len(labels) + 2)
+        return Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, float(np.log(rate / (1 - rate))))
     segments = [(label, f[i : i + SEGMENT]) for label, f, _ in samples for i in range(0, len(f), SEGMENT)]
     longest = max(len(f) for _, f in segments)
     mask = np.arange(longest) < np.array([len(f) for _, f in segments])[:, None]
@@ -164,20 +186,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]]) -> Model | None:
     weights, chain = np.zeros(FEATURES), np.zeros((2, 2))
     first, second = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
     for step in range(1, STEPS + 1):
-        scores = np.zeros(mask.shape)
-        scores[mask] = flat @ weights
-        gradient, error = np.zeros(FEATURES + 4), np.zeros(mask.shape)
-        for label in (0, 1):  # expectations of the pairs are needed by label, for the weights
-            rows = labels == label
-            good, pairs = _expectations(scores[rows], chain, mask[rows])
-            error[rows] = (label * mask[rows] - good) * balance[rows, None]
-            share = balance[rows].mean()
-            inner = mask[rows][:, 1:].sum()
-            observed = np.zeros((2, 2))
-            observed[label, label] = inner
-            gradient[FEATURES:] += ((observed - pairs) * share).reshape(-1)
-        gradient[:FEATURES] = error[mask] @ flat
-        gradient = gradient / len(segments) - PENALTY * np.concatenate([weights, chain.reshape(-1)])
+        _, gradient = likelihood(weights, chain, flat, mask, labels, balance)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -238,7 +247,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["place", "label", "features", "weights"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled documents of the training folds."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__label"))
@@ -260,29 +269,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         samples.append((kind, features, np.frombuffer(row["weights"], np.float64)))
         lines[kind] += len(features)
     if all(kinds) and not all(lines):
-        warnings.warn("there are labels of both kinds, but no sampled document of one: every document is accepted", stacklevel=2)
+        warnings.warn("there are labels of both kinds, but no sampled document of one: every document gets the same score", stacklevel=2)
     return train(samples)
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns, and `score` and `predicted`."""
-    kept = docs.select(*[docs[c] for c in docs.columns if c not in ("score", "predicted")])
+def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns, and those called `names`: the score, and 1 for scores of 0.5 or more."""
+    kept = without(docs, names)
+    at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(text_col)]
+            texts = [(t.as_py() or "").encode() for t in batch.column(at)]
             scores = np.ones(len(texts))
-            if model is not None:
-                for a, b in _parts(texts):
-                    scores[a:b] = model.score(qualities(model, *line_features(texts[a:b])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            for a, b in _parts(texts):
+                scores[a:b] = model.score(qualities(model, *line_features(texts[a:b])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
-    return score(docs, fit(docs, labels)).where("predicted = 1").select(*docs.columns)
+    names = private("score", "predicted")
+    return score(docs, fit(docs, labels), names=tuple(names)).where(F.col(names[1]) == 1).drop(*names)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
