@@ -5,8 +5,8 @@ each class goes on. `PERMUTATIONS` universal hash minima are its signature; band
 look at the buckets' members; each ends with the connected components (large-star and small-star in turn) of all links so far:
 
 1. Each member is paired with the leader (least member) of each of its buckets.
-2. Buckets whose members are in different components are open. Their members are dealt into blocks of about `BLOCK` documents by leader,
-   and block pairs that share an open bucket are compared on the full sets, inside a task, by bit matrices over the shingles that
+2. Buckets whose members are in different components are open. Their members are dealt into blocks of about `BLOCK` documents by leader
+   and grade of size, and block pairs that share an open bucket, and whose sizes allow links, are compared on the full sets, inside a task, by bit matrices over the shingles that
    both blocks have. Only links between components leave the task, one for each document and component.
 
 Pairs of round 1 are checked by size and signature, then confirmed on the full sets. After round 2 every two members of a bucket are
@@ -24,6 +24,7 @@ links of each of them. Empty table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ LEAST_SHARE = 0.55
 BROADCAST_IDS = 1_000_000
 #: Documents of a block in round 2.
 BLOCK = 256
+#: Shingles whose bits are laid out at once when two blocks are compared (a byte each for every document of a block).
+SLAB = 1 << 16
 LAST_ID = 2**63 - 1
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SIGNED = "owner long, known boolean, n long, c1 long, c2 long, sig array<int>"
@@ -176,14 +179,19 @@ def crossing_links(placed: DataFrame, verifier: Verifier, percent: int) -> DataF
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     open_rows = materialise(placed.join(mixed, "key", "left_semi").select("key", "rep", "least", "part").distinct(), "open")
     homes = open_rows.groupBy("rep").agg(F.min("least").alias("leader"), F.min("part").alias("part"))
-    sizes = homes.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    block = F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
-    homes = materialise(homes.join(sizes, "leader").select("rep", "part", block.alias("block")), "homes")
+    grade = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    homes = homes.join(verifier.reps.select("rep", "n"), "rep").withColumn("grade", grade)
+    sizes = homes.groupBy("leader", "grade").agg(F.count(F.lit(1)).alias("size"))
+    block = F.xxhash64("leader", "grade", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
+    homes = materialise(homes.join(sizes, ["leader", "grade"]).select("rep", "part", "n", block.alias("block")), "homes")
     sets = verifier.sets(homes.select(F.col("rep").alias("owner")))
     blocks = sets.join(homes, sets["owner"] == homes["rep"]).select("block", "rep", "part", "shingles").groupBy("block").applyInArrow(_block, "block long, blob binary")
     blocks = materialise(blocks, "blocks")
-    met = open_rows.join(homes.select("rep", "block"), "rep").select("key", "block").distinct()
-    pairs = met.select("key", F.col("block").alias("a")).join(met.select("key", F.col("block").alias("b")), "key").where("a <= b").select("a", "b").distinct()
+    spans = homes.groupBy("block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    met = open_rows.join(homes.select("rep", "block"), "rep").select("key", "block").distinct().join(spans, "block")
+    a, b = (met.select("key", F.col("block").alias(s), F.col("least_n").alias(f"least_{s}"), F.col("most_n").alias(f"most_{s}")) for s in "ab")
+    may = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+    pairs = a.join(b, "key").where((F.col("a") <= F.col("b")) & may).select("a", "b").distinct()
     both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("blob").alias("blob_a")), "a").join(blocks.select(F.col("block").alias("b"), F.col("blob").alias("blob_b")), "b")
     return materialise(both.select("blob_a", "blob_b").mapInArrow(_compare(percent), "u long, v long").distinct(), "more-links")
 
@@ -207,12 +215,18 @@ def _unblock(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _bit_rows(sizes: np.ndarray, shingles: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """A bit for each document and shared shingle, in 64-bit words."""
+    """A bit for each document and shared shingle, in 64-bit words; built for SLAB shingles at a time."""
     place = np.minimum(np.searchsorted(shared, shingles), len(shared) - 1)
     known = shared[place] == shingles
-    flags = np.zeros((len(sizes), -(-len(shared) // 64) * 64), np.uint8)
-    flags[np.repeat(np.arange(len(sizes)), sizes)[known], place[known]] = 1
-    return np.packbits(flags, axis=1).view(np.uint64)
+    row, place = np.repeat(np.arange(len(sizes)), sizes)[known], place[known]
+    out = np.zeros((len(sizes), -(-len(shared) // 64)), np.uint64)
+    for at in range(0, len(shared), SLAB):
+        inside = (place >= at) & (place < at + SLAB)
+        flags = np.zeros((len(sizes), -(-min(SLAB, len(shared) - at) // 64) * 64), np.uint8)
+        flags[row[inside], place[inside] - at] = 1
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        out[:, at // 64 : at // 64 + bits.shape[1]] = bits
+    return out
 
 
 def _compare(percent: int):
@@ -235,8 +249,8 @@ def _compare(percent: int):
 
 def dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept: one of each group, with their own columns."""
-    gone = link(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = link(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def query(docs: DataFrame) -> DataFrame:
