@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.common import materialise
+
 SCALE = 1024
 #: Narrow vectors: components below LIMIT and at most WIDTH of them, so that scores stay below 2^63.
 LIMIT = 1 << 25
@@ -264,7 +266,11 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block:
             for i, r in enumerate(narrow):
                 weights[i, : len(r[1])] = r[1]
             sent = (ids, weights, np.array([r[0] for r in wide], np.int64), [WideVector(r[2]["scale"], r[2]["x"]) for r in wide])
-            part = candidates.mapInArrow(_search(spark.sparkContext.broadcast(sent), k), RESULT)
+            held = spark.sparkContext.broadcast(sent)
+            part = candidates.mapInArrow(_search(held, k), RESULT)
+            if blocks > 1:  # one job a block: its results go to the shared folder, and its queries leave the executors and the driver
+                part = materialise(part, "search")
+                held.destroy()
             found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], RESULT)
