@@ -1,13 +1,14 @@
 """Operator 10: WARC archives, written, read back and merged into one ordered capture index.
 
-Writing: rows with equal payloads of at least `min_bytes` bytes form a group; the one with the smallest id becomes a `response`
-record, the others `revisit` records that refer to it and carry no payload. Every Spark task writes its own archive
-files (one gzip member a record) below the shared folder, and a new file beyond `FILE_BYTES`. File names carry the task
+Writing: rows with equal payloads (SHA-1, another 64-bit hash and size) of at least `min_bytes` bytes form a group; the one with the
+smallest id becomes a `response` record, the others `revisit` records that name its address and date and carry no payload. Every Spark
+task writes its own archive files (a `warcinfo` record first, one gzip member a record) below the shared folder, and a new file beyond `FILE_BYTES`. File names carry the task
 attempt, and only files that a successful attempt lists are read, so lost executors leave no doubles.
 
-Reading: each archive is streamed record by record; payload digests are checked. The captures of a file, sorted by
-(URL key, timestamp, id), are a run. The runs are range-partitioned by these three columns, and each partition merges
-its part of every run with a loser tree, which gives a globally ordered capture history. A hot host or URL is split,
+Reading: each archive is streamed record by record, as many archives at once as there are; payload digests are checked. The captures of
+a file, sorted by (URL key, timestamp, id), are a run. The runs are range-partitioned by these three columns into parts of about
+`rows_per_partition` rows; Spark brings the rows of a run together again in their order, spilling if it must, and each part merges
+its pieces of all runs with a loser tree, a cursor on each, which gives a globally ordered capture history. A hot host or URL is split,
 because timestamp and id are part of the range.
 
 Defined cases. A null html is an empty payload; a null url has no target URI and the key ''. A null id ranks after every other
@@ -19,13 +20,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -53,34 +54,63 @@ def url_key(url: str | None) -> str:
     return f"{host}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "") if host else (url or "")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
+def record_id(file: str, number: int) -> str:
+    """The id of a file's record: file names are unique."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{file} {number}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+def captured(page_id: int | None) -> str:
+    return (EPOCH + timedelta(seconds=(page_id or 0) % SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def address(url: str) -> str:
+    return quote(url, safe="".join(chr(c) for c in range(33, 127)))
+
+
+def packed(content: bytes) -> bytes:
+    """One gzip member."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(content) + packer.flush()
+
+
+def info(file: str) -> bytes:
+    """The record that opens an archive."""
+    fields = b"format: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(file, 0)}", f"WARC-Date: {captured(0)}", f"WARC-Filename: {file}"]
+    lines += ["Content-Type: application/warc-fields", f"Content-Length: {len(fields)}", "", ""]
+    return "\r\n".join(lines).encode() + fields + b"\r\n\r\n"
+
+
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     """One WARC record; `payload` is empty for a revisit, `size` and `digest` are those of the full payload."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
-    date = (EPOCH + timedelta(seconds=(page_id or 0) % SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {captured(page_id)}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe="".join(chr(c) for c in range(33, 127))))
+        lines.append("WARC-Target-URI: " + address(url))
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if page_id is not None:
         lines.append(f"Page-ID: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {captured(refers_to)}", f"Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + address(refers_url))
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}", "", ""]
     return "\r\n".join(lines).encode() + http + b"\r\n\r\n"
 
 
 def classify(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, payload, digest (SHA-1 hex) and refers_to (null for a response)."""
+    """page_id, url, payload, digest (SHA-1 hex), and refers_to and refers_url (null for a response)."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null").select("digest", "first_id")
-    return rows.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    keys = ["digest", "more", "size"]
+    rows = rows.select("*", F.sha1("payload").alias("digest"), F.xxhash64("payload").alias("more"), F.octet_length("payload").alias("size"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    groups = rows.where(F.col("size") >= min_bytes).groupBy(keys).agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
+    groups = groups.where("copies > 1 and first is not null").select(*keys, F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    revisit = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    refers = [F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url")]
+    return rows.join(groups, keys, "left").select("page_id", "url", "payload", "digest", *refers)
 
 
 def _writer(folder: str):
@@ -97,13 +127,14 @@ def _writer(folder: str):
                     names.append(f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.gz")
                     counts.append(0)
                     out, written = files.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
+                    out.write(packed(info(names[-1])))
+                counts[-1] += 1
                 digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
                 kept = b"" if row["refers_to"] is not None else row["payload"]
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = packer.compress(record(row["page_id"], row["url"], kept, len(row["payload"]), digest, row["refers_to"])) + packer.flush()
+                name = record_id(names[-1], counts[-1])
+                member = packed(record(name, row["page_id"], row["url"], kept, len(row["payload"]), digest, row["refers_to"], row["refers_url"]))
                 out.write(member)
                 written += len(member)
-                counts[-1] += 1
         if out is not None:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["file", "records"])
@@ -143,7 +174,8 @@ def parse(content: bytes) -> dict:
     headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = block[: int(headers["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    return {"headers": headers, "http": dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), "payload": payload}
+    http_headers = [line.split(": ", 1) for line in http.decode().split("\r\n")[1:]] if headers["Content-Type"].startswith("application/http") else []
+    return {"headers": headers, "http": dict(http_headers), "payload": payload}
 
 
 def _reader(folder: str):
@@ -156,6 +188,8 @@ def _reader(folder: str):
                 with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for at, content in members(stream):
                         r = parse(content)
+                        if r["headers"]["WARC-Type"] == "warcinfo":
+                            continue
                         h, size, kind = r["headers"], int(r["http"]["Content-Length"]), r["headers"]["WARC-Type"]
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                         if kind == "response" and (len(r["payload"]) != size or base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest):
@@ -182,8 +216,7 @@ def schema_of(ddl: str) -> pa.Schema:
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the listed archives; the rows of a file are one locally sorted run."""
-    slots = F.pmod(F.xxhash64("file"), F.lit(1 << 20))
-    return manifest.repartition(slots).mapInArrow(_reader(folder), CAPTURE)
+    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(_reader(folder), CAPTURE)
 
 
 class LoserTree:
@@ -220,15 +253,17 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the runs of one range partition."""
-    runs: dict[str, list[tuple]] = {}
+    """Merges the runs of one range partition, which come one after another, each in order."""
+    runs: dict[str, list[pa.RecordBatch]] = {}
     names = [f.name for f in schema_of(CAPTURE)]
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-            runs.setdefault(row[3], []).append(row)
-    tree = LoserTree([iter(rows if all(capture_order(a) <= capture_order(b) for a, b in zip(rows, rows[1:])) else heapq.nsmallest(len(rows), rows, key=capture_order)) for _, rows in sorted(runs.items())])
+        piece = batch.select(names)
+        codes = piece.column("run").dictionary_encode()
+        edges = np.flatnonzero(np.diff(codes.indices.to_numpy(), prepend=-1, append=-1)).tolist()
+        for a, b in zip(edges, edges[1:]):
+            runs.setdefault(codes.dictionary[codes.indices[a].as_py()].as_py(), []).append(piece.slice(a, b - a))
     out: list[tuple] = []
-    for row in tree:
+    for row in LoserTree([_cursor(pieces) for _, pieces in sorted(runs.items())]):
         out.append(row)
         if len(out) == 50_000:
             yield _batch(out, names)
@@ -237,6 +272,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, names)
 
 
+def _cursor(pieces: list[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple]:
+    """The rows of a run, a few at a time."""
+    for piece in pieces:
+        for at in range(0, piece.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in piece.slice(at, rows).columns), strict=True)
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema_of(CAPTURE), strict=True)], names)
 
@@ -245,7 +287,8 @@ def merge_index(captures: DataFrame, rows_per_partition: int = 500_000) -> DataF
     """The capture history in global order: partition after partition, row after row."""
     runs = materialise(captures, "warc-runs")
     parts = max(1, -(-runs.count() // rows_per_partition))
-    return runs.repartitionByRange(parts, "url_key", "captured_at", F.col("page_id").asc_nulls_first()).mapInArrow(_merge, CAPTURE)
+    order = ["url_key", "captured_at", F.col("page_id").asc_nulls_first()]
+    return runs.repartitionByRange(parts, *order).sortWithinPartitions("run", *order, "at").mapInArrow(_merge, CAPTURE)
 
 
 def query(pages: DataFrame) -> DataFrame:
