@@ -1,9 +1,10 @@
 """Operator 4: benchmark decontamination by suffix arrays of the training text.
 
 Every task builds word-level suffix arrays over shards of its documents (texts of one Arrow batch, at most `SHARD_WORDS` words unless a
-single document is longer) and binary-searches every suffix of every benchmark item in each shard. A search gives the longest
-verbatim match of the suffix and, where a whole window matches, the range of the array that holds all its
-locations. Locations mark document words as hit; documents with enough hit words are contaminated. Nothing is shuffled.
+single document is longer) and binary-searches every suffix of every benchmark item in each shard. A search gives the longest match of the suffix up to a window
+and, where a whole window matches, the range of the array that holds all its locations. A verbatim match longer than a window is
+a run of windows, joined again for the whole length. Locations mark document words as hit; documents with enough hit words are
+contaminated. Nothing is shuffled.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Words are compared by their
 number in the benchmark's vocabulary, so equality is exact; words that the benchmark lacks match nothing.
@@ -13,7 +14,7 @@ grow with it: each further block is one more narrow pass over the rows, which ca
 
 Defined cases. Null or empty texts have no words and are not contaminated. Item ids may repeat (each id is listed once); items with a null
 id count for hits but are not listed. Repeated or null document ids: rows are judged one by one. Empty tables
-give empty results or no hits. Other columns of any name stay as they are.
+give empty results or no hits. Other columns of any name stay; only those called as the new ones are (`names`) give way to them.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.llm.common import private, without
+
 #: Fixed value: the words of the contract, after lower-casing A-Z.
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 TO_LOWER = {c: c + 32 for c in range(65, 91)}
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1 << 19
+NAMES = ("n_words", "n_hit", "hit_spans", "items", "longest")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,14 +72,12 @@ class SuffixArray:
     def __init__(self, words: np.ndarray, depth: int):
         self.depth = depth
         self.words = np.concatenate([words, np.zeros(depth, np.int64)])
-        rank, reach, n = self.words[: len(words)], 1, len(words)
-        while reach < depth and n:  # prefix doubling: rank by 1, 2, 4, ... words
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(0, n - reach)] = rank[reach:]
-            rank = np.unique((rank << 32) | ahead, return_inverse=True)[1].astype(np.int64) + 1
+        starts, rank, reach = np.flatnonzero(words), self.words.copy(), 1
+        while reach < depth and len(starts):  # prefix doubling: rank by 1, 2, 4, ... words; what matches nothing keeps rank 0
+            ahead = rank[np.minimum(starts + reach, len(rank) - 1)]
+            rank[starts] = np.unique((rank[starts] << 32) | ahead, return_inverse=True)[1] + 1
             reach *= 2
-        starts = np.flatnonzero(words)
-        self.order = starts[np.argsort(rank[starts], kind="stable")] if n else starts
+        self.order = starts[np.argsort(rank[starts], kind="stable")]
 
     def compare(self, places: np.ndarray, wanted: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """-1, 0 or 1 for the suffixes at `places` of the array against the wanted words, and the words in common."""
@@ -110,7 +112,10 @@ class SuffixArray:
 
 
 def match_shard(texts: list[list[str]], block: Block) -> list[tuple[np.ndarray, set[int], int]]:
-    """For each document of a shard: hit words, the items whose windows occur, and the longest verbatim match in words."""
+    """For each document of a shard: hit words, the items whose windows occur, and the longest verbatim match in words.
+
+    A match longer than a window is a run of windows: the same shift between the benchmark's words and the shard's, one word on each time.
+    """
     window, lookup = block.window, block.vocabulary.get
     ends = np.cumsum([0] + [len(t) + 1 for t in texts])
     row = np.zeros(int(ends[-1]), np.int64)
@@ -127,18 +132,23 @@ def match_shard(texts: list[list[str]], block: Block) -> list[tuple[np.ndarray,
     found = np.flatnonzero((block.lengths > 0) & (longest >= block.lengths))
     if found.size:
         first = array.bound(block.suffixes[found], block.lengths[found], False)
-        last = array.bound(block.suffixes[found], block.lengths[found], True)
-        for f, a, b in zip(found.tolist(), first.tolist(), last.tolist(), strict=True):
-            at = array.order[a:b]
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + block.lengths[f], -1)
-            for d in np.unique(np.searchsorted(ends, at, "right") - 1).tolist():
-                hit, items, most = out[d]
-                items.add(int(block.owners[f]))
-                out[d] = (hit, items, max(most, int(longest[f])))
+        counts = array.bound(block.suffixes[found], block.lengths[found], True) - first
+        suffix = np.repeat(found, counts)
+        at = array.order[np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)]
+        size, origin, document = block.lengths[suffix], block.starts[suffix], np.searchsorted(ends, at, "right") - 1
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + size, -1)
+        order = np.lexsort((at, at - origin))
+        begins = np.ones(len(order), bool)
+        begins[1:] = (np.diff(at[order]) != 1) | (np.diff((at - origin)[order]) != 0)
+        runs = np.cumsum(begins) - 1
+        most = np.zeros(len(texts), np.int64)
+        np.maximum.at(most, document[order], (size[order] + np.arange(len(order)) - np.flatnonzero(begins)[runs]))
         covered = np.cumsum(marks[:-1]) > 0
+        for pair in np.unique(document * len(block.names) + block.owners[suffix]).tolist():
+            out[pair // len(block.names)][1].add(pair % len(block.names))
         for i in range(len(texts)):
-            out[i] = (covered[ends[i] : ends[i + 1] - 1], out[i][1], out[i][2])
+            out[i] = (covered[ends[i] : ends[i + 1] - 1], out[i][1], int(most[i]))
     return out
 
 
@@ -150,8 +160,8 @@ def _spans(hit: np.ndarray) -> list[int]:
 _blocks: dict[str, Block] = {}
 
 
-def _matcher(key: str, items, window: int, text_col: str, first: bool):
-    """Adds the hits of one block to the columns __n_words, __spans, __items, __longest."""
+def _matcher(key: str, items, window: int, text_at: int, first: bool, added: list[str]):
+    """Adds the hits of one block to the last columns, `added`: words, spans, items and longest match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _blocks:
@@ -159,7 +169,7 @@ def _matcher(key: str, items, window: int, text_col: str, first: bool):
             _blocks[key] = Block(items.value, window)
         block = _blocks[key]
         for batch in batches:
-            column = batch.column(text_col)
+            column = batch.column(text_at)
             found, shard, held = [], [], 0
             for i in range(batch.num_rows):
                 shard.append(words_of(column[i].as_py()))
@@ -167,13 +177,14 @@ def _matcher(key: str, items, window: int, text_col: str, first: bool):
                 if held >= SHARD_WORDS or i == batch.num_rows - 1:
                     found += [(len(w), _spans(hit), sorted(n for j in own if (n := block.names[j]) is not None), most) for w, (hit, own, most) in zip(shard, match_shard(shard, block), strict=True)]
                     shard, held = [], 0
-            old = None if first else list(zip(*(batch.column(c).to_pylist() for c in ("__spans", "__items", "__longest")), strict=True))
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if not name.startswith("__")]
-            names = [name for name in batch.schema.names if not name.startswith("__")]
-            if old is not None:
+            kept = batch.num_columns - (0 if first else len(added))
+            if not first:
+                old = zip(*(c.to_pylist() for c in batch.columns[kept + 1 :]), strict=True)
                 found = [(n, _union(s, s0), sorted({*own, *own0}), max(m, m0)) for (n, s, own, m), (s0, own0, m0) in zip(found, old, strict=True)]
             counts, spans, ids, most = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64())), pa.array(most, pa.int64())], [*names, "__n_words", "__spans", "__items", "__longest"])
+            numbers = pa.list_(pa.int64())
+            new = [pa.array(counts, pa.int64()), pa.array(spans, numbers), pa.array(ids, numbers), pa.array(most, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *new], [*batch.schema.names[:kept], *added])
 
     return run
 
@@ -202,29 +213,31 @@ def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_by
     yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns and n_words, n_hit, hit_spans (starts and ends of the runs of hit words, in turn), items (ids), longest (words, at most `window`)."""
-    spark = docs.sparkSession
-    added = ["n_words", "n_hit", "hit_spans", "items", "longest"]
-    kept = docs.select(*[docs[c] for c in docs.columns if c not in added])
-    numbers = T.ArrayType(T.LongType())
-    out, schema = kept, T.StructType([*kept.schema, T.StructField("__n_words", T.LongType()), T.StructField("__spans", numbers), T.StructField("__items", numbers), T.StructField("__longest", T.LongType())])
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """All columns and those called `names`: number of words, of hit words, spans (starts and ends of the runs of hit words, in turn),
+    ids of the items, and the words of the longest verbatim match that holds a window (0 without one)."""
+    spark, kept = docs.sparkSession, without(docs, names)
+    numbers, added = T.ArrayType(T.LongType()), private("n_words", "spans", "items", "longest")
+    kinds = (T.LongType(), numbers, numbers, T.LongType())
+    out, schema = kept, T.StructType([*kept.schema, *(T.StructField(name, kind) for name, kind in zip(added, kinds, strict=True))])
     for i, items in enumerate(_benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)):
         key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-        out = out.mapInArrow(_matcher(key, spark.sparkContext.broadcast(items), window, text_col, i == 0), schema)
-    hits = F.aggregate(F.sequence(F.lit(0), F.size("__spans") - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.get("__spans", i)).otherwise(-F.get("__spans", i)))
-    n_hit = F.when(F.size("__spans") > 0, hits).otherwise(0).cast("long")
-    return out.select(*kept.columns, F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.col("__spans").alias("hit_spans"), F.col("__items").alias("items"), F.col("__longest").alias("longest"))
+        out = out.mapInArrow(_matcher(key, spark.sparkContext.broadcast(items), window, kept.columns.index(text_col), i == 0, added), schema)
+    n_words, spans, items, longest = (F.col(name) for name in added)
+    hits = F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.get(spans, i)).otherwise(-F.get(spans, i)))
+    n_hit = F.when(F.size(spans) > 0, hits).otherwise(0).cast("long")
+    return out.select(*[out[c] for c in kept.columns], *(c.alias(n) for c, n in zip((n_words, n_hit, spans, items, longest), names, strict=True)))
 
 
-def contaminated(parts: int = 20):
+def contaminated(parts: int = 20, n_words: str = "n_words", n_hit: str = "n_hit"):
     """The contract's rule: some hit, and hits are at least a `parts`th of the words."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") * parts >= F.col("n_words"))
+    return (F.col(n_hit) > 0) & (F.col(n_hit) * parts >= F.col(n_words))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13, parts: int = 20) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return find(docs, benchmark, window).where(~contaminated(parts)).select(*docs.columns)
+    names = private(*NAMES)
+    return find(docs, benchmark, window, names=tuple(names)).where(~contaminated(parts, names[0], names[1])).drop(*names)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
