@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import bpe, decontaminate, line_dedup, near_dups, quality
-from framewright.llm.common import materialise, table
+from framewright.llm.common import materialise, private, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds; `n_chars` follows the text."""
-    cleaned = line_dedup.dedup(docs)
-    named = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return cleaned.select(*[named.get(c, F.col(c)).alias(c) for c in docs.columns])
+    names = private(*line_dedup.NAMES)
+    cleaned = line_dedup.dedup(docs, names=tuple(names))
+    new = {"text": F.col(names[2])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length(names[2]).cast(docs.schema["n_chars"].dataType)
+    return cleaned.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
