@@ -30,24 +30,31 @@ def prepare(pixels: DataFrame, size: tuple[int, int], period: int, zoom: int) ->
     return to_color(small.withColumn("v", F.floor(F.col("v") + 1e-9).cast("int")))
 
 
-def highlight(pixels: DataFrame, mask: DataFrame, strength: int) -> DataFrame:
-    """Lifts masked pixels to strength..255."""
-    marked = pixels.join(mask.select(*PIXEL).withColumn("m", F.lit(True)), PIXEL, "left")
-    lifted = (F.lit(255 - strength) + F.lit(strength) * F.col("v") / 255).cast("int")
-    return marked.withColumn("v", F.when(F.col("m"), lifted).otherwise(F.col("v"))).drop("m")
+def highlight(pixels: DataFrame, mask: DataFrame, strength: int, channel: int | None = None) -> DataFrame:
+    """Lifts masked pixels to strength..255: strength + (255 - strength) / 255 * v, cut; all channels or one."""
+    marked = pixels.join(mask.select(*PIXEL).distinct().withColumn("m", F.lit(True)), PIXEL, "left")
+    lifted = (F.lit(strength) + F.lit(255 - strength) * F.col("v") / 255).cast("int")
+    chosen = F.col("m") if channel is None else F.col("m") & (F.col("c") == channel)
+    return marked.withColumn("v", F.when(chosen, lifted).otherwise(F.col("v"))).drop("m")
+
+
+def unmatched(pixels: DataFrame, image: DataFrame) -> DataFrame:
+    """Keys of pixels that only one of two images has: none if their sizes are equal."""
+    keys = [c for c in pixels.columns if c != "v"]
+    return pixels.select(*keys).join(image, keys, "left_anti").unionByName(image.select(*keys).join(pixels, keys, "left_anti"))
 
 
 def add(pixels: DataFrame, image: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """Saturating sum with an image (same keys), optionally within a mask."""
-    both = pixels.join(image.withColumnRenamed("v", "w"), [c for c in pixels.columns if c != "v"])
+    """Saturating sum with an image (same keys; pixels that it lacks stay), optionally within a mask."""
+    both = pixels.join(image.withColumnRenamed("v", "w"), [c for c in pixels.columns if c != "v"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
     if mask is not None:
         both = both.join(mask.select(*PIXEL).withColumn("m", F.lit(True)), PIXEL, "left").withColumn("w", F.when(F.col("m"), F.col("w")).otherwise(0)).drop("m")
     return both.withColumn("v", F.least(F.lit(255), F.col("v") + F.col("w"))).drop("w")
 
 
 def blend(pixels: DataFrame, image: DataFrame, weight: float, mask: DataFrame | None = None) -> DataFrame:
-    """(1 - weight) * v + weight * image, rounded half up."""
-    both = pixels.join(image.withColumnRenamed("v", "w"), [c for c in pixels.columns if c != "v"])
+    """(1 - weight) * v + weight * image, rounded half up; pixels that the image lacks stay."""
+    both = pixels.join(image.withColumnRenamed("v", "w"), [c for c in pixels.columns if c != "v"], "left").withColumn("w", F.coalesce("w", "v"))
     mixed = F.floor((1 - weight) * F.col("v") + weight * F.col("w") + 0.5).cast("int")
     if mask is not None:
         both = both.join(mask.select(*PIXEL).withColumn("m", F.lit(True)), PIXEL, "left")

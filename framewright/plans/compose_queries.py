@@ -8,8 +8,10 @@ from framewright.operators import compose, frames, regions
 from framewright.plans.base import Views, query
 
 query("g1_prepare", "select video_id, frame_idx, cast(y // 2 as int) as y, cast(x // 2 as int) as x, cast(floor(avg(v) + 1e-9) as int) as v, c from pixels8, (values (0), (1), (2)) t(c) where frame_idx % 10 = 0 group by 1, 2, 3, 4, c", "pixels8")(lambda s: compose.prepare(s.pixels8, (8, 8), 10, 2))
-query("g2_highlight", "select video_id, frame_idx, y, x, case when v >= 140 then cast(trunc(127 + 128 * v / 255.0::double) as int) else v end as v from pixels8", "pixels8")(lambda s: compose.highlight(s.pixels8, s.mask8, 128))
+query("g2_highlight", "select video_id, frame_idx, y, x, case when v >= 140 then cast(trunc(128 + 127 * v / 255.0::double) as int) else v end as v from pixels8", "pixels8")(lambda s: compose.highlight(s.pixels8, s.mask8, 128))
 query("g3_add", "select video_id, frame_idx, y, x, least(255, v + case when v >= 140 then 255 - v else 0 end) as v from pixels8", "pixels8")(lambda s: compose.add(s.pixels8, frames.map_values(s.pixels8, lambda v: 255 - v), s.mask8))
+query("g2_highlight_channel", "select video_id, frame_idx, y, x, c, case when c = 1 and (v + 256 - 85) % 256 >= 140 then cast(trunc(100 + 155 * v / 255.0::double) as int) else v end as v from color8", "color8")(lambda s: compose.highlight(s.color8, s.mask8, 100, 1))
+query("g3_unmatched", "select video_id, frame_idx, y, x from pixels8 where x = 7", "pixels8")(lambda s: compose.unmatched(s.pixels8, frames.crop(s.pixels8, 0, 0, 7, 8)))
 query("g4_blend", "select video_id, frame_idx, y, x, cast(floor(0.5 * v + 0.5 * ((v * 7) % 256) + 0.5) as int) as v from pixels8", "pixels8")(lambda s: compose.blend(s.pixels8, frames.map_values(s.pixels8, lambda v: v * 7 % 256), 0.5))
 
 
