@@ -57,7 +57,7 @@ def ends(points: DataFrame) -> DataFrame:
 def merge_pairs(points: DataFrame, pairs: DataFrame, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """Joins curves c1, c2 of each row of `pairs` (pair_id, c1, c2) end to end, both copies of the joint kept; and the pairs that do not touch.
 
-    The orientations are tried in a fixed order: c1 end - c2 start, c1 end - c2 end, c1 start - c2 start, c1 start - c2 end.
+    The orientations are tried in a fixed order: c1 end - c2 start, c1 start - c2 start (c1 turned), c1 start - c2 end (both turned), c1 end - c2 end (c2 turned).
     """
     e = ends(points)
     a, b = (e.select(*[F.col(c).alias(f"{p}{c}") for c in e.columns]) for p in "ab")
@@ -66,11 +66,13 @@ def merge_pairs(points: DataFrame, pairs: DataFrame, tolerance: float = 1e-9) ->
     def touch(p: str, q: str) -> Column:
         return (F.abs(F.col(f"ax{p}") - F.col(f"bx{q}")) <= tolerance) & (F.abs(F.col(f"ay{p}") - F.col(f"by{q}")) <= tolerance)
 
-    how = F.when(touch("1", "0"), 0).when(touch("1", "1"), 1).when(touch("0", "0"), 2).when(touch("0", "1"), 3)
+    how = F.when(touch("1", "0"), 0).when(touch("0", "0"), 1).when(touch("0", "1"), 2).when(touch("1", "1"), 3)
     known = known.select("pair_id", "c1", "c2", how.alias("how"), F.col("an").alias("n1"), F.col("bn").alias("n2"))
     fit = known.where("how is not null")
-    one = fit.join(points, fit["c1"] == points["curve_id"]).select("pair_id", F.when(F.col("how") >= 2, F.when(F.col("how") == 2, F.col("n1") - 1 - F.col("i")).otherwise(F.col("n2") + F.col("i"))).otherwise(F.col("i")).alias("i"), "x", "y")
-    two = fit.join(points, fit["c2"] == points["curve_id"]).select("pair_id", F.when(F.col("how") == 3, F.col("i")).when(F.col("how") == 1, F.col("n1") + F.col("n2") - 1 - F.col("i")).otherwise(F.col("n1") + F.col("i")).alias("i"), "x", "y")
+    at1 = F.when(F.col("how").isin(1, 2), F.col("n1") - 1 - F.col("i")).otherwise(F.col("i"))
+    at2 = F.col("n1") + F.when(F.col("how").isin(2, 3), F.col("n2") - 1 - F.col("i")).otherwise(F.col("i"))
+    one = fit.join(points, fit["c1"] == points["curve_id"]).select("pair_id", at1.alias("i"), "x", "y")
+    two = fit.join(points, fit["c2"] == points["curve_id"]).select("pair_id", at2.alias("i"), "x", "y")
     return one.unionByName(two), known.where("how is null").select("pair_id", "c1", "c2")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.operators import curves
@@ -30,6 +31,25 @@ def e5(s: Views):
     return curves.merge_pairs(head.unionByName(tail), pairs)[0].withColumn("i", F.col("i").cast("int"))
 
 
+#: The first ten points of a track and the rest, either of them turned: the joint is at the ends that the orientation names.
+TURNED = {"start_start": (True, False), "start_end": (True, True), "end_end": (False, True)}
+
+
+def split_tracks(s: Views, turn1: bool, turn2: bool):
+    """Curves 2 * id (points 0 to 9) and 2 * id + 1 (from 9 on), turned as asked, and the pairs."""
+    last = F.max("i").over(Window.partitionBy("curve_id"))
+    t = s.tracks.withColumn("last", last)
+    head = t.where("i < 10 and last >= 9").select((F.col("curve_id") * 2).alias("curve_id"), (9 - F.col("i") if turn1 else F.col("i")).alias("i"), "x", "y")
+    tail = t.where("i >= 9").select((F.col("curve_id") * 2 + 1).alias("curve_id"), (F.col("last") - F.col("i") if turn2 else F.col("i") - 9).alias("i"), "x", "y")
+    pairs = s.tracks.where("i = 9").select(F.col("curve_id").alias("pair_id"), (F.col("curve_id") * 2).alias("c1"), (F.col("curve_id") * 2 + 1).alias("c2"))
+    return head.unionByName(tail), pairs
+
+
+for name, turns in TURNED.items():
+    # whatever way the parts are turned, merging at the named joint gives the track back, with the joint twice
+    query(f"e5_merge_{name}", "select curve_id as pair_id, i + k as i, x, y from (select *, max(i) over (partition by curve_id) as last from tracks), (values (0), (1)) t(k) where last >= 9 and (k = 0 and i <= 9 or k = 1 and i >= 9)", "tracks")(lambda s, t=turns: curves.merge_pairs(*split_tracks(s, *t))[0].withColumn("i", F.col("i").cast("int")))
+
+
 MEASURED = f"{SEG}, m0 as (select *, coalesce(sum(length) over (partition by curve_id order by i rows between unbounded preceding and 1 preceding), 0) as s, sum(length) over (partition by curve_id) as total from seg where length > 0), m as (select *, i = max(i) over (partition by curve_id) as final from m0)"
 LERP = "round(x + least(1, greatest(0, (k * h - s) / length)) * (x2 - x), 4) as x, round(y + least(1, greatest(0, (k * h - s) / length)) * (y2 - y), 4) as y"
 

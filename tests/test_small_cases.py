@@ -111,7 +111,7 @@ def test_circle_through_three_points(spark):
 
 def test_merge_orientations(spark):
     a = [(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0)]
-    for b, expected in (([(1, 0), (2, 0)], [0, 1, 1, 2]), ([(2, 0), (1, 0)], [0, 1, 1, 2]), ([(0, 0), (-1, 0)], [1, 0, 0, -1]), ([(-1, 0), (0, 0)], [-1, 0, 0, 1])):
+    for b, expected in (([(1, 0), (2, 0)], [0, 1, 1, 2]), ([(2, 0), (1, 0)], [0, 1, 1, 2]), ([(0, 0), (-1, 0)], [1, 0, 0, -1]), ([(-1, 0), (0, 0)], [1, 0, 0, -1]), ([(0, 0), (1, 0)], [1, 0, 0, 1])):
         points = spark.createDataFrame(a + [(2, i, float(x), float(y)) for i, (x, y) in enumerate(b)], "curve_id long, i int, x double, y double")
         merged, apart = curves.merge_pairs(points, spark.createDataFrame([(9, 1, 2)], "pair_id long, c1 long, c2 long"))
         assert [r["x"] for r in merged.orderBy("i").collect()] == expected and apart.count() == 0
