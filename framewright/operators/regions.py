@@ -61,9 +61,11 @@ def thin(mask: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def peaks(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Pixels that equal the maximum of their 3x3 neighbourhood, plateaus included, but not inside a zero background."""
-    around = kernels.spread(pixels, kernels.box(1)).where(kernels.inside(height, width)).groupBy(*PIXEL).agg(F.max("v").alias("most"), F.max(F.when((F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x")), F.col("v"))).alias("v"))
-    return around.where("v = most and most > 0").select(*PIXEL)
+    """Pixels that equal the maximum of their 3x3 neighbourhood, plateaus included, but not inside a zero background (all zero around)."""
+    own = F.max(F.when((F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x")), F.col("v")))
+    near = kernels.spread(pixels, kernels.box(1)).where(kernels.inside(height, width))
+    around = near.groupBy(*PIXEL).agg(F.max("v").alias("most"), F.min("v").alias("least"), own.alias("v"))
+    return around.where("v = most and not (most = 0 and least = 0)").select(*PIXEL)
 
 
 def strict_peaks(pixels: DataFrame, height: int, width: int) -> DataFrame:

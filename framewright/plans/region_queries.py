@@ -32,8 +32,9 @@ CROSS_SQL = offsets_sql(regions.CROSS)
 query("d6_dilate", f"select distinct {KEY}, y + dy as y, x + dx as x from mask8, {CROSS_SQL} where y + dy between 0 and 7 and x + dx between 0 and 7", "mask8")(lambda s: regions.dilate(s.mask8, 8, 8, regions.CROSS))
 query("d6_erode", f"select m.* from mask8 m where not exists (select 1 from {CROSS_SQL} where m.y + dy between 0 and 7 and m.x + dx between 0 and 7 and (m.video_id, m.frame_idx, m.y + dy, m.x + dx) not in (select video_id, frame_idx, y, x from mask8))", "mask8")(lambda s: regions.erode(s.mask8, 8, 8, regions.CROSS))
 
-AROUND = f"with a as (select {KEY}, y + dy as y, x + dx as x, max(case when dy = 0 and dx = 0 then v end) as v, max(v) as most, max(case when dy <> 0 or dx <> 0 then v end) as others from pixels8, {offsets_sql(kernels.box(1))} group by 1, 2, 3, 4)"
-query("d7_peaks", f"{AROUND} select {KEY}, y, x from a where v = most and v > 0", "pixels8")(lambda s: regions.peaks(s.pixels8, 8, 8))
+AROUND = f"with a as (select {KEY}, y + dy as y, x + dx as x, max(case when dy = 0 and dx = 0 then v end) as v, max(v) as most, min(v) as least, max(case when dy <> 0 or dx <> 0 then v end) as others from pixels8, {offsets_sql(kernels.box(1))} group by 1, 2, 3, 4)"
+query("d7_peaks", f"{AROUND} select {KEY}, y, x from a where v = most and not (most = 0 and least = 0)", "pixels8")(lambda s: regions.peaks(s.pixels8, 8, 8))
+query("d7_peaks_negative", f"{AROUND.replace('from pixels8', 'from (select * replace (v - 255 as v) from pixels8)')} select {KEY}, y, x from a where v = most and not (most = 0 and least = 0)", "pixels8")(lambda s: regions.peaks(s.pixels8.withColumn("v", F.col("v") - 255), 8, 8))
 query("d8_strict_peaks", f"{AROUND} select {KEY}, y, x from a where v > others and y between 1 and 6 and x between 1 and 6", "pixels8")(lambda s: regions.strict_peaks(s.pixels8, 8, 8))
 
 REACH = f"""reach(video_id, frame_idx, y, x, cell) as (select {KEY}, y, x, y * 8 + x from mask8
