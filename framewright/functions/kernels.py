@@ -1,17 +1,21 @@
 """Weight tables for separable kernels, and the joins that apply them.
 
 Tables are computed on the driver from literal sizes (a few entries for each row or column of a frame), so their size is
-bounded by the kernel and the frame, never by the number of frames. Each pixel is exploded over the taps it contributes to and the
-destinations are summed, which needs one shuffle with partial aggregation and no self-join.
+bounded by the kernel and the frame, never by the number of frames; they are broadcast, so a plan's size does not depend on them. Each pixel
+is joined with the taps it contributes to and the destinations are summed. No sample leaves its frame, so pixels that are dealt by
+frame once need no further shuffle, whatever the number of passes.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a weight table that may be broadcast (16 bytes each).
+MAX_TAPS = 1 << 20
 #: Offsets (dy, dx) of the four and the eight neighbours.
 FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 EIGHT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -79,20 +83,27 @@ def resampling(n: int, m: int, method: str) -> list[tuple[int, int, float]]:
     return _merge(taps)
 
 
+def by_frame(pixels: DataFrame) -> DataFrame:
+    """The pixels dealt by frame: whatever is grouped by the frame and more needs no further shuffle."""
+    return pixels.repartition("video_id", "frame_idx")
+
+
 def apply_axis(pixels: DataFrame, axis: str, table: list[tuple[int, int, float]], value: str = "v") -> DataFrame:
-    """One pass of a separable kernel along `axis`: sums weight * value by destination. Other columns are the keys."""
-    by_source: dict[int, list[tuple[int, float]]] = {}
-    for dst, src, w in table:
-        by_source.setdefault(src, []).append((dst, w))
-    entries = [F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in by_source.get(s, [])]) if by_source.get(s) else F.array().cast("array<struct<d:int,w:double>>") for s in range(max(by_source) + 1)]
-    taps = F.explode(F.get(F.array(*entries), F.col(axis)))
+    """One pass of a separable kernel along `axis`: sums weight * value by destination. Other columns are the keys.
+
+    The table, a few rows for each row or column of a frame, is broadcast; one of over MAX_TAPS rows is joined as Spark decides.
+    """
+    taps = pa.table({"__s": pa.array([s for _, s, _ in table], pa.int32()), "__d": pa.array([d for d, _, _ in table], pa.int32()), "__w": pa.array([w for _, _, w in table], pa.float64())})
+    weights = pixels.sparkSession.createDataFrame(taps)
     keys = [c for c in pixels.columns if c not in (axis, value)]
-    spread = pixels.select(*keys, F.col(value).cast("double").alias("__v"), taps.alias("__t"))
-    return spread.groupBy(*keys, F.col("__t.d").alias(axis)).agg(F.sum(F.col("__t.w") * F.col("__v")).alias(value))
+    far = pixels.join(F.broadcast(weights) if len(table) <= MAX_TAPS else weights, pixels[axis] == weights["__s"])
+    return far.groupBy(*keys, F.col("__d").alias(axis)).agg(F.sum(F.col("__w") * F.col(value).cast("double")).alias(value))
 
 
-def separable(pixels: DataFrame, rows: list, columns: list, value: str = "v") -> DataFrame:
-    return apply_axis(apply_axis(pixels, "y", rows, value), "x", columns, value)
+def separable(pixels: DataFrame, rows: list, columns: list, value: str = "v", dealt: bool = False) -> DataFrame:
+    """Both passes in one shuffle, by frame; none if the pixels are `dealt` by frame already."""
+    dealt_out = pixels if dealt else by_frame(pixels)
+    return apply_axis(apply_axis(dealt_out, "y", rows, value), "x", columns, value)
 
 
 def spread(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:

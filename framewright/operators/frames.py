@@ -94,7 +94,7 @@ def rotate(pixels: DataFrame, videos: DataFrame, angle: int) -> DataFrame:
 
 
 def resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], method: str = "auto") -> DataFrame:
-    """From `size` to `to` (width, height); auto: area when shrinking, cubic otherwise. Two passes, a shuffle each."""
+    """From `size` to `to` (width, height); auto: area when shrinking, cubic otherwise. Two passes, one shuffle."""
     if method == "auto":
         method = "area" if to[0] * to[1] < size[0] * size[1] else "cubic"
     return kernels.separable(pixels, kernels.resampling(size[1], to[1], method), kernels.resampling(size[0], to[0], method))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import buckets, kernels
-from framewright.functions.iterate import cut, order_by_doubling, until_stable
+from framewright.functions.iterate import connected, cut, order_by_doubling
 from framewright.operators import curves, regions
 
 
@@ -20,26 +20,22 @@ def edge_lengths(edge_points: DataFrame) -> DataFrame:
 def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
     """node_id and `kept`: the least id of the nodes that are connected by steps of at most `tolerance` on either axis.
 
-    Nodes meet through cells of the tolerance's size; labels spread until stable.
+    Nodes meet through cells of the tolerance's size.
     """
     size = max(tolerance, 1e-9)
     wide = nodes.select("node_id", "x", "y", buckets.cell(F.col("x"), size).alias("cx"), buckets.cell(F.col("y"), size).alias("cy"))
     near = wide.select(F.col("node_id").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), F.explode(F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c")).select("m", "mx", "my", "c.cx", "c.cy")
     links = cut(wide.join(near, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("mx")) <= tolerance) & (F.abs(F.col("y") - F.col("my")) <= tolerance)).select("node_id", "m"))
-
-    def step(now: DataFrame) -> DataFrame:
-        far = now.select(F.col("node_id").alias("m"), F.col("kept").alias("low"))
-        low = links.join(far, "m").groupBy("node_id").agg(F.min("low").alias("low"))
-        return now.join(low, "node_id").select("node_id", F.col("low").alias("kept"), (F.col("low") < F.col("kept")).alias("changed"))
-
-    return until_stable(nodes.select("node_id", F.col("node_id").alias("kept")), step)
+    joined = connected(nodes.select(F.col("node_id").alias("node")), links.select(F.col("node_id").alias("a"), F.col("m").alias("b")))
+    return joined.select(F.col("node").alias("node_id"), F.col("label").alias("kept"))
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame, edge_points: DataFrame, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """Edges whose curve ends lie on their nodes: (edge_id, n1, n2, flipped, length), and the rejected edge ids. Lengths up to 1e-6 are dropped."""
+    """Edges whose curve ends lie on their nodes: (edge_id, n1, n2, flipped, length), and the rejected edge ids (ends elsewhere, a node
+    unknown, no curve). Lengths up to 1e-6 are dropped."""
     e = curves.ends(edge_points.withColumnRenamed("edge_id", "curve_id")).withColumnRenamed("curve_id", "edge_id")
     a, b = (nodes.select(F.col("node_id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for n in ("n1", "n2"))
-    known = edges.join(e, "edge_id").join(a, "n1").join(b, "n2").join(edge_lengths(edge_points), "edge_id")
+    known = edges.join(e, "edge_id", "left").join(a, "n1", "left").join(b, "n2", "left").join(edge_lengths(edge_points), "edge_id", "left")
 
     def on(node: str, end: str):
         return (F.abs(F.col(f"{node}x") - F.col(f"x{end}")) <= tolerance) & (F.abs(F.col(f"{node}y") - F.col(f"y{end}")) <= tolerance)
@@ -55,38 +51,78 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def prune(edges: DataFrame, shortest: float, protected: list[int] | None = None) -> DataFrame:
-    """Drops leaf edges and loops shorter than `shortest` in rounds until none is left; edges at protected leaves stay."""
+    """Drops leaf edges and loops shorter than `shortest` in rounds until none is left; edges with a protected node at either end stay."""
     now = cut(edges)
-    keep = F.lit(False) if not protected else F.col("node_id").isin(protected)
+    free = F.lit(True) if not protected else ~F.col("n1").isin(protected) & ~F.col("n2").isin(protected)
     while True:
-        leaf = degrees(now).where((F.col("degree") == 1) & ~keep).select("node_id")
-        ends = now.select("edge_id", F.explode(F.array("n1", "n2")).alias("node_id")).join(leaf, "node_id").select("edge_id").distinct()
-        short = now.where((F.col("length") < shortest) & (F.col("n1") != F.col("n2"))).join(ends, "edge_id", "left_semi").select("edge_id").unionByName(now.where((F.col("length") < shortest) & (F.col("n1") == F.col("n2"))).select("edge_id"))
-        short = cut(short)
+        may = now.where((F.col("length") < shortest) & free)
+        leaf = degrees(now).where(F.col("degree") == 1).select("node_id")
+        ends = may.where("n1 <> n2").select("edge_id", F.explode(F.array("n1", "n2")).alias("node_id")).join(leaf, "node_id", "left_semi").select("edge_id")
+        short = cut(ends.distinct().unionByName(may.where("n1 = n2").select("edge_id")))
         if not short.take(1):
             return now
         now = cut(now.join(short, "edge_id", "left_anti"))
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Merges chains through nodes of degree 2: edge_id becomes the least of the chain, with its two outer nodes and total length.
+def left_nodes(nodes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The nodes without those that lost their last edge, one to another node, from `before` to `after`."""
+    had = degrees(before.where("n1 <> n2")).select("node_id")
+    return nodes.join(had.join(degrees(after).select("node_id"), "node_id", "left_anti"), "node_id", "left_anti")
 
-    Nodes whose two edges lead to one neighbour, and loops, are left alone.
-    """
-    two = degrees(edges).where("degree = 2").select("node_id")
-    ends = edges.where("n1 <> n2").select("edge_id", F.explode(F.array(F.struct(F.col("n1").alias("node_id"), F.col("n2").alias("other")), F.struct(F.col("n2").alias("node_id"), F.col("n1").alias("other")))).alias("s")).select("edge_id", "s.*")
-    inner = cut(ends.join(two, "node_id").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("o1"), F.max("other").alias("o2"), F.min("edge_id").alias("e1"), F.max("edge_id").alias("e2")).where("n = 2 and o1 <> o2").select("node_id", "e1", "e2"))
-    links = cut(inner.select(F.col("e1").alias("a"), F.col("e2").alias("b")).unionByName(inner.select(F.col("e2").alias("a"), F.col("e1").alias("b"))))
 
-    def step(now: DataFrame) -> DataFrame:
-        low = links.join(now.select(F.col("edge_id").alias("a"), F.col("chain").alias("low")), "a").groupBy(F.col("b").alias("edge_id")).agg(F.min("low").alias("low"))
-        return now.join(low, "edge_id", "left").select("edge_id", F.least("chain", "low").alias("chain"), F.coalesce(F.col("low") < F.col("chain"), F.lit(False)).alias("changed"))
+def _arcs(edges: DataFrame) -> DataFrame:
+    """Both directions of every edge: edge_id, turned, start, stop."""
+    ways = F.array(F.struct(F.lit(False).alias("turned"), F.col("n1").alias("start"), F.col("n2").alias("stop")), F.struct(F.lit(True).alias("turned"), F.col("n2").alias("start"), F.col("n1").alias("stop")))
+    return edges.select("edge_id", F.explode(ways).alias("w")).select("edge_id", "w.*")
 
-    chains = until_stable(edges.select("edge_id", F.col("edge_id").alias("chain")), step)
-    named = edges.join(chains, "edge_id")
-    total = named.groupBy("chain").agg(F.sum("length").alias("length"), F.min("n1").alias("low1"), F.min("n2").alias("low2"))
-    outer = named.select("chain", F.explode(F.array("n1", "n2")).alias("node_id")).join(inner.select("node_id"), "node_id", "left_anti").groupBy("chain").agg(F.min("node_id").alias("n1"), F.max("node_id").alias("n2"))
-    return total.join(outer, "chain", "left").select(F.col("chain").alias("edge_id"), F.coalesce("n1", F.least("low1", "low2")).alias("n1"), F.coalesce("n2", F.least("low1", "low2")).alias("n2"), "length")
+
+def _inner_nodes(edges: DataFrame) -> DataFrame:
+    """node_id of the nodes that contraction removes.
+
+    These have two edges that lead to different neighbours. Where all between two ends would go and leave a loop, the least node of the
+    chain stays; of a ring the two least stay, as then both edges of a node lead to one neighbour.
+    """
+    arcs = _arcs(edges)
+    inner = cut(arcs.groupBy(F.col("start").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("stop").alias("o1"), F.max("stop").alias("o2"), F.min("edge_id").alias("a"), F.max("edge_id").alias("b")).where("n = 2 and o1 <> o2 and a <> b and o1 <> node_id and o2 <> node_id"))
+    chains = connected(edges.select(F.col("edge_id").alias("node")), inner.select("a", "b"))
+    placed = inner.join(chains, inner["a"] == chains["node"]).select("node_id", "label")
+    ends = arcs.join(chains, arcs["edge_id"] == chains["node"]).join(inner.select(F.col("node_id").alias("stop")), "stop", "left_anti")
+    outer = ends.groupBy("label").agg(F.count_distinct("stop").alias("ends"))
+    spare = F.coalesce(F.when(F.col("ends") == 1, 1).when(F.col("ends") > 1, 0), F.lit(2))
+    ranked = placed.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("node_id"))).join(outer, "label", "left")
+    return ranked.where(F.col("place") > spare).select("node_id")
+
+
+def contract(edges: DataFrame, edge_points: DataFrame | None = None, epsilon: float = 0.0) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Merges chains of edges through nodes of degree 2: edge_id becomes the least of the chain, n1 <= n2 its outer nodes, length the sum.
+
+    Nodes whose two edges lead to one neighbour, and loops, are left alone. With `edge_points` (edge_id, i, x, y; i from 0) the
+    second result is the curves of the merged edges from n1 to n2, joints twice, with `epsilon` simplified; lengths are then those of the curves.
+    """
+    arcs = cut(_arcs(edges).join(cut(_inner_nodes(edges)).select(F.col("node_id").alias("stop"), F.lit(True).alias("goes_on")), "stop", "left"))
+    arc = F.struct("edge_id", "turned")
+    ahead = arcs.select(F.col("start").alias("stop"), F.col("edge_id").alias("e2"), arc.alias("next"))
+    on = arcs.where("goes_on").select("stop", "edge_id", arc.alias("node")).join(ahead, "stop").where("edge_id <> e2").select("node", "next")
+    last = arcs.where("goes_on is null").select(arc.alias("node"))
+    ordered = order_by_doubling(on.unionByName(last.withColumn("next", F.lit(None).cast(on.schema["next"].dataType))), [])
+    ways = ordered.groupBy("head").agg(F.min("node.edge_id").alias("chain"), F.max(F.struct("rank", "node")).alias("first"))
+    ends = arcs.select(arc.alias("head"), F.col("stop").alias("n2"))
+    starts = arcs.select(arc.alias("node"), F.col("start").alias("n1"))
+    ways = ways.join(ends, "head").select("chain", "head", F.col("first.node").alias("node"), F.col("first.rank").alias("most"), "n2").join(starts, "node")
+    best = ways.groupBy("chain").agg(F.max(F.struct("n2", "head", "n1", "most")).alias("w")).select("chain", "w.*")
+    members = cut(ordered.join(best, "head").select("chain", "n1", "n2", (F.col("most") - F.col("rank")).alias("pos"), "node.edge_id", "node.turned"))
+    merged = members.join(edges.select("edge_id", "length"), "edge_id").groupBy(F.col("chain").alias("edge_id")).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.sum("length").alias("length"))
+    if edge_points is None:
+        return merged
+    sizes = members.join(edge_points.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")), "edge_id")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("before", before).select("chain", "edge_id", "turned", "n", "before").join(edge_points, "edge_id")
+    index = F.col("before") + F.when(F.col("turned"), F.col("n") - 1 - F.col("i")).otherwise(F.col("i"))
+    curve = placed.select(F.col("chain").alias("edge_id"), index.cast("int").alias("i"), "x", "y")
+    if epsilon:
+        curve = curves.simplify(curve.withColumnRenamed("edge_id", "curve_id"), epsilon).withColumnRenamed("curve_id", "edge_id")
+    curve = cut(curve)
+    return merged.drop("length").join(edge_lengths(curve), "edge_id", "left"), curve
 
 
 def split_edges(edge_points: DataFrame, splits: DataFrame) -> DataFrame:
@@ -100,17 +136,18 @@ def split_edges(edge_points: DataFrame, splits: DataFrame) -> DataFrame:
     return parts.select("edge_id", F.col("part").cast("int").alias("part"), (F.row_number().over(inside) - 1).alias("i"), "x", "y")
 
 
-def nearest_nodes(nodes: DataFrame, queries: DataFrame, size: float = 8.0) -> DataFrame:
-    """Nearest node of each query (query_id, qx, qy): node_id, x, y, dist; the smaller id if tied. Rings of grid cells widen until sure."""
+def nearest_nodes(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Nearest node of each query (query_id, qx, qy): node_id, x, y, dist; the smaller id if tied. Of nodes in one place only the first is searched."""
     dist = F.sqrt(F.pow(F.col("x") - F.col("qx"), F.lit(2)) + F.pow(F.col("y") - F.col("qy"), F.lit(2)))
-    best = buckets.nearest(queries, nodes, size, F.struct(F.round(dist, 9).alias("dist"), "node_id", "x", "y"))
+    places = nodes.groupBy("x", "y").agg(F.min("node_id").alias("node_id"))
+    best = buckets.nearest(queries, places, F.struct(F.round(dist, 9).alias("dist"), "node_id", "x", "y"))
     return best.select("query_id", "best.node_id", "best.x", "best.y", "best.dist")
 
 
-def nearest_edges(edge_points: DataFrame, queries: DataFrame, size: float = 8.0) -> DataFrame:
+def nearest_edges(edge_points: DataFrame, queries: DataFrame) -> DataFrame:
     """Nearest edge of each query by distance to its line, then that edge's nearest vertex: edge_id, i, dist (to the vertex).
 
-    Rings of grid cells widen until sure. Of segments in the same place only that of the smallest edge id, which wins the tie, is searched.
+    Of segments in the same place only that of the smallest edge id, which wins the tie, is searched.
     """
     seg = curves.segments(edge_points.withColumnRenamed("edge_id", "curve_id")).groupBy("x", "y", "x2", "y2").agg(F.min("curve_id").alias("edge_id"))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
@@ -118,7 +155,7 @@ def nearest_edges(edge_points: DataFrame, queries: DataFrame, size: float = 8.0)
     t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("qx") - F.col("x")) * dx + (F.col("qy") - F.col("y")) * dy) / square))).otherwise(0.0)
     dist = F.round(F.sqrt(F.pow(F.col("x") + t * dx - F.col("qx"), F.lit(2)) + F.pow(F.col("y") + t * dy - F.col("qy"), F.lit(2))), 9)
     boxes = cut(seg.withColumns({"x0": F.least("x", "x2"), "y0": F.least("y", "y2"), "x1": F.greatest("x", "x2"), "y1": F.greatest("y", "y2")}))
-    best = buckets.nearest(queries, boxes, size, F.struct(dist.alias("dist"), "edge_id"), box=("x0", "y0", "x1", "y1")).select("query_id", F.col("best").alias("m"))
+    best = buckets.nearest(queries, boxes, F.struct(dist.alias("dist"), "edge_id"), box=("x0", "y0", "x1", "y1")).select("query_id", F.col("best").alias("m"))
     chosen = queries.join(best, "query_id").select("query_id", "qx", "qy", "m.edge_id").join(edge_points, "edge_id")
     vertex = F.round(F.sqrt(F.pow(F.col("x") - F.col("qx"), F.lit(2)) + F.pow(F.col("y") - F.col("qy"), F.lit(2))), 9)
     return chosen.groupBy("query_id", "edge_id").agg(F.min(F.struct(vertex.alias("d"), "i")).alias("m")).select("query_id", "edge_id", F.col("m.i").alias("i"), F.col("m.d").alias("dist"))
@@ -146,25 +183,50 @@ def single_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select("a", "b", "n", F.when(F.col("n") == 1, F.col("edge_id")).alias("edge_id"))
 
 
-def skeleton_graph(skeleton: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graph of skeleton pixels: nodes (video_id, frame_idx, node, x, y) and edges (..., edge, n1, n2, n_pixels).
+def skeleton_graph(skeleton: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Graph of skeleton pixels: nodes (video_id, frame_idx, node, x, y), edges (..., edge, n1, n2, n_pixels, length), points (..., edge, i, x, y).
 
-    Pixels with two neighbours form chains; all others cluster into nodes at their mean place. Chains attach to the clusters they touch;
-    touching clusters are one node. Rings without a node get none.
+    Pixels with two neighbours form chains; all others cluster into nodes at their mean place, and a ring of chain pixels has its first
+    pixel as node. A chain pixel has two neighbours in all, so a chain touches two node pixels at most. A curve runs from the centre of
+    n1 through the chain's pixels, ordered by pointer doubling over the steps from pixel to pixel, to the centre of n2 (n1 <= n2).
     """
     keys = regions.FRAME
     own = (F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x"))
-    counts = kernels.spread(skeleton.select(*regions.PIXEL), kernels.box(1)).groupBy(*regions.PIXEL).agg((F.count(F.lit(1)) - 1).alias("n"), F.max(own).alias("own")).where("own")
-    counts = cut(counts)
-    clusters = cut(regions.label(counts.where("n <> 2"), kernels.EIGHT))
+    near = cut(kernels.spread(kernels.by_frame(skeleton.select(*regions.PIXEL)), kernels.box(1)))
+    counts = cut(near.groupBy(*regions.PIXEL).agg((F.count(F.lit(1)) - 1).alias("n"), F.max(own).alias("own")).where("own").select(*regions.PIXEL, "n"))
     chains = cut(regions.label(counts.where("n = 2"), kernels.EIGHT))
-    nodes = clusters.groupBy(*keys, F.col("label").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    touch = kernels.spread(clusters.withColumnRenamed("label", "node"), kernels.EIGHT).select(*regions.PIXEL, "node").join(chains, regions.PIXEL).select(*keys, "label", "node").distinct()
-    sizes = chains.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_pixels"))
-    edges = touch.groupBy(*keys, "label").agg(F.min("node").alias("n1"), F.max("node").alias("n2")).join(sizes, [*keys, "label"]).withColumnRenamed("label", "edge")
-    return nodes, edges
-
-
-def chain_order(links: DataFrame, keys: list[str]) -> DataFrame:
-    """Order of the members of chains by pointer doubling."""
-    return order_by_doubling(links, keys)
+    ends = counts.where("n <> 2").select(*keys, F.col("y").alias("oy"), F.col("x").alias("ox"))
+    touched = near.join(ends, [*keys, "oy", "ox"], "left_semi").join(chains, regions.PIXEL).select(*keys, "label").distinct()
+    first = chains.join(touched, [*keys, "label"], "left_anti").groupBy(*keys, "label").agg(F.min(F.struct("y", "x")).alias("p")).select(*keys, "p.y", "p.x")
+    clusters = cut(regions.label(counts.where("n <> 2").select(*regions.PIXEL).unionByName(first), kernels.EIGHT).withColumnRenamed("label", "node"))
+    nodes = cut(clusters.groupBy(*keys, "node").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+    cell = {n: (F.col(y).cast("long") * (1 << 20) + F.col(x)).alias(n) for n, y, x in (("p", "y", "x"), ("q", "oy", "ox"))}
+    inner = chains.join(first, regions.PIXEL, "left_anti").select(*keys, cell["p"], "label", "y", "x")
+    around = cut(near.where(~own).select(*keys, cell["p"], cell["q"]).join(inner.select(*keys, "p"), [*keys, "p"], "left_semi"))
+    steps = around.select(*keys, "p", F.col("q").alias("u")).join(around, [*keys, "p"]).where("u <> q")
+    steps = steps.select(*keys, F.struct(F.col("u").alias("p"), F.col("p").alias("q")).alias("node"), F.struct("p", "q").alias("next"))
+    stops = around.join(inner.select(*keys, F.col("p").alias("q")), [*keys, "q"], "left_anti").select(*keys, F.struct("p", "q").alias("node"))
+    ordered = order_by_doubling(steps.unionByName(stops.withColumn("next", F.lit(None).cast(steps.schema["next"].dataType))), keys)
+    named = clusters.select(*keys, cell["p"].alias("at"), "node")
+    heads = stops.select(*keys, F.col("node").alias("head"), F.col("node.p").alias("p"), F.col("node.q").alias("at")).join(named, [*keys, "at"]).join(inner.select(*keys, "p", "label"), [*keys, "p"])
+    best = heads.groupBy(*keys, "label").agg(F.min("node").alias("n1"), F.max("node").alias("n2"), F.max(F.struct("node", "head")).alias("w")).select(*keys, F.col("label").alias("edge"), "n1", "n2", F.col("w.head").alias("head"))
+    best = cut(best)
+    on = cut(ordered.where("rank > 0").join(best, [*keys, "head"]).select(*keys, "edge", F.col("node.q").alias("p"), "rank"))
+    sizes = on.groupBy(*keys, "edge").agg(F.count(F.lit(1)).alias("n_pixels"))
+    edges = best.drop("head").join(sizes, [*keys, "edge"])
+    middle = on.join(inner.drop("label"), [*keys, "p"]).join(sizes, [*keys, "edge"]).select(*keys, "edge", (F.col("n_pixels") + 1 - F.col("rank")).cast("int").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    outer = edges.select(*keys, "edge", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.col("n1").alias("node")), F.struct((F.col("n_pixels") + 1).cast("int").alias("i"), F.col("n2").alias("node")))).alias("e")).select(*keys, "edge", "e.*")
+    points = cut(middle.unionByName(outer.join(nodes, [*keys, "node"]).select(*keys, "edge", "i", "x", "y")))
+    by_edge = Window.partitionBy(*keys, "edge").orderBy("i")
+    lengths = points.withColumn("d", F.hypot(F.lead("x").over(by_edge) - F.col("x"), F.lead("y").over(by_edge) - F.col("y"))).groupBy(*keys, "edge").agg(F.sum("d").alias("length"))
+    return nodes, edges.join(lengths, [*keys, "edge"]), points
+
+
+def one_graph(nodes: DataFrame, edges: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graphs of all frames as one: nodes (node_id, x, y), edges (edge_id, n1, n2, length), edge_points (edge_id, i, x, y), ids as text."""
+
+    def name(column: str):
+        return F.concat_ws(".", *regions.FRAME, column)
+
+    flat = edges.select(name("edge").alias("edge_id"), name("n1").alias("n1"), name("n2").alias("n2"), "length")
+    return nodes.select(name("node").alias("node_id"), "x", "y"), flat, points.select(name("edge").alias("edge_id"), "i", "x", "y")

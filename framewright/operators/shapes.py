@@ -185,8 +185,8 @@ def gradients(pixels: DataFrame, height: int, width: int, sigma: float = 3.0) ->
 
     soft, slope = [1.0, 4.0, 6.0, 4.0, 1.0], [-1.0, -2.0, 0.0, 2.0, 1.0]
     base = blur(pixels, (width, height), sigma)
-    gx = kernels.separable(base, kernels.convolution(soft, height), kernels.convolution(slope, width)).withColumnRenamed("v", "gx")
-    gy = kernels.separable(base, kernels.convolution(slope, height), kernels.convolution(soft, width)).withColumnRenamed("v", "gy")
+    gx = kernels.separable(base, kernels.convolution(soft, height), kernels.convolution(slope, width), dealt=True).withColumnRenamed("v", "gx")
+    gy = kernels.separable(base, kernels.convolution(slope, height), kernels.convolution(soft, width), dealt=True).withColumnRenamed("v", "gy")
     return gx.join(gy, ["video_id", "frame_idx", "y", "x"])
 
 

@@ -38,10 +38,11 @@ def motion(pixels: DataFrame, height: int, width: int, radius: int = 1) -> DataF
     This is a local least-squares solution, not a dense polynomial-expansion solver; magnitudes differ from such solvers.
     """
     central = [-0.5, 0.0, 0.5]
+    pixels = kernels.by_frame(pixels)
     across = kernels.apply_axis(pixels, "x", kernels.convolution(central, width)).withColumnRenamed("v", "ix")
     down = kernels.apply_axis(pixels, "y", kernels.convolution(central, height)).withColumnRenamed("v", "iy")
     keys = ["video_id", "frame_idx", "y", "x"]
-    g = difference(pixels).withColumnRenamed("v", "it").join(across, keys).join(down, keys)
+    g = kernels.by_frame(difference(pixels)).withColumnRenamed("v", "it").join(across, keys).join(down, keys)
     products = g.select(*keys, *[(F.col(a) * F.col(b)).alias(n) for n, a, b in (("xx", "ix", "ix"), ("yy", "iy", "iy"), ("xy", "ix", "iy"), ("xt", "ix", "it"), ("yt", "iy", "it"))])
     sums = kernels.spread(products, kernels.box(radius)).where(kernels.inside(height, width)).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in ("xx", "yy", "xy", "xt", "yt")])
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")

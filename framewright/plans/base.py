@@ -90,19 +90,9 @@ class Views:
     def nodes(self) -> DataFrame:
         return self.table("supplier").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.floor(F.abs("s_acctbal")) % 101).cast("double").alias("y"))
 
-    @cached_property
-    def lines(self) -> DataFrame:
-        """The lineitem rows of the sampled graph: one order in 50, as its SQL view has it."""
-        return self.table("lineitem").where("l_orderkey % 50 = 0")
-
-    @cached_property
-    def whole(self) -> Views:
-        """The same views, with the graph of all orders."""
-        return WholeViews(self.spark, self.sf_dir)
-
     @cached_property
     def edges(self) -> DataFrame:
-        line = self.lines.select("l_orderkey", "l_linenumber", "l_suppkey")
+        line = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
         a, b = line.alias("a"), line.alias("b")
         on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)
         edge = F.col("a.l_orderkey") * 100 + F.col("a.l_linenumber") * 10 + F.col("b.l_linenumber")
@@ -116,14 +106,6 @@ class Views:
         return e.select("edge_id", F.posexplode(points).alias("i", "p")).select("edge_id", "i", "p.x", "p.y")
 
 
-class WholeViews(Views):
-    """The input relations with the graph of all orders."""
-
-    @cached_property
-    def lines(self) -> DataFrame:
-        return self.table("lineitem")
-
-
 #: The views in DuckDB, in the order of their dependencies.
 SQL_VIEWS = {
     "pixels8": "select video_id, frame_idx, cast(p // 8 as int) as y, cast(p % 8 as int) as x, cast(greatest(0, least(255, floor((cast(e as double) + 0.6) * 212.5))) as int) as v from (select label as video_id, row_number() over (partition by label order by vec_id) - 1 as frame_idx, unnest(range(64)) as p, unnest(embedding) as e from embeddings)",
@@ -137,12 +119,10 @@ SQL_VIEWS = {
     "contours": "select t.curve_id as poly_id, d.i, 50 + d.dx * (3 + cast(t.x as int) % 10) as x, 50 + d.dy * (3 + cast(t.x as int) % 10) as y from tracks t join (values (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)) as d(i, dx, dy) on t.i = d.i",
     "files": "select n_nationkey + 1 as idx, count(*) as n from nation join customer on c_nationkey = n_nationkey where n_nationkey <> 12 group by 1",
     "nodes": "select s_suppkey as node_id, cast(s_suppkey % 37 as double) as x, cast(floor(abs(s_acctbal)) % 101 as double) as y from supplier",
-    "edges": "select a.l_orderkey * 100 + a.l_linenumber * 10 + b.l_linenumber as edge_id, min(a.l_suppkey) as n1, min(b.l_suppkey) as n2 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_orderkey % 50 = 0 group by 1",
+    "edges": "select a.l_orderkey * 100 + a.l_linenumber * 10 + b.l_linenumber as edge_id, min(a.l_suppkey) as n1, min(b.l_suppkey) as n2 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 group by 1",
     "edge_points": "select edge_id, k as i, case when k < 2 then p.x else q.x end as x, case when k = 0 then p.y else q.y end as y from edges join nodes p on p.node_id = n1 join nodes q on q.node_id = n2, (values (0), (1), (2)) t(k)",
 }
-#: The graph of all orders: the views of the sampled one without its filter.
-SQL_VIEWS |= {"whole_edges": SQL_VIEWS["edges"].replace(" where a.l_orderkey % 50 = 0", ""), "whole_edge_points": SQL_VIEWS["edge_points"].replace("from edges", "from whole_edges")}
-NEEDS = {"mask8": ["pixels8"], "color8": ["pixels8"], "videos8": ["pixels8"], "profiles": ["tracks"], "contours": ["tracks"], "edge_points": ["nodes", "edges"], "whole_edge_points": ["nodes", "whole_edges"]}
+NEEDS = {"mask8": ["pixels8"], "color8": ["pixels8"], "videos8": ["pixels8"], "profiles": ["tracks"], "contours": ["tracks"], "edge_points": ["nodes", "edges"]}
 
 
 def with_views(names: list[str], sql: str) -> str:

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from framewright.operators import graphs, regions
-from framewright.plans import base
-from framewright.plans.base import REGISTRY, Views
+from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import rounded
 
 LEN = "len as (select edge_id, sum(d) as length from (select edge_id, sqrt((lead(x) over w - x) ** 2 + (lead(y) over w - y) ** 2) as d from edge_points window w as (partition by edge_id order by i)) group by 1)"
 QUERIES = "q as (select rect_id as query_id, x as qx, y as qy from rects)"
 
-#: The SQL of the queries by key, without the views.
-SAMPLED: dict[str, str | None] = {}
-
-
-def query(key: str, sql: str | None = None, views: str = ""):
-    SAMPLED[key] = sql
-    return base.query(key, sql, views)
-
-
 def measured(s: Views):
     return s.edges.join(graphs.edge_lengths(s.edge_points), "edge_id")
 
@@ -46,13 +34,6 @@ query("f11_nearest_edge", f"with {NEAR_EDGE} select query_id, edge_id, i, round(
 query("f12_total_length", f"with {LEN} select round(sum(length), 2) as length from len", "edge_points")(lambda s: rounded(graphs.total_length(measured(s)), "length", digits=2))
 query("f13_single_edges", "select least(n1, n2) as a, greatest(n1, n2) as b, count(*) as n, case when count(*) = 1 then min(edge_id) end as edge_id from edges group by 1, 2", "edges")(lambda s: graphs.single_edges(s.edges, s.edges.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()))
 
-#: The same queries over the graph of all orders, and the views that their SQL reads.
-WHOLE = {"f5_add_edges": "whole_edge_points", "f6_prune": "", "f7_contract": "", "f8_split_edges": "whole_edge_points", "f9_connect": "whole_edge_points rects", "f11_nearest_edge": "whole_edge_points rects", "f12_total_length": "whole_edge_points", "f13_single_edges": "whole_edges"}
-for key, views in WHOLE.items():
-    sql = SAMPLED.get(key)
-    query(f"{key}_whole", sql and re.sub(r"\b(edges|edge_points)\b", r"whole_\1", sql), views)(lambda s, f=REGISTRY[key][0]: f(s.whole))
-
-
 @query("f1_skeleton")
 def f1(s: Views):
     """Skeleton pixels of polygons: rasterised, then thinned."""
@@ -62,4 +43,24 @@ def f1(s: Views):
     return regions.thin(mask, 28, 28)
 
 
-query("f3_skeleton_graph")(lambda s: graphs.skeleton_graph(regions.thin(s.mask8, 8, 8))[1])
+
+
+def skeletons(s: Views):
+    return graphs.skeleton_graph(regions.thin(s.mask8, 8, 8))
+
+
+query("f3_skeleton_graph")(lambda s: rounded(skeletons(s)[1], "length"))
+query("f3_skeleton_curves")(lambda s: rounded(skeletons(s)[2], "x", "y"))
+
+
+@query("f7_simplified_skeletons")
+def f7_chain(s: Views):
+    """Skeleton to graph, short edges pruned, chains merged, curves simplified."""
+    _, edges, points = graphs.one_graph(*skeletons(s))
+    kept = graphs.prune(edges, 2.0)
+    return rounded(graphs.contract(kept, points.join(kept.select("edge_id"), "edge_id", "left_semi"), 0.5)[0], "length")
+
+
+query("f7_contract_curves")(lambda s: rounded(graphs.contract(measured(s), s.edge_points)[1], "x", "y"))
+query("f6_left_nodes")(lambda s: graphs.left_nodes(s.nodes, measured(s), graphs.prune(measured(s), 30.0)))
+query("f5_rejected", "select edge_id from edges where n1 = 1 or n2 = 1", "edges")(lambda s: graphs.add_edges(s.nodes.where("node_id <> 1"), s.edges, s.edge_points)[1])
