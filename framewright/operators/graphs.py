@@ -144,12 +144,41 @@ def nearest_nodes(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return best.select("query_id", "best.node_id", "best.x", "best.y", "best.dist")
 
 
+def _pieces(segments: DataFrame, lines: int = 32) -> DataFrame:
+    """Segments (x, y, x2, y2, edge_id) cut at the lines of a grid of `lines` cells along the longer side of all: one row a place, the least edge_id."""
+    segments = cut(segments)
+    e = segments.agg(*[F.max(F.greatest(a, b)) - F.min(F.least(a, b)) for a, b in (("x", "x2"), ("y", "y2"))]).first()
+    size = max(e[0] or 0.0, e[1] or 0.0) / lines or 1.0
+
+    def crossings(a: str, b: str):
+        """Shares of the segment at which it crosses the lines of one axis."""
+        low, high = F.floor(F.least(a, b) / size) + 1, F.ceil(F.greatest(a, b) / size) - 1
+        none = F.array().cast("array<double>")
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda k: (k * size - F.col(a)) / (F.col(b) - F.col(a)))).otherwise(none)
+
+    shares = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("x", "x2"), crossings("y", "y2"))))
+    parts = segments.withColumn("t", F.explode(F.array(shares))).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("t") - 1)))
+    t0, t1 = F.get("t", F.col("k") - 1), F.get("t", F.col("k"))
+
+    def at(a: str, b: str, t):
+        """A coordinate at a share; on a grid line exactly, so that pieces of overlapping segments are equal."""
+        inner = F.col(a) + t * (F.col(b) - F.col(a))
+        line = F.round(inner / size) * size
+        return F.when(t == 0, F.col(a)).when(t == 1, F.col(b)).when(F.abs(inner - line) < 1e-9 * size, line).otherwise(inner)
+
+    placed = parts.select("edge_id", at("x", "x2", t0).alias("x"), at("y", "y2", t0).alias("y"), at("x", "x2", t1).alias("x2"), at("y", "y2", t1).alias("y2"))
+    turned = (F.col("x2") < F.col("x")) | ((F.col("x2") == F.col("x")) & (F.col("y2") < F.col("y")))
+    ends = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x", "x2"), ("y", "y2"), ("x2", "x"), ("y2", "y"))]
+    return placed.select("edge_id", *ends).groupBy("x", "y", "x2", "y2").agg(F.min("edge_id").alias("edge_id"))
+
+
 def nearest_edges(edge_points: DataFrame, queries: DataFrame) -> DataFrame:
     """Nearest edge of each query by distance to its line, then that edge's nearest vertex: edge_id, i, dist (to the vertex).
 
-    Of segments in the same place only that of the smallest edge id, which wins the tie, is searched.
+    Segments are cut at the lines of a grid, so that long ones have small boxes; of pieces in the same place only that of the smallest edge
+    id, which wins the tie, is searched.
     """
-    seg = curves.segments(edge_points.withColumnRenamed("edge_id", "curve_id")).groupBy("x", "y", "x2", "y2").agg(F.min("curve_id").alias("edge_id"))
+    seg = _pieces(curves.segments(edge_points.withColumnRenamed("edge_id", "curve_id")).groupBy("x", "y", "x2", "y2").agg(F.min("curve_id").alias("edge_id")))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("qx") - F.col("x")) * dx + (F.col("qy") - F.col("y")) * dy) / square))).otherwise(0.0)
