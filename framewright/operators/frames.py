@@ -141,15 +141,25 @@ def cut(pixels: DataFrame, videos: DataFrame, start: int | None = None, stop: in
 
 
 def get_frames(pixels: DataFrame, videos: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Frames by index, `wanted` has `idx`; negative ones count from the end; missing frames give no rows."""
-    every = videos.select("video_id", "frame_count").join(F.broadcast(wanted)).select("video_id", "idx", F.when(F.col("idx") < 0, F.col("idx") + F.col("frame_count")).otherwise(F.col("idx")).alias("frame_idx"))
-    return pixels.join(every, ["video_id", "frame_idx"])
+    """Frames by index, `wanted` has `idx`; negative ones count from the end; missing frames give no rows.
+
+    Every pixel has two names, the frame's number from the start and from the end; one equi-join on them finds what is wanted.
+    """
+    named = pixels.join(videos.select("video_id", "frame_count"), "video_id")
+    named = named.withColumn("idx", F.explode(F.array(F.col("frame_idx"), F.col("frame_idx") - F.col("frame_count")))).drop("frame_count")
+    return named.join(wanted.select(F.col("idx").cast("long").alias("idx")), "idx")
 
 
 def missing_frames(videos: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted indices that are out of range."""
-    every = videos.select("video_id", "frame_count").join(F.broadcast(wanted))
-    return every.where((F.col("idx") >= F.col("frame_count")) | (F.col("idx") < -F.col("frame_count"))).select("video_id", "idx")
+    """Wanted indices that are out of range, by video. Videos of one length lack the same frames, so lengths are looked up first.
+
+    An index is out of range for the lengths up to a bound (idx, or -idx - 1); each length meets the indices beyond it only.
+    """
+    lengths = videos.select(F.col("frame_count").alias("length")).distinct()
+    reach = F.when(F.col("idx") < 0, -F.col("idx") - 1).otherwise(F.col("idx"))
+    asked = wanted.select("idx", reach.alias("reach"))
+    lacking = lengths.join(asked, F.col("reach") >= F.col("length"))
+    return videos.select("video_id", F.col("frame_count").alias("length")).join(lacking, "length").select("video_id", "idx")
 
 
 def every_nth(pixels: DataFrame, period: int) -> DataFrame:

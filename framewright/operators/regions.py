@@ -77,18 +77,25 @@ def strict_peaks(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def label(mask: DataFrame, offsets: list[tuple[int, int]] = kernels.FOUR, dense: bool = True) -> DataFrame:
-    """Connected components: adds `label`. Minimum of the neighbours, then a pointer jump, each round.
+    """Connected components: adds `label`. Minimum of the neighbours, then a pointer jump, twice each round.
 
-    Labels are the least cell of the component (y * 2^20 + x), or numbers from 1 within each frame with `dense`.
+    Pixels are dealt by frame once a round; the neighbours' groups and the windows that look labels up need no further shuffle. Labels are the least cell of the component (y * 2^20 + x), or numbers from 1 within each frame with `dense`.
     """
     cell = F.col("y").cast("long") * (1 << 20) + F.col("x")
     start = mask.select(*PIXEL, cell.alias("label"))
 
-    def step(now: DataFrame) -> DataFrame:
+    def nearer(now: DataFrame) -> DataFrame:
+        """PIXEL, old, and as `label` the least label of the neighbours, replaced by the label of the pixel that it names."""
         own = (F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x"))
-        near = kernels.spread(now, [(0, 0), *offsets]).groupBy(*PIXEL).agg(F.min("label").alias("low"), F.max(F.when(own, F.col("label"))).alias("old")).where("old is not null")
-        ahead = near.select(*FRAME, F.floor(F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("low"), F.col("low").alias("low2"))
-        return near.join(ahead, [*FRAME, "low"]).select(*PIXEL, F.col("low2").alias("label"), (F.col("low2") != F.col("old")).alias("changed"))
+        near = kernels.spread(now, [(0, 0), *offsets]).groupBy(*PIXEL).agg(F.min("label").alias("low"), F.max(F.when(own, F.col("old"))).alias("old")).where("old is not null")
+        told, asks = F.struct(cell.alias("key"), F.col("low").alias("give"), F.lit(False).alias("asks")), F.struct(F.col("low").alias("key"), F.lit(None).cast("long").alias("give"), F.lit(True).alias("asks"))
+        both = near.select(*PIXEL, "old", F.explode(F.array(told, asks)).alias("m")).select(*PIXEL, "old", "m.*")
+        given = both.withColumn("label", F.max("give").over(Window.partitionBy(*FRAME, "key")))
+        return given.where("asks").select(*PIXEL, "old", "label")
+
+    def step(now: DataFrame) -> DataFrame:
+        after = nearer(nearer(kernels.by_frame(now).withColumn("old", F.col("label"))))
+        return after.select(*PIXEL, "label", (F.col("label") != F.col("old")).alias("changed"))
 
     done = until_stable(start, step)
     if not dense:

@@ -39,18 +39,40 @@ def overlaps(rects: DataFrame, size: float) -> DataFrame:
 
 
 def cuboid_statistics(pixels: DataFrame, cuboids: DataFrame) -> DataFrame:
-    """Figures of the pixels inside half-open boxes: pos and size hold x, y, frame_idx. The boxes are a literal, broadcast list."""
+    """Figures of the pixels inside half-open boxes: pos and size hold x, y, frame_idx.
+
+    Up to SMALL boxes go to every task; more meet the pixels by cells of the average box.
+    """
     bounds = [(F.col("x"), 0), (F.col("y"), 1), (F.col("frame_idx"), 2)]
     inside = [(v >= F.col("pos")[k]) & (v < F.col("pos")[k] + F.col("size")[k]) for v, k in bounds]
     volume = F.aggregate("size", F.lit(1.0), lambda p, s: p * s)
-    hit = pixels.join(F.broadcast(cuboids), inside[0] & inside[1] & inside[2])
+    if buckets.is_small(cuboids):
+        hit = pixels.join(F.broadcast(cuboids), inside[0] & inside[1] & inside[2])
+    else:
+        mean = cuboids.agg(*[F.greatest(F.lit(1.0), F.avg(F.col("size")[k])) for k in range(3)]).first()
+        listed = cuboids
+        for k in range(3):
+            low, high = F.floor(F.col("pos")[k] / mean[k]), F.floor((F.col("pos")[k] + F.col("size")[k]) / mean[k])
+            listed = listed.withColumn(f"cell{k}", F.explode(F.sequence(low, high)))
+        celled = pixels.withColumns({f"cell{k}": F.floor(v / mean[k]) for v, k in bounds})
+        hit = celled.join(listed, [f"cell{k}" for k in range(3)]).where(inside[0] & inside[1] & inside[2])
     return hit.withColumn("volume", volume).groupBy("id", "volume").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 def template_match(pixels: DataFrame, template: DataFrame, positions: DataFrame) -> DataFrame:
-    """Squared difference of a template (y, x, t) with every frame at offsets (dy, dx) over the overlap; offsets without overlap give no row."""
-    placed = template.join(F.broadcast(positions)).select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "t")
-    return pixels.join(F.broadcast(placed), ["y", "x"]).groupBy("video_id", "frame_idx", "dy", "dx").agg(F.sum((F.col("v") - F.col("t")) * (F.col("v") - F.col("t"))).alias("ssd"), F.count(F.lit(1)).alias("n"))
+    """Squared difference of a template (y, x, t) with every frame at offsets (dy, dx) over the overlap; offsets without overlap give no row.
+
+    The template is moved to every position, which is the work asked for; it goes to every task only up to SMALL rows.
+    """
+    offsets = positions.agg(F.collect_list(F.struct("dy", "dx"))).first()[0] if buckets.is_small(positions) else None
+    if offsets is not None:
+        moves = F.array(*[F.struct(F.lit(o["dy"]).alias("dy"), F.lit(o["dx"]).alias("dx")) for o in offsets])
+        placed = template.select("y", "x", "t", F.explode(moves).alias("o")).select("y", "x", "t", "o.*")
+    else:
+        placed = template.join(positions)
+    placed = placed.select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "t")
+    placed = F.broadcast(placed) if buckets.is_small(placed) else placed
+    return pixels.join(placed, ["y", "x"]).groupBy("video_id", "frame_idx", "dy", "dx").agg(F.sum((F.col("v") - F.col("t")) * (F.col("v") - F.col("t"))).alias("ssd"), F.count(F.lit(1)).alias("n"))
 
 
 def ring_edges(contours: DataFrame) -> DataFrame:

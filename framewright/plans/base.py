@@ -83,8 +83,9 @@ class Views:
 
     @cached_property
     def files(self) -> DataFrame:
-        n, c = self.table("nation"), self.table("customer")
-        return n.where("n_nationkey <> 12").join(c, c["c_nationkey"] == n["n_nationkey"]).groupBy((F.col("n_nationkey") + 1).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+        """Numbered files of ten frames each; number 13 is missing."""
+        number = F.floor(F.col("vec_id") / 10).cast("long") + 1
+        return self.table("embeddings").groupBy(number.alias("idx")).agg(F.count(F.lit(1)).alias("n")).where("idx <> 13")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -117,7 +118,7 @@ SQL_VIEWS = {
     "profiles": "select curve_id, i, case when max(i) over (partition by curve_id) > 0 then i / cast(max(i) over (partition by curve_id) as double) else 0 end as x, y from tracks",
     "rects": "select p_partkey as rect_id, cast(p_partkey % 100 as double) as x, cast((p_size * 7) % 400 as double) as y, cast(5 + p_partkey % 17 as double) as w, cast(20 + p_size as double) as h from part",
     "contours": "select t.curve_id as poly_id, d.i, 50 + d.dx * (3 + cast(t.x as int) % 10) as x, 50 + d.dy * (3 + cast(t.x as int) % 10) as y from tracks t join (values (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)) as d(i, dx, dy) on t.i = d.i",
-    "files": "select n_nationkey + 1 as idx, count(*) as n from nation join customer on c_nationkey = n_nationkey where n_nationkey <> 12 group by 1",
+    "files": "select vec_id // 10 + 1 as idx, count(*) as n from embeddings where vec_id // 10 <> 12 group by 1",
     "nodes": "select s_suppkey as node_id, cast(s_suppkey % 37 as double) as x, cast(floor(abs(s_acctbal)) % 101 as double) as y from supplier",
     "edges": "select a.l_orderkey * 100 + a.l_linenumber * 10 + b.l_linenumber as edge_id, min(a.l_suppkey) as n1, min(b.l_suppkey) as n2 from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 group by 1",
     "edge_points": "select edge_id, k as i, case when k < 2 then p.x else q.x end as x, case when k = 0 then p.y else q.y end as y from edges join nodes p on p.node_id = n1 join nodes q on q.node_id = n2, (values (0), (1), (2)) t(k)",

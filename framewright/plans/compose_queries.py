@@ -42,7 +42,7 @@ def g7(s: Views):
 
 
 query("g8_mask_contour", "select * from mask8 m where (select count(*) from mask8 n where n.video_id = m.video_id and n.frame_idx = m.frame_idx and abs(n.y - m.y) + abs(n.x - m.x) = 1) < 4", "mask8")(lambda s: compose.mask_contour(s.mask8))
-query("g9_colors", "select n_nationkey as k, case n_nationkey % 3 when 0 then [255, 0, 0] when 1 then [0, 0, 255] else [255, 255, 255] end as rgb, case n_nationkey % 3 when 2 then 255 else 85 end as grey from nation")(lambda s: s.table("nation").select(F.col("n_nationkey").alias("k"), F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("white")), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("name")).select("k", compose.color(F.col("name")).alias("rgb"), compose.color(F.col("name"), True).alias("grey")))
+query("g9_colors", "select p_partkey as k, case p_partkey % 3 when 0 then [255, 0, 0] when 1 then [0, 0, 255] else [255, 255, 255] end as rgb, case p_partkey % 3 when 2 then 255 else 85 end as grey from part")(lambda s: s.table("part").select(F.col("p_partkey").alias("k"), F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("white")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("name")).select("k", compose.color(F.col("name")).alias("rgb"), compose.color(F.col("name"), True).alias("grey")))
 
 
 @query("g10_layers", "select video_id, frame_idx, y, x, case when y = 2 then 99 when x = 3 then 7 when v >= 140 then 255 else v end as v from pixels8", "pixels8")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from framewright.functions.iterate import shared_path
 from framewright.operators import frames, temporal
 from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import NEXT
@@ -15,8 +13,7 @@ from framewright.sources import catalog
 
 def scratch(s: Views, name: str) -> str:
     """A new path in the shared folder that the session names."""
-    base = s.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-frames-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_path(s.spark)}-{name}"
 
 
 query("a1_catalogue", "select video_id, max(x) + 1 as width, max(y) + 1 as height, count(distinct frame_idx) as frame_count, false as is_color from pixels8 group by 1", "pixels8")(lambda s: catalog.video_catalogue(s.pixels8))
@@ -29,6 +26,15 @@ def a2(s: Views):
     return catalog.unpack(catalog.read_frames(s.spark, path)).drop("c")
 
 
+@query("a3_images", "select 0 as video_id, dense_rank() over (order by video_id, frame_idx) - 1 as frame_idx, y, x, 0 as c, v from pixels8", "pixels8")
+def a3(s: Views):
+    """All frames as image files, read back as a stack."""
+    path = scratch(s, "images")
+    catalog.write_images(s.frames8, path)
+    return catalog.read_images(s.spark, path)
+
+
+query("a12_gaps", "select curve_id, min(i) filter (i > 0 and i % 5 <> 3) as leading, count(*) + 2 - max(i) filter (i > 0 and i % 5 <> 3) as trailing, count(*) + 2 - max(i) filter (i > 0 and i % 5 <> 3) < greatest(5, 0.01 * (count(*) + 3)) as ended from tracks group by 1 having max(i) > 0", "tracks")(lambda s: catalog.gaps(s.tracks.where("i > 0 and i % 5 <> 3"), "curve_id", "i", s.tracks.groupBy("curve_id").agg((F.count(F.lit(1)) + 3).alias("n")).where("n > 4")))
 query("a4_concatenate", "select idx, n, coalesce(sum(n) over (order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from files", "files")(lambda s: catalog.concatenated(s.files))
 query("a4_agree", "select count(distinct (25.0, 8, 8, false)) <= 1 as agree from files", "files")(lambda s: catalog.agreeing(s.files.withColumns({"fps": F.lit(25.0), "width": F.lit(8), "height": F.lit(8), "is_color": F.lit(False)})))
 query("a5_contiguous", "select idx, n from (select *, idx - row_number() over (order by idx) as g from files where idx >= 1) where g = 0", "files")(lambda s: catalog.contiguous(s.files, 1))

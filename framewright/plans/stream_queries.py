@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewright.functions.iterate import cut
 from framewright.operators import compose, frames
 from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import NEXT, rounded
@@ -11,10 +12,17 @@ from framewright.plans.source_queries import scratch
 from framewright.streaming import streams
 
 
-def landed(s: Views, files: int = 4) -> str:
-    """The frames as files that a stream picks up one by one, in order of the frame number."""
-    path = scratch(s, "stream")
-    s.frames8.repartitionByRange(files, "frame_idx").sortWithinPartitions("frame_idx").write.parquet(path)
+#: Frames of a file that a stream picks up.
+FILE_FRAMES = 5000
+
+
+def landed(s: Views) -> str:
+    """The frames as files that a stream picks up one by one, in order of the frame number: four, or one for FILE_FRAMES frames."""
+    path, files = scratch(s, "stream"), max(4, -(-s.frames8.count() // FILE_FRAMES))
+    last = s.frames8.agg(F.max("frame_idx")).first()[0] or 0
+    kept = cut(s.frames8.withColumn("part", F.floor(F.col("frame_idx") * files / (last + 1))))
+    for part in range(files):  # one after another, as files come to a stream
+        kept.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -27,8 +35,12 @@ def sink(s: Views, stream, mode: str = "append"):
 
 @query("h1_differences", f"select video_id, frame_idx, list(v order by y, x) as data from (select video_id, y, x, frame_idx, {NEXT} - v as v from pixels8) where v is not null group by 1, 2", "pixels8")
 def h1(s: Views):
-    s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return sink(s, streams.differences(streams.read_stream(s.spark, landed(s), 100)))
+    key, before = "spark.sql.streaming.stateStore.providerClass", s.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    s.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return sink(s, streams.differences(streams.read_stream(s.spark, landed(s))))
+    finally:
+        s.spark.conf.set(key, before)
 
 
 @query("h2_running", "select video_id, y, x, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, count(*) as n from pixels8 group by 1, 2, 3", "pixels8")

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,20 +48,58 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRAMES).parquet(path).withColumn("file", F.input_file_name())
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _byte_values(data: pd.Series) -> pd.Series:
+    """The bytes of each value as numbers."""
+    return data.map(lambda raw: np.frombuffer(raw, np.uint8).astype(np.int32))
+
+
+def png(height: int, width: int, channels: int, data) -> bytes:
+    """An image file of a packed frame, grey or red, green, blue."""
+    rows = np.asarray(data, np.uint8).reshape(height, width * channels)
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)
+    parts = ((b"IHDR", head), (b"IDAT", zlib.compress(lines)), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in parts)
+
+
+def write_images(frames: DataFrame, folder: str) -> int:
+    """Writes each packed frame as an image below `folder` (a URI that all machines reach), named by video and frame number; how many."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with files.open_output_stream(f"{root}/{r['video_id']:08d}-{r['frame_idx']:012d}.png") as out:
+                    out.write(png(r["height"], r["width"], r["channels"], r["data"]))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return frames.select("video_id", "frame_idx", "height", "width", "channels", "data").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_images(spark: SparkSession, pattern: str) -> DataFrame:
     """An image stack: the sorted paths number the frames; pixels come as blue, green, red."""
     images = spark.read.format("image").load(pattern).select("image.*")
     order = images.select("origin").distinct().select("origin", (F.row_number().over(Window.orderBy("origin")) - 1).cast("long").alias("frame_idx"))  # paths only
     known = images.join(order, "origin").where("height > 0")
-    p = known.select("frame_idx", "width", "nChannels", F.posexplode(F.transform(F.split(F.regexp_replace(F.hex("data"), "(..)", "$1 "), " "), lambda h: F.conv(h, 16, 10).cast("int"))).alias("p", "v")).where("v is not null")
+    p = known.select("frame_idx", "width", "nChannels", F.posexplode(_byte_values("data")).alias("p", "v"))
     cell = F.floor(F.col("p") / F.col("nChannels"))
     return p.select(F.lit(0).alias("video_id"), "frame_idx", F.floor(cell / F.col("width")).cast("int").alias("y"), (cell % F.col("width")).cast("int").alias("x"), (F.col("p") % F.col("nChannels")).alias("c"), "v")
 
 
+#: Numbers of a block of files whose lengths are added up together.
+BLOCK = 4096
+
+
 def concatenated(files: DataFrame) -> DataFrame:
-    """Running frame offset of numbered files (idx, n). One row a file: the window runs over the file list only."""
-    before = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("idx", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    """Running frame offset of numbered files (idx, n). Sums of blocks of BLOCK numbers are added up first, then those within a block."""
+    numbered = files.select("idx", "n", F.floor(F.col("idx") / BLOCK).alias("block"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = numbered.groupBy("block").agg(F.sum("n").alias("sum")).select("block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    inner = Window.partitionBy("block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    placed = numbered.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(blocks, "block")
+    return placed.select("idx", "n", (F.col("start") + F.col("inner")).alias("offset"))
 
 
 def agreeing(files: DataFrame) -> DataFrame:
@@ -64,13 +110,19 @@ def agreeing(files: DataFrame) -> DataFrame:
 def contiguous(files: DataFrame, start: int, stop: int | None = None) -> DataFrame:
     """Files numbered from `start` up to the first gap, or `stop`."""
     known = files.where((F.col("idx") >= start) & (F.lit(True) if stop is None else F.col("idx") <= stop))
-    return known.withColumn("g", F.col("idx") - F.row_number().over(Window.orderBy("idx"))).where(F.col("g") == start - 1).drop("g")
+    last = known.select("idx").join(known.select((F.col("idx") - 1).alias("idx")), "idx", "left_anti").agg(F.min("idx")).first()[0]
+    if last is None or not known.where(F.col("idx") == start).take(1):
+        return known.where("false")
+    return known.where(F.col("idx") <= last)
 
 
 def locate(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """File and local frame of global frame numbers (`frame`); the offsets are broadcast (one row a file)."""
-    at = concatenated(files)
-    return wanted.join(F.broadcast(at), (F.col("frame") >= F.col("offset")) & (F.col("frame") < F.col("offset") + F.col("n"))).select("frame", "idx", (F.col("frame") - F.col("offset")).alias("local"))
+    """File and local frame of global frame numbers (`frame`): an equi-join on ranges of an average file's length."""
+    at = concatenated(files).where("n > 0")
+    size = max(1, round(at.agg(F.avg("n")).first()[0] or 1))
+    spans = at.withColumn("cell", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((F.col("offset") + F.col("n") - 1) / size))))
+    found = wanted.withColumn("cell", F.floor(F.col("frame") / size)).join(spans, "cell").where("frame >= offset and frame < offset + n")
+    return found.select("frame", "idx", (F.col("frame") - F.col("offset")).alias("local"))
 
 
 def overwrite(pixels: DataFrame, patch: DataFrame, upsert: bool = False) -> DataFrame:
@@ -96,8 +148,16 @@ def refreshed(catalogue: DataFrame, found: DataFrame) -> DataFrame:
     return catalogue.select("idx", "fps", "duration", F.lit(False).alias("is_new")).unionByName(fresh)
 
 
+def gaps(series: DataFrame, key: str, index: str, lengths: DataFrame) -> DataFrame:
+    """What `filled` cannot fill, by key: `leading` indices before the first value; `trailing` ones after the last, and whether the series
+    may end there (`ended`: fewer than 5, or than a hundredth of the length). `lengths` has key and n, the length that is promised."""
+    ends = series.groupBy(key).agg(F.min(index).alias("a"), F.max(index).alias("z"))
+    known = lengths.join(ends, key, "left").select(key, "n", F.coalesce("a", "n").alias("leading"), F.coalesce(F.col("n") - 1 - F.col("z"), F.lit(0)).alias("trailing"))
+    return known.select(key, "leading", "trailing", ((F.col("trailing") < 5) | (F.col("trailing") < 0.01 * F.col("n"))).alias("ended"))
+
+
 def filled(series: DataFrame, key: str, index: str, value: str) -> DataFrame:
-    """Missing indices between the first and last take the last value before them."""
+    """Missing indices between the first and last take the last value before them; `gaps` tells what lies outside."""
     dense = series.groupBy(key).agg(F.min(index).alias("a"), F.max(index).alias("z")).select(key, F.explode(F.sequence("a", "z")).alias(index))
     last = F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return dense.join(series.select(key, index, value), [key, index], "left").select(key, index, last.alias(value))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +21,26 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
 
 
 class PreviousFrame(StatefulProcessor):
-    """Keeps the last frame of each video; a gap in the numbers starts anew. Frames of a video must arrive in order."""
+    """Keeps the last frame of each video; a gap in the numbers starts anew. Frames of a video must arrive in order, trigger by trigger;
+    how many come at once is bounded by the files of a trigger."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "frame_idx long, data array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        out = []
-        for frame in pd.concat(list(rows)).sort_values("frame_idx").itertuples():
-            data = [int(v) for v in frame.data]
-            if held is not None and held[0] == frame.frame_idx - 1:
-                out.append((int(key[0]), int(held[0]), [a - b for a, b in zip(data, held[1], strict=True)]))
-            held = (int(frame.frame_idx), data)
+        state = self.last.get() if self.last.exists() else None
+        held = None if state is None else (state[0], np.array(state[1], np.int32))
+        batch = pd.concat(list(rows)).sort_values("frame_idx")  # one trigger's frames of one video: as many as its files hold
+        numbers, differences = [], []
+        for number, data in zip(batch["frame_idx"].tolist(), batch["data"], strict=True):
+            data = np.asarray(data, np.int32)
+            if held is not None and held[0] == number - 1:
+                numbers.append(held[0])
+                differences.append(data - held[1])
+            held = (number, data)
         if held is not None:
-            self.last.update(held)
-        yield pd.DataFrame(out, columns=["video_id", "frame_idx", "data"])
+            self.last.update((int(held[0]), held[1].tolist()))
+        yield pd.DataFrame({"video_id": pd.Series([key[0]] * len(numbers), dtype="int32"), "frame_idx": pd.Series(numbers, dtype="int64"), "data": differences})
 
     def close(self) -> None:
         pass

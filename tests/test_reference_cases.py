@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import buckets, iterate
-from framewright.operators import compose, curves, frames, graphs, regions
+from framewright.operators import compose, curves, frames, graphs, regions, shapes
+from framewright.sources import catalog
 
 PIXEL = "video_id long, frame_idx long, y int, x int"
 
@@ -157,3 +158,37 @@ def test_merging_prefers_the_first_orientation(spark):
     points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (2, 0, 1.0, 0.0), (2, 1, 0.0, 0.0)], "curve_id long, i int, x double, y double")
     merged, apart = curves.merge_pairs(points, spark.createDataFrame([(9, 1, 2), (8, 2, 1)], "pair_id long, c1 long, c2 long"))
     assert [r["x"] for r in merged.where("pair_id = 9").orderBy("i").collect()] == [0, 1, 1, 0] and apart.count() == 0
+
+
+def test_labels_of_a_long_winding_region(spark):
+    cells = [(1, 0, y, x) for y in range(0, 40, 2) for x in range(40)] + [(1, 0, y, 39 if y % 4 == 1 else 0) for y in range(1, 39, 2)]
+    found = regions.label(spark.createDataFrame([*cells, (1, 1, 5, 5)], PIXEL)).groupBy("frame_idx", "label").count().collect()
+    assert {(r["frame_idx"], r["label"], r["count"]) for r in found} == {(0, 1, len(cells)), (1, 1, 1)}
+
+
+def test_frames_by_number_from_both_ends(spark):
+    pixels = spark.createDataFrame([(v, i, 0, 0, 10 * v + i) for v, n in ((1, 3), (2, 5)) for i in range(n)], f"{PIXEL}, v int")
+    videos = spark.createDataFrame([(1, 3), (2, 5)], "video_id long, frame_count long")
+    wanted = spark.createDataFrame([(0,), (-1,), (3,), (-4,)], "idx long")
+    assert {(r["video_id"], r["idx"], r["v"]) for r in frames.get_frames(pixels, videos, wanted).collect()} == {(1, 0, 10), (1, -1, 12), (2, 0, 20), (2, -1, 24), (2, 3, 23), (2, -4, 21)}
+    assert {(r["video_id"], r["idx"]) for r in frames.missing_frames(videos, wanted).collect()} == {(1, 3), (1, -4)}
+
+
+def test_contiguous_files_and_lookups(spark):
+    files = spark.createDataFrame([(i, 3) for i in (1, 2, 3, 5, 6)], "idx long, n long")
+    assert sorted(r["idx"] for r in catalog.contiguous(files, 2).collect()) == [2, 3]
+    assert catalog.contiguous(files, 4).count() == 0 and sorted(r["idx"] for r in catalog.contiguous(files, 5, 5).collect()) == [5]
+    wanted = spark.createDataFrame([(0,), (8,), (9,), (14,), (15,)], "frame long")
+    assert {tuple(r) for r in catalog.locate(files, wanted).collect()} == {(0, 1, 0), (8, 3, 2), (9, 5, 0), (14, 6, 2)}
+    many = spark.range(1, 10_001).select(F.col("id").alias("idx"), F.lit(2).cast("long").alias("n"))
+    assert catalog.concatenated(many).where("offset <> 2 * (idx - 1)").count() == 0
+
+
+def test_many_boxes_meet_pixels_by_cells(spark, monkeypatch):
+    rng = random.Random(2)
+    pixels = [(1, rng.randrange(20), y, x, rng.randrange(9)) for y in range(12) for x in range(12)]
+    boxes = [(i, [rng.randrange(10), rng.randrange(10), rng.randrange(15)], [rng.randrange(1, 6) for _ in range(3)]) for i in range(40)]
+    args = spark.createDataFrame(pixels, f"{PIXEL}, v int"), spark.createDataFrame(boxes, "id int, pos array<int>, size array<int>")
+    plain = {tuple(r) for r in shapes.cuboid_statistics(*args).collect()}
+    monkeypatch.setattr(buckets, "SMALL", 5)
+    assert {tuple(r) for r in shapes.cuboid_statistics(*args).collect()} == plain and plain
