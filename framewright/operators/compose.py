@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.frames import every_nth, resize
@@ -95,6 +95,32 @@ def polylines(segments: DataFrame, width: float = 1.0) -> DataFrame:
     return cells.where(near <= half * half).select("line_id", "y", "x").distinct()
 
 
+def track_lines(points: DataFrame, width: float = 1.0, closed: bool = True, marks: bool = False) -> DataFrame:
+    """Pixels of polylines (line_id, i, x, y): broken at invalid points (x not above 0), each run closed unless `closed` is off; with
+    `marks` a disc of radius 2 * width at every valid vertex."""
+    from framewright.operators import curves
+
+    valid = points.where("x > 0")
+    runs = curves.runs(points.withColumnRenamed("line_id", "curve_id"), F.coalesce(F.col("x") > 0, F.lit(False))).withColumnRenamed("curve_id", "line_id")
+    parts = valid.join(runs, "line_id").where("i >= first and i < stop")
+    order = Window.partitionBy("line_id", "first").orderBy("i")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = {n: F.coalesce(F.lead(n).over(order), F.first(n).over(whole) if closed else F.lit(None).cast("double")) for n in "xy"}
+    segments = parts.select("line_id", "x", "y", after["x"].alias("x2"), after["y"].alias("y2")).where("x2 is not null")
+    drawn = polylines(segments, width)
+    if not marks:
+        return drawn
+    discs_at = discs(valid.select(F.struct("line_id", "i").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py")), 2 * width)
+    return drawn.unionByName(discs_at.select(F.col("point_id.line_id").alias("line_id"), "y", "x")).distinct()
+
+
+def contour_lines(contours: DataFrame, width: float = 1.0) -> DataFrame:
+    """Pixels of closed contours (poly_id, i, x, y)."""
+    from framewright.operators import shapes
+
+    return polylines(shapes.ring_edges(contours).withColumnRenamed("poly_id", "line_id"), width).withColumnRenamed("line_id", "poly_id")
+
+
 def mask_contour(mask: DataFrame) -> DataFrame:
     """Outline pixels of masks: those with a four-neighbour outside."""
     from framewright.functions import kernels

@@ -73,9 +73,7 @@ def centerlines(contours: DataFrame) -> DataFrame:
     """Centre line of each polygon, as an estimate: the way between the farthest points of its mask; poly_id, i, x, y."""
     mask = cut(polygon_mask(contours))
     seeds = mask.groupBy(*regions.FRAME).agg(F.min(F.struct("y", "x")).alias("p")).select(*regions.FRAME, "p.y", "p.x")
-    pair = cut(regions.farthest_pair(mask, seeds))
-    dist = regions.distance_map(mask, pair.select(*regions.FRAME, F.col("y1").alias("y"), F.col("x1").alias("x")))
-    path = regions.walk(pair.select(*regions.FRAME, F.col("y2").alias("y"), F.col("x2").alias("x")), regions.steepest(dist))
+    path = regions.farthest_path(mask, seeds)
     return path.select(F.col("video_id").alias("poly_id"), F.col("pos").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 

@@ -120,11 +120,14 @@ def projection(seg: DataFrame, queries: DataFrame, key: str = "curve_id") -> Dat
     return near.groupBy("query_id", key).agg(F.min(F.struct(F.round("dist", 9).alias("d"), "i", "px", "py")).alias("m")).select("query_id", key, F.col("m.px").alias("px"), F.col("m.py").alias("py"), F.col("m.d").alias("dist"))
 
 
-def smooth(points: DataFrame, sigma: float, derivative: bool = False) -> DataFrame:
-    """Gaussian moving average over the vertices, weights renewed at the ends; optionally its central differences.
+def smooth(points: DataFrame, sigma: float, derivative: bool = False, count: int | None = None) -> DataFrame:
+    """Gaussian moving average over the vertices, weights renewed at the ends; optionally its central differences, and of `count` points at
+    equal arc length instead of the vertices.
 
     A windowed filter, not a smoothing spline: values differ from a spline fit.
     """
+    if count is not None:
+        points = equidistant(points, count)
     reach = math.ceil(3 * sigma)
     weights = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)}
 

@@ -204,6 +204,13 @@ def total_length(edges: DataFrame) -> DataFrame:
     return edges.agg(F.sum("length").alias("length"))
 
 
+def points_on_edges(edge_points: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The vertices with the wanted numbers (edge_id, i); negative ones count from the end."""
+    sizes = edge_points.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = wanted.join(sizes, "edge_id").select("edge_id", F.col("i").alias("asked"), F.when(F.col("i") < 0, F.col("i") + F.col("n")).otherwise(F.col("i")).alias("i"))
+    return edge_points.join(asked, ["edge_id", "i"]).select("edge_id", F.col("asked").alias("i"), "x", "y")
+
+
 def single_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """The edge between each pair of nodes (a, b) and the number of such edges; edge_id is null where there are several."""
     key = edges.select("edge_id", F.least("n1", "n2").alias("lo"), F.greatest("n1", "n2").alias("hi"))

@@ -60,6 +60,31 @@ def thin(mask: DataFrame, height: int, width: int) -> DataFrame:
     return skeleton
 
 
+def thin_guo_hall(mask: DataFrame) -> DataFrame:
+    """Guo-Hall thinning: two conditions on a pixel's eight neighbours, in turn, drop rim pixels until none goes. One shuffle a round, by frame."""
+    #: neighbours in turn, clockwise from the one above
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    bits = F.create_map(*[F.lit(z) for k, (dy, dx) in enumerate(ring) for z in (dy * 4 + dx, 1 << k)])
+
+    def keep(now: DataFrame, odd: bool) -> DataFrame:
+        far = kernels.spread(now.select(*PIXEL, "old"), kernels.box(1))
+        own = (F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x"))
+        bit = F.coalesce(F.element_at(bits, (F.col("oy") - F.col("y")) * 4 + F.col("ox") - F.col("x")), F.lit(0))
+        near = far.groupBy(*PIXEL).agg(F.sum(bit).alias("around"), F.max(F.when(own, F.col("old"))).alias("old")).where("old is not null")
+        p2, p3, p4, p5, p6, p7, p8, p9 = ((F.col("around").bitwiseAND(1 << k)) != 0 for k in range(8))
+        count = lambda *terms: sum((t.cast("int") for t in terms), F.lit(0))
+        turns = count(~p2 & (p3 | p4), ~p4 & (p5 | p6), ~p6 & (p7 | p8), ~p8 & (p9 | p2))
+        pairs = F.least(count(p9 | p2, p3 | p4, p5 | p6, p7 | p8), count(p2 | p3, p4 | p5, p6 | p7, p8 | p9))
+        side = ((p2 | p3 | ~p5) & p4) if odd else ((p6 | p7 | ~p9) & p8)
+        return near.where(~((turns == 1) & pairs.between(2, 3) & ~side)).select(*PIXEL, "old")
+
+    now, left = cut(mask.select(*PIXEL)), -1
+    while (count := now.count()) != left:
+        left = count
+        now = cut(keep(keep(kernels.by_frame(now).withColumn("old", F.lit(1)), False), True).select(*PIXEL))
+    return now
+
+
 def peaks(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Pixels that equal the maximum of their 3x3 neighbourhood, plateaus included, but not inside a zero background (all zero around)."""
     own = F.max(F.when((F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x")), F.col("v")))
@@ -148,11 +173,15 @@ def bounding_box(labels: DataFrame, expand: int = 0) -> DataFrame:
     return box.select(*FRAME, "label", *[(F.col(n) - expand).alias(n) for n in ("left", "top")], *[(F.col(n) + 2 * expand).alias(n) for n in ("width", "height")])
 
 
-def distance_map(mask: DataFrame, seeds: DataFrame) -> DataFrame:
+def distance_map(mask: DataFrame, seeds: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Length of the shortest way inside the mask from the seeds (which have 2): straight steps 1, diagonal ones sqrt(2).
 
     Steps are counted as whole numbers (a, b), so equal lengths are exactly equal. Only pixels improved in the last round spread.
+    With `ends`, a frame stops at the nearest of its end pixels: pixels farther than it have no row, and do not spread. Frames
+    whose ends cannot be reached are filled.
     """
+    if ends is not None:
+        return _distances_to(mask, seeds, ends)
     length = 2 + F.col("a") + F.col("b") * F.lit(ROOT2)
     inside = cut(mask.select(*PIXEL))
     start = seeds.select(*PIXEL).distinct().withColumns({"a": F.lit(0), "b": F.lit(0)}).select("*", length.alias("d"), F.lit(True).alias("fresh"))
@@ -170,6 +199,28 @@ def distance_map(mask: DataFrame, seeds: DataFrame) -> DataFrame:
     return until_stable(start, step).select(*PIXEL, "a", "b", "d")
 
 
+def _distances_to(mask: DataFrame, seeds: DataFrame, ends: DataFrame) -> DataFrame:
+    """As `distance_map`, within the distance of the nearest end; once an end is reached, whatever is farther leaves the rounds."""
+    goal = ends.select(*PIXEL).distinct()
+    length = 2 + F.col("a") + F.col("b") * F.lit(ROOT2)
+    inside = cut(mask.select(*PIXEL).join(goal.withColumn("goal", F.lit(True)), PIXEL, "left"))
+    start = seeds.select(*PIXEL).distinct().join(inside, PIXEL).select(*PIXEL, F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(2.0).alias("d"), "goal", F.lit(True).alias("fresh"))
+
+    def step(now: DataFrame) -> DataFrame:
+        far = kernels.spread(now.where("fresh").select(*PIXEL, "a", "b"), kernels.EIGHT)
+        bent = (F.col("oy") != F.col("y")) & (F.col("ox") != F.col("x"))
+        far = far.select(*PIXEL, (F.col("a") + F.when(bent, 0).otherwise(1)).alias("a"), (F.col("b") + F.when(bent, 1).otherwise(0)).alias("b")).join(inside, PIXEL)
+        far = far.select(*PIXEL, F.struct(length.alias("d"), "a", "b").alias("s"), F.lit(None).cast("double").alias("old"), "goal")
+        every = far.unionByName(now.select(*PIXEL, F.struct("d", "a", "b").alias("s"), F.col("d").alias("old"), "goal"))
+        best = every.groupBy(*PIXEL).agg(F.min("s").alias("s"), F.max("old").alias("old"), F.max("goal").alias("goal"))
+        reached = F.min(F.when(F.col("goal"), F.col("s.d"))).over(Window.partitionBy(*FRAME))
+        near = best.withColumn("reached", reached).where("reached is null or s.d <= reached")
+        fresh = F.coalesce(F.col("s.d") < F.col("old"), F.lit(True))
+        return near.select(*PIXEL, "s.a", "s.b", "s.d", "goal", fresh.alias("fresh"), fresh.alias("changed"))
+
+    return until_stable(start, step).select(*PIXEL, "a", "b", "d")
+
+
 def steepest(dist: DataFrame) -> DataFrame:
     """Each pixel's best descent (ny, nx): the neighbour with the largest drop by length, first in row order if tied; null at the bottom."""
     own = dist.select(*PIXEL, F.col("d").alias("own"))
@@ -215,6 +266,13 @@ def farthest_pair(mask: DataFrame, seeds: DataFrame) -> DataFrame:
     return cut(done)
 
 
+def farthest_path(mask: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The pixels of a longest way between two pixels of each frame's mask, with `pos` from its second end."""
+    pair = cut(farthest_pair(mask, seeds))
+    dist = distance_map(mask, pair.select(*FRAME, F.col("y1").alias("y"), F.col("x1").alias("x")))
+    return walk(pair.select(*FRAME, F.col("y2").alias("y"), F.col("x2").alias("x")), steepest(dist))
+
+
 #: Steps of the 5x5 chamfer metric along an axis, a diagonal, and a knight's move.
 AXIS, DIAGONAL, KNIGHT = 1.0, 1.4, 2.1969
 

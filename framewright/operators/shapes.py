@@ -15,10 +15,11 @@ def _ring() -> Window:
     return Window.partitionBy("poly_id").orderBy("i")
 
 
-def bounding_rects(points: DataFrame, key: str, margin: float = 0.0) -> DataFrame:
-    """Exclusive bounding rectangle of each point set, with a margin on all sides."""
+def bounding_rects(points: DataFrame, key: str, margin: float = 0.0, inclusive: bool = False) -> DataFrame:
+    """Bounding rectangle of each point set, with a margin on all sides; `inclusive` counts the corners' own cells, one more each way."""
+    more = 2 * margin + (1 if inclusive else 0)
     box = points.groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    return box.select(key, (F.col("x0") - margin).alias("x"), (F.col("y0") - margin).alias("y"), (F.col("x1") - F.col("x0") + 2 * margin).alias("w"), (F.col("y1") - F.col("y0") + 2 * margin).alias("h"))
+    return box.select(key, (F.col("x0") - margin).alias("x"), (F.col("y0") - margin).alias("y"), (F.col("x1") - F.col("x0") + more).alias("w"), (F.col("y1") - F.col("y0") + more).alias("h"))
 
 
 def points_in_rects(points: DataFrame, rects: DataFrame, size: float) -> DataFrame:
@@ -216,6 +217,33 @@ def angle_column(index: Column, count: int) -> Column:
     return index * (2 * math.pi / count)
 
 
+def contour_eccentricity(contours: DataFrame) -> DataFrame:
+    """Eccentricity of each polygon's area, from the eigenvalues of its central moments; null without area."""
+    m = contour_moments(contours).where("m00 <> 0")
+    cx, cy = F.col("m10") / F.col("m00"), F.col("m01") / F.col("m00")
+    a, b, c = (F.round(F.col(n) / F.col("m00") - p, 9) for n, p in (("m20", cx * cx), ("m11", cx * cy), ("m02", cy * cy)))
+    spread = F.sqrt(4 * b * b + (a - c) * (a - c))
+    figures = m.select("poly_id", (a + c + spread).alias("big"), F.greatest(a + c - spread, F.lit(0.0)).alias("small"))
+    return figures.select("poly_id", F.when(F.col("big") > 0, F.sqrt(1 - F.col("small") / F.col("big"))).alias("eccentricity"))
+
+
+def arc_figures(arcs: DataFrame) -> DataFrame:
+    """Of arcs (id, cx, cy, r, start, stop; counter-clockwise angles, stop >= start): length, sector area, centroid of the line, bounds, end tangents."""
+    span = F.col("stop") - F.col("start")
+    at = {n: F.struct((F.col("cx") + F.col("r") * F.cos(a)).alias("x"), (F.col("cy") + F.col("r") * F.sin(a)).alias("y")) for n, a in (("p0", F.col("start")), ("p1", F.col("stop")))}
+    quarters = F.sequence(F.ceil(F.col("start") / (math.pi / 2) - 1e-12), F.floor(F.col("stop") / (math.pi / 2) + 1e-12))
+    turns = F.when(F.ceil(F.col("start") / (math.pi / 2) - 1e-12) <= F.floor(F.col("stop") / (math.pi / 2) + 1e-12), quarters).otherwise(F.array().cast("array<bigint>"))
+    extremes = F.transform(turns, lambda k: F.struct((F.col("cx") + F.col("r") * F.cos(k * (math.pi / 2))).alias("x"), (F.col("cy") + F.col("r") * F.sin(k * (math.pi / 2))).alias("y")))
+    every = arcs.withColumns({"span": span, **at}).withColumn("on", F.concat(F.array("p0", "p1"), extremes))
+    middle, chord = (F.col("start") + F.col("stop")) / 2, F.when(F.col("span") > 0, 2 * F.sin(F.col("span") / 2) / F.col("span")).otherwise(1.0)
+    xs, ys = F.transform("on", lambda p: p["x"]), F.transform("on", lambda p: p["y"])
+    low, high = ({"x": f(xs), "y": f(ys)} for f in (F.array_min, F.array_max))
+    centroid = [(F.col("cx") + F.col("r") * chord * F.cos(middle)).alias("mx"), (F.col("cy") + F.col("r") * chord * F.sin(middle)).alias("my")]
+    bounds = [low["x"].alias("x"), low["y"].alias("y"), (high["x"] - low["x"]).alias("w"), (high["y"] - low["y"]).alias("h")]
+    tangents = [(-F.sin("start")).alias("tx"), F.cos("start").alias("ty")]
+    return every.select("id", (F.col("r") * F.col("span")).alias("length"), (F.col("r") * F.col("r") * F.col("span") / 2).alias("area"), *centroid, *bounds, *tangents)
+
+
 def region_outlines(mask: DataFrame) -> DataFrame:
     """Boundary of each frame's largest region as ordered corner points, outer rings only: video_id, frame_idx, i, x, y.
 

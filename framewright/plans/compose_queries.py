@@ -41,6 +41,14 @@ def g7(s: Views):
     return compose.polylines(s.rects.select(k.alias("line_id"), *[(k % m).cast("double").alias(n) for n, m in (("x", 8), ("y", 5), ("x2", 7), ("y2", 6))]), 2.0)
 
 
+@query("g7_track_lines")
+def g7_tracks(s: Views):
+    """Tracks as open lines on a coarse grid, broken where x is not above 0, with marks."""
+    coarse = s.tracks.select(F.col("curve_id").alias("line_id"), "i", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
+    return compose.track_lines(coarse, 1.0, closed=False, marks=True)
+
+
+query("g8_contour_lines")(lambda s: compose.contour_lines(s.contours))
 query("g8_mask_contour", "select * from mask8 m where (select count(*) from mask8 n where n.video_id = m.video_id and n.frame_idx = m.frame_idx and abs(n.y - m.y) + abs(n.x - m.x) = 1) < 4", "mask8")(lambda s: compose.mask_contour(s.mask8))
 query("g9_colors", "select p_partkey as k, case p_partkey % 3 when 0 then [255, 0, 0] when 1 then [0, 0, 255] else [255, 255, 255] end as rgb, case p_partkey % 3 when 2 then 255 else 85 end as grey from part")(lambda s: s.table("part").select(F.col("p_partkey").alias("k"), F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("white")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("name")).select("k", compose.color(F.col("name")).alias("rgb"), compose.color(F.col("name"), True).alias("grey")))
 

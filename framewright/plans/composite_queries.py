@@ -20,5 +20,11 @@ def e35(s: Views):
     return rounded(composites.active_contours(points, slopes, (8, 8), 8, alpha=0.1, beta=1.0, gamma=0.002), "x", "y")
 
 
+def moved(s: Views):
+    """The contours, which lie within 36..64, moved to the corner."""
+    return s.contours.select("poly_id", "i", (F.col("x") - 36).alias("x"), (F.col("y") - 36).alias("y"))
+
+
 query("e36_centerlines")(lambda s: composites.centerlines(s.contours))
+query("e36_centerlines_optimised")(lambda s: rounded(composites.optimised_centerlines(moved(s), (28, 28), 12), "x", "y"))
 query("e36_centerlines_smooth")(lambda s: rounded(composites.smooth_centerlines(s.contours, 1.0, 2.0), "x", "y"))

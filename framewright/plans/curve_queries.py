@@ -77,7 +77,10 @@ def e9(s: Views):
     return rounded(curves.smooth(s.tracks, 1.0), "x", "y")
 
 
-query("e9_derivative")(lambda s: rounded(curves.smooth(s.tracks, 1.0, True), "x", "y"))
+SMOOTH = "w(k, g) as (select k, exp(-k * k / 2.0) from range(-3, 4) t(k)), j as (select a.curve_id, a.i, sum(b.x * g) / sum(g) as x, sum(b.y * g) / sum(g) as y from {0} a join w on true join {0} b on b.curve_id = a.curve_id and b.i = a.i + k group by 1, 2)"
+STEP = "round((coalesce(lead({0}) over o, {0}) - coalesce(lag({0}) over o, {0})) / nullif((lead({0}) over o is not null)::int + (lag({0}) over o is not null)::int, 0), 4) as {0}"
+query("e9_counted", sampled("total / 19", "20").replace("with ", "with ", 1).replace(f"select curve_id, cast(k as int) as i, {LERP} from grid", f", even as (select curve_id, cast(k as int) as i, {LERP.replace('round(', '(').replace(', 4)', ')')} from grid), {SMOOTH.format('even')} select curve_id, i, round(x, 4) as x, round(y, 4) as y from j"), "tracks")(lambda s: rounded(curves.smooth(s.tracks, 1.0, count=20), "x", "y"))
+query("e9_derivative", f"with {SMOOTH.format('tracks')} select curve_id, i, {STEP.format('x')}, {STEP.format('y')} from j window o as (partition by curve_id order by i)", "tracks")(lambda s: rounded(curves.smooth(s.tracks, 1.0, True), "x", "y"))
 
 POINTS = "pts as (select rect_id as point_id, v.video_id, v.frame_idx, (rect_id % 13) * 0.5 as px, ((rect_id * 7) % 27) * 0.25 as py from rects join (select distinct video_id, frame_idx from pixels8) v on v.video_id = rect_id % 10 and v.frame_idx = rect_id % 7)"
 BILINEAR = "taps as (select p.*, floor(px) + a as x, floor(py) + b as y, (case when a = 1 then px - floor(px) else 1 - px + floor(px) end) * (case when b = 1 then py - floor(py) else 1 - py + floor(py) end) as w from pts p, range(2) s(a), range(2) t(b)), val as (select t.point_id, t.video_id, t.frame_idx, sum(w * v) as v from taps t join pixels8 q on q.video_id = t.video_id and q.frame_idx = t.frame_idx and q.x = t.x and q.y = t.y where w > 0 group by 1, 2, 3)"

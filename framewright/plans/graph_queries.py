@@ -44,6 +44,8 @@ def f1(s: Views):
 
 
 
+query("f13_points_on_edges", "select edge_id, k as i, x, y from edge_points, (values (1), (-1)) t(k) where i = case when k = 1 then 1 else 2 end", "edge_points")(lambda s: graphs.points_on_edges(s.edge_points, s.edges.select("edge_id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("i"))))
+
 
 def skeletons(s: Views):
     return graphs.skeleton_graph(regions.thin(s.mask8, 8, 8))

@@ -113,6 +113,17 @@ def d20(s: Views):
     return rounded(regions.background_distance(s.mask8, 8, 8), "d")
 
 
+query("d5_thin_guo_hall")(lambda s: regions.thin_guo_hall(s.mask8))
+query("d19_farthest_path")(lambda s: regions.farthest_path(*few(s)))
+
+
+@query("d17_distance_to_end", f"with {WAYS}, goal as (select {KEY}, max(y * 8 + x) as cell from region group by all), stop as (select d.video_id, d.frame_idx, d.d from dist d join goal g on d.video_id = g.video_id and d.frame_idx = g.frame_idx and d.y * 8 + d.x = g.cell) select d.video_id, d.frame_idx, d.y, d.x, round(d.d, 6) as d from dist d join stop s on d.video_id = s.video_id and d.frame_idx = s.frame_idx and d.d <= s.d + 1e-9", "mask8")
+def d17_end(s: Views):
+    region, first = few(s)
+    last = region.groupBy(*regions.FRAME).agg(F.max(F.struct("y", "x")).alias("p")).select(*regions.FRAME, "p.y", "p.x")
+    return rounded(regions.distance_map(region, first, last).select(*regions.PIXEL, "d"), "d", digits=6)
+
+
 query("d5_thin")(lambda s: regions.thin(s.mask8, 8, 8))
 query("f2_neighbours", f"select m.video_id, m.frame_idx, m.y, m.x, count(n.y) as n from mask8 m left join mask8 n on n.video_id = m.video_id and n.frame_idx = m.frame_idx and greatest(abs(n.y - m.y), abs(n.x - m.x)) = 1 group by all", "mask8")(lambda s: neighbour_counts(s.mask8))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from framewright.functions import kernels
@@ -12,6 +14,9 @@ from framewright.plans.frame_queries import rounded, sql_table
 query("e14_bounding_rects", "select curve_id, min(x) - 2 as x, min(y) - 2 as y, max(x) - min(x) + 4 as w, max(y) - min(y) + 4 as h from tracks group by 1", "tracks")(lambda s: shapes.bounding_rects(s.tracks, "curve_id", 2.0))
 
 
+query("e14_inclusive", "select curve_id, min(x) as x, min(y) as y, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h from tracks group by 1", "tracks")(lambda s: shapes.bounding_rects(s.tracks, "curve_id", 0.0, True))
+
+
 @query("e15_points_in_rects", "select t.curve_id, t.i, r.rect_id from tracks t join rects r on t.x between r.x and r.x + r.w and t.y between r.y and r.y + r.h", "tracks rects")
 def e15(s: Views):
     return shapes.points_in_rects(s.tracks, s.rects, 20.0).select("curve_id", "i", "rect_id")
@@ -49,6 +54,9 @@ TERMS = {"m00": "c / 2", "m10": "(x + x2) * c / 6", "m01": "(y + y2) * c / 6", "
 query("e20_contour_moments", f"with {RING}, c as (select *, (x * y2 - x2 * y)::double as c from ring) select poly_id, {', '.join(f'round(sum({e}), 3) as {n}' for n, e in TERMS.items())} from c group by 1", "contours")(lambda s: rounded(shapes.contour_moments(s.contours), *TERMS, digits=3))
 
 
+query("e20_eccentricity", f"with {RING}, c as (select *, (x * y2 - x2 * y)::double as c from ring), m as (select poly_id, {', '.join(f'sum({e}) as {n}' for n, e in TERMS.items())} from c group by 1), t as (select poly_id, round(m20 / m00 - (m10 / m00) ** 2, 9) as a, round(m11 / m00 - m10 * m01 / m00 ** 2, 9) as b, round(m02 / m00 - (m01 / m00) ** 2, 9) as c from m where m00 <> 0), g as (select poly_id, a + c + sqrt(4 * b * b + (a - c) ** 2) as big, greatest(a + c - sqrt(4 * b * b + (a - c) ** 2), 0) as small from t) select poly_id, round(case when big > 0 then sqrt(1 - small / big) end, 3) as eccentricity from g", "contours")(lambda s: rounded(shapes.contour_eccentricity(s.contours), "eccentricity", digits=3))
+
+
 @query("e21_in_polygon", f"with {RING}, p as (select a * 100 + b as point_id, a as px, b as py from range(40, 61) s(a), range(40, 61) t(b)) select poly_id, point_id from ring, p group by 1, 2 having sum(((y > py) <> (y2 > py) and px < (x2 - x) * (py - y) / (y2 - y)::double + x)::int) % 2 = 1", "contours")
 def e21(s: Views):
     grid = s.spark.range(21 * 21).select((40 + F.floor(F.col("id") / 21)).alias("a"), (40 + F.col("id") % 21).alias("b"))
@@ -114,6 +122,11 @@ def circles(s: Views):
 
 
 query("e33_circle_points", "with c as (select rect_id as id, x as cx, y as cy, w / 2 as r, greatest(4, cast(round(2 * pi() * w / 2 / 3) as int)) as n from rects) select id, cast(i as int) as i, round(cx + r * cos(2 * pi() * i / n), 4) as x, round(cy + r * sin(2 * pi() * i / n), 4) as y from c, unnest(range(n)) t(i)", "rects")(lambda s: rounded(shapes.arc_points(circles(s), 3.0), "x", "y"))
+def half_arcs(s: Views):
+    return s.rects.select(F.col("rect_id").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("w") / 2).alias("r"), F.lit(0.0).alias("start"), F.lit(math.pi).alias("stop"))
+
+
+query("e33_half_arcs", "select rect_id as id, round(pi() * w / 2, 4) as length, round(pi() * w * w / 8, 4) as area, round(x, 4) as mx, round(y + w / pi(), 4) as my, round(x - w / 2, 4) as x, round(y, 4) as y, round(w, 4) as w, round(w / 2, 4) as h, 0.0::double as tx, 1.0::double as ty from rects", "rects")(lambda s: rounded(shapes.arc_figures(half_arcs(s)), "length", "area", "mx", "my", "x", "y", "w", "h").withColumns({"tx": F.round("tx", 9) + 0.0, "ty": F.round("ty", 9)}))
 query("e33_circle_figures", "select rect_id as id, round(pi() * w * w / 4, 4) as area, round(pi() * w, 4) as perimeter, x - w / 2 as x, y - w / 2 as y, w, w as h from rects", "rects")(lambda s: rounded(shapes.circle_figures(circles(s)), "area", "perimeter"))
 
 soft, slope, gauss = kernels.convolution([1.0, 4.0, 6.0, 4.0, 1.0], 8), kernels.convolution([-1.0, -2.0, 0.0, 2.0, 1.0], 8), kernels.convolution(kernels.gaussian(1.0), 8)

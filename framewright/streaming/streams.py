@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from framewright.sources.catalog import FRAMES, unpack
 
@@ -64,6 +64,25 @@ def filtered(frames: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> Dat
     return pixels
 
 
+class ProgressLog(StreamingQueryListener):
+    """Keeps the number of rows of every trigger of every stream, by the stream's run: a listener for `spark.streams.addListener`."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, list[int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.runId)] = []
+
+    def onQueryProgress(self, event) -> None:
+        self.rows.setdefault(str(event.progress.runId), []).append(event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def fan_out(frames: DataFrame, checkpoint: str, *consumers: Callable[[DataFrame, int], None]):
     """Several consumers of one stream: every batch is kept once and handed to each in turn."""
 

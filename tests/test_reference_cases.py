@@ -2,13 +2,15 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import buckets, iterate
-from framewright.operators import compose, curves, frames, graphs, regions, shapes
+from framewright.operators import composites, compose, curves, frames, graphs, regions, shapes
 from framewright.sources import catalog
+from framewright.streaming import streams
 
 PIXEL = "video_id long, frame_idx long, y int, x int"
 
@@ -192,3 +194,72 @@ def test_many_boxes_meet_pixels_by_cells(spark, monkeypatch):
     plain = {tuple(r) for r in shapes.cuboid_statistics(*args).collect()}
     monkeypatch.setattr(buckets, "SMALL", 5)
     assert {tuple(r) for r in shapes.cuboid_statistics(*args).collect()} == plain and plain
+
+
+def test_guo_hall_thins_to_lines(spark):
+    bar = {(r["y"], r["x"]) for r in regions.thin_guo_hall(drawn(spark, ["." * 14] + [".############."] * 3 + ["." * 14])).collect()}
+    assert bar and {y for y, _ in bar} == {2} and len(bar) >= 9
+    line = drawn(spark, ["#...", ".#..", "..#.", "...#"])
+    assert regions.thin_guo_hall(line).count() == 4 and regions.thin_guo_hall(line.where("false")).count() == 0
+    rng = random.Random(5)
+    cells = {(y, x) for y in range(12) for x in range(12) if rng.random() < 0.6}
+    thin = {(r["y"], r["x"]) for r in regions.thin_guo_hall(spark.createDataFrame([(1, 0, *c) for c in cells], PIXEL)).collect()}
+
+    def parts(points):
+        left, n = set(points), 0
+        while left:
+            n, stack = n + 1, [left.pop()]
+            while stack:
+                y, x = stack.pop()
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                stack += near
+        return n
+
+    assert thin <= cells and parts(thin) == parts(cells)
+
+
+def test_distances_stop_at_an_end(spark):
+    strip = drawn(spark, ["##########"])
+    seeds, ends = strip.where("x = 2"), strip.where("x in (5, 9)")
+    got = {r["x"]: r["d"] for r in regions.distance_map(strip, seeds, ends).collect()}
+    assert got == {0: 4, 1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert regions.distance_map(strip, seeds, strip.where("x > 99")).count() == 10
+
+
+def test_farthest_path_of_a_snake(spark):
+    snake = drawn(spark, ["#####", "....#", "#####", "#....", "#####"])
+    path = [(r["y"], r["x"]) for r in regions.farthest_path(snake, snake.where("y = 2 and x = 2")).orderBy("pos").collect()]
+    assert {path[0], path[-1]} == {(0, 0), (4, 4)} and all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(path, path[1:]))
+
+
+def test_lines_break_at_invalid_points(spark):
+    track = spark.createDataFrame([(1, 0, 1.0, 1.0), (1, 1, 4.0, 1.0), (1, 2, -1.0, 1.0), (1, 3, 8.0, 1.0), (1, 4, 10.0, 1.0), (1, 5, None, 1.0)], "line_id long, i int, x double, y double")
+    assert sorted(r["x"] for r in compose.track_lines(track, 0.5, closed=False).collect()) == [1, 2, 3, 4, 8, 9, 10]
+    marked = {(r["y"], r["x"]) for r in compose.track_lines(track, 0.5, closed=False, marks=True).collect()}
+    assert {(0, 1), (2, 4), (0, 10)} <= marked and (1, 6) not in marked
+    square = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(((1, 1), (4, 1), (4, 4), (1, 4)))], "poly_id long, i int, x int, y int")
+    assert {(r["y"], r["x"]) for r in compose.contour_lines(square, 0.5).collect()} == {(y, x) for y in range(1, 5) for x in range(1, 5) if y in (1, 4) or x in (1, 4)}
+
+
+def test_optimised_centre_lines_stay_in_a_bar(spark):
+    bar = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(((2, 2), (22, 2), (22, 8), (2, 8)))], "poly_id long, i int, x int, y int")
+    line = composites.optimised_centerlines(bar, (26, 12), 12, rounds=6).orderBy("i").collect()
+    middle = [r["y"] for r in line[4:8]]
+    assert len(line) == 12 and all(3 < y < 7 for y in middle) and abs(line[-1]["x"] - line[0]["x"]) > 15
+
+
+def test_progress_of_streams(spark, tmp_path):
+    log = streams.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        spark.createDataFrame([(1, 0, 1, 1, 1, [5])], streams.FRAMES).write.parquet(str(tmp_path / "in"))
+        seen = []
+        streams.fan_out(streams.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "c"), lambda batch, n: seen.append(batch.count())).awaitTermination()
+        for _ in range(100):
+            if any(sum(rows) for rows in log.rows.values()):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert sum(seen) == 1 and [1] in [[n for n in rows if n] for rows in log.rows.values()]
