@@ -11,7 +11,7 @@ Table. Written out, the 50,000 gadgets of a usual vocabulary cut 70 million arcs
 * A copied state keeps no copy of its rows: it has a default transition to the state behind v, which counts for the gadgets before k.
 An arc is looked up by one binary search among the state's intervals, then along its default transitions.
 
-Encoding. A table of byte transitions (the tokens' prefix tree) gives the tokens that begin at each byte of a word. Each prefix of the
+Encoding. A hash table of byte transitions (the tokens' prefix tree) gives the tokens that begin at each byte of a word. Each prefix of the
 word has one state: the only token ending there that the state at its start has an arc for. All new words of a slice of text advance
 together, one byte a step; nothing is tried twice. Decoding emits the arcs' labels (the tokens' bytes).
 
@@ -45,10 +45,10 @@ from pyspark.sql import types as T
 #: Two-letter and one-letter ends that an apostrophe takes with it when byte-level vocabularies are split into words.
 LONG_ENDS, SHORT_ENDS = ("re", "ve", "ll"), "stmd"
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Characters that are split at once.
-SLICE = 1 << 22
+#: Characters that are split at once: a worker's memory follows this.
+SLICE = 1 << 20
 #: Answers about arcs that a worker keeps: a power of two.
-ASKED_BITS = 20
+ASKED_BITS = 18
 #: A vocabulary file is sent to the executors; larger files are refused.
 MAX_FILE_BYTES = 64 << 20
 NEVER, NONE = 1 << 60, -1
@@ -108,6 +108,7 @@ class Automaton:
             room[w], self.place[w] = first, first + sizes[w] - 1
         rows = sorted((state, *row) for state, own in self.rows.items() for row in own)
         self.cut_state, first, self.cut_last, self.cut_number = np.array(rows, np.int64).reshape(-1, 4).T.copy()
+        del self.rows
         self.width = at
         self.cut_key = self.cut_state * self.width + first
         self._byte_transitions({labels[t]: t for t in live})
@@ -129,16 +130,41 @@ class Automaton:
         self.inner = len(nodes)  # nodes that longer tokens pass; the others have no row
         for label in sorted(tokens):
             nodes.setdefault(label, len(nodes))
-        table = np.full((self.inner, 256), NONE, np.int32)
-        for label, node in nodes.items():
-            if label:
-                table[nodes[label[:-1]], label[-1]] = node
-        self.next = table.reshape(-1)
+        found = [(nodes[label[:-1]] << 8 | label[-1], node) for label, node in nodes.items() if label]
+        self._spread_out(*np.array(found, np.int32).T)
         self.token_at = np.full(len(nodes), NONE, np.int32)
         for label, token in tokens.items():
             self.token_at[nodes[label]] = token
         self.asked_key, self.asked = np.full(1 << ASKED_BITS, -1, np.int64), np.zeros(1 << ASKED_BITS, bool)
 
+    def _spread_out(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """The transitions (node and byte, to node) as a table with at least as many free places as entries, by hash and next free place."""
+        self.bits = int(2 * len(keys)).bit_length()
+        self.key_at, self.next_at = np.full(1 << self.bits, NONE, np.int32), np.full(1 << self.bits, NONE, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.key_at[slot] == NONE)
+            self.key_at[slot[free]] = keys[free]  # of several for one place the last stays
+            mine = self.key_at[slot] == keys
+            self.next_at[slot[mine]] = targets[mine]
+            keys, targets, slot = keys[~mine], targets[~mine], slot[~mine] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int32)
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """Where transitions lead; NONE where there are none."""
+        slot = self._slot(keys)
+        met = self.key_at[slot]
+        out = np.where(met == keys, self.next_at[slot], NONE)
+        on = np.flatnonzero((met != keys) & (met != NONE))
+        while len(on):
+            slot[on] = slot[on] + 1 & (1 << self.bits) - 1
+            met = self.key_at[slot[on]]
+            out[on] = np.where(met == keys[on], self.next_at[slot[on]], NONE)
+            on = on[(met != keys[on]) & (met != NONE)]
+        return out
+
     def cut(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
         """Which of the arcs their states do not have; answers are kept in a table of fixed size."""
         key = state.astype(np.int64) * self.width + self.place[arc]
@@ -168,7 +194,7 @@ class Automaton:
         lane = np.arange(len(data), dtype=np.int32)
         at, node, found = lane, np.zeros(len(data), np.int32), []
         while len(lane):
-            node = self.next[(node << 8) + data[at]]
+            node = self._next((node << 8) + data[at])
             on = np.flatnonzero(node != NONE)
             lane, at, node = lane[on], at[on] + 1, node[on]
             token = self.token_at[node]
