@@ -1,6 +1,7 @@
 """Operator 5 [native]: reproducible shuffle and sharding by a Feistel permutation.
 
-Rows get global numbers 0..n-1 in the order (bucket, id, size, checksum), where bucket is a mix of the id. A Feistel
+Rows get global numbers 0..n-1 in the order (bucket, id, size, checksum), where bucket is a mix of id and checksum, so that
+rows of one id (or none) with different texts lie in many buckets. A Feistel
 network over the product of two near-square radices permutes the numbers; results at or beyond n walk the cycle
 until they fall below n. Shard and slot follow from the permuted number alone: `p mod shards` and `p div shards`, so
 shard sizes differ by one row at most and slots have no gaps. Anyone who knows n, the seed and a row's number can compute
@@ -9,8 +10,8 @@ where the row is without a lookup.
 Row numbers need no global sort: the numbers inside a bucket come from a window per bucket, and a bucket's first number
 from a running sum over the table of bucket counts, which has `NUMBER_BUCKETS` rows at most whatever the input.
 
-Defined cases. A null text has no bytes (size 1) and the checksum of the empty string. A null id is numbered in bucket 0
-before the others. Rows equal in id, size and checksum take consecutive numbers, in any order among themselves; they
+Defined cases. A null text has no bytes (size 1) and the checksum of the empty string. A null id counts as 0 in
+the mix and comes before the others of its bucket. Rows equal in id, size and checksum take consecutive numbers, in any order among themselves; they
 are first counted per partition, so no task gets a hot group's rows. An empty table gives an empty result. Only the id and
 text columns are read, so other columns of any name do no harm.
 """
@@ -63,7 +64,8 @@ def permute(value: Column, n: Column, seed: int) -> Column:
 
 def number_groups(keys: DataFrame, id_col: str) -> DataFrame:
     """Adds to a table of distinct keys with a `copies` count: `first` (the first row number of the key) and `n`."""
-    keys = keys.withColumn("bucket", F.coalesce(mix(F.abs(F.col(id_col) % PRIME), 97) % NUMBER_BUCKETS, F.lit(0)))
+    of_id = mix(F.coalesce(F.abs(F.col(id_col) % PRIME), F.lit(0)), 97)
+    keys = keys.withColumn("bucket", mix(F.col("text_crc32"), of_id) % NUMBER_BUCKETS)
     everything = Window.orderBy("bucket")  # over NUMBER_BUCKETS rows at most
     starts = keys.groupBy("bucket").agg(F.sum("copies").alias("rows")).select("bucket", (F.sum("rows").over(everything) - F.col("rows")).alias("start"), F.sum("rows").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
     inside = Window.partitionBy("bucket").orderBy(F.col(id_col).asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,7 +97,7 @@ def query(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _mix_sql(value: str, key: int) -> str:
+def _mix_sql(value: str, key: int | str) -> str:
     a = f"((({value}) % {PRIME} + {key}) * {MUL_A} % {PRIME})"
     a = f"xor({a}, {a} >> 15)"
     b = f"({a} * {MUL_B} % {PRIME})"
@@ -119,7 +121,7 @@ crc_table as (select list(x order by c) as t from steps where k = 8),
 sized as (select doc_id, strlen(coalesce(text, '')) + 1 as size, hex(encode(coalesce(text, ''))) as h from documents),
 summed as (select doc_id, size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::bigint)),
   lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) as text_crc32 from sized, crc_table),
-numbered as (select *, count(*) over () as n, row_number() over (order by coalesce({_mix_sql(f'abs(doc_id % {PRIME})', 97)} % {NUMBER_BUCKETS}, 0), doc_id nulls first, size, text_crc32) - 1 as k from summed),
+numbered as (select *, count(*) over () as n, row_number() over (order by {_mix_sql('text_crc32', _mix_sql(f'coalesce(abs(doc_id % {PRIME}), 0)', 97))} % {NUMBER_BUCKETS}, doc_id nulls first, size, text_crc32) - 1 as k from summed),
 radices as (select *, ceil(n / lft)::bigint as rgt from (select *, ceil(sqrt(n))::bigint as lft from numbered)),
 walk as (select radices.*, z.p as p from radices, {network('k')} z
   union all select w.* exclude (p), z.p from walk w, {network('w.p')} z where w.p >= w.n)

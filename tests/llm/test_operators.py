@@ -265,3 +265,18 @@ def test_loser_tree():
 
 def test_vocabulary_is_outside_the_repository():
     assert "/repo/" not in public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_rows_without_an_id_lie_in_many_buckets(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    keys = docs.select("doc_id", F.lit(1).alias("size"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"), F.lit(1).alias("copies"))
+    numbered = sharding.number_groups(keys, "doc_id")
+    assert max(r["count"] for r in numbered.groupBy("bucket").count().collect()) < 30
+    assert sorted(r["first"] for r in numbered.collect()) == list(range(3000))
+
+
+def test_chunks_leave_nothing_in_the_catalogue(spark, odd_documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = substrings.query(odd_documents)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert found.count() == 10
