@@ -67,7 +67,9 @@ def stage(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, name = max(1, -(-total // BUCKET_BYTES)), f"chunks_{uuid.uuid4().hex}"
     rows.mapInArrow(_pack, CHUNK).repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", shared_dir(spark, "chunks")).saveAsTable(name)
-    return spark.table(name), total
+    chunks = spark.table(name)
+    spark.sql(f"drop table {name}")  # from the catalogue only: the files, which `chunks` reads, stay
+    return chunks, total
 
 
 def squeeze(planes: np.ndarray) -> bytes:
