@@ -7,6 +7,7 @@ themselves are shuffled once, into a table bucketed by chunk, which later steps
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -22,10 +23,21 @@ from framewright.llm.common import shared_dir
 #: Bytes of text in a chunk (a longer document is a chunk alone) and in a bucket of chunks.
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Inputs up to this size keep those sizes; beyond it chunks and shards grow with the root of the input, to at most `GROWTH` times.
+GROW_FROM = 1 << 30
+GROWTH = 8
 LAST_ID = 2**63 - 1
 CHUNK = "chunk long, blob binary"
 
 
+def grown(size: int, total: int) -> int:
+    """A chunk's or shard's size for `total` bytes of text.
+
+    As both grow with the root, the rows that chunks and shards exchange follow the input itself, not its square, up to 64 GB.
+    """
+    return int(size * min(GROWTH, max(1.0, math.sqrt(total / GROW_FROM))))
+
+
 def pack_documents(owners: list[int], known: list[bool], texts: list[bytes]) -> bytes:
     """Documents by ascending id as a compressed Arrow stream."""
     order = sorted(range(len(owners)), key=owners.__getitem__)
@@ -43,21 +55,30 @@ def unpack_documents(blob: bytes) -> tuple[np.ndarray, list[int | None], list[by
     return owners, [o if k else None for o, k in zip(owners.tolist(), table.column("known").to_pylist(), strict=True)], table.column("text").to_pylist()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, seen = TaskContext.get().partitionId(), 0
-    owners, known, texts, size = [], [], [], 0
-    for batch in batches:
-        for owner, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py() or b""
-            if texts and size + len(text) > CHUNK_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seen], pa.int64()), pa.array([pack_documents(owners, known, texts)], pa.binary())], ["chunk", "blob"])
-                owners, known, texts, size, seen = [], [], [], 0, seen + 1
-            owners.append(LAST_ID if owner is None else owner)
-            known.append(owner is not None)
-            texts.append(text)
-            size += len(text)
-    if texts:
-        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | seen], pa.int64()), pa.array([pack_documents(owners, known, texts)], pa.binary())], ["chunk", "blob"])
+def _pack(chunk_bytes: int):
+    """Documents of a task in chunks of about `chunk_bytes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), 0
+        owners, known, texts, size = [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | seen], pa.int64()), pa.array([pack_documents(owners, known, texts)], pa.binary())], ["chunk", "blob"])
+
+        for batch in batches:
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or b""
+                if texts and size + len(text) > chunk_bytes:
+                    yield chunk()
+                    owners, known, texts, size, seen = [], [], [], 0, seen + 1
+                owners.append(LAST_ID if owner is None else owner)
+                known.append(owner is not None)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield chunk()
+
+    return run
 
 
 def stage(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -65,8 +86,8 @@ def stage(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("owner"), F.encode(F.col(text_col), "utf-8").alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets, name = max(1, -(-total // BUCKET_BYTES)), f"chunks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_pack, CHUNK).repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", shared_dir(spark, "chunks")).saveAsTable(name)
+    buckets, name = max(1, -(-total // grown(BUCKET_BYTES, total))), f"chunks_{uuid.uuid4().hex}"
+    rows.mapInArrow(_pack(grown(CHUNK_BYTES, total)), CHUNK).repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", shared_dir(spark, "chunks")).saveAsTable(name)
     chunks = spark.table(name)
     spark.sql(f"drop table {name}")  # from the catalogue only: the files, which `chunks` reads, stay
     return chunks, total

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from framewright.llm import chunks as C
 from framewright.llm.common import materialise
 
-#: Cells of a range of the sketch; rows of the sketch (cells that a window has).
+#: Cells of a range of the sketch (these sizes grow as chunks.grown says); rows of the sketch (cells that a window has).
 CELLS = 1 << 22
 DEPTH = 2
 #: Sketch cells in each row for each byte of text: about four for each window.
@@ -108,13 +108,14 @@ class Sizes:
     """Numbers of shards, from the bytes of all texts."""
 
     def __init__(self, total: int):
-        self.cells = max(1, -(-int(total * CELLS_PER_BYTE) // CELLS))
-        self.hashes = max(1, -(-total // HASH_SHARD_BYTES))
+        self.range = C.grown(CELLS, total)
+        self.cells = max(1, -(-int(total * CELLS_PER_BYTE) // self.range))
+        self.hashes = max(1, -(-total // C.grown(HASH_SHARD_BYTES, total)))
 
     def cell_keys(self, hashes: np.ndarray, row: int) -> np.ndarray:
         """Cell of each hash in a row of the sketch: shard in the high bits, cell of the shard in the low ones."""
         mixed = C.scramble(hashes, row + 1)
-        return (mixed >> np.uint64(32)) % np.uint64(self.cells) * np.uint64(CELLS) + (mixed & np.uint64(CELLS - 1))
+        return (mixed >> np.uint64(32)) % np.uint64(self.cells) * np.uint64(self.range) + (mixed & np.uint64(0xFFFFFFFF)) % np.uint64(self.range)
 
     def hash_shard(self, hashes: np.ndarray) -> np.ndarray:
         """Shards are ranges of hashes, so that sorted hashes lie shard by shard."""
@@ -136,21 +137,25 @@ def _sketches(sizes: Sizes, window: int):
                 windows, out = Windows(C.unpack_documents(blob.as_py())[2], window, _memo), []
                 for row in range(DEPTH):
                     cells, counts = np.unique(sizes.cell_keys(windows.hashes, row), return_counts=True)
-                    for shard, part in C.slices_by_shard((cells // np.uint64(CELLS)).astype(np.int64), sizes.cells):
-                        out.append((row, row * sizes.cells + shard, chunk, C.squeeze_sorted(cells[part] % np.uint64(CELLS)), C.bits(counts[part] > 1), None))
+                    for shard, part in C.slices_by_shard((cells // np.uint64(sizes.range)).astype(np.int64), sizes.cells):
+                        out.append((row, row * sizes.cells + shard, chunk, C.squeeze_sorted(cells[part] % np.uint64(sizes.range)), C.bits(counts[part] > 1), None))
                 yield from _rows(out, EXCHANGE).to_batches()
 
     return run
 
 
-def _merge_cells(table: pa.Table) -> pa.Table:
+def _merge_cells(size: int):
     """Sums the sketches of a range of cells (up to 2) and says which cells are counted twice."""
-    counts = np.zeros(CELLS, np.uint8)
-    for keys, extra in zip(table.column("keys"), table.column("extra")):
-        cells = C.unsqueeze_sorted(keys.as_py())
-        counts[cells] = np.minimum(counts[cells] + 1 + C.unbits(extra.as_py(), len(cells)), 2)
-    out = [(kind.as_py(), shard.as_py(), chunk.as_py(), C.bits(counts[C.unsqueeze_sorted(keys.as_py())] > 1)) for kind, shard, chunk, keys in zip(*(table.column(c) for c in ("kind", "shard", "chunk", "keys")))]
-    return _rows(out, REPLY)
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = np.zeros(size, np.uint8)
+        for keys, extra in zip(table.column("keys"), table.column("extra")):
+            cells = C.unsqueeze_sorted(keys.as_py())
+            counts[cells] = np.minimum(counts[cells] + 1 + C.unbits(extra.as_py(), len(cells)), 2)
+        out = [(kind.as_py(), shard.as_py(), chunk.as_py(), C.bits(counts[C.unsqueeze_sorted(keys.as_py())] > 1)) for kind, shard, chunk, keys in zip(*(table.column(c) for c in ("kind", "shard", "chunk", "keys")))]
+        return _rows(out, REPLY)
+
+    return run
 
 
 def _estimated(windows: Windows, sizes: Sizes, replies: dict[tuple[int, int], bytes]) -> np.ndarray:
@@ -164,7 +169,7 @@ def _estimated(windows: Windows, sizes: Sizes, replies: dict[tuple[int, int], by
         new[1:] = ordered[1:] != ordered[:-1]
         cells = ordered[new]
         twice = np.zeros(len(cells), bool)
-        for shard, part in C.slices_by_shard((cells // np.uint64(CELLS)).astype(np.int64), sizes.cells):
+        for shard, part in C.slices_by_shard((cells // np.uint64(sizes.range)).astype(np.int64), sizes.cells):
             twice[part] = C.unbits(replies[row, row * sizes.cells + shard], part.stop - part.start)
         repeated[order] &= twice[np.cumsum(new) - 1]
     return np.flatnonzero(repeated)
@@ -251,7 +256,7 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
     chunks, total = C.stage(docs, id_col, text_col)
     sizes = Sizes(total)
     cells = chunks.mapInArrow(_sketches(sizes, window), EXCHANGE)
-    counted = materialise(cells.groupBy("shard").applyInArrow(_merge_cells, REPLY), "cell-counts")
+    counted = materialise(cells.groupBy("shard").applyInArrow(_merge_cells(sizes.range), REPLY), "cell-counts")
     found = _cogroup(chunks, counted, _candidates(sizes, window), EXCHANGE)
     judged = found.groupBy("shard").applyInArrow(_group_exactly, REPLY)
     return _cogroup(chunks, counted.unionByName(judged), _outcome(sizes, window, texts_too), f"{OUT}, {'kept_text' if texts_too else 'kept_sha256'} string")

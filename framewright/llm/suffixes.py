@@ -39,7 +39,7 @@ from framewright.llm.substrings import REPLY, _rows
 GRAM = 64
 #: Bytes that are hashed together; longer texts go piece by piece.
 PIECE = 1 << 20
-#: Bytes of text for each shard of the index.
+#: Bytes of text for each shard of the index (grows as chunks.grown says).
 SHARD_BYTES = 32 << 20
 #: Odd base of the polynomial hashes (mod 2^64).
 BASE = 0x9E3779B97F4A7C15
@@ -199,6 +199,21 @@ def _entries(shards: int, length: int):
     return run
 
 
+def _merged(grams: np.ndarray, contents: np.ndarray) -> np.ndarray:
+    """The order by (gram, content) of sorted runs put one after another.
+
+    The stable sort takes the runs as they are and only merges them; entries that share a gram are then put in the order of their contents.
+    """
+    order = np.argsort(grams, kind="stable")
+    g = grams[order]
+    tied = np.zeros(len(g), bool)
+    tied[1:] = g[1:] == g[:-1]
+    tied[:-1] |= tied[1:]
+    shared = order[tied]
+    order[tied] = shared[np.lexsort((contents[shared], grams[shared]))]
+    return order
+
+
 class Run:
     """A sorted array of entries: gram, content, whether seen more than once, and one place (chunk, index in its shard's list)."""
 
@@ -207,13 +222,13 @@ class Run:
         self.grams, self.contents, self.many, self.chunks, self.indexes = self.columns
 
     @staticmethod
-    def of_chunks(table: pa.Table) -> tuple[Run, np.ndarray]:
-        """All entries of a batch, unsorted, and 1 for those not repeated in their own chunk."""
-        parts = []
+    def of_chunks(table: pa.Table) -> list[Run]:
+        """The sorted entries of each chunk of a batch."""
+        runs = []
         for chunk, keys, contents, many in zip(*(table.column(c) for c in ("chunk", "keys", "contents", "many"))):
             grams = C.unsqueeze_sorted(keys.as_py())
-            parts.append((grams, C.unsqueeze(contents.as_py(), np.uint64), C.unbits(many.as_py(), len(grams)), np.full(len(grams), chunk.as_py(), np.int64), np.arange(len(grams))))
-        return Run(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Run.empty()
+            runs.append(Run(grams, C.unsqueeze(contents.as_py(), np.uint64), C.unbits(many.as_py(), len(grams)), np.full(len(grams), chunk.as_py(), np.int64), np.arange(len(grams))))
+        return runs or [Run.empty()]
 
     @staticmethod
     def empty() -> Run:
@@ -232,9 +247,9 @@ class Run:
 
     @staticmethod
     def merge(runs: list[Run]) -> tuple[Run, list[tuple[np.ndarray, np.ndarray]]]:
-        """Sorted union of runs, one entry for each (gram, content), and the places of entries newly seen to repeat."""
+        """Merge of sorted runs, one entry for each (gram, content), and the places of entries newly seen to repeat."""
         grams, contents, many, chunks, indexes = (np.concatenate(x) for x in zip(*(r.columns for r in runs), strict=True))
-        order = np.lexsort((contents, grams))
+        order = _merged(grams, contents)
         g, c = grams[order], contents[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
@@ -261,7 +276,7 @@ def _add_batch(merge_below: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         kinds = np.array(table.column("kind").to_pylist())
-        batch, found = Run.merge([Run.of_chunks(table.filter(pa.array(kinds == FRESH)))])
+        batch, found = Run.merge(Run.of_chunks(table.filter(pa.array(kinds == FRESH))))
         levels = {row["level"]: Run.unpack(row) for row in table.filter(pa.array(kinds == RUN)).to_pylist()}
         for level in levels.values():  # the scan of two sorted arrays: equal entries on both sides are matches
             found += Run.merge([batch, level])[1]
@@ -280,7 +295,7 @@ def _member(a: Run, b: Run) -> np.ndarray:
     if not len(b.grams):
         return np.zeros(len(a.grams), bool)
     both = np.concatenate([a.grams, b.grams]), np.concatenate([a.contents, b.contents])
-    order = np.lexsort((both[1], both[0]))
+    order = _merged(*both)
     same = (both[0][order][1:] == both[0][order][:-1]) & (both[1][order][1:] == both[1][order][:-1])
     hit = np.zeros(len(order), bool)
     hit[order[1:]] |= same
@@ -389,7 +404,7 @@ def dedup(docs: DataFrame, length: int = 200, batches: int = 4, id_col: str = "d
     """doc_id, n_bytes, n_removed, n_spans and kept (or, without `bytes_too`, only its SHA-256 kept_sha256) of every document."""
     spark = docs.sparkSession
     chunks, total = C.stage(docs, id_col, text_col)
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, -(-total // C.grown(SHARD_BYTES, total)))
     levels: dict[int, str] = {}
     reports: list[DataFrame] = []
     for n in range(batches):

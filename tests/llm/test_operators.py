@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, components, decontaminate, line_dedup, near_dups, quality, queries, sharding, substrings, suffixes, topk, warc
+from framewright.llm import bpe, chunks, components, decontaminate, line_dedup, near_dups, quality, queries, sharding, substrings, suffixes, topk, warc
 from framewright.llm.common import shared_dir
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -280,3 +280,30 @@ def test_chunks_leave_nothing_in_the_catalogue(spark, odd_documents):
     found = substrings.query(odd_documents)
     assert {t.name for t in spark.catalog.listTables()} == before
     assert found.count() == 10
+
+
+def test_chunks_and_shards_grow_with_the_root(spark, monkeypatch):
+    gb = 1 << 30
+    assert chunks.grown(4, gb // 2) == 4 and chunks.grown(4, 16 * gb) == 16 and chunks.grown(4, 10_000 * gb) == 32
+    rng = random.Random(7)
+    pool = [" ".join(f"v{rng.randrange(40)}" for _ in range(rng.choice([15, 40, 90]))) for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(4)))) for i in range(60)], "doc_id long, text string").repartition(3).cache()
+    whole = [sorted(map(tuple, op.dedup(docs).collect())) for op in (suffixes, substrings)]
+    for name, size in (("CHUNK_BYTES", 500), ("BUCKET_BYTES", 2_000), ("GROW_FROM", 4_000)):
+        monkeypatch.setattr(chunks, name, size)
+    for module, name, size in ((suffixes, "SHARD_BYTES", 1_500), (substrings, "CELLS", 1 << 9), (substrings, "HASH_SHARD_BYTES", 1_000)):
+        monkeypatch.setattr(module, name, size)
+    assert [sorted(map(tuple, op.dedup(docs).collect())) for op in (suffixes, substrings)] == whole
+
+
+def test_merge_of_sorted_runs():
+    rng = np.random.default_rng(1)
+    parts = []
+    for n in (0, 1, 50, 400):
+        g, c = rng.integers(0, 40, n, dtype=np.uint64), rng.integers(0, 9, n, dtype=np.uint64)
+        order = np.lexsort((c, g))
+        parts.append((g[order], c[order]))
+    grams, contents = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = suffixes._merged(grams, contents)
+    assert sorted(order.tolist()) == list(range(451))
+    assert list(zip(grams[order].tolist(), contents[order].tolist())) == sorted(zip(grams.tolist(), contents.tolist()))
