@@ -25,17 +25,18 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 #: Inputs up to this size keep those sizes; beyond it chunks and shards grow with the root of the input, to at most `GROWTH` times.
 GROW_FROM = 1 << 30
-GROWTH = 8
+GROWTH = 4
 LAST_ID = 2**63 - 1
 CHUNK = "chunk long, blob binary"
 
 
-def grown(size: int, total: int) -> int:
-    """A chunk's or shard's size for `total` bytes of text.
+def grown(size: int, total: int, most: int = GROWTH) -> int:
+    """A chunk's or shard's size for `total` bytes of text, at most `most` times what small inputs have.
 
-    As both grow with the root, the rows that chunks and shards exchange follow the input itself, not its square, up to 64 GB.
+    As both grow with the root, the rows that chunks and shards exchange follow the input itself, not its square, up to 16 GB.
+    The bound keeps what a task holds to some hundred MB.
     """
-    return int(size * min(GROWTH, max(1.0, math.sqrt(total / GROW_FROM))))
+    return int(size * min(most, max(1.0, math.sqrt(total / GROW_FROM))))
 
 
 def pack_documents(owners: list[int], known: list[bool], texts: list[bytes]) -> bytes:

@@ -110,7 +110,7 @@ class Sizes:
     def __init__(self, total: int):
         self.range = C.grown(CELLS, total)
         self.cells = max(1, -(-int(total * CELLS_PER_BYTE) // self.range))
-        self.hashes = max(1, -(-total // C.grown(HASH_SHARD_BYTES, total)))
+        self.hashes = max(1, -(-total // C.grown(HASH_SHARD_BYTES, total, 2)))
 
     def cell_keys(self, hashes: np.ndarray, row: int) -> np.ndarray:
         """Cell of each hash in a row of the sketch: shard in the high bits, cell of the shard in the low ones."""

@@ -284,7 +284,7 @@ def test_chunks_leave_nothing_in_the_catalogue(spark, odd_documents):
 
 def test_chunks_and_shards_grow_with_the_root(spark, monkeypatch):
     gb = 1 << 30
-    assert chunks.grown(4, gb // 2) == 4 and chunks.grown(4, 16 * gb) == 16 and chunks.grown(4, 10_000 * gb) == 32
+    assert chunks.grown(4, gb // 2) == 4 and chunks.grown(4, 4 * gb) == 8 and chunks.grown(4, 10_000 * gb) == 16 and chunks.grown(4, 10_000 * gb, 2) == 8
     rng = random.Random(7)
     pool = [" ".join(f"v{rng.randrange(40)}" for _ in range(rng.choice([15, 40, 90]))) for _ in range(8)]
     docs = spark.createDataFrame([(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(4)))) for i in range(60)], "doc_id long, text string").repartition(3).cache()
