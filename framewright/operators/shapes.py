@@ -22,16 +22,19 @@ def bounding_rects(points: DataFrame, key: str, margin: float = 0.0, inclusive:
     return box.select(key, (F.col("x0") - margin).alias("x"), (F.col("y0") - margin).alias("y"), (F.col("x1") - F.col("x0") + more).alias("w"), (F.col("y1") - F.col("y0") + more).alias("h"))
 
 
-def points_in_rects(points: DataFrame, rects: DataFrame, size: float) -> DataFrame:
-    """Pairs of points and rectangles, borders included; `size` is the cell size of the grid."""
+def points_in_rects(points: DataFrame, rects: DataFrame, size: float | None = None) -> DataFrame:
+    """Pairs of points and rectangles, borders included; `size` is the cell size of the grid (by the rectangles' density if not given)."""
     boxes = rects.select("rect_id", F.col("x").alias("rx"), F.col("y").alias("ry"), (F.col("x") + F.col("w")).alias("rx1"), (F.col("y") + F.col("h")).alias("ry1"))
+    size = size or buckets.cell_size(boxes, "rx", "ry", "rx1", "ry1")
     joined = buckets.cell_of(points, size).join(buckets.cells_of(boxes, size, "rx", "ry", "rx1", "ry1"), ["cx", "cy"])
     return joined.where("x between rx and rx1 and y between ry and ry1").drop("cx", "cy", "rx", "ry", "rx1", "ry1")
 
 
-def overlaps(rects: DataFrame, size: float) -> DataFrame:
-    """Pairs a < b of overlapping rectangles with their intersection; touching is not overlapping."""
-    boxes = buckets.cells_of(rects.withColumns({"x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")}), size, "x", "y", "x1", "y1")
+def overlaps(rects: DataFrame, size: float | None = None) -> DataFrame:
+    """Pairs a < b of overlapping rectangles with their intersection; touching is not overlapping. `size` as in `points_in_rects`."""
+    corners = rects.withColumns({"x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")})
+    size = size or buckets.cell_size(corners, "x", "y", "x1", "y1")
+    boxes = buckets.cells_of(corners, size, "x", "y", "x1", "y1")
     a, b = (boxes.select("cx", "cy", *[F.col(c).alias(f"{s}_{c}") for c in ("rect_id", "x", "y", "x1", "y1")]) for s in "ab")
     x, y = F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y")
     w, h = F.least("a_x1", "b_x1") - x, F.least("a_y1", "b_y1") - y
@@ -98,7 +101,7 @@ def contour_moments(contours: DataFrame) -> DataFrame:
     return sums.select("poly_id", *[(F.col(n) * F.signum("m00")).alias(n) for n in terms])
 
 
-def points_in_polygons(points: DataFrame, contours: DataFrame, size: float) -> DataFrame:
+def points_in_polygons(points: DataFrame, contours: DataFrame, size: float | None = None) -> DataFrame:
     """Pairs of points (point_id, px, py) and polygons that contain them, by crossings, after a bounding box join."""
     boxes = bounding_rects(contours, "poly_id").select(F.col("poly_id").alias("rect_id"), "x", "y", "w", "h")
     near = points_in_rects(points.select("point_id", F.col("px").alias("x"), F.col("py").alias("y")), boxes, size).select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("rect_id").alias("poly_id"))

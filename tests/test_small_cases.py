@@ -124,6 +124,11 @@ def test_missing_ray_and_disjoint_rectangles(spark):
     assert hits.first()["dist"] is None and shapes.farthest_hit(hits).first()["dist"] == 0
     rects = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0), (2, 2.0, 0.0, 2.0, 2.0), (3, 1.0, 1.0, 2.0, 2.0)], "rect_id long, x double, y double, w double, h double")
     assert {(r["a"], r["b"]) for r in shapes.overlaps(rects, 1.5).collect()} == {(1, 3), (2, 3)}
+    assert {(r["a"], r["b"]) for r in shapes.overlaps(rects).collect()} == {(1, 3), (2, 3)}
+    assert shapes.overlaps(rects.where("false")).count() == 0
+    points = spark.createDataFrame([(1, 2.0, 2.0), (2, 3.5, 0.5), (3, 9.0, 9.0)], "point_id long, x double, y double")
+    for size in (None, 0.7, 50.0):
+        assert {(r["point_id"], r["rect_id"]) for r in shapes.points_in_rects(points, rects, size).collect()} == {(1, 1), (1, 2), (1, 3), (2, 2)}
 
 
 def test_pruning_and_contraction(spark):
