@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators and their DuckDB SQL."""
+"""The registered queries of the thirteen operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, decontaminate, line_dedup, near_dups, quality, sharding, substrings, suffixes, topk, warc
+from framewright.llm import bpe, decontaminate, line_dedup, manifest, near_dups, quality, sharding, substrings, suffixes, topk, warc
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_bpe": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents"), BPE_FILE),
     "op9_substrings": lambda spark, sf_dir: substrings.query(table(spark, sf_dir, "documents")),
     "op10_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
+    "op12_manifest": lambda spark, sf_dir: manifest.query(table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL = {
@@ -32,4 +33,5 @@ ORACLE_SQL = {
     "op7_topk": topk.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op12_manifest": manifest.oracle(),
 }
