@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, decontaminate, line_dedup, manifest, near_dups, quality, sharding, substrings, suffixes, topk, warc
+from framewright.llm import bpe, decontaminate, line_dedup, manifest, near_dups, quality, sharding, substrings, suffixes, topk, warc, whitening
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_substrings": lambda spark, sf_dir: substrings.query(table(spark, sf_dir, "documents")),
     "op10_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
     "op12_manifest": lambda spark, sf_dir: manifest.query(table(spark, sf_dir, "documents")),
+    "op13_whitening": lambda spark, sf_dir: whitening.query(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLE_SQL = {
