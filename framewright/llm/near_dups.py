@@ -53,10 +53,10 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SIGNED = "owner long, known boolean, n long, c1 long, c2 long, sig array<int>"
 
 
-def shingles(text: bytes, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
+def shingles(text: bytes, memo: WordHashes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of `size` words."""
     text = text.translate(TO_LOWER)
-    found = Windows([text], SHINGLE, memo).hashes
+    found = Windows([text], size, memo).hashes
     if len(found):
         return np.unique(found)
     words = text.split()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from framewright.llm import bpe, decontaminate, line_dedup, manifest, near_dups, quality, sharding, substrings, suffixes, topk, warc, whitening
+from framewright.llm import bpe, decontaminate, jaccard_join, line_dedup, manifest, near_dups, quality, sharding, substrings, suffixes, topk, warc, whitening
 from framewright.llm.common import table
 
 #: The vocabulary of the BPE query.
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_bpe": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents"), BPE_FILE),
     "op9_substrings": lambda spark, sf_dir: substrings.query(table(spark, sf_dir, "documents")),
     "op10_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
+    "op11_jaccard_join": lambda spark, sf_dir: jaccard_join.query(table(spark, sf_dir, "documents")),
     "op12_manifest": lambda spark, sf_dir: manifest.query(table(spark, sf_dir, "documents")),
     "op13_whitening": lambda spark, sf_dir: whitening.query(table(spark, sf_dir, "embeddings")),
 }
@@ -34,5 +35,6 @@ ORACLE_SQL = {
     "op7_topk": topk.ORACLE,
     "op9_substrings": substrings.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_jaccard_join": jaccard_join.oracle(),
     "op12_manifest": manifest.oracle(),
 }
