@@ -6,8 +6,8 @@ exactly before any product: n x - S is a whole number. A step of the bidiagonali
 1. X v: the product w = X v - beta u (of the step before), and its coefficients on all earlier u.
 2. X'u: w less those coefficients, once more its coefficients (full reorthogonalisation, twice), its length alpha, and X'w.
 
-A pass returns one small sum for each number asked for; sums are taken by a group-by, so the driver gets as many numbers as there are
-dimensions and steps. The long vectors u are never stored: each is X p for a short p, and a task rebuilds its part of all of them from the p. The short v
+A pass returns one small sum for each number asked for. Up to `FEW` blocks the driver adds the tasks' sums itself; beyond that a group-by does, so that the
+driver always gets a bounded number of rows, as long as there are dimensions and steps. The long vectors u are never stored: each is X p for a short p, and a task rebuilds its part of all of them from the p. The short v
 are kept orthogonal on the driver, where B (bidiagonal up to the rounding that reorthogonalisation mends) has its singular value decomposition. Steps end when the wanted
 components have come to rest and `GUARD` steps from a fresh start, which would meet repeated eigenvalues, have not moved them, or when the v
 fill all dimensions. Nothing but sums and the short vectors passes the driver; a lost executor costs the tasks of one pass.
@@ -35,6 +35,8 @@ BLOCK = 1 << 18
 #: A residual below this share of the largest singular value is at rest; a singular value below that share is none.
 REST, NONE = 1e-13, 1e-10
 GUARD = 8
+#: Blocks up to which the sums of all tasks go to the driver.
+FEW = 1000
 BLOCKS = "ids array<long>, rows long, width int, most double, sums array<decimal(38,0)>, x binary"
 OUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
@@ -75,8 +77,8 @@ class Rows:
     def __init__(self, vectors: DataFrame, id_col: str, vector_col: str):
         found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
         self.blocks = materialise(found.mapInArrow(_blocks, BLOCKS), "vectors")
-        total = self.blocks.agg(F.sum("rows"), F.max("width"), F.max("most")).first()
-        self.n, self.width, self.most = total[0] or 0, total[1] or 0, total[2] or 0.0
+        total = self.blocks.agg(F.sum("rows"), F.max("width"), F.max("most"), F.count(F.lit(1))).first()
+        self.n, self.width, self.most, self.count = total[0] or 0, total[1] or 0, total[2] or 0.0, total[3]
         self.sums = [SHIFT * self.n] * self.width  # entries that a block lacks are zeros
         short = self.blocks.select("rows", F.posexplode("sums").alias("i", "sum")).groupBy("i").agg(F.sum("sum").alias("sum"), F.sum("rows").alias("rows"))
         for row in short.collect():
@@ -106,8 +108,11 @@ class Rows:
             if so_far is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(so_far), dtype=np.int32)), pa.array(so_far)], ["i", "value"])
 
-        sums = self.blocks.select("rows", "width", "x").mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value").alias("value"))
-        return np.array([row["value"] for row in sorted(sums.collect())])
+        sums = self.blocks.select("rows", "width", "x").mapInArrow(run, "i int, value double")
+        if self.count > FEW:
+            sums = sums.groupBy("i").agg(F.sum("value").alias("value"))
+        found = sums.toArrow()
+        return np.bincount(found.column("i").to_numpy(), found.column("value").to_numpy())
 
 
 def bidiagonalise(rows: Rows, wanted: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
