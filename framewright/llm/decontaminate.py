@@ -9,8 +9,12 @@ contaminated. Nothing is shuffled.
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Words are compared by their
 number in the benchmark's vocabulary, so equality is exact; words that the benchmark lacks match nothing.
 
-The benchmark is sent to the executors in blocks of at most `BLOCK_BYTES` bytes, so what is broadcast at once doesn't
-grow with it: each further block is one more narrow pass over the rows, which carry their hits along.
+The benchmark is written to the shared folder in blocks of about `BLOCK_BYTES` bytes, one row each, made by tasks. The rows are read in one
+pass whatever the number of blocks: a shard meets block after block, and a worker holds one of them at a time (a single block is kept for the next
+shard). Nothing is broadcast, and the benchmark does not pass the driver.
+
+`longest` is the longest verbatim match of a document with any item, in words, window or not: each suffix of a shard is compared with its two
+neighbours among the benchmark's sorted suffixes; matches beyond a window have the length of their run.
 
 Defined cases. Null or empty texts have no words and are not contaminated. Item ids may repeat (each id is listed once); items with a null
 id count for hits but are not listed. Repeated or null document ids: rows are judged one by one. Empty tables
@@ -19,23 +23,28 @@ give empty results or no hits. Other columns of any name stay; only those called
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import private, without
+from framewright.llm.common import private, shared_dir, without
 
 #: Fixed value: the words of the contract, after lower-casing A-Z.
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 TO_LOWER = {c: c + 32 for c in range(65, 91)}
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1 << 19
+#: Suffixes that are compared at once.
+SLICE = 1 << 16
 NAMES = ("n_words", "n_hit", "hit_spans", "items", "longest")
 
 
@@ -44,7 +53,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Block:
-    """The items of a benchmark block: vocabulary, words in a row, and all windows."""
+    """The items of a benchmark block: vocabulary, words in a row, and all suffixes, cut after a window, in order."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         self.window = window
@@ -61,9 +70,27 @@ class Block:
                     owners.append(len(self.names))
                 words += own + [0] * window
                 self.names.append(item_id)
-        self.words = np.array(words + [0] * window, np.int64)
-        self.starts, self.lengths, self.owners = (np.array(x, np.int64) for x in (starts, lengths, owners))
-        self.suffixes = self.words[self.starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), np.int64)
+        self.words = np.array(words + [0] * window, np.int32)
+        starts, lengths, owners = (np.array(x, np.int64) for x in (starts, lengths, owners))
+        order = np.lexsort(self._suffixes(starts).T[::-1]) if len(starts) else starts
+        self.starts, self.lengths, self.owners = starts[order], lengths[order], owners[order]
+        self.suffixes = self._suffixes(self.starts)
+
+    def _suffixes(self, starts: np.ndarray) -> np.ndarray:
+        return self.words[starts[:, None] + np.arange(self.window)].astype(np.int64)
+
+    def pack(self) -> bytes:
+        fields = self.window, list(self.vocabulary), self.names, self.words, self.starts, self.lengths, self.owners
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(fields))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        """A block written by `pack`: the tasks of this very job have written it."""
+        block = cls.__new__(cls)
+        block.window, vocabulary, block.names, block.words, block.starts, block.lengths, block.owners = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        block.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
+        block.suffixes = block._suffixes(block.starts)
+        return block
 
 
 class SuffixArray:
@@ -101,14 +128,23 @@ class SuffixArray:
             high[active] = np.where(right, high[active], middle)
         return low
 
-    def longest(self, wanted: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Words of the longest match of each wanted suffix: that with a neighbour of its place."""
-        best = np.zeros(len(wanted), np.int64)
-        for shift in (-1, 0):
-            there = np.flatnonzero((places + shift >= 0) & (places + shift < len(self.order)))
-            if there.size:
-                best[there] = np.maximum(best[there], self.compare(places[there] + shift, wanted[there], lengths[there])[1])
-        return best
+    def longest(self, wanted: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the wanted suffixes (in order, 0 past their end) and of those of the array: the words of the longest match, a window at most.
+
+        In the merged order of both a suffix shares most with a neighbour. `places` are those of the wanted ones in the array.
+        """
+        ours, theirs = np.zeros(len(self.order), np.int64), np.zeros(len(wanted), np.int64)
+        before = np.searchsorted(places, np.arange(len(self.order)), "right")  # wanted suffixes up to each of the array
+        pairs = [(np.arange(len(self.order)), before + shift) for shift in (-1, 0)] + [(places + shift, np.arange(len(wanted))) for shift in (-1, 0)]
+        for a, b in pairs:
+            there = np.flatnonzero((a >= 0) & (a < len(ours)) & (b >= 0) & (b < len(theirs)))
+            for at in range(0, len(there), SLICE):
+                i, j = a[there[at : at + SLICE]], b[there[at : at + SLICE]]
+                same = (self.words[self.order[i][:, None] + np.arange(self.depth)] == wanted[j]) & (wanted[j] > 0)
+                common = np.where(same.all(axis=1), self.depth, same.argmin(axis=1))
+                np.maximum.at(ours, i, common)
+                np.maximum.at(theirs, j, common)
+        return ours, theirs
 
 
 def match_shard(texts: list[list[str]], block: Block) -> list[tuple[np.ndarray, set[int], int]]:
@@ -127,7 +163,9 @@ def match_shard(texts: list[list[str]], block: Block) -> list[tuple[np.ndarray,
         return out
     whole = np.full(len(block.suffixes), window, np.int64)
     places = array.bound(block.suffixes, whole, False)
-    longest = array.longest(block.suffixes, whole, places)
+    short, longest = array.longest(block.suffixes, places)
+    most = np.zeros(len(texts), np.int64)
+    np.maximum.at(most, np.searchsorted(ends, array.order, "right") - 1, short)
     marks = np.zeros(len(row) + 1, np.int64)
     found = np.flatnonzero((block.lengths > 0) & (longest >= block.lengths))
     if found.size:
@@ -142,14 +180,13 @@ def match_shard(texts: list[list[str]], block: Block) -> list[tuple[np.ndarray,
         begins = np.ones(len(order), bool)
         begins[1:] = (np.diff(at[order]) != 1) | (np.diff((at - origin)[order]) != 0)
         runs = np.cumsum(begins) - 1
-        most = np.zeros(len(texts), np.int64)
         np.maximum.at(most, document[order], (size[order] + np.arange(len(order)) - np.flatnonzero(begins)[runs]))
         covered = np.cumsum(marks[:-1]) > 0
         for pair in np.unique(document * len(block.names) + block.owners[suffix]).tolist():
             out[pair // len(block.names)][1].add(pair % len(block.names))
-        for i in range(len(texts)):
-            out[i] = (covered[ends[i] : ends[i + 1] - 1], out[i][1], int(most[i]))
-    return out
+    else:
+        covered = np.zeros(len(row), bool)
+    return [(covered[ends[i] : ends[i + 1] - 1], out[i][1], int(most[i])) for i in range(len(texts))]
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -157,17 +194,64 @@ def _spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
-_blocks: dict[str, Block] = {}
+_kept: dict[str, Block] = {}  # a worker's, if its benchmark is a single block
+
+
+def _packer(window: int, block_bytes: int):
+    """The items of a task as blocks of at most `block_bytes` bytes (a longer item alone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([Block(held, window).pack()], pa.binary())], ["block"])
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bytes_ = len((text or "").encode())
+                if held and size + bytes_ > block_bytes:
+                    yield block()
+                    held, size = [], 0
+                held.append((item, text))
+                size += bytes_
+        if held:
+            yield block()
+
+    return run
 
 
-def _matcher(key: str, items, window: int, text_at: int, first: bool, added: list[str]):
-    """Adds the hits of one block to the last columns, `added`: words, spans, items and longest match."""
+def _blocks(folder: str) -> Iterator[Block]:
+    """The blocks of the folder, one at a time."""
+    if folder in _kept:
+        yield _kept[folder]
+        return
+    _kept.clear()
+    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    paths = sorted(f.path for f in files.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    seen = 0
+    for path in paths:
+        with files.open_input_file(path) as stream:
+            for batch in pyarrow.parquet.ParquetFile(stream).iter_batches(batch_size=1, columns=["block"]):
+                seen += 1
+                block = Block.unpack(batch.column(0)[0].as_py())
+                yield block
+    if seen == 1:
+        _kept[folder] = block
+
+
+def _matcher(folder: str, text_at: int, added: list[str]):
+    """Adds the hits of all blocks as the columns `added`: words, spans, items and longest match."""
+
+    def judge(shard: list[list[str]]) -> list[tuple]:
+        found = [([], [], 0) for _ in shard]
+        for block in _blocks(folder):
+            for i, (hit, own, most) in enumerate(match_shard(shard, block)):
+                spans, items, longest = found[i]
+                named = {n for j in own if (n := block.names[j]) is not None}
+                found[i] = _union(spans, _spans(hit)), sorted({*items, *named}), max(longest, most)
+        return [(len(words), *rest) for words, rest in zip(shard, found, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _blocks:
-            _blocks.clear()
-            _blocks[key] = Block(items.value, window)
-        block = _blocks[key]
         for batch in batches:
             column = batch.column(text_at)
             found, shard, held = [], [], 0
@@ -175,16 +259,12 @@ def _matcher(key: str, items, window: int, text_at: int, first: bool, added: lis
                 shard.append(words_of(column[i].as_py()))
                 held += len(shard[-1])
                 if held >= SHARD_WORDS or i == batch.num_rows - 1:
-                    found += [(len(w), _spans(hit), sorted(n for j in own if (n := block.names[j]) is not None), most) for w, (hit, own, most) in zip(shard, match_shard(shard, block), strict=True)]
+                    found += judge(shard)
                     shard, held = [], 0
-            kept = batch.num_columns - (0 if first else len(added))
-            if not first:
-                old = zip(*(c.to_pylist() for c in batch.columns[kept + 1 :]), strict=True)
-                found = [(n, _union(s, s0), sorted({*own, *own0}), max(m, m0)) for (n, s, own, m), (s0, own0, m0) in zip(found, old, strict=True)]
             counts, spans, ids, most = zip(*found, strict=True) if found else ((), (), (), ())
             numbers = pa.list_(pa.int64())
             new = [pa.array(counts, pa.int64()), pa.array(spans, numbers), pa.array(ids, numbers), pa.array(most, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *new], [*batch.schema.names[:kept], *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
     return run
 
@@ -200,29 +280,19 @@ def _union(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in lists of at most `block_bytes` bytes (a longer item alone), fetched a partition at a time."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), text_col).toLocalIterator():
-        bytes_ = len((row[1] or "").encode())
-        if held and size + bytes_ > block_bytes:
-            yield held
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += bytes_
-    yield held
-
-
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, names: tuple[str, ...] = NAMES) -> DataFrame:
     """All columns and those called `names`: number of words, of hit words, spans (starts and ends of the runs of hit words, in turn),
-    ids of the items, and the words of the longest verbatim match that holds a window (0 without one)."""
+    ids of the items, and the words of the longest verbatim match."""
     spark, kept = docs.sparkSession, without(docs, names)
     numbers, added = T.ArrayType(T.LongType()), private("n_words", "spans", "items", "longest")
     kinds = (T.LongType(), numbers, numbers, T.LongType())
-    out, schema = kept, T.StructType([*kept.schema, *(T.StructField(name, kind) for name, kind in zip(added, kinds, strict=True))])
-    for i, items in enumerate(_benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-        out = out.mapInArrow(_matcher(key, spark.sparkContext.broadcast(items), window, kept.columns.index(text_col), i == 0, added), schema)
+    schema = T.StructType([*kept.schema, *(T.StructField(name, kind) for name, kind in zip(added, kinds, strict=True))])
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder = shared_dir(spark, "benchmark")
+    dealt = items.coalesce(1) if total <= block_bytes else items.repartition(-(-total // block_bytes))
+    dealt.mapInArrow(_packer(window, block_bytes), "block binary").write.parquet(folder)
+    out = kept.mapInArrow(_matcher(folder, kept.columns.index(text_col), added), schema)
     n_words, spans, items, longest = (F.col(name) for name in added)
     hits = F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), F.lit(0).cast("long"), lambda n, i: n + F.when(i % 2 == 1, F.get(spans, i)).otherwise(-F.get(spans, i)))
     n_hit = F.when(F.size(spans) > 0, hits).otherwise(0).cast("long")
