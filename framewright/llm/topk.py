@@ -7,8 +7,9 @@ the slices of each place to a sum, in bitmap arithmetic only. The top rows are s
 sum downward; the rows that tie at the boundary are resolved by the smaller id. The few selected rows of each block then
 get their exact integer scores, and a window over those takes the k best of each query.
 
-Queries are taken in blocks of at most `query_block` rows (a stated query set against all rows): a block is what the driver collects and
-broadcasts at once, so neither grows with the input. Candidates are never shuffled; k rows a query and block are.
+The sliced blocks are written once, to the shared folder. Queries are written there by block, of at most `query_block` rows (a stated query set against all
+rows): a block is what the driver collects and broadcasts at once, so neither grows with the input, and each block is one job that reads the
+slices. A task keeps the k best of each query over all its blocks of rows. Candidates are never shuffled; k rows a query and task are.
 
 Vectors with a component that quantises to +-2^25 or beyond, or of more than 8,192 components, are wide: their scores could pass 63 bits.
 Pairs with a wide side are scored in floating point with an error bound, and all rows that could be among the k best by it in whole
@@ -24,15 +25,17 @@ of its digits come with `text=True`.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import materialise
+from framewright.llm.common import materialise, shared_dir
 
 SCALE = 1024
 #: Narrow vectors: components below LIMIT and at most WIDTH of them, so that scores stay below 2^63.
@@ -44,6 +47,7 @@ QUERY_BLOCK = 2048
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A score beyond 63 bits has side 1 or -1, score 0, and a key that sorts as the score does.
 RESULT = "query_id long, vec_id long, score long, side int, key string"
+INDEX = "wide boolean, block binary"
 NINES = str.maketrans("0123456789", "9876543210")
 
 
@@ -124,7 +128,6 @@ class SlicedBlock:
         low = self.rows.min(axis=0) if width else np.zeros(0, np.int64)
         lifted = (self.rows - low).astype(np.uint64)
         self.slices = [[self.pack((lifted[:, d] >> np.uint64(b)) & np.uint64(1)) for b in range(int(lifted[:, d].max()).bit_length())] for d in range(width)]
-        self.complements = [[s ^ FULL for s in bits] for bits in self.slices]
 
     def pack(self, flags: np.ndarray) -> np.ndarray:
         padded = np.zeros(self.words * 64, np.uint8)
@@ -138,7 +141,7 @@ class SlicedBlock:
         """Slices, least significant first, of the scores plus a constant of the block."""
         places: list[list[np.ndarray]] = []
         for d, weight in enumerate(query[: len(self.slices)].tolist()):
-            chosen, weight = (self.slices[d], weight) if weight >= 0 else (self.complements[d], -weight)
+            chosen, weight = (self.slices[d], weight) if weight >= 0 else ([s ^ FULL for s in self.slices[d]], -weight)
             bit = 0
             while weight:
                 if weight & 1:
@@ -191,53 +194,78 @@ class SlicedBlock:
         return self.unpack(able)
 
 
+def _pack(block: object) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(block))
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as blocks: sliced ones, and those of wide vectors."""
+    held_ids, held_rows, wide, held = [], [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        blocks = []
+        if held_ids:
+            width = max(r.shape[1] for r in held_rows)
+            blocks.append((False, SlicedBlock(np.concatenate(held_ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in held_rows]))))
+        if wide:
+            blocks.append((True, WideBlock(np.array([i for i, _ in wide], np.int64), [v for _, v in wide])))
+        for kind, block in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([_pack(block)], pa.binary())], ["wide", "block"])
+
+    for batch in batches:
+        narrow, others = batch.filter(pc.is_valid(batch.column(1))), batch.filter(pc.is_valid(batch.column(2)))
+        if narrow.num_rows:
+            held_ids.append(narrow.column(0).to_numpy())
+            held_rows.append(_matrix(narrow.column(1)))
+        wide += [(i, WideVector(v["scale"], v["x"])) for i, v in zip(others.column(0).to_pylist(), others.column(2).to_pylist(), strict=True)]
+        held += batch.num_rows
+        if held >= BLOCK_ROWS:
+            yield from flush()
+            held_ids, held_rows, wide, held = [], [], [], 0
+    if held:
+        yield from flush()
+
+
 def _search(queries, k: int):
+    """The k best rows of each query among the blocks of a task; those with a wide side apart from the others."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, weights, wide_ids, wide_queries = queries.value
-        held_ids, held_rows, wide_held, held = [], [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids, rows = np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
-            if held_ids:
-                width = max(weights.shape[1], max(r.shape[1] for r in held_rows))
-                ids, rows = np.concatenate(held_ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in held_rows])
-                if len(query_ids):
-                    block = SlicedBlock(ids, rows)
-                    wide = np.pad(weights, ((0, 0), (0, width - weights.shape[1])))
-                    out: tuple[list, list, list] = ([], [], [])
-                    for query_id, weight in zip(query_ids.tolist(), wide, strict=True):
-                        best = block.select(weight, query_id, k)
-                        out[0].append(np.full(len(best), query_id))
-                        out[1].append(block.ids[best])
-                        out[2].append(block.rows[best] @ weight)
-                    found = [pa.array(np.concatenate(c).astype(np.int64)) for c in out]
-                    yield pa.RecordBatch.from_arrays([*found, pa.array(np.zeros(len(found[0]), np.int32)), pa.nulls(len(found[0]), pa.string())], ["query_id", "vec_id", "score", "side", "key"])
-            pairs: list[tuple] = []
-            if wide_held:
-                block = WideBlock(np.array([i for i, _ in wide_held], np.int64), [v for _, v in wide_held])
-                for query_id, weight in zip(query_ids.tolist(), weights, strict=True):
-                    pairs += [(query_id, i, *_key(score)) for score, i in block.select(weight.tolist(), weight * 2.0**-20, query_id, k)]
-                for query_id, query in zip(wide_ids.tolist(), wide_queries, strict=True):
-                    pairs += [(query_id, i, *_key(score)) for score, i in block.select(query.whole(), query.floats, query_id, k)]
-            if len(ids) and len(wide_ids):
-                block = WideBlock(ids, rows)
-                for query_id, query in zip(wide_ids.tolist(), wide_queries, strict=True):
-                    pairs += [(query_id, i, *_key(score)) for score, i in block.select(query.whole(), query.floats, query_id, k)]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*pairs, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["query_id", "vec_id", "score", "side", "key"])
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        apart: dict[int, list[tuple[int, int]]] = {}
+
+        def keep(query: int, found: list[tuple[int, int]]) -> None:
+            apart[query] = sorted([*apart.get(query, []), *found], key=lambda e: (-e[0], e[1]))[:k]
 
         for batch in batches:
-            narrow, wide = batch.filter(pc.is_valid(batch.column(1))), batch.filter(pc.is_valid(batch.column(2)))
-            if narrow.num_rows:
-                held_ids.append(narrow.column(0).to_numpy())
-                held_rows.append(_matrix(narrow.column(1)))
-            wide_held += [(i, WideVector(v["scale"], v["x"])) for i, v in zip(wide.column(0).to_pylist(), wide.column(2).to_pylist(), strict=True)]
-            held += batch.num_rows
-            if held >= BLOCK_ROWS:
-                yield from flush()
-                held_ids, held_rows, wide_held, held = [], [], [], 0
-        if held:
-            yield from flush()
+            for wide, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = pickle.loads(zstandard.ZstdDecompressor().decompress(data.as_py()))
+                width = 0 if wide else block.rows.shape[1]
+                for at, (query_id, weight) in enumerate(zip(query_ids.tolist(), weights, strict=True)):
+                    if wide:
+                        keep(at, block.select(weight.tolist(), weight * 2.0**-20, query_id, k))
+                        continue
+                    weight = np.pad(weight, (0, max(0, width - len(weight))))
+                    rows = block.select(weight, query_id, k)
+                    scores, ids = block.rows[rows] @ weight[:width], block.ids[rows]
+                    if at in best:
+                        scores, ids = np.concatenate([best[at][0], scores]), np.concatenate([best[at][1], ids])
+                        order = np.lexsort((ids, -scores))[:k]
+                        scores, ids = scores[order], ids[order]
+                    best[at] = scores, ids
+                if len(wide_ids):
+                    rows = block if wide else WideBlock(block.ids, block.rows)
+                    for at, (query_id, query) in enumerate(zip(wide_ids.tolist(), wide_queries, strict=True)):
+                        keep(len(query_ids) + at, rows.select(query.whole(), query.floats, query_id, k))
+        names = ["query_id", "vec_id", "score", "side", "key"]
+        if best:
+            columns = [np.repeat(query_ids[list(best)], [len(s) for s, _ in best.values()]), np.concatenate([i for _, i in best.values()]), np.concatenate([s for s, _ in best.values()])]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in columns], pa.array(np.zeros(len(columns[0]), np.int32)), pa.nulls(len(columns[0]), pa.string())], names)
+        everyone = [*query_ids.tolist(), *wide_ids.tolist()]
+        pairs = [(everyone[at], i, *_key(score)) for at, found in apart.items() for score, i in found]
+        if pairs:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*pairs, strict=True), kinds, strict=True)], names)
 
     return search
 
@@ -252,14 +280,15 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, text: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of every query; both sides as `quantise` gives them. `text`: scores as text."""
-    candidates = candidates.select("vec_id", "q", "wide")
     spark = candidates.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // query_block))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
+    index = materialise(candidates.select("vec_id", "q", "wide").mapInArrow(_index, INDEX), "slices")
+    blocks = max(1, -(-queries.count() // query_block))
+    asked, results = shared_dir(spark, "queries"), shared_dir(spark, "search")
+    queries.select("vec_id", "q", "wide", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block").write.partitionBy("block").parquet(asked)
+    numbered = spark.read.schema(f"vec_id long, q array<long>, wide {queries.schema['wide'].dataType.simpleString()}, block int").parquet(asked)
+    spark.createDataFrame([], RESULT).write.parquet(f"{results}/none")
     for b in range(blocks):
-        for piece in _pieces(numbered.where(F.col("block") == b).select("vec_id", "q", "wide"), query_block):
+        for p, piece in enumerate(_pieces(numbered.where(F.col("block") == b).select("vec_id", "q", "wide"), query_block)):
             narrow, wide = [r for r in piece if r[1] is not None], [r for r in piece if r[1] is None]
             ids = np.array([r[0] for r in narrow], np.int64)
             weights = np.zeros((len(narrow), max((len(r[1]) for r in narrow), default=0)), np.int64)
@@ -267,13 +296,9 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block:
                 weights[i, : len(r[1])] = r[1]
             sent = (ids, weights, np.array([r[0] for r in wide], np.int64), [WideVector(r[2]["scale"], r[2]["x"]) for r in wide])
             held = spark.sparkContext.broadcast(sent)
-            part = candidates.mapInArrow(_search(held, k), RESULT)
-            if blocks > 1:  # one job a block: its results go to the shared folder, and its queries leave the executors and the driver
-                part = materialise(part, "search")
-                held.destroy()
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], RESULT)
+            index.mapInArrow(_search(held, k), RESULT).write.parquet(f"{results}/{b}-{p}")
+            held.destroy()  # its queries leave the executors and the driver
+    found = spark.read.schema(RESULT).option("recursiveFileLookup", "true").parquet(results)
     best = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("key"), "vec_id")
     digits = F.substring("key", 6, 1 << 20)
     written = F.when(F.col("side") == 0, F.col("score").cast("string")).when(F.col("side") == 1, digits).otherwise(F.concat(F.lit("-"), F.translate(digits, "0123456789", "9876543210")))
