@@ -8,8 +8,10 @@ logistic function fitted on the same sample turns it into the score.
 
 The model is fitted on a sample: at most `SAMPLE_DOCS` labelled documents, those with the smallest hashes of their ids, but a tenth
 of that of each label where there are so many; and at most `SAMPLE_LINES` of their lines, in that order: a document that does not fit is skipped, one of over
-`DOC_LINES` lines gives so many in evenly spaced segments, and no label takes the last tenth of the lines from the other.
-This is the only thing that the driver gathers. Scoring is one narrow pass over all whole texts. Labels, language, source and id are never features.
+`DOC_LINES` lines gives so many in evenly spaced segments, and no label takes the last tenth of the lines from the other. An id that has several
+rows trains once, by the least of their texts. Lines are counted first; only features of the lines that fit go to the driver, 19 MB at most, and
+nothing else does. As every line carries its document's label, training sees equal neighbours only and would let the chain's scores grow without end: they are kept within
+-3 and 3 after each step. Scoring is one narrow pass over all whole texts. Labels, language, source and id are never features.
 
 Defined cases. A null or empty text is one empty line and gets a score as any other. A null id is not held out and
 never trains. Repeated rows are scored one by one. Null labels are left out; of several labels of an id the smallest counts. With labels of
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import private, without
+from framewright.llm.common import materialise, private, without
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 120_000
@@ -252,22 +254,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__label"))
     placed = known.select("__id", "__label", F.xxhash64("__id").alias("__place"))
-    kinds = [placed.where(F.col("__label") == label).orderBy("__place", "__id").limit(SAMPLE_DOCS // 10).collect() for label in (0, 1)]
-    taken = {r["__id"]: r for kind in kinds for r in kind}
-    for r in placed.orderBy("__place", "__id").limit(SAMPLE_DOCS).collect():
-        if len(taken) < SAMPLE_DOCS:
-            taken.setdefault(r["__id"], r)
+    first = placed.orderBy("__place", "__id").limit(SAMPLE_DOCS).withColumn("__kind", F.lit(-1))
+    for label in (0, 1):
+        first = first.unionByName(placed.where(F.col("__label") == label).orderBy("__place", "__id").limit(SAMPLE_DOCS // 10).withColumn("__kind", F.lit(label)))
+    drawn = sorted(first.collect(), key=lambda r: (-r["__kind"], r["__place"], r["__id"]))  # those of a kind come first
+    taken: dict[int, tuple] = {}
+    for r in drawn:
+        if r["__kind"] >= 0 or len(taken) < SAMPLE_DOCS:
+            taken.setdefault(r["__id"], (r["__id"], r["__label"], r["__place"]))
+    kinds = [any(r["__kind"] == label for r in drawn) for label in (0, 1)]
     chosen = docs.sparkSession.createDataFrame(list(taken.values()), "__id long, __label int, __place long")
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.encode(F.col(text_col), "utf-8").alias("__text")).join(F.broadcast(chosen), "__id")
-    found = rows.select("__place", "__label", "__text").mapInArrow(_sample_features, "place long, label int, features binary, weights binary")
-    samples, lines, spare = [], [0, 0], SAMPLE_LINES // 10
-    for row in found.orderBy("place", "features").toLocalIterator():
-        features = np.frombuffer(row["features"], np.float32).reshape(-1, FEATURES)
-        kind = row["label"]
-        if sum(lines) + len(features) + max(0, spare - lines[1 - kind]) > SAMPLE_LINES:
-            continue
-        samples.append((kind, features, np.frombuffer(row["weights"], np.float64)))
-        lines[kind] += len(features)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(chosen), "__id")
+    # one row an id, that of the least text; written, as the budget counts lines before any features are made
+    rows = materialise(rows.groupBy("__id", "__label", "__place").agg(F.min("__text").alias("__text")), "sample")
+    breaks = F.octet_length("__text") - F.octet_length(F.replace("__text", F.lit("\n"), F.lit("")))
+    fit_in, lines, spare = [], [0, 0], SAMPLE_LINES // 10
+    for r in sorted(rows.select("__place", "__id", "__label", F.least(breaks + 1, F.lit(DOC_LINES)).alias("__lines")).collect()):
+        if sum(lines) + r["__lines"] + max(0, spare - lines[1 - r["__label"]]) <= SAMPLE_LINES:
+            fit_in.append((r["__id"],))
+            lines[r["__label"]] += r["__lines"]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fit_in, "__id long")), "__id")
+    found = rows.select("__place", "__label", F.encode("__text", "utf-8")).mapInArrow(_sample_features, "place long, label int, features binary, weights binary")
+    samples = [(r["label"], np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES), np.frombuffer(r["weights"], np.float64)) for r in found.orderBy("place", "features").toLocalIterator()]
     if all(kinds) and not all(lines):
         warnings.warn("there are labels of both kinds, but no sampled document of one: every document gets the same score", stacklevel=2)
     return train(samples)
