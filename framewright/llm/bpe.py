@@ -21,8 +21,8 @@ slice at once. Equal words of a slice are encoded once, and each worker keeps a
 Defined cases. A null text counts as empty: no tokens, the hash of the empty string. An added token's string in a text becomes its
 id, as in the library. Null ids in a list of ids and ids that the vocabulary lacks decode to nothing; a null list decodes to the empty
 text. Rows are independent: repeated or null ids of documents, empty tables and other columns of any name do no harm (`encode`
-puts its `ids` in the place of a column of that name, `decode` its `decoded`). Texts of any length are taken slice by slice; a single word
-of n bytes takes n steps. Nothing is shuffled. A file of another kind (other model, other splitting, bytes without a token, two merges
+puts its `ids` in the place of a column of that name, `decode` its `decoded`). Texts of any length are taken slice by slice, cut where a word
+is sure to begin; a single word of n bytes is in one slice and takes n steps. Nothing is shuffled. A file of another kind (other model, other splitting, bytes without a token, two merges
 that make one token) or of over `MAX_FILE_BYTES`, since it is broadcast, is refused by name.
 """
 
@@ -311,11 +311,11 @@ class Coder:
             for i, part in enumerate(self.special.split(text) if text and self.special else [text or ""]):
                 at = 0
                 while i % 2 == 0 and len(part) - at > SLICE:
-                    cut = SINGLE.search(part, at + SLICE)
+                    cut = self.boundary(part, at + SLICE)
                     if cut is None:
                         break
-                    yield [*held, (row, part[at : cut.start()], False)]
-                    held, size, at = [], 0, cut.start()
+                    yield [*held, (row, part[at:cut], False)]
+                    held, size, at = [], 0, cut
                 if held and size + len(part) - at > SLICE:
                     yield held
                     held, size = [], 0
@@ -324,6 +324,19 @@ class Coder:
         if held:
             yield held
 
+    def boundary(self, text: str, start: int) -> int | None:
+        """The first place from `start` on that begins a word whatever stands around it.
+
+        That is where white space follows other text, or where the class changes between other characters, but for what follows an apostrophe.
+        """
+        for low in range(start, len(text), SLICE // 16):
+            codes = np.frombuffer(text[low - 1 : low + SLICE // 16].encode("utf-32-le"), np.uint32)
+            kind = self.kinds[codes]
+            sure = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) & ((codes[:-1] != 39) | (kind[1:] == SPACE))
+            if sure.any():
+                return low + int(sure.argmax())
+        return None
+
     def split(self, parts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """How many words each part has; the number of each word among the distinct words; those."""
         text = "".join(parts)
@@ -407,8 +420,6 @@ def joined(values: pa.Array, counts: np.ndarray, between: bytes) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, values), between)
 
 
-#: A space between other characters: a word begins there whatever lies before it.
-SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, Coder] = {}
 
 
