@@ -87,7 +87,8 @@ def stage(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("owner"), F.encode(F.col(text_col), "utf-8").alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets, name = max(1, -(-total // grown(BUCKET_BYTES, total))), f"chunks_{uuid.uuid4().hex}"
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))  # more are refused; a bucket then holds more chunks, read one by one
+    buckets, name = min(most, max(1, -(-total // grown(BUCKET_BYTES, total)))), f"chunks_{uuid.uuid4().hex}"
     rows.mapInArrow(_pack(grown(CHUNK_BYTES, total)), CHUNK).repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", shared_dir(spark, "chunks")).saveAsTable(name)
     chunks = spark.table(name)
     spark.sql(f"drop table {name}")  # from the catalogue only: the files, which `chunks` reads, stay
