@@ -40,19 +40,23 @@ from framewright.llm.substrings import WordHashes
 SHINGLE, PERCENT = 3, 90
 #: Exchanges of allowances at most; those that save most come first.
 SWAPS = 10_000
-#: What a key costs, in pairs: it is dealt, grouped and joined, where a pair is joined with two sets.
-KEY_COST = 0.05
-DESCRIBED = "owner long, known boolean, n long, c1 long, c2 long"
+#: What a key costs, in pairs (it is dealt, grouped and joined, where a pair is joined with two sets), and what a shingle that is read again costs.
+KEY_COST, READ_COST = 0.05, 0.05
+#: `keys` are those of the segments under band `band` (`own` of them), then under the band below.
+DESCRIBED = "owner long, known boolean, n long, c1 long, c2 long, band int, own int, keys array<long>"
 KEYS = "key long, rep long, slot long"
 
 
 class Bands:
     """Bands of sizes, each (100 / percent) ** 2 times as wide as the one below."""
 
-    def __init__(self, percent: int, largest: int):
+    def __init__(self, percent: int, largest: int = 1):
         self.percent, self.starts = percent, [1]
-        while self.starts[-1] <= largest:
-            self.starts.append(self.starts[-1] * 10_000 // percent**2 + 1)
+        self.reach(largest)
+
+    def reach(self, size: int) -> None:
+        while self.starts[-1] <= size:
+            self.starts.append(self.starts[-1] * 10_000 // self.percent**2 + 1)
 
     def segments(self, band: int) -> int:
         """One more than the number of shingles in which sets that link, the smaller of them in this band, can differ."""
@@ -60,6 +64,7 @@ class Bands:
 
     def of(self, size: int) -> list[int]:
         """The bands under which a set of this size gives keys; not those in which only equal sets link."""
+        self.reach(size)
         band = int(np.searchsorted(self.starts, size, "right")) - 1
         both = [band, band - 1] if band and self.percent * size <= 100 * (self.starts[band] - 1) else [band]
         return [b for b in both if self.segments(b) > 1]
@@ -87,21 +92,30 @@ def segment_keys(found: np.ndarray, band: int, count: int, wanted: np.ndarray |
     return C.scramble(sums + C.scramble(slots, 12), 13), slots
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            sizes, first, second = [], [], []
-            for text in part.column(1):
-                found = shingles(text.as_py() or b"", memo, SHINGLE)
-                whole = xxhash.xxh3_128_intdigest(found.tobytes())
-                sizes.append(len(found))
-                first.append((whole >> 64) - (1 << 63))
-                second.append((whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-            owners = part.column(0)
-            columns = [owners.fill_null(LAST_ID), owners.is_valid(), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["owner", "known", "n", "c1", "c2"])
+def _describe(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, bands = WordHashes(), Bands(percent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, first, second, under, own, keys = [], [], [], [], [], []
+                for text in part.column(1):
+                    found = shingles(text.as_py() or b"", memo, SHINGLE)
+                    whole = xxhash.xxh3_128_intdigest(found.tobytes())
+                    own_bands = bands.of(len(found)) if len(found) else []
+                    each = [segment_keys(found, b, bands.segments(b))[0] for b in own_bands]
+                    sizes.append(len(found))
+                    first.append((whole >> 64) - (1 << 63))
+                    second.append((whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+                    under.append(own_bands[0] if each else None)
+                    own.append(len(each[0]) if each else 0)
+                    keys.append(np.concatenate(each) if each else np.zeros(0, np.uint64))
+                owners, offsets = part.column(0), np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
+                columns = [owners.fill_null(LAST_ID), owners.is_valid(), *[pa.array(c, pa.int64()) for c in (sizes, first, second)], pa.array(under, pa.int32()), pa.array(own, pa.int32()), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["owner", "known", "n", "c1", "c2", "band", "own", "keys"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +127,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["owner", "shingles"])
 
 
-def _keys(bands: Bands, doubled: dict[int, np.ndarray] | None = None):
-    """The keys of documents; with `doubled` (segments by band), their one-deletion keys instead."""
+def _less(bands: Bands, doubled: dict[int, np.ndarray]):
+    """The one-deletion keys of documents in the segments `doubled` (by band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -125,8 +139,8 @@ def _keys(bands: Bands, doubled: dict[int, np.ndarray] | None = None):
                 for owner, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     found = shingles(text.as_py() or b"", memo, SHINGLE)
                     for band in bands.of(len(found)) if len(found) else []:
-                        if doubled is None or band in doubled:
-                            key, slot = segment_keys(found, band, bands.segments(band), doubled and doubled[band])
+                        if band in doubled:
+                            key, slot = segment_keys(found, band, bands.segments(band), doubled[band])
                             keys.append(key)
                             slots.append(slot)
                             owners.append(np.full(len(key), owner))
@@ -136,6 +150,11 @@ def _keys(bands: Bands, doubled: dict[int, np.ndarray] | None = None):
     return run
 
 
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with the given ids (`owner`), which are broadcast up to a bound."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "owner", "left_semi")
+
+
 class Confirmer:
     """Confirms candidate pairs (a, b) on the documents' full sets; `reps` has rep and n."""
 
@@ -144,8 +163,7 @@ class Confirmer:
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """owner and text of the documents with the given ids (`owner`)."""
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        return self.docs.join(wanted, "owner", "left_semi")
+        return of_ids(self.docs, ids)
 
     def sets(self, ids: DataFrame) -> DataFrame:
         return materialise(self.texts(materialise(ids.distinct(), "ids")).mapInArrow(_sets, "owner long, shingles array<long>"), "sets")
@@ -165,29 +183,35 @@ def swaps(shared: DataFrame, reps: DataFrame, bands: Bands) -> list[tuple[int, i
     """(band, dear segment, cheap segment) of the exchanges that save pairs, from the keys (key, slot, documents) that documents share.
 
     The dearest segment of a band is set against the cheapest, the second against the second cheapest, and so on. One-deletion keys are
-    taken to double a segment's pairs, and cost `KEY_COST` for each shingle.
+    taken to double a segment's pairs, and cost `KEY_COST` for each shingle. A band's exchanges must also pay for reading its documents again.
     """
     spark, low = shared.sparkSession, F.lit((1 << 32) - 1)
     pairs = F.col("documents").cast("double") * (F.col("documents") - 1) / 2
     paid = shared.groupBy("slot").agg(F.sum(pairs).alias("pairs"))
     spans = [(k, a, b - 1, bands.segments(k)) for k, (a, b) in enumerate(zip(bands.starts, bands.starts[1:], strict=False))]
     spans = F.broadcast(spark.createDataFrame(spans, "band int, least long, most long, segments long"))  # a row for each band: some dozens
-    load = reps.join(spans, F.col("n").between(F.col("least"), F.col("most"))).groupBy("band", "segments").agg((F.sum("n") / F.max("segments") * KEY_COST).alias("key_cost"))
+    load = reps.join(spans, F.col("n").between(F.col("least"), F.col("most"))).groupBy("band", "segments").agg((F.sum("n") / F.max("segments") * KEY_COST).alias("key_cost"), (F.sum("n") * READ_COST).alias("read_cost"))
     every = load.where("segments > 1").withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("segments") - 1), lambda s: F.shiftleft(F.col("band").cast("long"), 32) + s)))
     every = every.join(paid, "slot", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("pairs").desc(), "slot"))
     ranked = materialise(every.withColumn("rank", rank), "segments")
-    dear = ranked.where("2 * rank <= segments and pairs > key_cost").select("band", "rank", "key_cost", "pairs", F.col("slot").bitwiseAND(low).alias("dear"))
+    dear = ranked.where("2 * rank <= segments and pairs > key_cost").select("band", "rank", "key_cost", "read_cost", "pairs", F.col("slot").bitwiseAND(low).alias("dear"))
     cheap = ranked.select("band", (F.col("segments") + 1 - F.col("rank")).alias("rank"), F.col("pairs").alias("more"), F.col("slot").bitwiseAND(low).alias("cheap"))
     gain = F.col("pairs") - F.col("key_cost") - F.col("more")
-    best = dear.join(cheap, ["band", "rank"]).withColumn("gain", gain).where("gain > 0").orderBy(F.col("gain").desc(), "band", "dear").limit(SWAPS)
+    paying = dear.join(cheap, ["band", "rank"]).withColumn("gain", gain).where("gain > 0")
+    paying = paying.withColumn("all", F.sum("gain").over(Window.partitionBy("band"))).where(F.col("all") > F.col("read_cost"))
+    best = paying.orderBy(F.col("gain").desc(), "band", "dear").limit(SWAPS)
     return [(r["band"], r["dear"], r["cheap"]) for r in best.collect()]
 
 
-def candidates(confirmer: Confirmer, bands: Bands) -> DataFrame:
+def candidates(described: DataFrame, confirmer: Confirmer, bands: Bands) -> DataFrame:
     """key, rep, least: the documents that share a key with others, and the least of those."""
-    texts = confirmer.texts(confirmer.reps.select(F.col("rep").alias("owner")).distinct()).select("owner", "text")
-    rows = materialise(texts.mapInArrow(_keys(bands), KEYS), "keys")
+    reps = confirmer.reps
+    rows = of_ids(described.select("owner", "band", "own", "keys"), materialise(reps.select(F.col("rep").alias("owner")).distinct(), "ids"))
+    rows = rows.select(F.col("owner").alias("rep"), "band", "own", F.posexplode("keys").alias("place", "key"))
+    below = F.col("place") >= F.col("own")
+    slot = F.shiftleft((F.col("band") - below.cast("int")).cast("long"), 32) + F.col("place") - F.when(below, F.col("own")).otherwise(0)
+    rows = rows.select("key", "rep", slot.alias("slot"))
     shared = materialise(rows.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1"), "shared")
     exchanged = swaps(shared, confirmer.reps, bands)
     found = rows.join(shared.select("key"), "key", "left_semi").select("key", "rep")
@@ -196,7 +220,11 @@ def candidates(confirmer: Confirmer, bands: Bands) -> DataFrame:
         gone = spark.createDataFrame([(int(slot_of(band, dear)),) for band, dear, _ in exchanged], "slot long")
         kept = rows.join(F.broadcast(gone), "slot", "left_anti")  # `SWAPS` rows at most
         doubled = {band: np.array(sorted(cheap for b, _, cheap in exchanged if b == band)) for band in {e[0] for e in exchanged}}
-        less = materialise(texts.mapInArrow(_keys(bands, doubled), KEYS), "less")
+        sizes = F.lit(False)
+        for band in doubled:  # its own documents, and those of the next band
+            sizes = sizes | F.col("n").between(bands.starts[band], (bands.starts + [1 << 62])[min(band + 2, len(bands.starts))] - 1)
+        texts = confirmer.texts(materialise(reps.where(sizes).select(F.col("rep").alias("owner")).distinct(), "ids")).select("owner", "text")
+        less = materialise(texts.mapInArrow(_less(bands, doubled), KEYS), "less")
         spots = spark.createDataFrame([(int(slot_of(band, cheap)),) for band, _, cheap in exchanged], "slot long")
         here = rows.join(F.broadcast(spots), "slot", "left_semi").unionByName(less)
         twice = here.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
@@ -210,12 +238,12 @@ def candidates(confirmer: Confirmer, bands: Bands) -> DataFrame:
 def link(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = _texts(docs, id_col, text_col)
-    described = materialise(texts.mapInArrow(_describe, DESCRIBED), "described")
+    described = materialise(texts.mapInArrow(_describe(percent), DESCRIBED), "described")
     classes = materialise(described.where("n > 0").groupBy("c1", "c2").agg(F.min("owner").alias("rep")), "classes")
     reps = materialise(described.join(classes, ["c1", "c2"]).where("n > 0 and owner = rep").select("rep", "n").distinct(), "representatives")
     largest = reps.agg(F.max("n")).first()[0] or 0
     confirmer = Confirmer(texts, reps, percent)
-    members = candidates(confirmer, Bands(percent, largest))
+    members = candidates(described, confirmer, Bands(percent, largest))
     stars = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(confirmer.confirm(stars), "links")
     labels = components(links)
