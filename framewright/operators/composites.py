@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.iterate import cut
-from framewright.operators import curves, regions, shapes
+from framewright.operators import curves, regions, shapes, snakes
 
 
 def polygon_mask(contours: DataFrame) -> DataFrame:
@@ -22,53 +21,6 @@ def outlines(contours: DataFrame, resolution: float) -> DataFrame:
     return ring.select(F.col("video_id").alias("poly_id"), "i", ((F.col("x") - 0.5) * resolution).alias("x"), ((F.col("y") - 0.5) * resolution).alias("y"))
 
 
-def evolution_table(count: int, spacing: float, alpha: float, beta: float, gamma: float, closed: bool) -> list[tuple[int, int, float]]:
-    """(i, j, weight) of the implicit Euler step of tension alpha and stiffness beta: the inverse of 1 + gamma (alpha D2 + beta D4)."""
-    second = np.zeros((count, count))
-    for i in range(count):
-        for j, w in ((i - 1, -1.0), (i, 2.0), (i + 1, -1.0)):
-            if closed:
-                second[i, j % count] += w
-            elif 0 <= j < count:
-                second[i, j] += w
-    if not closed:
-        second[0] = second[-1] = 0
-    stiff = alpha * second / spacing**2 + beta * second.T @ second / spacing**4
-    inverse = np.linalg.inv(np.eye(count) + gamma * stiff)
-    return [(i, j, float(inverse[i, j])) for i in range(count) for j in range(count) if abs(inverse[i, j]) > 1e-12]
-
-
-def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, int], count: int, spacing: float = 1.0, alpha: float = 0.0, beta: float = 100.0, gamma: float = 0.001, closed: bool = False, fixed_ends: bool = False, rounds: int = 50, tolerance: float = 1e-3) -> DataFrame:
-    """Evolves curves (curve_id, video_id, frame_idx, i, x, y; `count` points each) toward low potential.
-
-    `gradients` are gx, gy by pixel. Each round samples the forces, applies the step's matrix (count^2 rows, a literal table) and puts the
-    points back into the frame. Curves that move less than `tolerance` in all are done and leave the loop; `converged` is false for those that
-    have not come to rest after `rounds`.
-    """
-    spark = points.sparkSession
-    table = F.broadcast(spark.createDataFrame(evolution_table(count, spacing, alpha, beta, gamma, closed), "i int, j int, w double"))
-    keys = ["curve_id", "video_id", "frame_idx"]
-    now, done = cut(points.select(*keys, "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))), None
-    for _ in range(rounds):
-        at = now.select(F.struct("curve_id", "i").alias("point_id"), "video_id", "frame_idx", F.col("x").alias("px"), F.col("y").alias("py"))
-        fx, fy = (curves.sample_bilinear(gradients.withColumnRenamed(g, "v"), at).select(F.col("point_id.curve_id").alias("curve_id"), F.col("point_id.i").alias("i"), F.col("v").alias(g)) for g in ("gx", "gy"))
-        pushed = now.join(fx, ["curve_id", "i"], "left").join(fy, ["curve_id", "i"], "left").select(*keys, F.col("i").alias("j"), (F.col("x") - gamma * F.coalesce("gx", F.lit(0.0))).alias("u"), (F.col("y") - gamma * F.coalesce("gy", F.lit(0.0))).alias("v"))
-        moved = pushed.join(table, "j").groupBy(*keys, "i").agg(F.sum(F.col("w") * F.col("u")).alias("nx"), F.sum(F.col("w") * F.col("v")).alias("ny"))
-        both = moved.join(now, [*keys, "i"])
-        held = F.col("i").isin(0, count - 1) if fixed_ends else F.lit(False)
-        x = F.when(held, F.col("x")).otherwise(F.least(F.lit(size[0] - 1.0), F.greatest(F.lit(0.0), "nx")))
-        y = F.when(held, F.col("y")).otherwise(F.least(F.lit(size[1] - 1.0), F.greatest(F.lit(0.0), "ny")))
-        after = cut(both.select(*keys, "i", x.alias("x"), y.alias("y"), (F.abs(x - F.col("x")) + F.abs(y - F.col("y"))).alias("step")))
-        still = after.groupBy("curve_id").agg(F.sum("step").alias("total")).where(F.col("total") < tolerance).select("curve_id")
-        ended = after.join(still, "curve_id").drop("step")
-        done = ended if done is None else done.unionByName(ended)
-        now = cut(after.join(still, "curve_id", "left_anti").drop("step"))
-        if not now.take(1):
-            break
-    now = now.withColumn("converged", F.lit(False))
-    return now if done is None else done.withColumn("converged", F.lit(True)).unionByName(now)
-
-
 def centerlines(contours: DataFrame) -> DataFrame:
     """Centre line of each polygon, as an estimate: the way between the farthest points of its mask; poly_id, i, x, y."""
     mask = cut(polygon_mask(contours))
@@ -77,19 +29,45 @@ def centerlines(contours: DataFrame) -> DataFrame:
     return path.select(F.col("video_id").alias("poly_id"), F.col("pos").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
-def smooth_centerlines(contours: DataFrame, spacing: float, sigma: float) -> DataFrame:
-    """Centre lines resampled at `spacing` and smoothed."""
-    lines = centerlines(contours).withColumnRenamed("poly_id", "curve_id")
-    return curves.smooth(curves.spaced(lines, spacing), sigma).withColumnRenamed("curve_id", "poly_id")
+def optimised_centerlines(contours: DataFrame, size: tuple[int, int], spacing: float = 20.0, alpha: float = 1e3, beta: float = 1e6, gamma: float = 0.01, rounds: int = 1000) -> DataFrame:
+    """Centre lines pulled to the middle: active contours in the distance to the background, both ends held; poly_id, i, x, y, converged.
 
-
-def optimised_centerlines(contours: DataFrame, size: tuple[int, int], count: int, rounds: int = 10) -> DataFrame:
-    """Centre lines pulled to the middle: active contours in the negative distance to the background, ends fixed."""
+    `spacing` is that of the points, before and after. `converged` is false for lines that have not come to rest after `rounds`.
+    """
     mask = cut(polygon_mask(contours))
-    depth = regions.background_distance(mask, size[1], size[0]).select(*regions.PIXEL, (-F.col("d")).alias("v"))
+    depth = regions.background_distance(mask, size[1], size[0]).select(*regions.PIXEL, F.col("d").alias("v"))
     cells = mask.select(*regions.FRAME).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))))
     potential = cells.join(depth, regions.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     slopes = cut(shapes.gradients(potential, size[1], size[0], 1.0))
-    lines = curves.equidistant(centerlines(contours).withColumnRenamed("poly_id", "curve_id"), count)
+    lines = cut(curves.spaced(centerlines(contours).withColumnRenamed("poly_id", "curve_id"), spacing))
+    ends = lines.groupBy("curve_id").agg(F.min("i").alias("a"), F.max("i").alias("b")).select("curve_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("i"), F.lit(True).alias("hold_x"), F.lit(True).alias("hold_y"))
     placed = lines.select("curve_id", F.col("curve_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), "i", "x", "y")
-    return active_contours(placed, slopes, size, count, 1.0, 0.0, 1.0, 0.01, fixed_ends=True, rounds=rounds).select(F.col("curve_id").alias("poly_id"), "i", "x", "y")
+    found = cut(snakes.active_contours(placed, slopes, size, alpha, beta, gamma, anchors=ends, rounds=rounds))
+    state = found.groupBy("curve_id").agg(F.first("converged").alias("converged"))
+    return curves.spaced(found.select("curve_id", "i", "x", "y"), spacing).join(state, "curve_id").withColumnRenamed("curve_id", "poly_id")
+
+
+def smooth_centerlines(contours: DataFrame, size: tuple[int, int], spacing: float = 10.0, sigma: float = 2.0, skip_length: float = 90.0, **settings) -> DataFrame:
+    """Optimised centre lines, less `skip_length` at both ends, smoothed and carried on straight to where the old ends are nearest: poly_id, i, x, y, smoothed, converged.
+
+    Lines of which fewer than four points are left stay as they are; `smoothed` is false for them. `settings` go to `optimised_centerlines`.
+    """
+    lines = cut(optimised_centerlines(contours, size, spacing, **settings).withColumnRenamed("poly_id", "curve_id"))
+    skip = int(skip_length / spacing)
+    kept = lines.join(lines.groupBy("curve_id").agg(F.count(F.lit(1)).alias("n")), "curve_id").withColumn("smoothed", F.col("n") - 2 * skip >= 4)
+    inner = cut(curves.smooth(kept.where("smoothed").where((F.col("i") >= skip) & (F.col("i") < F.col("n") - skip)).select("curve_id", "i", "x", "y"), sigma))
+    ends = curves.ends(lines).select("curve_id", *[F.col(c).alias(f"old_{c}") for c in ("x0", "y0", "x1", "y1")])
+    point = F.struct("i", "x", "y")
+    tips = inner.groupBy("curve_id").agg(F.sort_array(F.collect_list(point)).alias("p")).select("curve_id", F.slice("p", 1, 2).alias("first"), F.slice("p", -2, 2).alias("last")).join(ends, "curve_id")
+    rays = []
+    for own, before, x, y, sign in (("first", (0, 1), "old_x0", "old_y0", -1), ("last", (1, 0), "old_x1", "old_y1", 1)):
+        tip, back = (F.get(own, n) for n in before)
+        ux, uy = tip["x"] - back["x"], tip["y"] - back["y"]
+        norm = F.sqrt(ux * ux + uy * uy)
+        ray = tips.select("curve_id", tip["i"].alias("i"), tip["x"].alias("x"), tip["y"].alias("y"), (ux / norm).alias("ux"), (uy / norm).alias("uy"), F.col(x).alias("ex"), F.col(y).alias("ey")).where("ux is not null")
+        ray = ray.withColumn("reach", (F.col("ex") - F.col("x")) * F.col("ux") + (F.col("ey") - F.col("y")) * F.col("uy")).where("reach > 1e-9")
+        ray = ray.withColumn("k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("reach") / spacing).cast("int")))).withColumn("t", F.least(F.col("k") * spacing, F.col("reach")))
+        rays.append(ray.select("curve_id", (F.col("i") + sign * F.col("k")).alias("i"), (F.col("x") + F.col("t") * F.col("ux")).alias("x"), (F.col("y") + F.col("t") * F.col("uy")).alias("y")))
+    whole = inner.unionByName(rays[0]).unionByName(rays[1]).withColumn("smoothed", F.lit(True)).unionByName(kept.where("not smoothed").select("curve_id", "i", "x", "y", "smoothed"))
+    order = F.row_number().over(Window.partitionBy("curve_id").orderBy("i")) - 1
+    return whole.withColumn("i", order).join(lines.select("curve_id", "converged").distinct(), "curve_id").withColumnRenamed("curve_id", "poly_id")

@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.iterate import cut
+
 
 def _curve() -> Window:
     """A curve's vertices in order."""
@@ -100,6 +104,13 @@ def equidistant(points: DataFrame, count: int) -> DataFrame:
     return _sample(seg, F.col("total") / (count - 1), F.lit(count))
 
 
+def evenly(points: DataFrame) -> DataFrame:
+    """As many points as each curve has, at equal arc length."""
+    seg = measured(points).where("length > 0")
+    seg = seg.withColumn("last", F.max("i").over(Window.partitionBy("curve_id"))).join(points.groupBy("curve_id").agg(F.count(F.lit(1)).alias("points")), "curve_id")
+    return _sample(seg, F.col("total") / (F.col("points") - 1), F.col("points").cast("int"))
+
+
 def spaced(points: DataFrame, spacing: float) -> DataFrame:
     """Points about `spacing` apart: the length over the nearest whole number of steps; shorter curves stay as they are."""
     seg = measured(points).where("length > 0")
@@ -111,11 +122,23 @@ def spaced(points: DataFrame, spacing: float) -> DataFrame:
 
 
 def projection(seg: DataFrame, queries: DataFrame, key: str = "curve_id") -> DataFrame:
-    """Closest point of each polyline to each query (query_id, key, qx, qy): px, py, dist. Segments and queries meet by the polyline's key."""
+    """Closest point of each polyline to each query (query_id, key, qx, qy): px, py, dist.
+
+    A query first meets the boxes of runs of `RUN` segments of its polyline, then the segments of the boxes that can hold the closest point: some segment
+    touches every side of its box, which bounds the distance to it.
+    """
+    run = F.floor(F.col("i") / RUN)
+    sides = [F.min(F.least("x", "x2")).alias("x0"), F.min(F.least("y", "y2")).alias("y0"), F.max(F.greatest("x", "x2")).alias("x1"), F.max(F.greatest("y", "y2")).alias("y1")]
+    boxes = seg.groupBy(key, run.alias("run")).agg(*sides)
+    gap = [F.greatest(F.col(l) - F.col(q), F.col(q) - F.col(h), F.lit(0.0)) for q, l, h in (("qx", "x0", "x1"), ("qy", "y0", "y1"))]
+    near, far = ([f(F.abs(F.col(q) - F.col(l)), F.abs(F.col(q) - F.col(h))) for q, l, h in (("qx", "x0", "x1"), ("qy", "y0", "y1"))] for f in (F.least, F.greatest))
+    touched = F.sqrt(F.least(near[0] * near[0] + far[1] * far[1], far[0] * far[0] + near[1] * near[1]))
+    open_ = boxes.join(queries, key).withColumn("low", F.sqrt(gap[0] * gap[0] + gap[1] * gap[1])).withColumn("r", F.min(touched).over(Window.partitionBy("query_id", key)))
+    asked = open_.where(F.col("low") <= F.col("r") + 1e-8).select("query_id", key, "run", "qx", "qy")
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("qx") - F.col("x")) * dx + (F.col("qy") - F.col("y")) * dy) / square))).otherwise(0.0)
-    near = seg.join(queries, key).withColumn("t", t).withColumns({"px": F.col("x") + F.col("t") * dx, "py": F.col("y") + F.col("t") * dy})
+    near = seg.withColumn("run", run).join(asked, [key, "run"]).withColumn("t", t).withColumns({"px": F.col("x") + F.col("t") * dx, "py": F.col("y") + F.col("t") * dy})
     near = near.withColumn("dist", F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy"))))
     return near.groupBy("query_id", key).agg(F.min(F.struct(F.round("dist", 9).alias("d"), "i", "px", "py")).alias("m")).select("query_id", key, F.col("m.px").alias("px"), F.col("m.py").alias("py"), F.col("m.d").alias("dist"))
 
@@ -173,24 +196,73 @@ def mean_profile(profiles: DataFrame, grid: int | None = None) -> DataFrame:
     return rows.select("k", (F.col("k") / step).alias("x"), value.alias("y")).groupBy("k", "x").agg(F.avg("y").alias("y"))
 
 
+#: Segments of a run.
+RUN = 64
+#: Points of an interval that is simplified inside a task.
+LOCAL = 1 << 18
+
+
+def _farthest(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
+    """The distance and the place of the point farthest from the line through the ends, the first if tied."""
+    dx, dy = x[-1] - x[0], y[-1] - y[0]
+    norm = math.sqrt(dx * dx + dy * dy)
+    away = np.abs(dx * (y[0] - y[1:-1]) - (x[0] - x[1:-1]) * dy) / norm if norm > 0 else np.sqrt((x[1:-1] - x[0]) ** 2 + (y[1:-1] - y[0]) ** 2)
+    return float(away.max()), int(away.argmax()) + 1
+
+
+def _simplify_interval(epsilon: float):
+    """The inner points of one interval (its ends among the rows) that stay."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        x, y, stays, open_ = rows["x"].to_numpy(), rows["y"].to_numpy(), [], [(0, len(rows) - 1)]
+        while open_:
+            a, b = open_.pop()
+            if b - a > 1:
+                away, place = _farthest(x[a : b + 1], y[a : b + 1])
+                if away > epsilon:
+                    stays.append(a + place)
+                    open_ += [(a, a + place), (a + place, b)]
+        return rows.iloc[sorted(stays)][["curve_id", "i"]]
+
+    return run
+
+
 def simplify(points: DataFrame, epsilon: float) -> DataFrame:
-    """Ramer-Douglas-Peucker: the vertices that stay. Each round splits all open intervals of all curves at their farthest point."""
-    from framewright.functions.iterate import cut
-
-    kept = points.groupBy("curve_id").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    open_ = cut(kept)
-    done = kept.select("curve_id", F.col("a").alias("i")).unionByName(kept.select("curve_id", F.col("b").alias("i")))
-    at = {e: points.select("curve_id", F.col("i").alias(e), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}")) for e in "ab"}
-    while open_.take(1):
-        spans = open_.join(at["a"], ["curve_id", "a"]).join(at["b"], ["curve_id", "b"])
-        inner = points.join(spans, "curve_id").where("i > a and i < b")
+    """Ramer-Douglas-Peucker: the vertices that stay.
+
+    Every inner point carries its open interval (a, b), so a round is one aggregate by interval and one join with the splits: each point moves to a
+    half. Intervals of `LOCAL` points at most leave the rounds and are finished inside a task; points of intervals that need no split are dropped. Ties
+    go to the first point.
+    """
+    ends = points.groupBy("curve_id").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count(F.lit(1)).alias("n"))
+    done = cut(ends.select("curve_id", F.explode(F.array("a", "b")).alias("i")).distinct())
+    placed = points.select("curve_id", F.col("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    now = cut(placed.join(ends, "curve_id").select("curve_id", "i", "x", "y", "a", "b", "n"))
+    small, at = [], {e: placed.select("curve_id", F.col("i").alias(e), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}")) for e in "ab"}
+    while True:
+        small.append(now.where(F.col("n") <= LOCAL).drop("n"))
+        now = now.where(F.col("n") > LOCAL)
+        spans = now.select("curve_id", "a", "b").distinct().join(at["a"], ["curve_id", "a"]).join(at["b"], ["curve_id", "b"])
+        if not now.take(1):
+            break
+        inner = now.where("i > a and i < b").join(spans, ["curve_id", "a", "b"])
         dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
         norm = F.sqrt(dx * dx + dy * dy)
-        away = F.when(norm > 0, F.abs(dx * (F.col("ya") - F.col("y")) - (F.col("xa") - F.col("x")) * dy) / norm).otherwise(F.sqrt(F.pow(F.col("x") - F.col("xa"), F.lit(2)) + F.pow(F.col("y") - F.col("ya"), F.lit(2))))
+        line = F.abs(dx * (F.col("ya") - F.col("y")) - (F.col("xa") - F.col("x")) * dy) / norm
+        away = F.when(norm > 0, line).otherwise(F.sqrt(F.pow(F.col("x") - F.col("xa"), F.lit(2)) + F.pow(F.col("y") - F.col("ya"), F.lit(2))))
         far = inner.groupBy("curve_id", "a", "b").agg(F.max(F.struct(away.alias("d"), (-F.col("i")).alias("j"))).alias("m")).where(F.col("m.d") > epsilon)
-        split = cut(far.select("curve_id", "a", "b", (-F.col("m.j")).alias("i")))
-        done = done.unionByName(split.select("curve_id", "i"))
-        open_ = split.select("curve_id", "a", F.col("i").alias("b")).unionByName(split.select("curve_id", F.col("i").alias("a"), "b")).where("b - a > 1")
+        split = cut(far.select("curve_id", "a", "b", (-F.col("m.j")).alias("k")))
+        done = done.unionByName(split.select("curve_id", F.col("k").alias("i")))
+        halves = F.array(F.when(F.col("i") <= F.col("k"), F.struct(F.col("a").alias("a"), F.col("k").alias("b"))), F.when(F.col("i") >= F.col("k"), F.struct(F.col("k").alias("a"), F.col("b").alias("b"))))
+        moved = now.drop("n").join(split, ["curve_id", "a", "b"]).withColumn("half", F.explode(F.filter(halves, lambda h: h.isNotNull()))).select("curve_id", "i", "x", "y", "half.a", "half.b")
+        sizes = moved.groupBy("curve_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        now = cut(moved.join(sizes, ["curve_id", "a", "b"]).where("n > 2").select("curve_id", "i", "x", "y", "a", "b", "n"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.select("curve_id", "i").schema)
+    rows = small[0]
+    for more in small[1:]:
+        rows = rows.unionByName(more)
+    done = done.unionByName(rows.where("b > a").groupBy("curve_id", "a", "b").applyInPandas(_simplify_interval(epsilon), kind))
     return points.join(done.distinct(), ["curve_id", "i"])
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import kernels
-from framewright.functions.iterate import cut, until_stable
+from framewright.functions.iterate import connected, cut, until_stable
+from framewright.operators import fields
 
 FRAME = ["video_id", "frame_idx"]
 PIXEL = [*FRAME, "y", "x"]
@@ -101,10 +102,31 @@ def strict_peaks(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return around.where((F.col("v") > F.col("most")) & F.col("y").between(1, height - 2) & F.col("x").between(1, width - 2)).select(*PIXEL)
 
 
-def label(mask: DataFrame, offsets: list[tuple[int, int]] = kernels.FOUR, dense: bool = True) -> DataFrame:
-    """Connected components: adds `label`. Minimum of the neighbours, then a pointer jump, twice each round.
+def runs(mask: DataFrame) -> DataFrame:
+    """The runs of neighbouring pixels of each row: video_id, frame_idx, y, x0, x1."""
+    row = Window.partitionBy(*FRAME, "y").orderBy("x")
+    pixels = mask.select(*PIXEL).withColumn("run", F.col("x") - F.row_number().over(row))
+    return pixels.groupBy(*FRAME, "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
+
+
+def run_links(found: DataFrame, slack: int) -> DataFrame:
+    """Pairs (a, b) of runs in neighbouring rows that overlap, or, with `slack` 1, touch at a corner. Runs meet by the pixels of the upper one in groups of `SPAN`."""
+    node = F.struct(*FRAME, "y", F.col("x0").alias("x"))
+    cell = [F.explode(F.sequence(F.floor((F.col("x0") - slack) / SPAN), F.floor((F.col("x1") + slack) / SPAN))).alias("cell"), F.explode(F.sequence(F.floor(F.col("x0") / SPAN), F.floor(F.col("x1") / SPAN))).alias("cell")]
+    above = found.select(node.alias("a"), *FRAME, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), cell[0])
+    below = found.select(node.alias("b"), *FRAME, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), cell[1])
+    met = above.join(below, [*FRAME, "y", "cell"]).where((F.col("a0") <= F.col("b1") + slack) & (F.col("b0") <= F.col("a1") + slack))
+    return met.select("a", "b").distinct()
+
+
+#: Columns of a cell in which runs meet; pixels of a frame up to which the frame is dealt to one task.
+SPAN, WHOLE = 256, 1 << 16
+
+
+def _label_frames(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """The least cell of each pixel's component, frame by frame: minimum of the neighbours, then a pointer jump, twice each round.
 
-    Pixels are dealt by frame once a round; the neighbours' groups and the windows that look labels up need no further shuffle. Labels are the least cell of the component (y * 2^20 + x), or numbers from 1 within each frame with `dense`.
+    Pixels are dealt by frame once a round; the neighbours' groups and the windows that look labels up need no further shuffle.
     """
     cell = F.col("y").cast("long") * (1 << 20) + F.col("x")
     start = mask.select(*PIXEL, cell.alias("label"))
@@ -122,10 +144,30 @@ def label(mask: DataFrame, offsets: list[tuple[int, int]] = kernels.FOUR, dense:
         after = nearer(nearer(kernels.by_frame(now).withColumn("old", F.col("label"))))
         return after.select(*PIXEL, "label", (F.col("label") != F.col("old")).alias("changed"))
 
-    done = until_stable(start, step)
+    return until_stable(start, step)
+
+
+def _label_runs(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """The same by run lengths: the runs of a row are nodes, runs that touch in neighbouring rows are links, and rounds go over runs, which are dealt
+    by run, so a large frame is many keys."""
+    found = cut(runs(mask))
+    nodes = found.select(F.struct(*FRAME, "y", F.col("x0").alias("x")).alias("node"))
+    named = connected(nodes, run_links(found, 1 if len(offsets) == 8 else 0)).select("node.*", (F.col("label.y").cast("long") * (1 << 20) + F.col("label.x")).alias("label"))
+    placed = found.join(named.withColumnRenamed("x", "x0"), [*FRAME, "y", "x0"])
+    return placed.select(*FRAME, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
+
+
+def label(mask: DataFrame, offsets: list[tuple[int, int]] = kernels.FOUR, dense: bool = True) -> DataFrame:
+    """Connected components under four or eight neighbours: adds `label`, the least cell of the component (y * 2^20 + x), or numbers from 1 within each frame with `dense`.
+
+    Frames of `WHOLE` mask pixels at most are each dealt to a task; if there is a larger one, runs of pixels are dealt instead.
+    """
+    mask = cut(mask.select(*PIXEL))
+    largest = mask.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    done = _label_frames(mask, offsets) if largest <= WHOLE else _label_runs(mask, offsets)
     if not dense:
         return done
-    order = done.select(*FRAME, "label").distinct().withColumn("number", F.row_number().over(Window.partitionBy(*FRAME).orderBy("label")))
+    order = done.select(*FRAME, "label").distinct().withColumn("number", F.row_number().over(Window.partitionBy(*FRAME).orderBy("label")))  # a row for each region
     return done.join(order, [*FRAME, "label"]).select(*PIXEL, F.col("number").alias("label"))
 
 
@@ -173,52 +215,24 @@ def bounding_box(labels: DataFrame, expand: int = 0) -> DataFrame:
     return box.select(*FRAME, "label", *[(F.col(n) - expand).alias(n) for n in ("left", "top")], *[(F.col(n) + 2 * expand).alias(n) for n in ("width", "height")])
 
 
+#: A straight step and a diagonal one.
+KINGS = ([(dy, dx, 0 if 0 in (dy, dx) else 1) for dy, dx in kernels.EIGHT], [1.0, ROOT2])
+
+
 def distance_map(mask: DataFrame, seeds: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Length of the shortest way inside the mask from the seeds (which have 2): straight steps 1, diagonal ones sqrt(2).
 
-    Steps are counted as whole numbers (a, b), so equal lengths are exactly equal. Only pixels improved in the last round spread.
-    With `ends`, a frame stops at the nearest of its end pixels: pixels farther than it have no row, and do not spread. Frames
+    Steps are counted as whole numbers (a, b), so equal lengths are exactly equal; rounds follow the tiles that ways cross.
+    With `ends`, a frame stops at the nearest of its end pixels: pixels farther than it have no row, and seeds must be in the mask. Frames
     whose ends cannot be reached are filled.
     """
     if ends is not None:
-        return _distances_to(mask, seeds, ends)
-    length = 2 + F.col("a") + F.col("b") * F.lit(ROOT2)
-    inside = cut(mask.select(*PIXEL))
-    start = seeds.select(*PIXEL).distinct().withColumns({"a": F.lit(0), "b": F.lit(0)}).select("*", length.alias("d"), F.lit(True).alias("fresh"))
-
-    def step(now: DataFrame) -> DataFrame:
-        far = kernels.spread(now.where("fresh").select(*PIXEL, "a", "b"), kernels.EIGHT)
-        bent = (F.col("oy") != F.col("y")) & (F.col("ox") != F.col("x"))
-        far = far.select(*PIXEL, (F.col("a") + F.when(bent, 0).otherwise(1)).alias("a"), (F.col("b") + F.when(bent, 1).otherwise(0)).alias("b")).join(inside, PIXEL, "left_semi")
-        far = far.select(*PIXEL, F.struct(length.alias("d"), "a", "b").alias("s"), F.lit(None).cast("double").alias("old"))
-        every = far.unionByName(now.select(*PIXEL, F.struct("d", "a", "b").alias("s"), F.col("d").alias("old")))
-        best = every.groupBy(*PIXEL).agg(F.min("s").alias("s"), F.max("old").alias("old"))
-        fresh = F.coalesce(F.col("s.d") < F.col("old"), F.lit(True))
-        return best.select(*PIXEL, "s.a", "s.b", "s.d", fresh.alias("fresh"), fresh.alias("changed"))
-
-    return until_stable(start, step).select(*PIXEL, "a", "b", "d")
-
-
-def _distances_to(mask: DataFrame, seeds: DataFrame, ends: DataFrame) -> DataFrame:
-    """As `distance_map`, within the distance of the nearest end; once an end is reached, whatever is farther leaves the rounds."""
-    goal = ends.select(*PIXEL).distinct()
-    length = 2 + F.col("a") + F.col("b") * F.lit(ROOT2)
-    inside = cut(mask.select(*PIXEL).join(goal.withColumn("goal", F.lit(True)), PIXEL, "left"))
-    start = seeds.select(*PIXEL).distinct().join(inside, PIXEL).select(*PIXEL, F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(2.0).alias("d"), "goal", F.lit(True).alias("fresh"))
-
-    def step(now: DataFrame) -> DataFrame:
-        far = kernels.spread(now.where("fresh").select(*PIXEL, "a", "b"), kernels.EIGHT)
-        bent = (F.col("oy") != F.col("y")) & (F.col("ox") != F.col("x"))
-        far = far.select(*PIXEL, (F.col("a") + F.when(bent, 0).otherwise(1)).alias("a"), (F.col("b") + F.when(bent, 1).otherwise(0)).alias("b")).join(inside, PIXEL)
-        far = far.select(*PIXEL, F.struct(length.alias("d"), "a", "b").alias("s"), F.lit(None).cast("double").alias("old"), "goal")
-        every = far.unionByName(now.select(*PIXEL, F.struct("d", "a", "b").alias("s"), F.col("d").alias("old"), "goal"))
-        best = every.groupBy(*PIXEL).agg(F.min("s").alias("s"), F.max("old").alias("old"), F.max("goal").alias("goal"))
-        reached = F.min(F.when(F.col("goal"), F.col("s.d"))).over(Window.partitionBy(*FRAME))
-        near = best.withColumn("reached", reached).where("reached is null or s.d <= reached")
-        fresh = F.coalesce(F.col("s.d") < F.col("old"), F.lit(True))
-        return near.select(*PIXEL, "s.a", "s.b", "s.d", "goal", fresh.alias("fresh"), fresh.alias("changed"))
-
-    return until_stable(start, step).select(*PIXEL, "a", "b", "d")
+        seeds = seeds.select(*PIXEL).join(mask.select(*PIXEL), PIXEL, "left_semi")
+    found = fields.ways(mask, seeds, KINGS, 2.0).select(*PIXEL, F.get("counts", F.lit(0)).alias("a"), F.get("counts", F.lit(1)).alias("b"), "d")
+    if ends is None:
+        return found
+    reached = found.join(ends.select(*PIXEL).distinct(), PIXEL).groupBy(*FRAME).agg(F.min("d").alias("reached"))
+    return found.join(reached, FRAME, "left").where("reached is null or d <= reached").drop("reached")
 
 
 def steepest(dist: DataFrame) -> DataFrame:
@@ -277,19 +291,11 @@ def farthest_path(mask: DataFrame, seeds: DataFrame) -> DataFrame:
 AXIS, DIAGONAL, KNIGHT = 1.0, 1.4, 2.1969
 
 
+CHAMFER = ([(dy, dx, 0 if 0 in (dy, dx) else 1 if abs(dy) == abs(dx) else 2) for dy, dx in kernels.box(2) if math.gcd(dy, dx) == 1], [AXIS, DIAGONAL, KNIGHT])
+
+
 def background_distance(mask: DataFrame, height: int, width: int) -> DataFrame:
     """Chamfer distance of each mask pixel to the pixels of its frame that are not in the mask; null if there are none."""
-    moves = {(dy, dx): AXIS if 0 in (dy, dx) else DIAGONAL if abs(dy) == abs(dx) else KNIGHT for dy, dx in kernels.box(2) if math.gcd(dy, dx) == 1}
     cells = mask.select(*FRAME).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    start = cells.join(mask.withColumn("m", F.lit(True)), PIXEL, "left").select(*PIXEL, F.when(F.col("m").isNull(), 0.0).alias("d"), F.col("m").isNull().alias("fresh"))
-    costs = F.create_map(*[F.lit(z) for (dy, dx), w in moves.items() for z in (dy * 8 + dx, w)])
-
-    def step(now: DataFrame) -> DataFrame:
-        far = kernels.spread(now.where("fresh").select(*PIXEL, "d"), list(moves)).where(kernels.inside(height, width))
-        far = far.select(*PIXEL, (F.col("d") + F.element_at(costs, (F.col("y") - F.col("oy")) * 8 + F.col("x") - F.col("ox"))).alias("d"), F.lit(None).cast("double").alias("old"))
-        every = far.unionByName(now.select(*PIXEL, "d", F.col("d").alias("old")))
-        best = every.groupBy(*PIXEL).agg(F.min("d").alias("d"), F.max("old").alias("old"))
-        fresh = F.coalesce(F.col("d") < F.col("old") - 1e-9, F.col("d").isNotNull() & F.col("old").isNull())
-        return best.select(*PIXEL, "d", fresh.alias("fresh"), fresh.alias("changed"))
-
-    return until_stable(start, step).select(*PIXEL, "d").join(mask.select(*PIXEL), PIXEL, "left_semi")
+    outside = cells.join(mask.select(*PIXEL), PIXEL, "left_anti")
+    return mask.select(*PIXEL).distinct().join(fields.ways(cells, outside, CHAMFER).select(*PIXEL, "d"), PIXEL, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import buckets
+from framewright.functions.numbering import numbered
 
 
 def _ring() -> Window:
@@ -43,40 +44,42 @@ def overlaps(rects: DataFrame, size: float | None = None) -> DataFrame:
 
 
 def cuboid_statistics(pixels: DataFrame, cuboids: DataFrame) -> DataFrame:
-    """Figures of the pixels inside half-open boxes: pos and size hold x, y, frame_idx.
-
-    Up to SMALL boxes go to every task; more meet the pixels by cells of the average box.
-    """
+    """Figures of the pixels inside half-open boxes: pos and size hold x, y, frame_idx. Boxes meet the pixels by cells of the average box."""
     bounds = [(F.col("x"), 0), (F.col("y"), 1), (F.col("frame_idx"), 2)]
     inside = [(v >= F.col("pos")[k]) & (v < F.col("pos")[k] + F.col("size")[k]) for v, k in bounds]
+    mean = cuboids.agg(*[F.greatest(F.lit(1.0), F.avg(F.col("size")[k])) for k in range(3)]).first()
+    listed = cuboids
+    for k in range(3):
+        low, high = F.floor(F.col("pos")[k] / (mean[k] or 1.0)), F.floor((F.col("pos")[k] + F.col("size")[k]) / (mean[k] or 1.0))
+        listed = listed.withColumn(f"cell{k}", F.explode(F.sequence(low, high)))
+    celled = pixels.withColumns({f"cell{k}": F.floor(v / (mean[k] or 1.0)) for v, k in bounds})
+    listed = F.broadcast(listed) if buckets.is_small(listed) else listed
+    hit = celled.join(listed, [f"cell{k}" for k in range(3)]).where(inside[0] & inside[1] & inside[2])
     volume = F.aggregate("size", F.lit(1.0), lambda p, s: p * s)
-    if buckets.is_small(cuboids):
-        hit = pixels.join(F.broadcast(cuboids), inside[0] & inside[1] & inside[2])
-    else:
-        mean = cuboids.agg(*[F.greatest(F.lit(1.0), F.avg(F.col("size")[k])) for k in range(3)]).first()
-        listed = cuboids
-        for k in range(3):
-            low, high = F.floor(F.col("pos")[k] / mean[k]), F.floor((F.col("pos")[k] + F.col("size")[k]) / mean[k])
-            listed = listed.withColumn(f"cell{k}", F.explode(F.sequence(low, high)))
-        celled = pixels.withColumns({f"cell{k}": F.floor(v / mean[k]) for v, k in bounds})
-        hit = celled.join(listed, [f"cell{k}" for k in range(3)]).where(inside[0] & inside[1] & inside[2])
     return hit.withColumn("volume", volume).groupBy("id", "volume").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
+#: Positions of a chunk, and shares of the frames, when a template is moved to more positions than can be broadcast.
+CHUNK, SHARES = 1024, 16
+
+
 def template_match(pixels: DataFrame, template: DataFrame, positions: DataFrame) -> DataFrame:
     """Squared difference of a template (y, x, t) with every frame at offsets (dy, dx) over the overlap; offsets without overlap give no row.
 
-    The template is moved to every position, which is the work asked for; it goes to every task only up to SMALL rows.
+    The template is moved to every position, which is the work asked for. Positions are listed in chunks, and every template pixel under the number
+    of each chunk. The moved template goes to every task up to SMALL rows; beyond that it meets the pixels of a share of the frames by place.
     """
-    offsets = positions.agg(F.collect_list(F.struct("dy", "dx"))).first()[0] if buckets.is_small(positions) else None
-    if offsets is not None:
-        moves = F.array(*[F.struct(F.lit(o["dy"]).alias("dy"), F.lit(o["dx"]).alias("dx")) for o in offsets])
-        placed = template.select("y", "x", "t", F.explode(moves).alias("o")).select("y", "x", "t", "o.*")
+    numbered_ = numbered(positions.select("dy", "dx"), [F.col("dy"), F.col("dx")], "chunk").withColumn("chunk", F.floor(F.col("chunk") / CHUNK))
+    chunks = numbered_.groupBy("chunk").agg(F.collect_list(F.struct("dy", "dx")).alias("offsets"))
+    count = chunks.count()
+    placed = template.select("y", "x", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, count - 1)).cast("long"))).alias("chunk")).join(chunks, "chunk")
+    placed = placed.select("y", "x", "t", F.explode("offsets").alias("o")).select("o.dy", "o.dx", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "t")
+    if buckets.is_small(placed):
+        met = pixels.join(F.broadcast(placed), ["y", "x"])
     else:
-        placed = template.join(positions)
-    placed = placed.select("dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "t")
-    placed = F.broadcast(placed) if buckets.is_small(placed) else placed
-    return pixels.join(placed, ["y", "x"]).groupBy("video_id", "frame_idx", "dy", "dx").agg(F.sum((F.col("v") - F.col("t")) * (F.col("v") - F.col("t"))).alias("ssd"), F.count(F.lit(1)).alias("n"))
+        share = F.pmod(F.xxhash64("video_id", "frame_idx"), F.lit(SHARES)).cast("int")
+        met = pixels.withColumn("share", share).join(placed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["y", "x", "share"])
+    return met.groupBy("video_id", "frame_idx", "dy", "dx").agg(F.sum((F.col("v") - F.col("t")) * (F.col("v") - F.col("t"))).alias("ssd"), F.count(F.lit(1)).alias("n"))
 
 
 def ring_edges(contours: DataFrame) -> DataFrame:
@@ -102,11 +105,18 @@ def contour_moments(contours: DataFrame) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, contours: DataFrame, size: float | None = None) -> DataFrame:
-    """Pairs of points (point_id, px, py) and polygons that contain them, by crossings, after a bounding box join."""
+    """Pairs of points (point_id, px, py) and polygons that contain them, by crossings, after a bounding box join.
+
+    A polygon's edges are listed in slabs of y, as many as the root of their number; a point counts crossings in its own slab only.
+    """
     boxes = bounding_rects(contours, "poly_id").select(F.col("poly_id").alias("rect_id"), "x", "y", "w", "h")
     near = points_in_rects(points.select("point_id", F.col("px").alias("x"), F.col("py").alias("y")), boxes, size).select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("rect_id").alias("poly_id"))
     crossing = ((F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x"))
-    hits = near.join(ring_edges(contours), "poly_id").groupBy("poly_id", "point_id").agg(F.sum(F.when(crossing, 1).otherwise(0)).alias("n"))
+    slabs = contours.groupBy("poly_id").agg(F.min("y").alias("y0"), ((F.max("y") - F.min("y")) / F.ceil(F.sqrt(F.count(F.lit(1))))).alias("high")).where("high > 0")
+    slab = {e: F.floor((F.col(e) - F.col("y0")) / F.col("high")) for e in ("y", "y2", "py")}
+    edges = ring_edges(contours).where("y <> y2").join(slabs, "poly_id").withColumn("slab", F.explode(F.sequence(F.least(slab["y"], slab["y2"]), F.greatest(slab["y"], slab["y2"]))))
+    asked = near.join(slabs, "poly_id").withColumn("slab", slab["py"]).drop("y0", "high")
+    hits = asked.join(edges.drop("y0", "high"), ["poly_id", "slab"]).groupBy("poly_id", "point_id").agg(F.sum(F.when(crossing, 1).otherwise(0)).alias("n"))
     return hits.where("n % 2 = 1").select("poly_id", "point_id")
 
 
@@ -154,12 +164,54 @@ def _crossings(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumns({"det": det, "t": (qx * sy - qy * sx) / safe, "u": (qx * ry - qy * rx) / safe, "side": qx * ry - qy * rx})
 
 
+ENDS = ("x", "y", "x2", "y2")
+
+
+def grids(edges: DataFrame) -> DataFrame:
+    """poly_id, x0, y0, x1, y1 and cell: a grid over each polygon, about as many cells as it has edges."""
+    sides = [F.min(F.least("x", "x2")).alias("x0"), F.min(F.least("y", "y2")).alias("y0"), F.max(F.greatest("x", "x2")).alias("x1"), F.max(F.greatest("y", "y2")).alias("y1")]
+    box = edges.groupBy("poly_id").agg(*[c.cast("double") for c in sides], F.count(F.lit(1)).alias("n")).toDF("poly_id", "x0", "y0", "x1", "y1", "n")
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / F.ceil(F.sqrt("n"))
+    return box.select("poly_id", "x0", "y0", "x1", "y1", F.when(size > 0, size).otherwise(1.0).alias("cell"))
+
+
+def crossed_cells(segments: DataFrame, ends: tuple[str, str, str, str] = ENDS) -> DataFrame:
+    """The segments with a row for each cell (cx, cy) of their grid (x0, y0, x1, y1, cell) that they pass through, column by column.
+
+    Parts outside the grid's bounds have no cells. Cells at whose rim a segment passes may be listed, too.
+    """
+    ax, ay, bx, by = (F.col(e).cast("double") for e in ends)
+    dx, dy = bx - ax, by - ay
+    slack = F.col("cell") * 1e-6
+
+    def share(low: Column, high: Column, start: Column, step: Column) -> Column:
+        """The shares of the segment between which one coordinate is within bounds."""
+        one, two = (low - slack - start) / step, (high + slack - start) / step
+        flat = F.when((start >= low - slack) & (start <= high + slack), F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))).otherwise(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")))
+        return F.when(step != 0, F.struct(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))).otherwise(flat)
+
+    inside = segments.withColumns({"__h": share(F.col("x0"), F.col("x1"), ax, dx), "__v": share(F.col("y0"), F.col("y1"), ay, dy)})
+    inside = inside.withColumns({"__a": F.greatest(F.lit(0.0), "__h.a", "__v.a"), "__b": F.least(F.lit(1.0), "__h.b", "__v.b")}).where("__a <= __b")
+    left, right = (F.least(ax + F.col("__a") * dx, ax + F.col("__b") * dx), F.greatest(ax + F.col("__a") * dx, ax + F.col("__b") * dx))
+    columns = inside.withColumn("cx", F.explode(F.sequence(F.floor((left - F.col("x0") - slack) / F.col("cell")), F.floor((right - F.col("x0") + slack) / F.col("cell")))))
+    edge = F.col("x0") + F.col("cx") * F.col("cell")
+    part = columns.withColumn("__h", share(edge, edge + F.col("cell"), ax, dx)).withColumns({"__a": F.greatest("__a", "__h.a"), "__b": F.least("__b", "__h.b")}).where("__a <= __b")
+    low, high = F.least(ay + F.col("__a") * dy, ay + F.col("__b") * dy), F.greatest(ay + F.col("__a") * dy, ay + F.col("__b") * dy)
+    cells = F.sequence(F.floor((low - F.col("y0") - slack) / F.col("cell")), F.floor((high - F.col("y0") + slack) / F.col("cell")))
+    return part.withColumn("cy", F.explode(cells)).drop("__h", "__v", "__a", "__b")
+
+
 def intersections(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Intersection points of the polygons p1, p2 of each pair; pairs with collinear overlaps yield nothing."""
-    a = edges.select(F.col("poly_id").alias("p1"), *[F.col(c).cast("double").alias(n) for c, n in (("x", "ax"), ("y", "ay"), ("x2", "bx"), ("y2", "by"))])
-    b = edges.select(F.col("poly_id").alias("p2"), *[F.col(c).cast("double").alias(n) for c, n in (("x", "cx"), ("y", "cy"), ("x2", "dx"), ("y2", "dy"))])
+    """Intersection points of the polygons p1, p2 of each pair; pairs with collinear overlaps yield nothing. Edges meet in the cells of p1's grid."""
+    grid = grids(edges).withColumnRenamed("poly_id", "p1")
+    sides = {"p1": ("ax", "ay", "bx", "by"), "p2": ("cx_", "cy_", "dx", "dy")}
+    a, b = (edges.select(F.col("poly_id").alias(p), F.col("i").alias(f"i_{p}"), *[F.col(c).cast("double").alias(n) for c, n in zip(ENDS, names, strict=True)]) for p, names in sides.items())
+    wanted = pairs.select("p1", "p2").distinct()
+    a = crossed_cells(a.join(wanted.select("p1").distinct(), "p1").join(grid, "p1"), sides["p1"]).select("p1", "i_p1", *sides["p1"], "cx", "cy")
+    b = crossed_cells(b.join(wanted, "p2").join(grid, "p1"), sides["p2"]).select("p1", "p2", "i_p2", *sides["p2"], "cx", "cy")
+    met = a.join(b, ["p1", "cx", "cy"]).drop("cx", "cy").dropDuplicates(["p1", "p2", "i_p1", "i_p2"]).withColumnsRenamed({"cx_": "cx", "cy_": "cy"})
     touching = (F.greatest(F.least("ax", "bx"), F.least("cx", "dx")) <= F.least(F.greatest("ax", "bx"), F.greatest("cx", "dx"))) & (F.greatest(F.least("ay", "by"), F.least("cy", "dy")) <= F.least(F.greatest("ay", "by"), F.greatest("cy", "dy")))
-    both = _crossings(pairs.join(a, "p1").join(b, "p2").where(touching), edges)
+    both = _crossings(met.where(touching), edges)
     shared = (F.greatest(F.least("ax", "bx"), F.least("cx", "dx")) < F.least(F.greatest("ax", "bx"), F.greatest("cx", "dx"))) | (F.greatest(F.least("ay", "by"), F.least("cy", "dy")) < F.least(F.greatest("ay", "by"), F.greatest("cy", "dy")))
     overlap = both.where((F.col("det") == 0) & (F.col("side") == 0) & shared).select("p1", "p2").distinct()
     hits = both.where("det <> 0 and t between 0 and 1 and u between 0 and 1")
@@ -168,10 +220,13 @@ def intersections(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ray_hits(rays: DataFrame, edges: DataFrame, length: float = 1000.0) -> DataFrame:
-    """First hit of each ray (ray_id, poly_id, x, y, angle) with its polygon: hx, hy, dist, null for misses."""
-    b = edges.select("poly_id", *[F.col(c).cast("double").alias(n) for c, n in (("x", "cx"), ("y", "cy"), ("x2", "dx"), ("y2", "dy"))])
+    """First hit of each ray (ray_id, poly_id, x, y, angle) with its polygon: hx, hy, dist, null for misses. A ray meets the edges in the cells it crosses only."""
+    grid = grids(edges)
+    b = crossed_cells(edges.select("poly_id", *ENDS).join(grid, "poly_id")).select("poly_id", "cx", "cy", *[F.col(c).cast("double").alias(n) for c, n in zip(ENDS, ("ex", "ey", "dx", "dy"), strict=True)])
     far = rays.select("ray_id", "poly_id", "angle", F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay")).withColumns({"bx": F.col("ax") + length * F.cos("angle"), "by": F.col("ay") + length * F.sin("angle")})
-    hits = _crossings(far.join(b, "poly_id"), edges).where("det <> 0 and t between 0 and 1 and u between 0 and 1")
+    passed = crossed_cells(far.join(grid, "poly_id"), ("ax", "ay", "bx", "by")).select("ray_id", "poly_id", "ax", "ay", "bx", "by", "cx", "cy")
+    met = passed.join(b, ["poly_id", "cx", "cy"]).drop("cx", "cy").withColumnsRenamed({"ex": "cx", "ey": "cy"})
+    hits = _crossings(met, edges).where("det <> 0 and t between 0 and 1 and u between 0 and 1")
     best = hits.groupBy("ray_id").agg(F.min(F.struct((F.col("t") * length).alias("dist"), (F.col("ax") + F.col("t") * (F.col("bx") - F.col("ax"))).alias("hx"), (F.col("ay") + F.col("t") * (F.col("by") - F.col("ay"))).alias("hy"))).alias("m"))
     return rays.join(best, "ray_id", "left").select("ray_id", "poly_id", "angle", F.col("m.hx").alias("hx"), F.col("m.hy").alias("hy"), F.col("m.dist").alias("dist"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import compose, frames, regions
 from framewright.plans.base import Views, query
+from framewright.plans.shape_queries import RING
 
 query("g1_prepare", "select video_id, frame_idx, cast(y // 2 as int) as y, cast(x // 2 as int) as x, cast(floor(avg(v) + 1e-9) as int) as v, c from pixels8, (values (0), (1), (2)) t(c) where frame_idx % 10 = 0 group by 1, 2, 3, 4, c", "pixels8")(lambda s: compose.prepare(s.pixels8, (8, 8), 10, 2))
 query("g2_highlight", "select video_id, frame_idx, y, x, case when v >= 140 then cast(trunc(128 + 127 * v / 255.0::double) as int) else v end as v from pixels8", "pixels8")(lambda s: compose.highlight(s.pixels8, s.mask8, 128))
@@ -41,14 +42,25 @@ def g7(s: Views):
     return compose.polylines(s.rects.select(k.alias("line_id"), *[(k % m).cast("double").alias(n) for n, m in (("x", 8), ("y", 5), ("x2", 7), ("y2", 6))]), 2.0)
 
 
-@query("g7_track_lines")
+def near_segments(width: float) -> str:
+    """SQL of the pixels (line_id, y, x) within half a width of the segments seg (line_id, ax, ay, bx, by_)."""
+    near = "case when (bx - ax) ** 2 + (by_ - ay) ** 2 > 0 then least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) else 0 end"
+    span = "unnest(range(floor(least({0}, {1}))::bigint - 3, ceil(greatest({0}, {1}))::bigint + 4))"
+    cells = f"select *, {near} as f from seg, {span.format('ay', 'by_')} u(y), {span.format('ax', 'bx')} v(x)"
+    return f"select distinct line_id, y::int as y, x::int as x from ({cells}) where (ax + f * (bx - ax) - x) ** 2 + (ay + f * (by_ - ay) - y) ** 2 <= {width * width / 4}"
+
+
+@query("g7_track_lines", f"""with p as (select curve_id as line_id, i, x / 10 as x, y / 10 as y from tracks where x > 0),
+seg as (select a.line_id, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from p a join p b on a.line_id = b.line_id and b.i = a.i + 1),
+marks as (select line_id, v::int as y, u::int as x from p, unnest(range(floor(y)::bigint - 3, ceil(y)::bigint + 4)) s(v), unnest(range(floor(x)::bigint - 3, ceil(x)::bigint + 4)) t(u) where (u - x) * (u - x) + (v - y) * (v - y) <= 4)
+{near_segments(1.0)} union select line_id, y, x from marks""", "tracks")
 def g7_tracks(s: Views):
     """Tracks as open lines on a coarse grid, broken where x is not above 0, with marks."""
     coarse = s.tracks.select(F.col("curve_id").alias("line_id"), "i", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
     return compose.track_lines(coarse, 1.0, closed=False, marks=True)
 
 
-query("g8_contour_lines")(lambda s: compose.contour_lines(s.contours))
+query("g8_contour_lines", f"with {RING}, seg as (select poly_id as line_id, x::double as ax, y::double as ay, x2::double as bx, y2::double as by_ from ring) select line_id as poly_id, y, x from ({near_segments(1.0)})", "contours")(lambda s: compose.contour_lines(s.contours))
 query("g8_mask_contour", "select * from mask8 m where (select count(*) from mask8 n where n.video_id = m.video_id and n.frame_idx = m.frame_idx and abs(n.y - m.y) + abs(n.x - m.x) = 1) < 4", "mask8")(lambda s: compose.mask_contour(s.mask8))
 query("g9_colors", "select p_partkey as k, case p_partkey % 3 when 0 then [255, 0, 0] when 1 then [0, 0, 255] else [255, 255, 255] end as rgb, case p_partkey % 3 when 2 then 255 else 85 end as grey from part")(lambda s: s.table("part").select(F.col("p_partkey").alias("k"), F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit("white")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("name")).select("k", compose.color(F.col("name")).alias("rgb"), compose.color(F.col("name"), True).alias("grey")))
 

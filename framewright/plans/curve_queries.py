@@ -109,7 +109,12 @@ def e12(s: Views):
 
 
 query("e13_steepest", "with d as (select curve_id, i, lead(y) over (partition by curve_id order by i) - y as d from tracks), b as (select curve_id, i from d where d is not null qualify row_number() over (partition by curve_id order by d desc, i) = 1) select c.curve_id, i + 0.5::double as pos from (select distinct curve_id from tracks) c left join b on b.curve_id = c.curve_id", "tracks")(lambda s: curves.steepest(s.tracks))
-query("e23_simplify")(lambda s: curves.simplify(s.tracks, 10.0))
+query("e23_simplify", """with spans(curve_id, a, b) as (select curve_id, min(i), max(i) from tracks group by 1 union all
+  select curve_id, case when half = 0 then a else -(m.j) end, case when half = 0 then -(m.j) else b end from (select s.curve_id, s.a, s.b, max({'d': case when p0.x = p1.x and p0.y = p1.y then sqrt((p.x - p0.x) ** 2 + (p.y - p0.y) ** 2)
+      else abs((p1.x - p0.x) * (p0.y - p.y) - (p0.x - p.x) * (p1.y - p0.y)) / sqrt((p1.x - p0.x) ** 2 + (p1.y - p0.y) ** 2) end, 'j': -p.i}) as m
+    from spans s join tracks p on p.curve_id = s.curve_id and p.i > s.a and p.i < s.b join tracks p0 on p0.curve_id = s.curve_id and p0.i = s.a join tracks p1 on p1.curve_id = s.curve_id and p1.i = s.b group by all), (values (0), (1)) t(half) where m.d > 10),
+kept as (select curve_id, a as i from spans union select curve_id, b from spans)
+select t.* from tracks t join kept k on t.curve_id = k.curve_id and t.i = k.i""", "tracks")(lambda s: curves.simplify(s.tracks, 10.0))
 query("e26_circle", """with m as (select poly_id, avg(x) as mx, avg(y) as my from contours group by 1), p as (select c.poly_id, mx, my, x - mx as u, y - my as v from contours c join m on m.poly_id = c.poly_id),
 s as (select poly_id, count(*) as n, max(mx) as mx, max(my) as my, sum(u * u) as uu, sum(v * v) as vv, sum(u * v) as uv, sum(u * (u * u + v * v)) as uz, sum(v * (u * u + v * v)) as vz from p group by 1),
 a as (select *, (uz * vv - vz * uv) / (2 * (uu * vv - uv * uv)) as a, (vz * uu - uz * uv) / (2 * (uu * vv - uv * uv)) as b from s where abs(uu * vv - uv * uv) > 1e-9)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from framewright.operators import graphs, regions
 from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import rounded
+from framewright.plans.region_queries import thinned_sql
+from framewright.plans.shape_queries import RASTER
 
 LEN = "len as (select edge_id, sum(d) as length from (select edge_id, sqrt((lead(x) over w - x) ** 2 + (lead(y) over w - y) ** 2) as d from edge_points window w as (partition by edge_id order by i)) group by 1)"
 QUERIES = "q as (select rect_id as query_id, x as qx, y as qy from rects)"
@@ -21,7 +23,13 @@ def asked(s: Views):
 
 query("f4_merge_nodes", "with r(a, b) as (select node_id, node_id from nodes union select r.a, m.node_id from r join nodes n on n.node_id = r.b join nodes m on abs(m.x - n.x) <= 2 and abs(m.y - n.y) <= 2) select a as node_id, min(b) as kept from r group by 1", "nodes")(lambda s: graphs.merge_nodes(s.nodes, 2.0))
 query("f5_add_edges", f"with {LEN} select edge_id, n1, n2, false as flipped, round(length, 4) as length from edges join len using (edge_id) where length > 1e-6", "edge_points")(lambda s: rounded(graphs.add_edges(s.nodes, s.edges, s.edge_points)[0], "length"))
-query("f6_prune")(lambda s: rounded(graphs.prune(measured(s), 30.0), "length"))
+PRUNED = f"""{LEN}, measured as (select e.edge_id, n1, n2, length from edges e join len using (edge_id)),
+live(k, edge_id, n1, n2, length) as (select 0, edge_id, n1, n2, length from measured union all
+  select k + 1, edge_id, n1, n2, length from (select *, bool_or(gone) over () as more from (select *, length < 30 and (n1 = n2 or least_degree = 1) as gone
+    from (select k, edge_id, n1, n2, length, min(degree) as least_degree from (select l.*, count(*) over (partition by node) as degree from live l, unnest([n1, n2]) t(node)) group by all))) where more and not gone),
+rounds as (select max(k) as k from live)"""
+
+query("f6_prune", f"with {PRUNED} select edge_id, n1, n2, round(length, 4) as length from live join rounds using (k)", "edges edge_points")(lambda s: rounded(graphs.prune(measured(s), 30.0), "length"))
 query("f7_contract")(lambda s: rounded(graphs.contract(measured(s)), "length"))
 query("f8_split_edges", "select edge_id, part, i, x, y from (select edge_id, cast(k as int) as part, cast(i - k as int) as i, x, y from edge_points, range(2) t(k) where (k = 0 and i <= 1) or (k = 1 and i >= 1))", "edge_points")(lambda s: graphs.split_edges(s.edge_points, s.edges.select("edge_id", F.lit(1).alias("i"))))
 NEAR_EDGE = f"""{QUERIES}, seg as (select edge_id, x, y, lead(x) over w as x2, lead(y) over w as y2 from edge_points window w as (partition by edge_id order by i)),
@@ -34,7 +42,7 @@ query("f11_nearest_edge", f"with {NEAR_EDGE} select query_id, edge_id, i, round(
 query("f12_total_length", f"with {LEN} select round(sum(length), 2) as length from len", "edge_points")(lambda s: rounded(graphs.total_length(measured(s)), "length", digits=2))
 query("f13_single_edges", "select least(n1, n2) as a, greatest(n1, n2) as b, count(*) as n, case when count(*) = 1 then min(edge_id) end as edge_id from edges group by 1, 2", "edges")(lambda s: graphs.single_edges(s.edges, s.edges.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()))
 
-@query("f1_skeleton")
+@query("f1_skeleton", f"with {RASTER}, moved as (select poly_id as video_id, 0::bigint as frame_idx, y - 36 as y, x - 36 as x from raster_), {thinned_sql('moved', 28)}", "contours")
 def f1(s: Views):
     """Skeleton pixels of polygons: rasterised, then thinned."""
     from framewright.operators import shapes
@@ -64,5 +72,7 @@ def f7_chain(s: Views):
 
 
 query("f7_contract_curves")(lambda s: rounded(graphs.contract(measured(s), s.edge_points)[1], "x", "y"))
-query("f6_left_nodes")(lambda s: graphs.left_nodes(s.nodes, measured(s), graphs.prune(measured(s), 30.0)))
+query("f6_left_nodes", f"""with {PRUNED}, had as (select n1 as node_id from measured where n1 <> n2 union select n2 from measured where n1 <> n2),
+has as (select n1 as node_id from live join rounds using (k) union select n2 from live join rounds using (k))
+select * from nodes where node_id not in (select node_id from had except select node_id from has)""", "edges edge_points")(lambda s: graphs.left_nodes(s.nodes, measured(s), graphs.prune(measured(s), 30.0)))
 query("f5_rejected", "select edge_id from edges where n1 = 1 or n2 = 1", "edges")(lambda s: graphs.add_edges(s.nodes.where("node_id <> 1"), s.edges, s.edge_points)[1])

@@ -101,7 +101,19 @@ def d18(s: Views):
     return regions.walk(regions.farthest_pixel(dist), regions.steepest(dist))
 
 
-@query("d19_farthest_pair")
+#: Lengths between all pixels of a region: reaches of 1, 2, 4, ... 64 steps.
+ALL_WAYS = f"""{REACH},
+region as (select {KEY}, y, x, y * 8 + x as c from labels join best using (video_id, frame_idx, label)),
+reach0 as (select a.video_id, a.frame_idx, a.c as s, b.c as t, case when a.c = b.c then 0 when a.y = b.y or a.x = b.x then 1 else sqrt(2) end as d
+  from region a join region b on a.video_id = b.video_id and a.frame_idx = b.frame_idx and greatest(abs(a.y - b.y), abs(a.x - b.x)) <= 1),
+{''.join(f"reach{k + 1} as (select a.video_id, a.frame_idx, a.s, b.t, min(a.d + b.d) as d from reach{k} a join reach{k} b on a.video_id = b.video_id and a.frame_idx = b.frame_idx and a.t = b.s group by all)," + chr(10) for k in range(6))}
+farthest as (select {KEY}, s, max({{'d': round(2 + d, 9), 't': t}}) as f from reach6 group by all),
+sweeps(video_id, frame_idx, p1, p2, d) as (select {KEY}, s, f.t, f.d from farthest qualify row_number() over (partition by {KEY} order by s) = 1
+  union all select w.video_id, w.frame_idx, w.p2, n.f.t, n.f.d from sweeps w join farthest n on w.video_id = n.video_id and w.frame_idx = n.frame_idx and w.p2 = n.s where n.f.d > w.d),
+pair as (select * from sweeps qualify row_number() over (partition by {KEY} order by d desc) = 1)"""
+
+
+@query("d19_farthest_pair", f"with {ALL_WAYS} select {KEY}, p1 // 8 as y1, p1 % 8 as x1, p2 // 8 as y2, p2 % 8 as x2, round(d, 6) as d from pair", "mask8")
 def d19(s: Views):
     return rounded(regions.farthest_pair(*few(s)), "d", digits=6)
 
@@ -113,8 +125,29 @@ def d20(s: Views):
     return rounded(regions.background_distance(s.mask8, 8, 8), "d")
 
 
-query("d5_thin_guo_hall")(lambda s: regions.thin_guo_hall(s.mask8))
-query("d19_farthest_path")(lambda s: regions.farthest_path(*few(s)))
+#: A frame as a row of 100 characters, with a rim of one cell; a cell and its eight neighbours in turn, clockwise from the one above.
+CELLS = "list_transform(range(100), lambda c: [substr(m, (c + k)::bigint + 1, 1) = '1' for k in [0, -10, -9, 1, 11, 10, 9, -1, -11]])"
+TURNS = " + ".join(f"(not n[{a}] and (n[{b}] or n[{c}]))::int" for a, b, c in ((2, 3, 4), (4, 5, 6), (6, 7, 8), (8, 9, 2)))
+PAIRS = ", ".join(" + ".join(f"(n[{a}] or n[{b}])::int" for a, b in group) for group in (((9, 2), (3, 4), (5, 6), (7, 8)), ((2, 3), (4, 5), (6, 7), (8, 9))))
+
+
+def _kept(side: str) -> str:
+    """A frame after a half round."""
+    stays = f"n[1] and not ({TURNS} = 1 and least({PAIRS}) between 2 and 3 and not ({side}))"
+    return f"array_to_string(list_transform({CELLS}, lambda n: case when {stays} then '1' else '0' end), '')"
+
+
+THINNED = f"""cells as (select {KEY}, list((y + 1) * 10 + x + 1) as inside from mask8 group by all),
+halves(video_id, frame_idx, k, m) as (select {KEY}, 0, array_to_string(list_transform(range(100), lambda c: case when list_contains(inside, c) then '1' else '0' end), '') from cells
+  union all select {KEY}, k + 1, case when k % 2 = 0 then {_kept("(n[6] or n[7] or not n[9]) and n[8]")} else {_kept("(n[2] or n[3] or not n[5]) and n[4]")} end from halves where k < 32)"""
+
+query("d5_thin_guo_hall", f"with {THINNED} select {KEY}, (c // 10 - 1)::int as y, (c % 10 - 1)::int as x from halves, range(100) t(c) where k = 32 and substr(m, c + 1, 1) = '1'", "mask8")(lambda s: regions.thin_guo_hall(s.mask8))
+query("d19_farthest_path", f"""with {ALL_WAYS}, dist as (select r.video_id, r.frame_idx, (r.t // 8)::int as y, (r.t % 8)::int as x, 2 + r.d as d from reach6 r join pair p on r.video_id = p.video_id and r.frame_idx = p.frame_idx and r.s = p.p1),
+best_step as (select e.video_id, e.frame_idx, e.y, e.x, n.y as ny, n.x as nx from dist e join dist n on e.video_id = n.video_id and e.frame_idx = n.frame_idx and greatest(abs(e.y - n.y), abs(e.x - n.x)) = 1 where round(e.d - n.d, 9) > 0
+  qualify row_number() over (partition by e.video_id, e.frame_idx, e.y, e.x order by round((e.d - n.d) / sqrt((e.y - n.y) ** 2 + (e.x - n.x) ** 2), 9) desc, n.y, n.x) = 1),
+path(video_id, frame_idx, y, x, pos) as (select {KEY}, (p2 // 8)::int, (p2 % 8)::int, 0::bigint from pair
+  union all select p.video_id, p.frame_idx, ny, nx, pos + 1 from path p join best_step b on b.video_id = p.video_id and b.frame_idx = p.frame_idx and b.y = p.y and b.x = p.x)
+select * from path""", "mask8")(lambda s: regions.farthest_path(*few(s)))
 
 
 @query("d17_distance_to_end", f"with {WAYS}, goal as (select {KEY}, max(y * 8 + x) as cell from region group by all), stop as (select d.video_id, d.frame_idx, d.d from dist d join goal g on d.video_id = g.video_id and d.frame_idx = g.frame_idx and d.y * 8 + d.x = g.cell) select d.video_id, d.frame_idx, d.y, d.x, round(d.d, 6) as d from dist d join stop s on d.video_id = s.video_id and d.frame_idx = s.frame_idx and d.d <= s.d + 1e-9", "mask8")
@@ -124,7 +157,17 @@ def d17_end(s: Views):
     return rounded(regions.distance_map(region, first, last).select(*regions.PIXEL, "d"), "d", digits=6)
 
 
-query("d5_thin")(lambda s: regions.thin(s.mask8, 8, 8))
+def thinned_sql(source: str, size: int) -> str:
+    """CTEs eroded and opened, and the select of the skeleton, of a mask `source` in frames of `size` x `size`."""
+    inside = f"1 + (y + dy > 0)::int + (y + dy < {size - 1})::int + (x + dx > 0)::int + (x + dx < {size - 1})::int"
+    cross = offsets_sql(regions.CROSS)
+    return f"""eroded(k, video_id, frame_idx, y, x) as (select 0, {KEY}, y, x from {source}
+  union all select k + 1, {KEY}, y + dy, x + dx from eroded, {cross} where k < {size} group by k, {KEY}, y + dy, x + dx having count(*) = {inside}),
+opened as (select distinct k - 1 as k, {KEY}, y + dy as y, x + dx as x from eroded, {cross} where k > 0)
+select distinct {KEY}, y, x from eroded e where k < {size} and not exists (select 1 from opened o where o.k = e.k and o.video_id = e.video_id and o.frame_idx = e.frame_idx and o.y = e.y and o.x = e.x)"""
+
+
+query("d5_thin", f"with {thinned_sql('mask8', 8)}", "mask8")(lambda s: regions.thin(s.mask8, 8, 8))
 query("f2_neighbours", f"select m.video_id, m.frame_idx, m.y, m.x, count(n.y) as n from mask8 m left join mask8 n on n.video_id = m.video_id and n.frame_idx = m.frame_idx and greatest(abs(n.y - m.y), abs(n.x - m.x)) = 1 group by all", "mask8")(lambda s: neighbour_counts(s.mask8))
 
 

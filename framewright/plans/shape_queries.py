@@ -10,6 +10,7 @@ from framewright.functions import kernels
 from framewright.operators import shapes
 from framewright.plans.base import Views, query
 from framewright.plans.frame_queries import rounded, sql_table
+from framewright.plans.region_queries import KEY, REACH
 
 query("e14_bounding_rects", "select curve_id, min(x) - 2 as x, min(y) - 2 as y, max(x) - min(x) + 4 as w, max(y) - min(y) + 4 as h from tracks group by 1", "tracks")(lambda s: shapes.bounding_rects(s.tracks, "curve_id", 2.0))
 
@@ -64,16 +65,36 @@ def e21(s: Views):
     return shapes.points_in_polygons(points, s.contours, 8.0)
 
 
-@query("e22_rasterize", f"""with {RING}, rows_ as (select poly_id, cast(r as int) as r, x + (r - y) * (x2 - x) / (y2 - y)::double as px, r < greatest(y, y2) as counts from ring, unnest(range(least(y, y2), greatest(y, y2) + 1)) t(r) where y <> y2),
-sp as (select poly_id, r, px, row_number() over w as k, lead(px) over w as stop from rows_ where counts window w as (partition by poly_id, r order by px))
-select distinct poly_id, r as y, cast(x as int) as x from sp, unnest(range(cast(ceil(px) as bigint), cast(floor(stop) as bigint) + 1)) t(x) where k % 2 = 1 and stop is not null
-union select poly_id, r, cast(round(px) as int) from rows_ union select poly_id, cast(y as int), cast(q as int) from ring, unnest(range(least(x, x2), greatest(x, x2) + 1)) t(q) where y = y2""", "contours")
+#: The pixels of the polygons, as CTEs and a select.
+RASTER = f"""{RING}, rows_ as (select poly_id, cast(r as int) as r, x + (r - y) * (x2 - x) / (y2 - y)::double as px, r < greatest(y, y2) as counts from ring, unnest(range(least(y, y2), greatest(y, y2) + 1)) t(r) where y <> y2),
+sp as (select poly_id, r, px, row_number() over w as k, lead(px) over w as stop from rows_ where counts window w as (partition by poly_id, r order by px)),
+raster_ as (select distinct poly_id, r as y, cast(x as int) as x from sp, unnest(range(cast(ceil(px) as bigint), cast(floor(stop) as bigint) + 1)) t(x) where k % 2 = 1 and stop is not null
+  union select poly_id, r, cast(round(px) as int) from rows_ union select poly_id, cast(y as int), cast(q as int) from ring, unnest(range(least(x, x2), greatest(x, x2) + 1)) t(q) where y = y2)"""
+
+
+@query("e22_rasterize", f"with {RASTER} select * from raster_", "contours")
 def e22(s: Views):
     return shapes.rasterize(s.contours)
 
 
 query("e24_simplify_contours")(lambda s: shapes.simplify_contours(s.contours, 30.0))
-query("e25_outlines")(lambda s: shapes.region_outlines(s.mask8))
+#: Rings of pixel sides: each side goes on with the one that turns right, straight on or left, in this order.
+OUTLINES = f"""{REACH},
+region as (select {KEY}, y, x from labels join best using (video_id, frame_idx, label)),
+sides(k, dy, dx, sy, sx, ey, ex) as (values (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)),
+side as (select {KEY}, k, y + sy as sy, x + sx as sx, y + ey as ey, x + ex as ex, ((y + sy)::bigint * 16777216 + x + sx) * 4 + k as node from region r, sides
+  where not exists (select 1 from region q where q.video_id = r.video_id and q.frame_idx = r.frame_idx and q.y = r.y + dy and q.x = r.x + dx)),
+turns as (select a.video_id, a.frame_idx, a.node, min({{'t': case (b.k - a.k + 4) % 4 when 1 then 0 when 0 then 1 else 2 end, 'n': b.node}}).n as next
+  from side a join side b on a.video_id = b.video_id and a.frame_idx = b.frame_idx and a.ey = b.sy and a.ex = b.sx group by all),
+reached(video_id, frame_idx, node, there) as (select {KEY}, node, next from turns union select r.video_id, r.frame_idx, r.node, t.next from reached r join turns t on r.video_id = t.video_id and r.frame_idx = t.frame_idx and r.there = t.node),
+lows as (select distinct {KEY}, low from (select {KEY}, node, min(there) as low from reached group by all)),
+walked(video_id, frame_idx, low, node, i) as (select {KEY}, low, low, 0 from lows
+  union all select w.video_id, w.frame_idx, low, t.next, i + 1 from walked w join turns t on w.video_id = t.video_id and w.frame_idx = t.frame_idx and w.node = t.node where t.next <> low),
+corners as (select w.video_id, w.frame_idx, low, i, sx as x, sy as y from walked w join side s using (video_id, frame_idx, node)),
+shoe as (select *, x * coalesce(lead(y) over w, first(y) over v) - coalesce(lead(x) over w, first(x) over v) * y as c from corners window w as (partition by {KEY}, low order by i), v as (partition by {KEY}, low order by i rows between unbounded preceding and unbounded following)),
+widest as (select {KEY}, low from shoe group by {KEY}, low qualify row_number() over (partition by {KEY} order by abs(sum(c)) desc, low) = 1)"""
+
+query("e25_outlines", f"with {OUTLINES} select {KEY}, i, x, y from corners join widest using (video_id, frame_idx, low)", "mask8")(lambda s: shapes.region_outlines(s.mask8))
 
 
 def neighbours(s: Views):

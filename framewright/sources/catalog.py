@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions.numbering import numbered
+
 #: Schema of packed frames as stored.
 FRAMES = T.StructType([T.StructField("video_id", T.IntegerType()), T.StructField("frame_idx", T.LongType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.ArrayType(T.IntegerType()))])
 
@@ -78,11 +80,17 @@ def write_images(frames: DataFrame, folder: str) -> int:
     return frames.select("video_id", "frame_idx", "height", "width", "channels", "data").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def _same_form(path: Column) -> Column:
+    """A path with one slash behind its scheme: sources write one or three."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
 def read_images(spark: SparkSession, pattern: str) -> DataFrame:
     """An image stack: the sorted paths number the frames; pixels come as blue, green, red."""
     images = spark.read.format("image").load(pattern).select("image.*")
-    order = images.select("origin").distinct().select("origin", (F.row_number().over(Window.orderBy("origin")) - 1).cast("long").alias("frame_idx"))  # paths only
-    known = images.join(order, "origin").where("height > 0")
+    paths = spark.read.format("binaryFile").load(pattern).select(_same_form(F.col("path")).alias("origin"))  # no content is read, let alone decoded
+    order = numbered(paths, [F.col("origin")], "frame_idx")
+    known = images.withColumn("origin", _same_form(F.col("origin"))).join(order, "origin").where("height > 0")
     p = known.select("frame_idx", "width", "nChannels", F.posexplode(_byte_values("data")).alias("p", "v"))
     cell = F.floor(F.col("p") / F.col("nChannels"))
     return p.select(F.lit(0).alias("video_id"), "frame_idx", F.floor(cell / F.col("width")).cast("int").alias("y"), (cell % F.col("width")).cast("int").alias("x"), (F.col("p") % F.col("nChannels")).alias("c"), "v")

@@ -244,9 +244,9 @@ def test_lines_break_at_invalid_points(spark):
 
 def test_optimised_centre_lines_stay_in_a_bar(spark):
     bar = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(((2, 2), (22, 2), (22, 8), (2, 8)))], "poly_id long, i int, x int, y int")
-    line = composites.optimised_centerlines(bar, (26, 12), 12, rounds=6).orderBy("i").collect()
+    line = composites.optimised_centerlines(bar, (26, 12), 2.0, 10.0, 10.0).orderBy("i").collect()
     middle = [r["y"] for r in line[4:8]]
-    assert len(line) == 12 and all(3 < y < 7 for y in middle) and abs(line[-1]["x"] - line[0]["x"]) > 15
+    assert all(4.5 < y < 5.5 for y in middle) and abs(line[-1]["x"] - line[0]["x"]) > 15 and {r["converged"] for r in line} == {True}
 
 
 def test_progress_of_streams(spark, tmp_path):

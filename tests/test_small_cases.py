@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from framewright.functions import kernels
-from framewright.operators import compose, composites, curves, frames, graphs, regions, shapes, temporal
+from framewright.operators import compose, composites, curves, frames, graphs, regions, shapes, snakes, temporal
 from framewright.sources import catalog
 
 
@@ -187,5 +187,6 @@ def test_centre_line_of_a_bar(spark):
 def test_active_contour_without_forces(spark):
     line = spark.createDataFrame([(1, 0, 0, i, float(i), 3.0 + (i == 3)) for i in range(6)], "curve_id long, video_id int, frame_idx long, i int, x double, y double")
     flat = spark.createDataFrame([(0, 0, y, x, 0.0, 0.0) for y in range(8) for x in range(8)], "video_id int, frame_idx long, y int, x int, gx double, gy double")
-    rows = composites.active_contours(line, flat, (8, 8), 6, beta=10.0, gamma=0.1, fixed_ends=True, rounds=3).orderBy("i").collect()
+    ends = spark.createDataFrame([(1, i, True, True) for i in (0, 5)], "curve_id long, i int, hold_x boolean, hold_y boolean")
+    rows = snakes.active_contours(line, flat, (8, 8), beta=10.0, gamma=0.1, anchors=ends, rounds=3).orderBy("i").collect()
     assert (rows[0]["y"], rows[5]["y"]) == (3.0, 3.0) and 3.0 < rows[3]["y"] < 4.0

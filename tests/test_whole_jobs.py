@@ -3,7 +3,7 @@
 import math
 import random
 
-from framewright.operators import composites, graphs
+from framewright.operators import composites, graphs, snakes
 from framewright.plans import registry
 from framewright.plans.base import Views
 
@@ -41,14 +41,14 @@ def test_active_contours_say_whether_they_converged(spark):
     curves = {1: [3.5] * 8, 2: [3.5, 3.5, 3.5, 6.0, 3.5, 3.5, 3.5, 3.5]}  # a straight line rests at once, a bent one does not
     points = spark.createDataFrame([(c, c, 0, i, float(i), y) for c, ys in curves.items() for i, y in enumerate(ys)], "curve_id long, video_id long, frame_idx long, i int, x double, y double")
     flat = spark.createDataFrame([(c, 0, y, x, 0.0, 0.0) for c in curves for y in range(8) for x in range(8)], "video_id long, frame_idx long, y int, x int, gx double, gy double")
-    found = composites.active_contours(points, flat, (8, 8), 8, alpha=0.1, beta=1.0, gamma=0.002, rounds=2).collect()
+    found = snakes.active_contours(points, flat, (8, 8), alpha=0.1, beta=1.0, gamma=0.002, rounds=2).collect()
     assert {(r["curve_id"], r["converged"]) for r in found} == {(1, True), (2, False)}
     assert len(found) == 16
 
 
 def test_composite_queries_use_the_full_settings(spark, sf, monkeypatch):
     asked = {}
-    monkeypatch.setattr(composites, "active_contours", lambda points, *a, **settings: asked.update(settings) or points)
+    monkeypatch.setattr(snakes, "active_contours", lambda points, *a, **settings: asked.update(settings) or points)
     monkeypatch.setattr(composites, "outlines", lambda contours, resolution: asked.update(resolution=resolution))
     for key in ("e32_outlines", "e35_active_contours"):
         registry.queries()[key](spark, sf)
@@ -60,6 +60,7 @@ def test_smooth_centre_lines_are_registered_and_follow_a_bar(spark):
     assert "e36_centerlines_smooth" in registry.queries()
     corners = [(0, 0), (20, 0), (20, 4), (0, 4)]
     bar = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(corners)], "poly_id long, i int, x int, y int")
-    line = composites.smooth_centerlines(bar, 1.0, 2.0).orderBy("i").collect()
+    line = composites.smooth_centerlines(bar, (24, 8), 1.0, 2.0, 4.0, alpha=1.0, beta=1.0).orderBy("i").collect()
+    assert all(r["smoothed"] for r in line)
     assert len(line) > 15 and abs(line[-1]["x"] - line[0]["x"]) > 15
     assert all(-0.5 <= r["x"] <= 20.5 and -0.5 <= r["y"] <= 4.5 for r in line)
