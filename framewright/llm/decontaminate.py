@@ -43,8 +43,6 @@ WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 TO_LOWER = {c: c + 32 for c in range(65, 91)}
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1 << 19
-#: Suffixes that are compared at once.
-SLICE = 1 << 16
 NAMES = ("n_words", "n_hit", "hit_spans", "items", "longest")
 
 
@@ -133,18 +131,21 @@ class SuffixArray:
 
         In the merged order of both a suffix shares most with a neighbour. `places` are those of the wanted ones in the array.
         """
-        ours, theirs = np.zeros(len(self.order), np.int64), np.zeros(len(wanted), np.int64)
         before = np.searchsorted(places, np.arange(len(self.order)), "right")  # wanted suffixes up to each of the array
-        pairs = [(np.arange(len(self.order)), before + shift) for shift in (-1, 0)] + [(places + shift, np.arange(len(wanted))) for shift in (-1, 0)]
-        for a, b in pairs:
-            there = np.flatnonzero((a >= 0) & (a < len(ours)) & (b >= 0) & (b < len(theirs)))
-            for at in range(0, len(there), SLICE):
-                i, j = a[there[at : at + SLICE]], b[there[at : at + SLICE]]
-                same = (self.words[self.order[i][:, None] + np.arange(self.depth)] == wanted[j]) & (wanted[j] > 0)
-                common = np.where(same.all(axis=1), self.depth, same.argmin(axis=1))
-                np.maximum.at(ours, i, common)
-                np.maximum.at(theirs, j, common)
-        return ours, theirs
+
+        def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Words in common of each two suffixes; 0 where a place is beyond the ends. Few pairs are looked at beyond their first words."""
+            out, alive = np.zeros(len(a), np.int64), np.flatnonzero((a >= 0) & (a < len(self.order)) & (b >= 0) & (b < len(wanted)))
+            for k in range(self.depth):
+                word = wanted[b[alive], k]
+                alive = alive[(self.words[self.order[a[alive]] + k] == word) & (word > 0)]
+                if not alive.size:
+                    break
+                out[alive] = k + 1
+            return out
+
+        own, asked = np.arange(len(self.order)), np.arange(len(wanted))
+        return np.maximum(common(own, before - 1), common(own, before)), np.maximum(common(places - 1, asked), common(places, asked))
 
 
 def match_shard(texts: list[list[str]], block: Block) -> list[tuple[np.ndarray, set[int], int]]:
