@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import decontaminate, jaccard_join, manifest, quality, topk, whitening
+from framewright.llm import bpe, chunks, decontaminate, jaccard_join, manifest, quality, queries, substrings, suffixes, topk, whitening
 
 DOCS = "doc_id long, source string, lang string, n_chars int, text string"
 
@@ -301,3 +301,35 @@ def test_quality_scores_by_enumeration(spark):
             total, marginal = total + mass, marginal + mass * np.array(y)
         mean = float(weights @ (marginal / total) / weights.sum())
         assert scores[i] == pytest.approx(1 / (1 + math.exp(-(model.scale * mean + model.offset))), abs=1e-6)
+
+
+def test_chunks_never_pass_the_allowed_buckets(spark, monkeypatch):
+    """Whatever the input's size, the table of chunks keeps within Spark's limit; the results do not depend on it."""
+    monkeypatch.setattr(chunks, "BUCKET_BYTES", 64)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 64)
+    passage = "a passage of many words that is found again, and again, in several of these texts; it has to be long enough to be one " * 3
+    docs = spark.createDataFrame([(i, f"text {i} begins. {passage if i % 3 else ''} and ends {i}") for i in range(40)], "doc_id long, text string")
+    wanted = [sorted(map(tuple, operator.query(docs).collect())) for operator in (suffixes, substrings)]
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        assert [sorted(map(tuple, operator.query(docs).collect())) for operator in (suffixes, substrings)] == wanted
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert any(r[2] for r in wanted[0])
+
+
+def test_slices_end_at_sure_boundaries(monkeypatch):
+    """Texts without spaces between words are cut as well, and encoded as the library does it."""
+    import tokenizers
+
+    monkeypatch.setattr(bpe, "SLICE", 32)
+    coder, library = bpe.Coder(open(queries.BPE_FILE, encoding="utf-8").read()), tokenizers.Tokenizer.from_file(queries.BPE_FILE)
+    rng = random.Random(4)
+    pieces = ["漢字", "。", "かな", "\n", "\n\n", "abc", "'s", "'", "'ll", "12", " ", "  ", "\t", "!?", "é", "x'", "🎉"]
+    for _ in range(40):
+        text = "".join(rng.choices(pieces, k=300))
+        parts = list(coder.slices([text]))
+        assert len(parts) > 5 and max(sum(len(p) for _, p, _ in part) for part in parts) < 80
+        words = [p for part in parts for _, p, _ in part]
+        assert "".join(words) == text
+        assert [i for w in words for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
