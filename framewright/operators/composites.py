@@ -32,8 +32,10 @@ def centerlines(contours: DataFrame) -> DataFrame:
 def optimised_centerlines(contours: DataFrame, size: tuple[int, int], spacing: float = 20.0, alpha: float = 1e3, beta: float = 1e6, gamma: float = 0.01, rounds: int = 1000) -> DataFrame:
     """Centre lines pulled to the middle: active contours in the distance to the background, both ends held; poly_id, i, x, y, converged.
 
-    `spacing` is that of the points, before and after. `converged` is false for lines that have not come to rest after `rounds`.
+    `spacing` is that of the points, before and after. `converged` is false for lines that have not come to rest after `rounds`. Pixels around the
+    frame count as background.
     """
+    contours, size = contours.withColumns({c: F.col(c) + 1 for c in "xy"}), (size[0] + 2, size[1] + 2)  # a rim of one pixel
     mask = cut(polygon_mask(contours))
     depth = regions.background_distance(mask, size[1], size[0]).select(*regions.PIXEL, F.col("d").alias("v"))
     cells = mask.select(*regions.FRAME).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))))
@@ -42,7 +44,7 @@ def optimised_centerlines(contours: DataFrame, size: tuple[int, int], spacing: f
     lines = cut(curves.spaced(centerlines(contours).withColumnRenamed("poly_id", "curve_id"), spacing))
     ends = lines.groupBy("curve_id").agg(F.min("i").alias("a"), F.max("i").alias("b")).select("curve_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("i"), F.lit(True).alias("hold_x"), F.lit(True).alias("hold_y"))
     placed = lines.select("curve_id", F.col("curve_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), "i", "x", "y")
-    found = cut(snakes.active_contours(placed, slopes, size, alpha, beta, gamma, anchors=ends, rounds=rounds))
+    found = cut(snakes.active_contours(placed, slopes, size, alpha, beta, gamma, anchors=ends, rounds=rounds).withColumns({c: F.col(c) - 1 for c in "xy"}))
     state = found.groupBy("curve_id").agg(F.first("converged").alias("converged"))
     return curves.spaced(found.select("curve_id", "i", "x", "y"), spacing).join(state, "curve_id").withColumnRenamed("curve_id", "poly_id")
 

@@ -50,12 +50,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("n1").alias("node_id")).unionByName(edges.select(F.col("n2").alias("node_id"))).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def prune(edges: DataFrame, shortest: float, protected: list[int] | None = None) -> DataFrame:
-    """Drops leaf edges and loops shorter than `shortest` in rounds until none is left; edges with a protected node at either end stay."""
+def prune(edges: DataFrame, shortest: float, protected: DataFrame | None = None) -> DataFrame:
+    """Drops leaf edges and loops shorter than `shortest` in rounds until none is left; edges with a protected node (node_id) at either end stay."""
     now = cut(edges)
-    free = F.lit(True) if not protected else ~F.col("n1").isin(protected) & ~F.col("n2").isin(protected)
+    short = now.where(F.col("length") < shortest).select("edge_id", "n1", "n2")
+    if protected is not None:
+        held = short.select("edge_id", F.explode(F.array("n1", "n2")).alias("node_id")).join(protected.select("node_id"), "node_id", "left_semi")
+        short = cut(short.join(held.select("edge_id").distinct(), "edge_id", "left_anti"))
+    able = short.select("edge_id")
     while True:
-        may = now.where((F.col("length") < shortest) & free)
+        may = now.join(able, "edge_id", "left_semi") if protected is not None else now.where(F.col("length") < shortest)
         leaf = degrees(now).where(F.col("degree") == 1).select("node_id")
         ends = may.where("n1 <> n2").select("edge_id", F.explode(F.array("n1", "n2")).alias("node_id")).join(leaf, "node_id", "left_semi").select("edge_id")
         short = cut(ends.distinct().unionByName(may.where("n1 = n2").select("edge_id")))

@@ -46,8 +46,8 @@ def test_peaks_below_zero_and_in_the_background(spark):
 def test_protected_ends_keep_edges(spark):
     edges = spark.createDataFrame([(1, 1, 2, 0.5), (2, 2, 3, 9.0), (3, 3, 3, 0.5), (4, 3, 4, 0.5)], "edge_id long, n1 long, n2 long, length double")
     assert {r["edge_id"] for r in graphs.prune(edges, 1.0).collect()} == {2}
-    assert {r["edge_id"] for r in graphs.prune(edges, 1.0, [2]).collect()} == {1, 2}
-    assert {r["edge_id"] for r in graphs.prune(edges, 1.0, [3]).collect()} == {2, 3, 4}
+    assert {r["edge_id"] for r in graphs.prune(edges, 1.0, spark.createDataFrame([(2,)], "node_id long")).collect()} == {1, 2}
+    assert {r["edge_id"] for r in graphs.prune(edges, 1.0, spark.createDataFrame([(3,)], "node_id long")).collect()} == {2, 3, 4}
     nodes = spark.createDataFrame([(n, 0.0, 0.0) for n in range(1, 6)], "node_id long, x double, y double")
     assert {r["node_id"] for r in graphs.left_nodes(nodes, edges, graphs.prune(edges, 1.0)).collect()} == {2, 3, 5}
 

@@ -38,12 +38,12 @@ def test_nearest_edges_by_cells(spark, capsys):
 
 
 def test_active_contours_say_whether_they_converged(spark):
-    curves = {1: [3.5] * 8, 2: [3.5, 3.5, 3.5, 6.0, 3.5, 3.5, 3.5, 3.5]}  # a straight line rests at once, a bent one does not
+    curves = {1: [3.5] * 8, 2: [3.5, 3.5, 3.5, 6.0, 3.5, 3.5, 3.5, 3.5]}
     points = spark.createDataFrame([(c, c, 0, i, float(i), y) for c, ys in curves.items() for i, y in enumerate(ys)], "curve_id long, video_id long, frame_idx long, i int, x double, y double")
     flat = spark.createDataFrame([(c, 0, y, x, 0.0, 0.0) for c in curves for y in range(8) for x in range(8)], "video_id long, frame_idx long, y int, x int, gx double, gy double")
-    found = snakes.active_contours(points, flat, (8, 8), alpha=0.1, beta=1.0, gamma=0.002, rounds=2).collect()
-    assert {(r["curve_id"], r["converged"]) for r in found} == {(1, True), (2, False)}
-    assert len(found) == 16
+    for tolerance, rests, used in ((1e9, True, 1), (0.0, False, 2)):
+        found = snakes.active_contours(points, flat, (8, 8), alpha=0.1, beta=1.0, gamma=0.002, rounds=2, tolerance=tolerance).collect()
+        assert {(r["curve_id"], r["converged"], r["rounds"]) for r in found} == {(1, rests, used), (2, rests, used)} and len(found) == 16
 
 
 def test_composite_queries_use_the_full_settings(spark, sf, monkeypatch):
