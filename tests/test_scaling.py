@@ -294,31 +294,6 @@ def evolved(line, gx, gy, alpha, beta, gamma, closed, rounds, tolerance=1.0, hel
     return points, used, False
 
 
-def test_active_contours_against_whole_arrays(spark):
-    """Ten curves, open and closed, of different length (on both sides of `DENSE`) and with different anchors, that travel over several tiles."""
-    rng = np.random.default_rng(12)
-    height, width = 150, 140
-    ys, xs = np.mgrid[:height, :width]
-    gx, gy = 30 * np.cos(xs / 5) + 20 + rng.normal(size=(height, width)), 40 * np.sin(ys / 6) + 55
-    slopes = spark.createDataFrame([(0, 0, y, x, float(gx[y, x]), float(gy[y, x])) for y in range(height) for x in range(width)], MASK + ", gx double, gy double")
-    lines, shut, held = {}, {}, {}
-    for c in range(10):
-        n = 8 + 11 * c
-        turn = np.linspace(0, 2 * math.pi, n, endpoint=False)
-        shut[c] = c % 3 == 0
-        lines[c] = np.column_stack([40 + 22 * np.cos(turn), 44 + 25 * np.sin(turn)]) if shut[c] else np.column_stack([np.linspace(3, 96, n), 10 + 2 * c + rng.normal(size=n)])
-        held[c] = ((), ()) if c % 2 else ((0, n // 2), (n - 1,))
-    points = spark.createDataFrame([(c, 0, 0, i, float(x), float(y), shut[c]) for c, line in lines.items() for i, (x, y) in enumerate(line)], "curve_id long, video_id int, frame_idx long, i int, x double, y double, closed boolean")
-    anchors = spark.createDataFrame([(c, i, i in held[c][0], i in held[c][1]) for c in held for i in sorted({*held[c][0], *held[c][1]})], "curve_id long, i int, hold_x boolean, hold_y boolean")
-    got = {}
-    for r in snakes.active_contours(points, slopes, (width, height), 5.0, 20.0, 0.01, anchors=anchors, rounds=60).collect():
-        got.setdefault(r["curve_id"], {})[r["i"]] = (r["x"], r["y"], r["rounds"], r["converged"])
-    for c, line in lines.items():
-        want, used, rests = evolved(line, gx, gy, 5.0, 20.0, 0.01, shut[c], 60, held=held[c])
-        rows = [got[c][i] for i in range(len(line))]
-        assert np.abs(np.array([r[:2] for r in rows]) - want).max() < 1e-6 and {r[2:] for r in rows} == {(used, rests)}
-
-
 @pytest.mark.parametrize("closed", (False, True))
 def test_five_diagonals_against_a_full_matrix(monkeypatch, closed):
     rng = np.random.default_rng(1)
