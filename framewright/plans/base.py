@@ -39,8 +39,9 @@ class Views:
 
     @cached_property
     def pixels8(self) -> DataFrame:
+        """The frames' pixels, 64 rows a frame; joins shuffle them, as Spark judges them by the size of the frames."""
         p = self.frames8.select("video_id", "frame_idx", F.posexplode("data").alias("p", "v"))
-        return p.select("video_id", "frame_idx", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), "v")
+        return p.select("video_id", "frame_idx", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), "v").hint("merge")
 
     @cached_property
     def mask8(self) -> DataFrame:
