@@ -26,14 +26,15 @@ def shared_path(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: one pass, no lineage."""
+    """The rows as a table in the shared folder: one pass, no lineage. Joins shuffle it: pixels and links are many times as large in memory as in
+    their files, by whose size Spark would broadcast them."""
     return _cut(df)[0]
 
 
 def _cut(df: DataFrame) -> tuple[DataFrame, str]:
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge"), path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
