@@ -1,6 +1,6 @@
 """Lengths of shortest ways over pixels, tile by tile.
 
-A frame is cut into tiles of `TILE` x `TILE` pixels, one row each. A round settles every tile that has news inside a task (shortest ways from all its
+A frame is cut into tiles of `TILE` x `TILE` pixels, one row each, which holds the box of the tile's cells only, so small frames are small rows. A round settles every tile that has news inside a task (shortest ways from all its
 improved pixels, in order of length) and sends the improved pixels at its rim to the neighbouring tiles. So rounds follow the number of tiles that
 a way crosses, not its pixels, and a task holds one tile at a time. A way's length is kept as whole numbers of steps of each kind, so equal lengths are exactly
 equal.
@@ -21,19 +21,20 @@ from pyspark.sql import functions as F
 from framewright.functions.iterate import _delete, _cut, cut
 
 TILE = 128
+#: Rows of tiles that a task opens at once, and pixels that it gives out at once.
+ROWS, PIXELS = 256, 1 << 16
 FRAME, PIXEL = ["video_id", "frame_idx"], ["video_id", "frame_idx", "y", "x"]
 #: (dy, dx, kind) of a step, and the lengths of the kinds.
 Steps = tuple[list[tuple[int, int, int]], list[float]]
 
 
 def _settle(inside: np.ndarray, counts: np.ndarray, offers: list[tuple[tuple[int, ...], int, int]], steps: Steps, base: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Takes the offered ways (counts, y, x) of a tile and all that follow from them: the counts, and the pixels that are improved."""
+    """Takes the offered ways (counts, y, x) of a tile's box and all that follow from them: the counts, and the pixels that are improved."""
     moves, sizes = steps
     reach = max(max(abs(dy), abs(dx)) for dy, dx, _ in moves)
-    side = len(inside) + 2 * reach
-    frame = np.zeros((side, side), bool)
-    frame[reach:-reach, reach:-reach] = inside
-    free, known = frame.ravel().tolist(), [None] * (side * side)
+    frame = np.pad(inside, reach)
+    side = frame.shape[1]
+    free, known = frame.ravel().tolist(), [None] * frame.size
     for y, x in np.argwhere(counts[0] >= 0).tolist():
         known[(y + reach) * side + x + reach] = tuple(counts[:, y, x].tolist())
 
@@ -77,68 +78,82 @@ def _round(steps: Steps, base: float, first: bool, tile: int):
     moves, kinds = steps[0], len(steps[1])
     reach = max(max(abs(dy), abs(dx)) for dy, dx, _ in moves)
 
-    def opened(row: dict) -> tuple[np.ndarray, np.ndarray, list]:
-        """The tile, its counts, and the ways that it is offered."""
-        top, left = row["ty"] * tile, row["tx"] * tile
+    def opened(row: dict) -> tuple[list[int], np.ndarray, np.ndarray, list]:
+        """The box (top, left, height, width) of the tile's cells, those, their counts, and the ways that they are offered."""
         if first:
-            ys, xs = np.asarray(row["ys"]) - top, np.asarray(row["xs"]) - left
-            inside = np.zeros((tile, tile), bool)
-            inside[ys, xs] = True
+            ys, xs = np.asarray(row["ys"]), np.asarray(row["xs"])
+            top, left = int(ys.min()), int(xs.min())
+            box = [top, left, int(ys.max()) - top + 1, int(xs.max()) - left + 1]
+            inside = np.zeros(box[2:], bool)
+            inside[ys - top, xs - left] = True
             starts = np.flatnonzero(np.asarray(row["seeds"], bool))
-            return inside, np.full((kinds, tile, tile), -1, np.int32), [((0,) * kinds, int(ys[k]), int(xs[k])) for k in starts]
-        inside = np.frombuffer(zlib.decompress(row["inside"]), bool).reshape(tile, tile)
-        counts = np.frombuffer(zlib.decompress(row["counts"]), np.int32).reshape(kinds, tile, tile).copy()
+            return box, inside, np.full((kinds, *box[2:]), -1, np.int32), [((0,) * kinds, int(ys[k]) - top, int(xs[k]) - left) for k in starts]
+        top, left, height, width = box = [int(v) for v in row["box"]]
+        inside = np.frombuffer(zlib.decompress(row["inside"]), bool).reshape(height, width)
+        counts = np.frombuffer(zlib.decompress(row["counts"]), np.int32).reshape(kinds, height, width).copy()
         offers = []
         for news in row["news"]:
             for y, x, *c in np.frombuffer(zlib.decompress(news), np.int32).reshape(-1, 2 + kinds).tolist():
                 for dy, dx, kind in moves:
                     ny, nx = y - top + dy, x - left + dx
-                    if 0 <= ny < tile and 0 <= nx < tile:
+                    if 0 <= ny < height and 0 <= nx < width:
                         offers.append(((*c[:kind], c[kind] + 1, *c[kind + 1 :]), ny, nx))
-        return inside, counts, offers
+        return box, inside, counts, offers
 
-    def told(row: dict, counts: np.ndarray, pixels: list[tuple[int, int]]) -> Iterator[tuple]:
+    def told(row: dict, box: list[int], counts: np.ndarray, pixels: list[tuple[int, int]]) -> Iterator[tuple]:
         """The improved pixels within a step of each neighbour."""
+        up, aside = box[0] - row["ty"] * tile, box[1] - row["tx"] * tile
         near = {-1: lambda v: v < reach, 0: lambda v: True, 1: lambda v: v >= tile - reach}
         for sy in (-1, 0, 1):
             for sx in (-1, 0, 1):
-                rim = [(y + row["ty"] * tile, x + row["tx"] * tile, *counts[:, y, x].tolist()) for y, x in pixels if (sy or sx) and near[sy](y) and near[sx](x)]
+                rim = [(y + box[0], x + box[1], *counts[:, y, x].tolist()) for y, x in pixels if (sy or sx) and near[sy](y + up) and near[sx](x + aside)]
                 if rim:
                     yield row["ty"] + sy, row["tx"] + sx, _pack(np.array(rim, np.int32))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                ids = [row["video_id"], row["frame_idx"]]
-                if not first and row["news"] is None:
-                    out.append((*ids, row["ty"], row["tx"], 0, row["inside"], row["counts"]))
-                    continue
-                inside, counts, offers = opened(row)
-                counts, pixels = _settle(inside, counts, offers, steps, base)
-                out.append((*ids, row["ty"], row["tx"], 0, _pack(inside), _pack(counts)))
-                out += [(*ids, ty, tx, 1, None, news) for ty, tx, news in told(row, counts, pixels)]
-            yield pd.DataFrame(out, columns=[*FRAME, "ty", "tx", "kind", "inside", "counts"])
+            for start in range(0, len(frame), ROWS):
+                out = []
+                for row in frame.iloc[start : start + ROWS].to_dict("records"):
+                    ids = [row["video_id"], row["frame_idx"]]
+                    if not first and row["news"] is None:
+                        out.append((*ids, row["ty"], row["tx"], 0, row["box"], row["inside"], row["counts"]))
+                        continue
+                    box, inside, counts, offers = opened(row)
+                    counts, pixels = _settle(inside, counts, offers, steps, base)
+                    out.append((*ids, row["ty"], row["tx"], 0, box, _pack(inside), _pack(counts)))
+                    out += [(*ids, ty, tx, 1, None, None, news) for ty, tx, news in told(row, box, counts, pixels)]
+                yield pd.DataFrame(out, columns=[*FRAME, "ty", "tx", "kind", "box", "inside", "counts"])
 
     return run
 
 
-def _lengths(steps: Steps, tile: int):
+def _lengths(steps: Steps):
     """The reached pixels of the tiles, with their counts."""
     kinds = len(steps[1])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            parts = [pd.DataFrame(columns=[*PIXEL, "counts"])]
-            for row in frame.to_dict("records"):
-                counts = np.frombuffer(zlib.decompress(row["counts"]), np.int32).reshape(kinds, tile, tile)
+            parts, held = [], 0
+            for video, number, box, packed in zip(frame["video_id"], frame["frame_idx"], frame["box"], frame["counts"], strict=True):
+                counts = np.frombuffer(zlib.decompress(packed), np.int32).reshape(kinds, *box[2:])
                 ys, xs = np.nonzero(counts[0] >= 0)
-                parts.append(pd.DataFrame({"video_id": row["video_id"], "frame_idx": row["frame_idx"], "y": ys + row["ty"] * tile, "x": xs + row["tx"] * tile, "counts": counts[:, ys, xs].T.tolist()}))
-            yield pd.concat(parts)
+                parts.append((np.full(len(ys), video), np.full(len(ys), number), ys + box[0], xs + box[1], counts[:, ys, xs].T))
+                held += len(ys)
+                if held >= PIXELS:
+                    yield _rows(parts)
+                    parts, held = [], 0
+            if parts:
+                yield _rows(parts)
 
     return run
 
 
+def _rows(parts: list[tuple]) -> pd.DataFrame:
+    *columns, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return pd.DataFrame(dict(zip(PIXEL, columns, strict=True))).assign(counts=list(counts))
+
+
 def ways(cells: DataFrame, seeds: DataFrame, steps: Steps, base: float = 0.0, tile: int = TILE) -> DataFrame:
     """video_id, frame_idx, y, x, counts, d of every cell that a way from the seeds reaches: steps of each kind, and base plus their length.
 
@@ -150,18 +165,18 @@ def ways(cells: DataFrame, seeds: DataFrame, steps: Steps, base: float = 0.0, ti
     keys = [*FRAME, "ty", "tx"]
     points = every.withColumns(place).groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "seed")).alias("p"))
     points = points.select(*keys, F.col("p.y").alias("ys"), F.col("p.x").alias("xs"), F.col("p.seed").alias("seeds"))
-    schema = f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, ty int, tx int, kind int, inside binary, counts binary"
+    schema = f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, ty int, tx int, kind int, box array<int>, inside binary, counts binary"
     now, path = _cut(points.mapInPandas(_round(steps, base, True, tile), schema))
     while True:
         news = now.where("kind = 1").groupBy(*keys).agg(F.collect_list("counts").alias("news"))
         state = now.where("kind = 0")
         if not news.join(state, keys, "left_semi").take(1):
             break
-        after, last = state.select(*keys, "inside", "counts").join(news, keys, "left"), path
+        after, last = state.select(*keys, "box", "inside", "counts").join(news, keys, "left"), path
         now, path = _cut(after.mapInPandas(_round(steps, base, False, tile), schema))
         _delete(now.sparkSession, last)
     length = F.lit(base)
     for k, size in enumerate(steps[1]):
         length = length + F.get("counts", F.lit(k)) * F.lit(size)
-    found = state.select(*keys, "counts").mapInPandas(_lengths(steps, tile), ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", counts array<int>")
+    found = state.select(*FRAME, "box", "counts").mapInPandas(_lengths(steps), ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", counts array<int>")
     return cut(found).select(*PIXEL, "counts", length.alias("d"))
