@@ -54,13 +54,27 @@ def thin(mask: DataFrame, height: int, width: int) -> DataFrame:
 
     Ends when nothing is left or a round changes nothing (only completely full frames, whose skeleton is empty).
     """
-    rest, skeleton, before = cut(mask), mask.where("false"), -1
+    rest, skeleton, before = cut(mask.select(*PIXEL).distinct()), mask.select(*PIXEL).where("false"), -1
     while (left := rest.count()) and left != before:
-        skeleton = cut(skeleton.unionByName(rest.join(opened(rest, height, width, CROSS), rest.columns, "left_anti")).distinct())
-        before, rest = left, cut(erode(rest, height, width, CROSS))
+        judged = cut(_thinned(rest, height, width))
+        skeleton = skeleton.unionByName(judged.where("bare").select(*PIXEL))
+        before, rest = left, judged.where("stays").select(*PIXEL)
     return skeleton
 
 
+def _thinned(mask: DataFrame, height: int, width: int) -> DataFrame:
+    """The pixels with `stays` (the erosion keeps it) and `bare` (the opening lacks it), in one shuffle, by frame."""
+    own = F.max((F.col("oy") == F.col("y")) & (F.col("ox") == F.col("x")))
+    near = kernels.spread(kernels.by_frame(mask), CROSS).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("n"), own.alias("own")).where("own")
+    within = sum((F.when((F.col("y") - dy).between(0, height - 1) & (F.col("x") - dx).between(0, width - 1), 1).otherwise(0) for dy, dx in CROSS), F.lit(0))
+    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in CROSS])
+    far = near.select(*PIXEL, ((F.col("n") == within) & kernels.inside(height, width)).alias("stays")).withColumn("m", F.explode(F.when(F.col("stays"), moves).otherwise(F.slice(moves, 1, 1))))
+    still = (F.col("m.dy") == 0) & (F.col("m.dx") == 0)
+    placed = far.select(*FRAME, (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), still.alias("own"), (F.col("stays") & still).alias("kept"), F.col("stays").alias("covers"))
+    found = placed.groupBy(*PIXEL).agg(F.max("own").alias("own"), F.max("kept").alias("stays"), F.max(F.col("covers") & kernels.inside(height, width)).alias("covered")).where("own")
+    return found.select(*PIXEL, "stays", (~F.col("covered")).alias("bare"))
+
+
 def thin_guo_hall(mask: DataFrame) -> DataFrame:
     """Guo-Hall thinning: two conditions on a pixel's eight neighbours, in turn, drop rim pixels until none goes. One shuffle a round, by frame."""
     #: neighbours in turn, clockwise from the one above

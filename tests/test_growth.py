@@ -1,8 +1,10 @@
 """Steps whose memory, rounds or time once grew faster than their input."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from framewright.functions.iterate import cut
+from framewright.operators import fields, regions
 from framewright.plans import registry
 
 
@@ -21,3 +23,17 @@ def test_tables_between_rounds_are_not_broadcast_by_the_size_of_their_files(spar
     links = cut(spark.range(1000).select(F.lit(1).alias("frame"), (F.col("id") % 10).alias("k"), "id"))
     text = plan(capsys, links.join(links.groupBy("frame", "k").agg(F.min("id").alias("low")), ["frame", "k"]))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_tiles_hold_the_box_of_their_cells_and_leave_a_task_in_pieces():
+    frames = pd.DataFrame({"video_id": 0, "frame_idx": range(1000), "ty": 0, "tx": 0, "ys": [[3, 4]] * 1000, "xs": [[5, 5]] * 1000, "seeds": [[True, False]] * 1000})
+    settled = list(fields._round(regions.KINGS, 0.0, True, fields.TILE)(iter([frames])))
+    assert max(map(len, settled)) <= fields.ROWS and all(b == [3, 5, 2, 1] for piece in settled for b in piece["box"])
+    ended = list(fields._lengths(regions.KINGS)(iter([pd.concat([*settled] * 40)])))
+    assert sum(map(len, ended)) == 80_000 and max(map(len, ended)) < 2 * fields.PIXELS and len(ended) > 1
+
+
+def test_thinning_takes_one_shuffle_a_round(spark, capsys):
+    mask = cut(spark.createDataFrame([(0, 0, y, x) for y in range(3) for x in range(4)], "video_id int, frame_idx long, y int, x int"))
+    text = plan(capsys, regions._thinned(mask, 5, 6))
+    assert text.count("Exchange") == 1
