@@ -3,7 +3,7 @@
 A curve is one row: its points as arrays, its own number of points and spacing. A frame's forces are tiles. In each pass a curve meets the tiles within
 `REACH` of its points and takes its steps inside a task, until it rests, has used its rounds, or a point leaves those tiles; curves
 that have left them meet their next tiles in the next pass. So passes follow how far curves travel, not how many steps they take, and a task holds the tiles along
-one curve, never a whole frame.
+one curve, or along a few short ones that step together, never a whole frame.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.banded import FiveDiagonals
+from framewright.functions.banded import DENSE, FiveDiagonals
 from framewright.functions.iterate import cut
 from framewright.operators import curves
 
-TILE, REACH = 64, 16
+#: Pixels of a tile's side, and those around a point whose tiles a curve meets; curves of a group.
+TILE, REACH, CURVES = 64, 16, 64
 FRAME = ["video_id", "frame_idx"]
 
 
@@ -34,62 +35,86 @@ def evolution(count: int, spacing: float, alpha: float, beta: float, gamma: floa
 
 
 class Forces:
-    """The forces on tiles around a curve."""
-
-    def __init__(self, patch: pd.DataFrame):
-        ty, tx = patch["ty"].to_numpy(np.int64), patch["tx"].to_numpy(np.int64)
-        self.top, self.left = ty.min(), tx.min()
-        self.slots = np.full((int(ty.max() - self.top + 1), int(tx.max() - self.left + 1)), -1, np.int64)
-        self.slots[ty - self.top, tx - self.left] = np.arange(len(patch))
-        self.values = np.zeros((2, len(patch), TILE, TILE))
-        for k, (ys, xs, gx, gy) in enumerate(zip(patch["ys"], patch["xs"], patch["gx"], patch["gy"], strict=True)):
-            if ys is not None:
+    """The forces on tiles around some curves, which are called by their place among `ids`."""
+
+    def __init__(self, patch: pd.DataFrame, ids: list):
+        owner = patch["curve"].map({c: k for k, c in enumerate(ids)})
+        patch, owner = patch[owner.notna()], owner[owner.notna()].to_numpy(np.int64)
+        place = np.array([patch["ty"], patch["tx"]], np.int64)
+        self.corner = np.zeros((2, len(ids)), np.int64)
+        far = np.zeros((2, len(ids)), np.int64)
+        for k in range(len(ids)):
+            own = place[:, owner == k]
+            self.corner[:, k], far[:, k] = own.min(axis=1), own.max(axis=1)
+        self.slots = np.full((len(ids), *(far - self.corner + 1).max(axis=1)), -1, np.int64)
+        filled = patch["ys"].notna().to_numpy()
+        slot = np.where(filled, np.cumsum(filled), 0)  # the first one is empty
+        self.slots[owner, place[0] - self.corner[0, owner], place[1] - self.corner[1, owner]] = slot
+        self.values = np.zeros((2, int(filled.sum()) + 1, TILE, TILE))
+        for k, ys, xs, gx, gy in zip(slot, patch["ys"], patch["xs"], patch["gx"], patch["gy"], strict=True):
+            if k:
                 self.values[0, k, np.asarray(ys) % TILE, np.asarray(xs) % TILE] = gx
                 self.values[1, k, np.asarray(ys) % TILE, np.asarray(xs) % TILE] = gy
 
-    def at(self, x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-        """Both forces at the points, between the four pixels around each; None if a tile is missing."""
+    def at(self, x: np.ndarray, y: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both forces at the points of the curves `which`, between the four pixels around each, and whether all tiles of a curve are there."""
         x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
-        fx, fy, total = x - x0, y - y0, np.zeros((2, len(x)))
+        fx, fy, total, there = x - x0, y - y0, np.zeros((2, *x.shape)), np.ones(len(which), bool)
+        top, left = self.corner[:, which, None]
+        height, width = self.slots.shape[1:]
         for dy, wy in ((0, 1 - fy), (1, fy)):
             for dx, wx in ((0, 1 - fx), (1, fx)):
-                row, column = (y0 + dy) // TILE - self.top, (x0 + dx) // TILE - self.left
-                if row.min() < 0 or column.min() < 0 or row.max() >= self.slots.shape[0] or column.max() >= self.slots.shape[1]:
-                    return None
-                slot = self.slots[row, column]
-                if slot.min() < 0:
-                    return None
+                row, column = (y0 + dy) // TILE - top, (x0 + dx) // TILE - left
+                slot = self.slots[which[:, None], np.clip(row, 0, height - 1), np.clip(column, 0, width - 1)]
+                there &= ((row >= 0) & (row < height) & (column >= 0) & (column < width) & (slot >= 0)).all(axis=1)
                 total += wy * wx * self.values[:, slot, (y0 + dy) % TILE, (x0 + dx) % TILE]
-        return total
+        return total, there
 
 
 def _advance(size: tuple[int, int], alpha: float, beta: float, gamma: float, rounds: int, tolerance: float):
-    """Steps of one curve among its tiles."""
-    limit = np.array([[size[0] - 2.0], [size[1] - 2.0]])
+    """Steps of the curves of a group among their tiles; those with equally many points step together."""
+    limit = np.array([size[0] - 2.0, size[1] - 2.0])[:, None, None]
+
+    def together(rows: pd.DataFrame, patch: pd.DataFrame) -> pd.DataFrame:
+        now = np.array([rows["xs"].tolist(), rows["ys"].tolist()], float)
+        held = np.array([rows["hold_x"].tolist(), rows["hold_y"].tolist()], float)
+        systems = [evolution(now.shape[2], h, alpha, beta, gamma, bool(c)) for h, c in zip(rows["spacing"], rows["closed"], strict=True)]
+        inverse = None if systems[0].inverse is None else np.stack([m.inverse for m in systems])
+        forces = Forces(patch, rows["curve_id"].tolist())
+        used, rests = rows["rounds"].to_numpy(np.int64).copy(), rows["converged"].to_numpy(bool).copy()
+        which = np.flatnonzero(used < rounds)
+        while len(which):
+            force, there = forces.at(*now[:, which], which)
+            which = which[there]
+            before = now[:, which]
+            pushed = before + gamma * force[:, there]
+            after = np.array([[m.solve(v) for m, v in zip([systems[k] for k in which], axis, strict=True)] for axis in pushed]).reshape(before.shape) if inverse is None else (inverse[which] @ pushed[..., None])[..., 0]
+            after = np.where(np.isnan(held[:, which]), after, held[:, which])
+            still = np.abs(after - before).sum(axis=(0, 2)) < tolerance * gamma
+            now[:, which] = np.clip(after, 0, limit)
+            used[which] += 1
+            rests[which[still]] = True
+            which = which[~still & (used[which] < rounds)]
+        return rows.assign(xs=list(now[0]), ys=list(now[1]), rounds=used, converged=rests, done=rests | (used >= rounds))
 
     def run(curve: pd.DataFrame, patch: pd.DataFrame) -> pd.DataFrame:
-        if curve.empty:
-            return curve
-        row = curve.iloc[0].to_dict()
-        now = np.array([row["xs"], row["ys"]], float)
-        held = np.array([[np.nan if v is None else v for v in row[c]] for c in ("hold_x", "hold_y")], float)
-        matrix = evolution(now.shape[1], row["spacing"], alpha, beta, gamma, bool(row["closed"]))
-        forces, used = Forces(patch), int(row["rounds"])
-        while used < rounds and (force := forces.at(*now)) is not None:
-            pushed = now + gamma * force
-            after = np.array([matrix.solve(pushed[0]), matrix.solve(pushed[1])])
-            after = np.where(np.isnan(held), after, held)
-            residual = np.abs(after - now).sum()
-            now, used = np.clip(after, 0, limit), used + 1
-            if residual < tolerance * gamma:
-                row["converged"] = True
-                break
-        row |= {"xs": now[0].tolist(), "ys": now[1].tolist(), "rounds": used, "done": bool(row["converged"]) or used >= rounds}
-        return pd.DataFrame([row], columns=curve.columns)
+        curve = curve.drop(columns="deal")
+        moved = [together(rows, patch) for _, rows in curve.groupby([curve["xs"].map(len), curve["closed"]])]
+        return pd.concat(moved) if moved else curve
 
     return run
 
 
+def _dealt(active: DataFrame) -> DataFrame:
+    """The curves with `deal`, their group: about `CURVES` curves of few points and tiles, or a single one of more."""
+    tiles = F.lit(1)
+    for c in ("xs", "ys"):
+        tiles = tiles * (F.floor((F.array_max(c) + REACH + 1) / TILE) - F.floor((F.array_min(c) - REACH) / TILE) + 1)
+    groups = max(1, -(-active.count() // CURVES))
+    few = (F.size("xs") <= DENSE) & (tiles <= 4)
+    return active.withColumn("deal", F.when(few, F.concat(F.lit("group "), F.pmod(F.xxhash64("curve_id"), F.lit(groups)).cast("string"))).otherwise(F.concat(F.lit("curve "), F.col("curve_id").cast("string"))))
+
+
 def _packed(points: DataFrame, anchors: DataFrame | None, size: tuple[int, int]) -> DataFrame:
     """The curves as rows, their points at equal distances, with the coordinates that are held."""
     even = curves.evenly(points)
@@ -131,12 +156,13 @@ def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, in
     done = state.where("done")
     active = state.where("not done")
     while active.take(1):
-        corner = active.select(F.col("curve_id").alias("curve"), *FRAME, F.explode(F.arrays_zip("xs", "ys")).alias("p"))
+        active = _dealt(active)
+        corner = active.select(F.col("deal").alias("among"), F.col("curve_id").alias("curve"), *FRAME, F.explode(F.arrays_zip("xs", "ys")).alias("p"))
         for t, c in (("ty", "ys"), ("tx", "xs")):
             low, high = (F.floor((F.floor(F.col(f"p.{c}")) + d) / TILE).cast("int") for d in (-REACH, REACH + 1))
             corner = corner.withColumn(t, F.explode(F.sequence(low, high)))
-        patch = corner.select("curve", *FRAME, "ty", "tx").distinct().join(tiles, [*FRAME, "ty", "tx"], "left").select("curve", "ty", "tx", "ys", "xs", "gx", "gy")
-        moved = active.groupBy("curve_id").cogroup(patch.groupBy("curve")).applyInPandas(_advance(size, alpha, beta, gamma, rounds, tolerance), active.schema)
+        patch = corner.select("among", "curve", *FRAME, "ty", "tx").distinct().join(tiles, [*FRAME, "ty", "tx"], "left").select("among", "curve", "ty", "tx", "ys", "xs", "gx", "gy")
+        moved = active.groupBy("deal").cogroup(patch.groupBy("among")).applyInPandas(_advance(size, alpha, beta, gamma, rounds, tolerance), active.drop("deal").schema)
         after = cut(moved)
         done, active = done.unionByName(after.where("done")), after.where("not done")
     ended = done.select("curve_id", *FRAME, F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p"), "rounds", "converged").select("curve_id", *FRAME, "i", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"), "rounds", "converged")

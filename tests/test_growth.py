@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from framewright.functions.iterate import cut
-from framewright.operators import fields, regions
+from framewright.operators import fields, graphs, regions, snakes
 from framewright.plans import registry
 
 
@@ -37,3 +37,10 @@ def test_thinning_takes_one_shuffle_a_round(spark, capsys):
     mask = cut(spark.createDataFrame([(0, 0, y, x) for y in range(3) for x in range(4)], "video_id int, frame_idx long, y int, x int"))
     text = plan(capsys, regions._thinned(mask, 5, 6))
     assert text.count("Exchange") == 1
+
+
+def test_short_curves_step_in_groups_and_long_ones_alone(spark):
+    line = lambda n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: k.cast("double"))
+    curves = spark.range(201).withColumnRenamed("id", "curve_id").withColumn("xs", F.when(F.col("curve_id") < 200, line(8)).otherwise(line(500))).withColumn("ys", F.col("xs"))
+    deal = {r["deal"]: r["count"] for r in snakes._dealt(curves).groupBy("deal").count().collect()}
+    assert deal.pop("curve 200") == 1 and len(deal) <= 4 and sum(deal.values()) == 200
