@@ -88,7 +88,7 @@ def _inner_nodes(edges: DataFrame) -> DataFrame:
     """
     arcs = _arcs(edges)
     inner = cut(arcs.groupBy(F.col("start").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("stop").alias("o1"), F.max("stop").alias("o2"), F.min("edge_id").alias("a"), F.max("edge_id").alias("b")).where("n = 2 and o1 <> o2 and a <> b and o1 <> node_id and o2 <> node_id"))
-    chains = connected(edges.select(F.col("edge_id").alias("node")), inner.select("a", "b"))
+    chains = cut(connected(inner.select(F.explode(F.array("a", "b")).alias("node")).distinct(), inner.select("a", "b")))
     placed = inner.join(chains, inner["a"] == chains["node"]).select("node_id", "label")
     ends = arcs.join(chains, arcs["edge_id"] == chains["node"]).join(inner.select(F.col("node_id").alias("stop")), "stop", "left_anti")
     outer = ends.groupBy("label").agg(F.count_distinct("stop").alias("ends"))
@@ -102,8 +102,15 @@ def contract(edges: DataFrame, edge_points: DataFrame | None = None, epsilon: fl
 
     Nodes whose two edges lead to one neighbour, and loops, are left alone. With `edge_points` (edge_id, i, x, y; i from 0) the
     second result is the curves of the merged edges from n1 to n2, joints twice, with `epsilon` simplified; lengths are then those of the curves.
+    Edges without an end at a removed node are chains of their own; only the others go through rounds.
     """
-    arcs = cut(_arcs(edges).join(cut(_inner_nodes(edges)).select(F.col("node_id").alias("stop"), F.lit(True).alias("goes_on")), "stop", "left"))
+    edges = cut(edges.select("edge_id", "n1", "n2", "length"))
+    gone = cut(_inner_nodes(edges))
+    at = [edges.join(gone.select(F.col("node_id").alias(n)), n, "left_semi").select("edge_id") for n in ("n1", "n2")]
+    touched = cut(at[0].unionByName(at[1]).distinct())
+    alone = edges.join(touched, "edge_id", "left_anti")
+    alone = alone.select(F.col("edge_id").alias("chain"), F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2"), F.lit(0).cast("long").alias("pos"), "edge_id", (F.col("n1") >= F.col("n2")).alias("turned"), "length")
+    arcs = cut(_arcs(edges.join(touched, "edge_id", "left_semi")).join(gone.select(F.col("node_id").alias("stop"), F.lit(True).alias("goes_on")), "stop", "left"))
     arc = F.struct("edge_id", "turned")
     ahead = arcs.select(F.col("start").alias("stop"), F.col("edge_id").alias("e2"), arc.alias("next"))
     on = arcs.where("goes_on").select("stop", "edge_id", arc.alias("node")).join(ahead, "stop").where("edge_id <> e2").select("node", "next")
@@ -116,9 +123,10 @@ def contract(edges: DataFrame, edge_points: DataFrame | None = None, epsilon: fl
     best = ways.groupBy("chain").agg(F.max(F.struct("n2", "head", "n1", "most")).alias("w")).select("chain", "w.*")
     members = cut(ordered.join(best, "head").select("chain", "n1", "n2", (F.col("most") - F.col("rank")).alias("pos"), "node.edge_id", "node.turned"))
     merged = members.join(edges.select("edge_id", "length"), "edge_id").groupBy(F.col("chain").alias("edge_id")).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.sum("length").alias("length"))
+    merged = merged.unionByName(alone.select("edge_id", "n1", "n2", "length"))
     if edge_points is None:
         return merged
-    sizes = members.join(edge_points.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")), "edge_id")
+    sizes = members.unionByName(alone.drop("length")).join(edge_points.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")), "edge_id")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = sizes.withColumn("before", before).select("chain", "edge_id", "turned", "n", "before").join(edge_points, "edge_id")
     index = F.col("before") + F.when(F.col("turned"), F.col("n") - 1 - F.col("i")).otherwise(F.col("i"))

@@ -44,3 +44,13 @@ def test_short_curves_step_in_groups_and_long_ones_alone(spark):
     curves = spark.range(201).withColumnRenamed("id", "curve_id").withColumn("xs", F.when(F.col("curve_id") < 200, line(8)).otherwise(line(500))).withColumn("ys", F.col("xs"))
     deal = {r["deal"]: r["count"] for r in snakes._dealt(curves).groupBy("deal").count().collect()}
     assert deal.pop("curve 200") == 1 and len(deal) <= 4 and sum(deal.values()) == 200
+
+
+def test_contraction_orders_only_edges_at_removed_nodes(spark, monkeypatch):
+    rows = [(k, 0, k, 1.0) for k in range(1, 9)] + [(9, 8, 20, 2.0), (10, 7, 7, 3.0)]
+    edges = spark.createDataFrame(rows, "edge_id long, n1 long, n2 long, length double")
+    counts, plain = [], graphs.order_by_doubling
+    monkeypatch.setattr(graphs, "order_by_doubling", lambda links, keys: counts.append(links.count()) or plain(links, keys))
+    found = sorted(map(tuple, graphs.contract(edges).select("edge_id", "n1", "n2", "length").collect()))
+    assert counts == [4]
+    assert found == sorted([(k, 0, k, 1.0) for k in range(1, 8)] + [(8, 0, 20, 3.0), (10, 7, 7, 3.0)])
