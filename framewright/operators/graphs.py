@@ -17,17 +17,41 @@ def edge_lengths(edge_points: DataFrame) -> DataFrame:
     return curves.lengths(edge_points.withColumnRenamed("edge_id", "curve_id")).withColumnRenamed("curve_id", "edge_id")
 
 
+def _rim(places: DataFrame, sx: int, sy: int) -> DataFrame:
+    """The places of each cell (cx, cy) than which no other one is farther in both directions."""
+    towards = Window.partitionBy("cx", "cy").orderBy((F.col("x") * sx).desc(), (F.col("y") * sy).desc())
+    before = F.max(F.col("y") * sy).over(towards.rowsBetween(Window.unboundedPreceding, -1))
+    return places.withColumn("before", before).where(F.col("before").isNull() | (F.col("y") * sy > F.col("before"))).drop("before")
+
+
 def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
     """node_id and `kept`: the least id of the nodes that are connected by steps of at most `tolerance` on either axis.
 
-    Nodes meet through cells of the tolerance's size.
+    Cells are a little smaller than half the tolerance, so all nodes of a cell and of its eight neighbours are connected, and a cell goes on as one
+    node. Whether cells farther apart are connected is seen from the rims that they turn to each other, of places, not of nodes.
     """
-    size = max(tolerance, 1e-9)
-    wide = nodes.select("node_id", "x", "y", buckets.cell(F.col("x"), size).alias("cx"), buckets.cell(F.col("y"), size).alias("cy"))
-    near = wide.select(F.col("node_id").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), F.explode(F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c")).select("m", "mx", "my", "c.cx", "c.cy")
-    links = cut(wide.join(near, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("mx")) <= tolerance) & (F.abs(F.col("y") - F.col("my")) <= tolerance)).select("node_id", "m"))
-    joined = connected(nodes.select(F.col("node_id").alias("node")), links.select(F.col("node_id").alias("a"), F.col("m").alias("b")))
-    return joined.select(F.col("node").alias("node_id"), F.col("label").alias("kept"))
+    finite = " and ".join(f"abs({c}) < double('inf')" for c in "xy")
+    size = tolerance / 2 * (1 - 1e-9)
+    cell = {f"c{c}": buckets.cell(F.col(c), size) if size > 0 else F.col(c) for c in "xy"}
+    known = cut(nodes.where(finite).select("node_id", "x", "y").withColumns(cell))
+    cells = cut(known.groupBy("cx", "cy").agg(F.min("node_id").alias("node")))
+    places = cut(known.select("cx", "cy", "x", "y").distinct().join(cells, ["cx", "cy"]))
+
+    def moved(rows: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+        steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
+        return rows.withColumn("o", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
+
+    links = cells.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if size > 0:
+        links = moved(cells.withColumnRenamed("node", "a"), [(1, 0), (0, 1), (1, 1), (-1, 1)]).join(cells.withColumnRenamed("node", "b"), ["cx", "cy"]).select("a", "b")
+        for sx in (1, -1):
+            here = moved(_rim(places, sx, 1), [(sx * i, j) for i in range(4) for j in range(4) if max(i, j) > 1])
+            there = _rim(places, -sx, -1).select("cx", "cy", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("node").alias("b"))
+            met = here.join(there, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("mx")) <= tolerance) & (F.abs(F.col("y") - F.col("my")) <= tolerance))
+            links = links.unionByName(met.select(F.col("node").alias("a"), "b").distinct())
+    kept = cells.join(connected(cells.select("node"), links), "node").select("cx", "cy", F.col("label").alias("kept"))
+    joined = known.join(kept, ["cx", "cy"]).select("node_id", "kept")
+    return joined.unionByName(nodes.where(f"not coalesce({finite}, false)").select("node_id", F.col("node_id").alias("kept")))
 
 
 def add_edges(nodes: DataFrame, edges: DataFrame, edge_points: DataFrame, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,14 @@
 """Steps whose memory, rounds or time once grew faster than their input."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from framewright.functions.iterate import cut
 from framewright.operators import fields, graphs, regions, snakes
-from framewright.plans import registry
+from framewright.plans import registry, stream_queries
+from framewright.plans.base import Views
 
 
 def plan(capsys, frame):
@@ -54,3 +57,26 @@ def test_contraction_orders_only_edges_at_removed_nodes(spark, monkeypatch):
     found = sorted(map(tuple, graphs.contract(edges).select("edge_id", "n1", "n2", "length").collect()))
     assert counts == [4]
     assert found == sorted([(k, 0, k, 1.0) for k in range(1, 8)] + [(8, 0, 20, 3.0), (10, 7, 7, 3.0)])
+
+
+def test_nodes_merge_by_cells(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([rng.uniform(0, 9), float(rng.randrange(9))]), rng.choice([rng.uniform(0, 9), float(rng.randrange(9))])) for k in range(120)] + [(500, None, 1.0)]
+    rows += [(200 + k, 50.0 + k % 3 * 0.1, 50.0) for k in range(300)]
+    links, plain = [], graphs.connected
+    monkeypatch.setattr(graphs, "connected", lambda nodes, found: links.append(found.count()) or plain(nodes, found))
+    got = dict(map(tuple, graphs.merge_nodes(spark.createDataFrame(rows, "node_id long, x double, y double"), 0.7).collect()))
+    low = {k: k for k, _, _ in rows}
+    placed = rows[:120] + rows[121:]
+    for _ in range(40):
+        for a, x, y in placed:
+            low[a] = min(low[b] for b, u, v in placed if abs(x - u) <= 0.7 and abs(y - v) <= 0.7)
+    assert got == low and max(links) < 2000
+
+
+def test_a_trigger_takes_more_files_as_there_are_more(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(stream_queries, "landed", lambda s: ("file:///tmp", 120))
+    monkeypatch.setattr(stream_queries.streams, "read_stream", lambda *a: asked.append(a[2]))
+    stream_queries.arriving(Views(spark, sf))
+    assert asked == [8]
