@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm import chunks as C
-from framewright.llm.common import materialise
+from framewright.llm.common import drop_path, materialise, stored
 from framewright.llm.components import components
 from framewright.llm.near_dups import BROADCAST_IDS, LAST_ID, _parted, _similar, _texts, crossing_links, shingles
 from framewright.llm.substrings import WordHashes
@@ -160,16 +160,26 @@ class Confirmer:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
         self.docs, self.reps, self.percent = docs.withColumn("owner", F.coalesce("owner", F.lit(LAST_ID))), reps, percent
+        self.held: str | None = None
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """owner and text of the documents with the given ids (`owner`)."""
         return of_ids(self.docs, ids)
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        return materialise(self.texts(materialise(ids.distinct(), "ids")).mapInArrow(_sets, "owner long, shingles array<long>"), "sets")
+        """owner and shingles of the documents with the given ids; this table takes the place of the one before, which is deleted."""
+        texts = self.texts(materialise(ids.distinct(), "ids"))
+        self.release()
+        found, self.held = stored(texts.mapInArrow(_sets, "owner long, shingles array<long>"), "sets")
+        return found
+
+    def release(self) -> None:
+        if self.held:
+            drop_path(self.docs.sparkSession, self.held)
+        self.held = None
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The edges (u, v) among the pairs."""
+        """The edges (u, v) among the pairs, to be written before the next call."""
         a, b = (self.reps.select(F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}")) for side in "ab")
         checked = pairs.join(a, pairs["a"] == F.col("rep_a")).join(b, pairs["b"] == F.col("rep_b"))
         checked = materialise(checked.where(_similar(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b").distinct(), "pairs")
@@ -180,13 +190,13 @@ class Confirmer:
 
 
 def swaps(shared: DataFrame, reps: DataFrame, bands: Bands) -> list[tuple[int, int, int]]:
-    """(band, dear segment, cheap segment) of the exchanges that save pairs, from the keys (key, slot, documents) that documents share.
+    """(band, dear segment, cheap segment) of the exchanges that save pairs, from the rows (slot, documents) of documents with keys that `documents` of them share.
 
     The dearest segment of a band is set against the cheapest, the second against the second cheapest, and so on. One-deletion keys are
     taken to double a segment's pairs, and cost `KEY_COST` for each shingle. A band's exchanges must also pay for reading its documents again.
     """
     spark, low = shared.sparkSession, F.lit((1 << 32) - 1)
-    pairs = F.col("documents").cast("double") * (F.col("documents") - 1) / 2
+    pairs = (F.col("documents").cast("double") - 1) / 2  # each of a key's documents has its share
     paid = shared.groupBy("slot").agg(F.sum(pairs).alias("pairs"))
     spans = [(k, a, b - 1, bands.segments(k)) for k, (a, b) in enumerate(zip(bands.starts, bands.starts[1:], strict=False))]
     spans = F.broadcast(spark.createDataFrame(spans, "band int, least long, most long, segments long"))  # a row for each band: some dozens
@@ -204,6 +214,12 @@ def swaps(shared: DataFrame, reps: DataFrame, bands: Bands) -> list[tuple[int, i
     return [(r["band"], r["dear"], r["cheap"]) for r in best.collect()]
 
 
+def met(rows: DataFrame, *keys: str) -> DataFrame:
+    """key, rep and slot with `documents`, `low` and `high`: how many rows have these keys, their least and largest rep. All rows are shuffled once."""
+    group = Window.partitionBy(*keys)
+    return rows.select("key", "rep", "slot", F.count(F.lit(1)).over(group).alias("documents"), F.min("rep").over(group).alias("low"), F.max("rep").over(group).alias("high"))
+
+
 def candidates(described: DataFrame, confirmer: Confirmer, bands: Bands) -> DataFrame:
     """key, rep, least: the documents that share a key with others, and the least of those."""
     reps = confirmer.reps
@@ -212,25 +228,23 @@ def candidates(described: DataFrame, confirmer: Confirmer, bands: Bands) -> Data
     below = F.col("place") >= F.col("own")
     slot = F.shiftleft((F.col("band") - below.cast("int")).cast("long"), 32) + F.col("place") - F.when(below, F.col("own")).otherwise(0)
     rows = rows.select("key", "rep", slot.alias("slot"))
-    shared = materialise(rows.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1"), "shared")
+    shared, held = stored(met(rows, "key", "slot").where("documents > 1"), "shared")
     exchanged = swaps(shared, confirmer.reps, bands)
-    found = rows.join(shared.select("key"), "key", "left_semi").select("key", "rep")
+    found = shared.select("key", "rep")
     if exchanged:
         spark = rows.sparkSession
-        gone = spark.createDataFrame([(int(slot_of(band, dear)),) for band, dear, _ in exchanged], "slot long")
-        kept = rows.join(F.broadcast(gone), "slot", "left_anti")  # `SWAPS` rows at most
+        gone = spark.createDataFrame([(int(slot_of(band, place)),) for band, *both in exchanged for place in both], "slot long")
         doubled = {band: np.array(sorted(cheap for b, _, cheap in exchanged if b == band)) for band in {e[0] for e in exchanged}}
         sizes = F.lit(False)
         for band in doubled:  # its own documents, and those of the next band
             sizes = sizes | F.col("n").between(bands.starts[band], (bands.starts + [1 << 62])[min(band + 2, len(bands.starts))] - 1)
         texts = confirmer.texts(materialise(reps.where(sizes).select(F.col("rep").alias("owner")).distinct(), "ids")).select("owner", "text")
-        less = materialise(texts.mapInArrow(_less(bands, doubled), KEYS), "less")
+        less = texts.mapInArrow(_less(bands, doubled), KEYS)
         spots = spark.createDataFrame([(int(slot_of(band, cheap)),) for band, _, cheap in exchanged], "slot long")
-        here = rows.join(F.broadcast(spots), "slot", "left_semi").unionByName(less)
-        twice = here.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-        found = kept.join(F.broadcast(spots), "slot", "left_anti").join(shared.select("key"), "key", "left_semi").select("key", "rep")
-        found = found.unionByName(here.join(twice, "key", "left_semi").select("key", "rep"))
+        here = rows.join(F.broadcast(spots), "slot", "left_semi").unionByName(less)  # `SWAPS` slots at most
+        found = shared.join(F.broadcast(gone), "slot", "left_anti").select("key", "rep").unionByName(met(here, "key").where("low < high").select("key", "rep"))
     found = materialise(found.distinct(), "found")
+    drop_path(found.sparkSession, held)
     heads = found.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least")
     return materialise(found.join(heads, "key"), "members")
 
@@ -246,8 +260,10 @@ def link(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
     members = candidates(described, confirmer, Bands(percent, largest))
     stars = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(confirmer.confirm(stars), "links")
+    confirmer.release()
     labels = components(links)
     more = crossing_links(_parted(members, labels, "rep").withColumnRenamed("part_rep", "part"), confirmer, percent)
+    confirmer.release()
     if more.take(1):
         labels = components(links.unionByName(more))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("c1", "c2", F.coalesce("label", "rep").alias("part"))
