@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions.iterate import cut
 from framewright.operators.frames import every_nth, resize
 
 PIXEL = ["video_id", "frame_idx", "y", "x"]
+#: Candidate pixels of lines that a task looks at, and rows of pixels of a line that go together.
+CELLS, BLOCK = 1 << 18, 256
 #: Colour names as red, green, blue.
 PALETTE = {"b": (0, 0, 255), "g": (0, 128, 0), "r": (255, 0, 0), "c": (0, 191, 191), "m": (191, 0, 191), "y": (191, 191, 0), "k": (0, 0, 0), "w": (255, 255, 255), "black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "lime": (0, 255, 0), "blue": (0, 0, 255)}
 
@@ -85,14 +88,29 @@ def discs(points: DataFrame, radius: float, ring: float | None = None) -> DataFr
 
 def polylines(segments: DataFrame, width: float = 1.0) -> DataFrame:
     """Pixels within width / 2 of segments (line_id, x, y, x2, y2)."""
-    s = segments.select("line_id", *[F.col(a).alias(b) for a, b in (("x", "ax"), ("y", "ay"), ("x2", "bx"), ("y2", "by"))])
-    half = width / 2
-    cells = _cells(s, F.least("ax", "bx") - half, F.least("ay", "by") - half, F.greatest("ax", "bx") + half, F.greatest("ay", "by") + half)
+    return _drawn(segments.select("line_id", "x", "y", "x2", "y2", F.lit(width / 2).alias("half")))
+
+
+def _drawn(segments: DataFrame) -> DataFrame:
+    """Pixels within `half` of segments (line_id, x, y, x2, y2, half).
+
+    Segments are dealt to tasks by line and block of `BLOCK` rows of pixels, about `CELLS` candidate pixels each, before pixels are made and
+    repeated ones dropped: so what a task holds follows neither the size of the files nor, beyond a block, that of a line.
+    """
+    s = cut(segments.select("line_id", "half", *[F.col(a).alias(b) for a, b in (("x", "ax"), ("y", "ay"), ("x2", "bx"), ("y2", "by"))]))
+    half = F.col("half")
+    x0, x1, y0, y1 = (e.cast("int") for n in "xy" for e in (F.ceil(F.least(f"a{n}", f"b{n}") - half), F.floor(F.greatest(f"a{n}", f"b{n}") + half)))
+    s = s.where((x0 <= x1) & (y0 <= y1))
+    cells = s.agg(F.sum((x1 - x0 + 1.0) * (y1 - y0 + 1.0))).first()[0] or 0
+    first, last = (F.floor(e / BLOCK).cast("int") for e in (y0, y1))
+    dealt = s.withColumn("block", F.explode(F.sequence(first, last))).repartition(int(cells // CELLS) + 1, "line_id", "block")
+    rows = dealt.withColumn("y", F.explode(F.sequence(F.greatest(y0, F.col("block") * BLOCK), F.least(y1, F.col("block") * BLOCK + (BLOCK - 1)))))
+    pixels = rows.withColumn("x", F.explode(F.sequence(x0, x1)))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / square))).otherwise(0.0)
     near = F.pow(F.col("ax") + t * dx - F.col("x"), F.lit(2)) + F.pow(F.col("ay") + t * dy - F.col("y"), F.lit(2))
-    return cells.where(near <= half * half).select("line_id", "y", "x").distinct()
+    return pixels.where(near <= half * half).select("line_id", "block", "y", "x").distinct().drop("block")
 
 
 def track_lines(points: DataFrame, width: float = 1.0, closed: bool = True, marks: bool = False) -> DataFrame:
@@ -107,11 +125,11 @@ def track_lines(points: DataFrame, width: float = 1.0, closed: bool = True, mark
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = {n: F.coalesce(F.lead(n).over(order), F.first(n).over(whole) if closed else F.lit(None).cast("double")) for n in "xy"}
     segments = parts.select("line_id", "x", "y", after["x"].alias("x2"), after["y"].alias("y2")).where("x2 is not null")
-    drawn = polylines(segments, width)
-    if not marks:
-        return drawn
-    discs_at = discs(valid.select(F.struct("line_id", "i").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py")), 2 * width)
-    return drawn.unionByName(discs_at.select(F.col("point_id.line_id").alias("line_id"), "y", "x")).distinct()
+    segments = segments.withColumn("half", F.lit(width / 2))
+    if marks:  # a disc is what lies within its radius of a segment without length
+        finite = valid.where("y is not null and not isnan(x) and not isnan(y) and abs(x) < 1e9 and abs(y) < 1e9")
+        segments = segments.unionByName(finite.select("line_id", "x", "y", F.col("x").alias("x2"), F.col("y").alias("y2"), F.lit(2.0 * width).alias("half")))
+    return _drawn(segments)
 
 
 def contour_lines(contours: DataFrame, width: float = 1.0) -> DataFrame:
