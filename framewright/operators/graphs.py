@@ -165,11 +165,13 @@ def split_edges(edge_points: DataFrame, splits: DataFrame) -> DataFrame:
     """Splits curves at given inner vertices (edge_id, i): edge_id, part, i, x, y; the joint belongs to both parts."""
     marked = edge_points.join(splits.distinct().withColumn("cut", F.lit(1)), ["edge_id", "i"], "left")
     by_edge = Window.partitionBy("edge_id").orderBy("i")
-    before = F.coalesce(F.sum("cut").over(by_edge.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    marked = marked.withColumn("before", before)
-    parts = marked.withColumn("part", F.explode(F.when(F.col("cut") == 1, F.array(F.col("before"), F.col("before") + 1)).otherwise(F.array("before"))))
-    inside = Window.partitionBy("edge_id", "part").orderBy("i")
-    return parts.select("edge_id", F.col("part").cast("int").alias("part"), (F.row_number().over(inside) - 1).alias("i"), "x", "y")
+    earlier, at_cut = by_edge.rowsBetween(Window.unboundedPreceding, -1), F.col("cut") == 1
+    marked = marked.withColumns({"before": F.coalesce(F.sum("cut").over(earlier), F.lit(0).cast("long")), "place": F.row_number().over(by_edge)})
+    since = F.col("place") - F.coalesce(F.max(F.when(at_cut, F.col("place"))).over(earlier), F.lit(1))  # steps from the last joint
+    marked = marked.withColumn("since", since)
+    own, next_ = F.struct(F.col("before").alias("part"), F.col("since").alias("i")), F.struct((F.col("before") + 1).alias("part"), F.lit(0).alias("i"))
+    parts = marked.withColumn("p", F.explode(F.when(at_cut, F.array(own, next_)).otherwise(F.array(own))))
+    return parts.select("edge_id", F.col("p.part").cast("int").alias("part"), F.col("p.i").alias("i"), "x", "y")
 
 
 def nearest_nodes(nodes: DataFrame, queries: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framewright.operators import compose
+from framewright.operators import compose, graphs
 
 
 def test_pixels_of_lines_are_dealt_by_their_number(spark, monkeypatch):
@@ -36,3 +36,16 @@ def test_lines_across_blocks_with_marks(spark, monkeypatch):
                 if near:
                     want.add((k, py, px))
     assert got == sorted(want)
+
+
+def test_split_edges_are_sorted_once_for_parts_and_places(spark, capsys):
+    rows = [(e, i, float(e), float(i)) for e in (1, 2, 3) for i in (0, 2, 3, 5, 8)]
+    points = spark.createDataFrame(rows, "edge_id long, i int, x double, y double")
+    splits = spark.createDataFrame([(1, 2), (1, 5), (2, 3), (2, 3), (3, 4)], "edge_id long, i int")
+    found = graphs.split_edges(points, splits)
+    got = sorted((r["edge_id"], r["part"], r["i"], r["y"]) for r in found.collect())
+    want = [(e, p, k, float(i)) for e, parts in ((1, ((0, 2), (2, 3, 5), (5, 8))), (2, ((0, 2, 3), (3, 5, 8))), (3, ((0, 2, 3, 5, 8),))) for p, part in enumerate(parts) for k, i in enumerate(part)]
+    assert got == want
+    capsys.readouterr()
+    found.explain()
+    assert "part#" not in "".join(line for line in capsys.readouterr().out.splitlines() if " Sort [" in line)
