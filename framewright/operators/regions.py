@@ -281,13 +281,13 @@ def farthest_pixel(dist: DataFrame) -> DataFrame:
 
 
 def farthest_pair(mask: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Ends of a longest way: sweeps from the farthest pixel until the distance stops growing; y1, x1, y2, x2, d."""
-    far = farthest_pixel(distance_map(mask, seeds))
-    best = cut(seeds.select(*FRAME, F.col("y").alias("y1"), F.col("x").alias("x1")).join(far, FRAME).select(*FRAME, "y1", "x1", F.col("y").alias("y2"), F.col("x").alias("x2"), "d"))
+    """Ends of a longest way: sweeps from the farthest pixel until the distance stops growing; y1, x1, y2, x2, d. Pixels are packed into tiles once, for all sweeps."""
+    boxes = cut(fields.tiles(mask, seeds))
+    sweep = lambda starts: farthest_pixel(fields.farthest(boxes, starts, KINGS, 2.0))
+    best = cut(seeds.select(*FRAME, F.col("y").alias("y1"), F.col("x").alias("x1")).join(sweep(seeds), FRAME).select(*FRAME, "y1", "x1", F.col("y").alias("y2"), F.col("x").alias("x2"), "d"))
     done = best.where("false")
     while best.take(1):
-        seeds = best.select(*FRAME, F.col("y2").alias("y"), F.col("x2").alias("x"))
-        again = farthest_pixel(distance_map(mask.join(seeds.select(*FRAME), FRAME, "left_semi"), seeds)).select(*FRAME, F.col("y").alias("y3"), F.col("x").alias("x3"), F.col("d").alias("d3"))
+        again = sweep(best.select(*FRAME, F.col("y2").alias("y"), F.col("x2").alias("x"))).select(*FRAME, F.col("y").alias("y3"), F.col("x").alias("x3"), F.col("d").alias("d3"))
         both = cut(best.join(again, FRAME))
         done = done.unionByName(both.where("d3 <= d").select(*best.columns))
         best = both.where("d3 > d").select(*FRAME, F.col("y2").alias("y1"), F.col("x2").alias("x1"), F.col("y3").alias("y2"), F.col("x3").alias("x2"), F.col("d3").alias("d"))

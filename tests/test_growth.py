@@ -36,6 +36,44 @@ def test_tiles_hold_the_box_of_their_cells_and_leave_a_task_in_pieces():
     assert sum(map(len, ended)) == 80_000 and max(map(len, ended)) < 2 * fields.PIXELS and len(ended) > 1
 
 
+def test_tiles_are_gathered_from_pixels_in_order_not_from_lists(spark, monkeypatch, capsys):
+    plans, keep = [], fields._cut
+    monkeypatch.setattr(fields, "_cut", lambda df: plans.append(plan(capsys, df)) or keep(df))
+    cells = spark.range(300).select(F.lit(1).alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), F.lit(2).alias("y"), F.col("id").cast("int").alias("x"))
+    found = fields.ways(cells, cells.where("x = 0"), regions.KINGS)
+    assert "collect_list" not in plans[0] and found.agg(F.max("d")).first()[0] == 299
+
+
+def test_gathered_tiles_are_whole_and_leave_in_pieces():
+    cells = pd.DataFrame([(1.0 if k % 2 else None, k, y, x, False, 0, 0) for k in range(600) for y in (0, 1) for x in range(9)], columns=[*fields.PIXEL, "seed", "ty", "tx"])
+    found = list(fields._gathered(cells.iloc[i : i + 700] for i in range(0, len(cells), 700)))
+    assert max(map(len, found)) <= fields.ROWS and pd.concat(found)["frame_idx"].tolist() == list(range(600))
+    assert all(len(ys) == 18 and sorted(set(zip(ys, xs, strict=True))) == [(y, x) for y in (0, 1) for x in range(9)] for piece in found for ys, xs in zip(piece["ys"], piece["xs"], strict=True))
+
+
+def test_farthest_pairs_sweep_over_packed_tiles(spark, monkeypatch):
+    """A way over two tiles, a frame whose seed is no cell, frames of scattered cells: as sweeps over pixels."""
+    rng = random.Random(2)
+    rows = {(0, 0, 5, x) for x in range(100, 300)} | {(0, 1, 3, x) for x in range(4)}
+    rows |= {(1, k, rng.randrange(120, 136), rng.randrange(120, 136)) for k in range(12) for _ in range(150)}
+    starts = [(0, 0, 5, 200), (0, 1, 3, 4)] + [(1, k, *min((y, x) for v, n, y, x in rows if (v, n) == (1, k))) for k in range(12)]
+    schema = "video_id int, frame_idx long, y int, x int"
+    mask, seeds = spark.createDataFrame(sorted(rows), schema), spark.createDataFrame(starts, schema)
+    sweep = lambda ends: {(r["video_id"], r["frame_idx"]): (r["y"], r["x"], r["d"]) for r in regions.farthest_pixel(regions.distance_map(mask, spark.createDataFrame([(*f, *e[:2]) for f, e in ends.items()], schema))).collect()}
+    want, ends = {}, {(v, n): (y, x, 0.0) for v, n, y, x in starts}
+    while ends:
+        again = sweep(ends)
+        for frame, end in list(ends.items()):
+            before = want.get(frame)
+            if before is None or again[frame][2] > before[4]:
+                want[frame], ends[frame] = (*end[:2], *again[frame]), again[frame]
+            else:
+                del ends[frame]
+    monkeypatch.setattr(fields, "ways", None)
+    got = {(r["video_id"], r["frame_idx"]): (r["y1"], r["x1"], r["y2"], r["x2"], r["d"]) for r in regions.farthest_pair(mask, seeds).collect()}
+    assert got == want and got[0, 0][4] == 201 and len(got) == 14
+
+
 def test_thinning_takes_one_shuffle_a_round(spark, capsys):
     mask = cut(spark.createDataFrame([(0, 0, y, x) for y in range(3) for x in range(4)], "video_id int, frame_idx long, y int, x int"))
     text = plan(capsys, regions._thinned(mask, 5, 6))
