@@ -5,8 +5,9 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from framewright.functions import buckets
 from framewright.functions.iterate import cut
-from framewright.operators import fields, graphs, regions, snakes
+from framewright.operators import fields, graphs, regions, shapes, snakes
 from framewright.plans import registry, stream_queries
 from framewright.plans.base import Views
 
@@ -118,3 +119,20 @@ def test_a_trigger_takes_more_files_as_there_are_more(spark, sf, monkeypatch):
     monkeypatch.setattr(stream_queries.streams, "read_stream", lambda *a: asked.append(a[2]))
     stream_queries.arriving(Views(spark, sf))
     assert asked == [8]
+
+
+def test_overlaps_are_dealt_and_equal_rectangles_are_compared_once(spark, sf, capsys, monkeypatch):
+    """One file of a few MB holds billions of pairs: it must not be broadcast to the one task that reads it."""
+    text = plan(capsys, registry.queries()["e16_overlaps"](spark, sf))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    rng, rows, keep = random.Random(3), [], buckets.dealt
+    places = [(float(rng.randrange(8)), float(rng.randrange(8)), float(rng.randrange(4)), float(rng.randrange(1, 5))) for _ in range(12)]
+    boxes = [(k // 2 if k % 50 == 1 else k, *places[k % 12 if k % 3 else 0]) for k in range(240)] + [(None, 0.0, 0.0, 9.0, 9.0), (900, None, 0.0, 9.0, 9.0)]
+    rects = spark.createDataFrame(boxes, "rect_id long, x double, y double, w double, h double")
+    ids = [b for b in boxes if None not in b]
+    want = sorted((a[0], b[0], max(a[1], b[1]), max(a[2], b[2]), w, h) for a in ids for b in ids if a[0] < b[0] and (w := min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])) > 0 and (h := min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])) > 0)
+    monkeypatch.setattr(buckets, "dealt", lambda listed, keys: rows.append(listed.count()) or keep(listed, keys))
+    for members, size in ((16, 3.0), (256, 100.0), (1, None)):
+        monkeypatch.setattr(buckets, "MEMBERS", members)
+        assert sorted(map(tuple, shapes.overlaps(rects, size).collect())) == want
+    assert sum(rows[2:4]) <= (buckets.DEALS + 1) * 13 < 240
