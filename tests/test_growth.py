@@ -136,3 +136,22 @@ def test_overlaps_are_dealt_and_equal_rectangles_are_compared_once(spark, sf, ca
         monkeypatch.setattr(buckets, "MEMBERS", members)
         assert sorted(map(tuple, shapes.overlaps(rects, size).collect())) == want
     assert sum(rows[2:4]) <= (buckets.DEALS + 1) * 13 < 240
+
+
+def test_points_in_rects_are_dealt_and_copies_are_compared_once(spark, sf, capsys, monkeypatch):
+    text = plan(capsys, registry.queries()["e15_points_in_rects"](spark, sf))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    rng, rows, keep = random.Random(4), [], buckets.dealt
+    places = [(float(rng.randrange(9)), float(rng.randrange(9)), float(rng.randrange(4)), float(rng.randrange(5))) for _ in range(12)]
+    boxes = [(None if k == 7 else k // 2, *places[k % 12 if k % 3 else 0]) for k in range(120)] + [(900, None, 0.0, 9.0, 9.0)]
+    dots = [(k // 2, f"p{k % 5}", *places[k % 5][:2]) for k in range(200)] + [(901, None, 1.0, None), (902, None, 2.0, 2.5)]
+    rects = spark.createDataFrame(boxes, "rect_id long, x double, y double, w double, h double")
+    points = spark.createDataFrame(dots, "point_id long, name string, x double, y double")
+    inside = [(*p, b[0]) for p in dots for b in boxes if p[3] is not None and b[1] is not None and b[1] <= p[2] <= b[1] + b[3] and b[2] <= p[3] <= b[2] + b[4]]
+    monkeypatch.setattr(buckets, "dealt", lambda listed, keys: rows.append(listed.count()) or keep(listed, keys))
+    for members, size in ((16, 3.0), (256, 100.0), (1, None)):
+        monkeypatch.setattr(buckets, "MEMBERS", members)
+        found = shapes.points_in_rects(points, rects, size)
+        assert found.columns == ["point_id", "name", "x", "y", "rect_id"] and sorted(map(tuple, found.collect()), key=repr) == sorted(inside, key=repr)
+    assert rows[3] <= 6 and rows[2] <= buckets.DEALS * 12 < 120
+    assert shapes.points_in_rects(points.select("x", "y"), rects, 3.0).count() == len(inside)
