@@ -17,7 +17,7 @@ def polygon_mask(contours: DataFrame) -> DataFrame:
 def outlines(contours: DataFrame, resolution: float) -> DataFrame:
     """Outer outline of closed curves that may cross themselves: raster at the resolution, largest region, its boundary, scaled back."""
     fine = contours.select("poly_id", "i", F.round(F.col("x") / resolution).cast("int").alias("x"), F.round(F.col("y") / resolution).cast("int").alias("y"))
-    ring = shapes.region_outlines(polygon_mask(fine))
+    ring = shapes.span_outlines(shapes.raster_spans(fine).select(F.col("poly_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), "y", "x0", "x1"))
     return ring.select(F.col("video_id").alias("poly_id"), "i", ((F.col("x") - 0.5) * resolution).alias("x"), ((F.col("y") - 0.5) * resolution).alias("y"))
 
 

@@ -143,19 +143,25 @@ def points_in_polygons(points: DataFrame, contours: DataFrame, size: float | Non
     return hits.where("n % 2 = 1").select("poly_id", "point_id")
 
 
-def rasterize(contours: DataFrame) -> DataFrame:
-    """Mask pixels of polygons: whole scan lines between paired crossings, and the pixels that edges pass through at whole rows."""
-    e = ring_edges(contours).where("y <> y2")
+def raster_spans(contours: DataFrame) -> DataFrame:
+    """Mask pixels of polygons as spans poly_id, y, x0, x1, which may overlap: whole scan lines between paired crossings, and the pixels that edges pass through at whole rows."""
+    every = ring_edges(contours)
+    e = every.where("y <> y2")
     low, high = F.least("y", "y2"), F.greatest("y", "y2")
     rows = e.withColumn("row", F.explode(F.sequence(F.ceil(low).cast("int"), F.floor(high).cast("int"))))
     at = F.col("x") + (F.col("row") - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y"))
     rows = rows.select("poly_id", "row", at.alias("at"), (F.col("row") < high).alias("counts"))
     order = Window.partitionBy("poly_id", "row").orderBy("at")
-    spans = rows.where("counts").select("poly_id", "row", "at", F.row_number().over(order).alias("k"), F.lead("at").over(order).alias("stop")).where("k % 2 = 1 and stop is not null")
-    filled = spans.select("poly_id", F.col("row").alias("y"), F.explode(F.when(F.floor("stop") >= F.ceil("at"), F.sequence(F.ceil("at").cast("int"), F.floor("stop").cast("int"))).otherwise(F.array().cast("array<int>"))).alias("x"))
-    rim = rows.select("poly_id", F.col("row").alias("y"), F.round("at").cast("int").alias("x"))
-    flat = ring_edges(contours).where("y = y2").select("poly_id", F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.least("x", "x2").cast("int"), F.greatest("x", "x2").cast("int"))).alias("x"))
-    return filled.unionByName(rim).unionByName(flat).distinct()
+    pairs = rows.where("counts").select("poly_id", "row", "at", F.row_number().over(order).alias("k"), F.lead("at").over(order).alias("stop")).where("k % 2 = 1 and stop is not null")
+    filled = pairs.select("poly_id", F.col("row").alias("y"), F.ceil("at").cast("int").alias("x0"), F.floor("stop").cast("int").alias("x1")).where("x0 <= x1")
+    rim = rows.select("poly_id", F.col("row").alias("y"), F.round("at").cast("int").alias("x0"), F.round("at").cast("int").alias("x1"))
+    flat = every.where("y = y2").select("poly_id", F.col("y").cast("int").alias("y"), F.least("x", "x2").cast("int").alias("x0"), F.greatest("x", "x2").cast("int").alias("x1")).where("x0 is not null")
+    return filled.unionByName(rim).unionByName(flat)
+
+
+def rasterize(contours: DataFrame) -> DataFrame:
+    """Mask pixels of polygons, those of `raster_spans`."""
+    return raster_spans(contours).select("poly_id", "y", F.explode_outer(F.sequence("x0", "x1")).alias("x")).distinct()
 
 
 def simplify_contours(contours: DataFrame, threshold: float) -> DataFrame:
@@ -326,11 +332,32 @@ def arc_figures(arcs: DataFrame) -> DataFrame:
 
 
 def region_outlines(mask: DataFrame) -> DataFrame:
-    """Boundary of each frame's largest region as ordered corner points, outer rings only: video_id, frame_idx, i, x, y.
+    """Boundary of each frame's largest region as ordered corner points, outer rings only: video_id, frame_idx, i, x, y. As `span_outlines` of the pixels."""
+    return span_outlines(mask.select("video_id", "frame_idx", "y", F.col("x").alias("x0"), F.col("x").alias("x1")))
+
 
-    Pixel sides without an inside neighbour are directed edges between grid corners; they are chained end to start, and ordered by pointer
-    doubling. At a corner where two chains meet the turn that keeps the region four-connected is taken. The ring with the largest area stays.
+def span_outlines(spans: DataFrame) -> DataFrame:
+    """Boundary of each frame's largest region of the pixels in spans (video_id, frame_idx, y, x0, x1), which may overlap: video_id, frame_idx, i, x, y.
+
+    Pixel sides without an inside neighbour are directed edges between grid corners, chained end to start. At a corner where two chains meet the turn
+    that keeps the region four-connected is taken. The ring with the largest area stays. Frames of `regions.WHOLE` pixels at most are dealt to a task
+    each, from spans to rings; pixels and rings of larger ones are dealt over tasks.
     """
+    from framewright.functions.iterate import cut
+    from framewright.operators import outlines, regions
+
+    found = cut(spans.select(*regions.FRAME, "y", "x0", "x1").where("video_id is not null and frame_idx is not null and y is not null and x0 <= x1"))
+    sizes = found.groupBy(*regions.FRAME).agg(F.sum(F.col("x1").cast("long") - F.col("x0") + 1).alias("n"))
+    pixels, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= regions.WHOLE:
+        return outlines.whole_frames(found, pixels or 0)
+    large = cut(sizes.where(F.col("n") > regions.WHOLE).select(*regions.FRAME))
+    mask = found.join(large, regions.FRAME, "left_semi").select(*regions.FRAME, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+    return outlines.whole_frames(found.join(large, regions.FRAME, "left_anti"), pixels).unionByName(_dealt_outlines(mask))
+
+
+def _dealt_outlines(mask: DataFrame) -> DataFrame:
+    """The outlines of frames of any size: edges and rings are dealt by node, rings are closed and ordered by pointer doubling."""
     from framewright.functions.iterate import cut, until_stable
     from framewright.operators import regions
 

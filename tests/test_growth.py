@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import buckets
 from framewright.functions.iterate import cut
-from framewright.operators import fields, graphs, regions, shapes, snakes
+from framewright.operators import fields, graphs, outlines, regions, shapes, snakes
 from framewright.plans import registry, stream_queries
 from framewright.plans.base import Views
 
@@ -155,3 +155,34 @@ def test_points_in_rects_are_dealt_and_copies_are_compared_once(spark, sf, capsy
         assert found.columns == ["point_id", "name", "x", "y", "rect_id"] and sorted(map(tuple, found.collect()), key=repr) == sorted(inside, key=repr)
     assert rows[3] <= 6 and rows[2] <= buckets.DEALS * 12 < 120
     assert shapes.points_in_rects(points.select("x", "y"), rects, 3.0).count() == len(inside)
+
+
+def test_outlines_of_small_frames_are_made_in_tasks_and_as_the_dealt_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = {(v, k, rng.randrange(-3, 6), rng.randrange(-4, 7)) for v in range(2) for k in range(40) for _ in range(rng.randrange(1, 70))}
+    rows |= {(2, 0, 0, 0), (2, 0, 1, 1), (2, 1, 0, 0), (2, 1, 5, 900_000), (2, 1, 800_000, 3), (2, 2, 4, 4)} | {(2, 3, y, x) for y in range(9) for x in range(9) if (y, x) != (4, 4)}
+    mask = spark.createDataFrame([*rows, *list(rows)[:50]], "video_id long, frame_idx long, y int, x int")
+    want = shapes._dealt_outlines(mask.distinct())
+    assert shapes.region_outlines(mask).dtypes == want.dtypes
+    want = sorted(map(tuple, want.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(regions, "WHOLE", 20)
+        assert sorted(map(tuple, shapes.region_outlines(mask).collect())) == want
+    monkeypatch.setattr(shapes, "_dealt_outlines", None)
+    assert sorted(map(tuple, shapes.region_outlines(mask).collect())) == want and len({w[:2] for w in want}) == 84
+
+
+def test_outlines_of_overlapping_spans_over_pieces(monkeypatch):
+    boxes = pd.DataFrame([(1, k, y, x0, 5) for k in range(50) for y in range(3) for x0 in (2, 4)], columns=["video_id", "frame_idx", "y", "x0", "x1"])
+    monkeypatch.setattr(outlines, "PIXELS", 60)
+    found = list(outlines._pieces(boxes.iloc[i : i + 7] for i in range(0, len(boxes), 7)))
+    assert len(found) > 10 and max(map(len, found)) < 60
+    for _, ring in pd.concat(found).groupby("frame_idx"):
+        assert ring["i"].tolist() == list(range(14)) and ring[["x", "y"]].values.tolist()[:6] == [[2, 0], [3, 0], [4, 0], [5, 0], [6, 0], [6, 1]]
+
+
+def test_pixels_of_a_polygon_with_corners_that_lack(spark):
+    """A corner without x gives pixels without x, as in SQL."""
+    corners = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 4, 0), (1, 2, None, 2), (1, 3, 0, 3)], "poly_id long, i int, x int, y int")
+    found = {(r["y"], r["x"]) for r in shapes.rasterize(corners).collect()}
+    assert found == {(0, x) for x in range(5)} | {(1, 0), (1, 1), (1, 2), (2, 0), (2, None), (3, 0), (3, None)}
