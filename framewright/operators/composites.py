@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.functions import pieces
 from framewright.functions.iterate import cut
-from framewright.operators import curves, regions, shapes, snakes
+from framewright.operators import boxes, curves, regions, shapes, snakes
 
 
 def polygon_mask(contours: DataFrame) -> DataFrame:
@@ -17,18 +18,41 @@ def polygon_mask(contours: DataFrame) -> DataFrame:
 def outlines(contours: DataFrame, resolution: float) -> DataFrame:
     """Outer outline of closed curves that may cross themselves: raster at the resolution, largest region, its boundary, scaled back."""
     fine = contours.select("poly_id", "i", F.round(F.col("x") / resolution).cast("int").alias("x"), F.round(F.col("y") / resolution).cast("int").alias("y"))
-    ring = shapes.span_outlines(shapes.raster_spans(fine).select(F.col("poly_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), "y", "x0", "x1"))
+    ring = shapes.span_outlines(_spans(fine))
     return ring.select(F.col("video_id").alias("poly_id"), "i", ((F.col("x") - 0.5) * resolution).alias("x"), ((F.col("y") - 0.5) * resolution).alias("y"))
 
 
+def _spans(contours: DataFrame) -> DataFrame:
+    """The spans of polygons, one frame a polygon."""
+    return shapes.raster_spans(contours).select(F.col("poly_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), "y", "x0", "x1")
+
+
 def centerlines(contours: DataFrame) -> DataFrame:
-    """Centre line of each polygon, as an estimate: the way between the farthest points of its mask; poly_id, i, x, y."""
-    mask = cut(polygon_mask(contours))
-    seeds = mask.groupBy(*regions.FRAME).agg(F.min(F.struct("y", "x")).alias("p")).select(*regions.FRAME, "p.y", "p.x")
-    path = regions.farthest_path(mask, seeds)
+    """Centre line of each polygon, as an estimate: the way between the farthest points of its mask; poly_id, i, x, y.
+
+    Polygons with a box of `boxes.CELLS` pixels at most are each a task's, many at once; larger ones go tile by tile.
+    """
+    return _ways(*pieces.split(_spans(contours), (F.col("n") > regions.WHOLE) | (F.col("area") > boxes.CELLS)))
+
+
+def _ways(small: DataFrame, pixels: int, mask: DataFrame | None) -> DataFrame:
+    """The longest ways in split spans."""
+    path = boxes.longest_ways(small, pixels)
+    if mask is not None:
+        mask = cut(mask)
+        seeds = mask.groupBy(*regions.FRAME).agg(F.min(F.struct("y", "x")).alias("p")).select(*regions.FRAME, "p.y", "p.x")
+        path = path.unionByName(regions.farthest_path(mask, seeds))
     return path.select(F.col("video_id").alias("poly_id"), F.col("pos").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
+def _depth_slopes(mask: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Slopes of the blurred distance to the background, pixel by pixel, for frames of any size."""
+    depth = regions.background_distance(mask, size[1], size[0]).select(*regions.PIXEL, F.col("d").alias("v"))
+    cells = mask.select(*regions.FRAME).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))))
+    potential = cells.join(depth, regions.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return shapes.gradients(potential, size[1], size[0], 1.0)
+
+
 def optimised_centerlines(contours: DataFrame, size: tuple[int, int], spacing: float = 20.0, alpha: float = 1e3, beta: float = 1e6, gamma: float = 0.01, rounds: int = 1000) -> DataFrame:
     """Centre lines pulled to the middle: active contours in the distance to the background, both ends held; poly_id, i, x, y, converged.
 
@@ -36,15 +60,16 @@ def optimised_centerlines(contours: DataFrame, size: tuple[int, int], spacing: f
     frame count as background.
     """
     contours, size = contours.withColumns({c: F.col(c) + 1 for c in "xy"}), (size[0] + 2, size[1] + 2)  # a rim of one pixel
-    mask = cut(polygon_mask(contours))
-    depth = regions.background_distance(mask, size[1], size[0]).select(*regions.PIXEL, F.col("d").alias("v"))
-    cells = mask.select(*regions.FRAME).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))))
-    potential = cells.join(depth, regions.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    slopes = cut(shapes.gradients(potential, size[1], size[0], 1.0))
-    lines = cut(curves.spaced(centerlines(contours).withColumnRenamed("poly_id", "curve_id"), spacing))
+    small, pixels, mask = pieces.split(_spans(contours), (F.col("n") > regions.WHOLE) | (F.col("area") > boxes.CELLS))
+    opened = None
+    if mask is None and size[0] * size[1] <= boxes.CELLS:
+        slopes, opened = cut(boxes.packed(small, pixels, size[1], size[0])), boxes.depth_slopes(size[1], size[0], 1.0)
+    else:
+        slopes = cut(_depth_slopes(cut(polygon_mask(contours)), size))
+    lines = cut(curves.spaced(cut(_ways(small, pixels, mask)).withColumnRenamed("poly_id", "curve_id"), spacing))
     ends = lines.groupBy("curve_id").agg(F.min("i").alias("a"), F.max("i").alias("b")).select("curve_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("i"), F.lit(True).alias("hold_x"), F.lit(True).alias("hold_y"))
     placed = lines.select("curve_id", F.col("curve_id").alias("video_id"), F.lit(0).cast("long").alias("frame_idx"), "i", "x", "y")
-    found = cut(snakes.active_contours(placed, slopes, size, alpha, beta, gamma, anchors=ends, rounds=rounds).withColumns({c: F.col(c) - 1 for c in "xy"}))
+    found = cut(snakes.active_contours(placed, slopes, size, alpha, beta, gamma, anchors=ends, rounds=rounds, opened=opened).withColumns({c: F.col(c) - 1 for c in "xy"}))
     state = found.groupBy("curve_id").agg(F.first("converged").alias("converged"))
     return curves.spaced(found.select("curve_id", "i", "x", "y"), spacing).join(state, "curve_id").withColumnRenamed("curve_id", "poly_id")
 

@@ -1,7 +1,6 @@
 """Outlines of small frames, many at a time.
 
-The spans of a frame come to one task in order. A task opens pieces of whole frames, `PIXELS` pixels or one frame at most, and does for all frames of a
-piece at once what the dealt way does in rounds: regions, the largest of each frame, its sides, and its rings by pointer doubling.
+A task does for all frames of a piece at once what the dealt way does in rounds: regions, the largest of each frame, its sides, and its rings by pointer doubling.
 """
 
 from __future__ import annotations
@@ -10,11 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 
-FRAME = ["video_id", "frame_idx"]
-#: Pixels that a task opens at once, and pixels of a task: few bytes, but much work.
-PIXELS, TASK = 1 << 18, 1 << 20
+from framewright.functions.pieces import FRAME, cells
+
 #: Sides (0 to 3: top, right, bottom, left), inside on the right hand: offsets of the start and the end corner.
 STARTS, ENDS = np.array([(0, 0), (0, 1), (1, 1), (1, 0)]), np.array([(0, 1), (1, 1), (1, 0), (0, 0)])
 
@@ -90,60 +87,21 @@ def _rings(cells: np.ndarray, side: int, area: int) -> tuple[np.ndarray, np.ndar
     return frame[kept], (rank[low] - rank)[kept], x[kept], y[kept]
 
 
-def _outlined(spans: pd.DataFrame, frames: np.ndarray) -> Iterator[pd.DataFrame]:
+def outlined(spans: pd.DataFrame, frames: np.ndarray) -> Iterator[pd.DataFrame]:
     """The outlines of the spans' frames, which are numbered from 0 on; frames whose cells have no common numbers are opened in halves."""
     y, x0, x1 = (spans[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
     starts = np.flatnonzero(np.diff(frames, prepend=-1))
     top, left = np.minimum.reduceat(y, starts), np.minimum.reduceat(x0, starts)
-    y, x0, x1 = y - top[frames], x0 - left[frames], x1 - left[frames]
+    y, x1 = y - top[frames], x1 - left[frames]
     side = int(x1.max()) + 4  # a cell beyond the last corner, so that rows do not touch
     area = side * (int(y.max()) + 4)
     if len(starts) > 1 and area * len(starts) >= 1 << 60:
         half = starts[len(starts) // 2]
-        yield from _outlined(spans.iloc[:half], frames[:half])
-        yield from _outlined(spans.iloc[half:], frames[half:] - len(starts) // 2)
+        yield from outlined(spans.iloc[:half], frames[:half])
+        yield from outlined(spans.iloc[half:], frames[half:] - len(starts) // 2)
         return
-    wide = x1 - x0 + 1
-    inner = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-    cells = np.unique(np.repeat(frames * area + (y + 1) * side + x0 + 1, wide) + inner)
-    frame, i, x, y = _rings(_largest(cells, side, area), side, area)
+    at, x = cells(spans)
+    inside = np.unique(frames[at] * area + (y[at] + 1) * side + x - left[frames[at]] + 1)
+    frame, i, x, y = _rings(_largest(inside, side, area), side, area)
     named = spans[FRAME].iloc[starts[frame]].reset_index(drop=True)
     yield named.assign(i=i, x=x - 1 + left[frame], y=y - 1 + top[frame])
-
-
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The outlines of spans that come frame by frame; a frame may come in several batches."""
-    rest = None
-    for batch in batches:
-        spans = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if not len(spans):
-            continue
-        marks = [spans[c].to_numpy() for c in FRAME]
-        starts = [0, *(np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1).tolist()]
-        yield from _whole(spans.iloc[: starts[-1]])
-        rest = spans.iloc[starts[-1] :]
-    if rest is not None:
-        yield from _whole(rest)
-
-
-def _whole(spans: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The outlines of whole frames, a piece of about `PIXELS` pixels at a time."""
-    if not len(spans):
-        return
-    changed = np.any([np.diff(pd.factorize(spans[c])[0], prepend=-1) != 0 for c in FRAME], axis=0)
-    frames = np.cumsum(changed) - 1
-    before = np.cumsum(spans["x1"].to_numpy(np.int64) - spans["x0"].to_numpy(np.int64) + 1)
-    starts = np.append(np.flatnonzero(changed), len(spans))
-    first = 0
-    while first + 1 < len(starts):
-        begun = before[starts[first] - 1] if starts[first] else 0
-        last = max(first + 1, int(np.searchsorted(before[starts[first + 1 :] - 1], begun + PIXELS, "right")) + first)
-        yield from _outlined(spans.iloc[starts[first] : starts[last]], frames[starts[first] : starts[last]] - first)
-        first = last
-
-
-def whole_frames(spans: DataFrame, pixels: int) -> DataFrame:
-    """Of spans (video_id, frame_idx, y, x0, x1; `pixels` in all) the outline of each frame's largest region: video_id, frame_idx, i, x, y. A task holds whole frames."""
-    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
-    dealt = spans.repartition(max(1, -(-pixels // TASK)), *FRAME).sortWithinPartitions(*FRAME)
-    return dealt.mapInPandas(_pieces, f"video_id {kinds['video_id']}, frame_idx {kinds['frame_idx']}, i int, x {kinds['x0']}, y {kinds['y']}")

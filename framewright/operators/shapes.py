@@ -343,17 +343,13 @@ def span_outlines(spans: DataFrame) -> DataFrame:
     that keeps the region four-connected is taken. The ring with the largest area stays. Frames of `regions.WHOLE` pixels at most are dealt to a task
     each, from spans to rings; pixels and rings of larger ones are dealt over tasks.
     """
-    from framewright.functions.iterate import cut
+    from framewright.functions import pieces
     from framewright.operators import outlines, regions
 
-    found = cut(spans.select(*regions.FRAME, "y", "x0", "x1").where("video_id is not null and frame_idx is not null and y is not null and x0 <= x1"))
-    sizes = found.groupBy(*regions.FRAME).agg(F.sum(F.col("x1").cast("long") - F.col("x0") + 1).alias("n"))
-    pixels, most = sizes.agg(F.sum("n"), F.max("n")).first()
-    if (most or 0) <= regions.WHOLE:
-        return outlines.whole_frames(found, pixels or 0)
-    large = cut(sizes.where(F.col("n") > regions.WHOLE).select(*regions.FRAME))
-    mask = found.join(large, regions.FRAME, "left_semi").select(*regions.FRAME, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
-    return outlines.whole_frames(found.join(large, regions.FRAME, "left_anti"), pixels).unionByName(_dealt_outlines(mask))
+    kinds = dict(spans.dtypes)
+    small, pixels, mask = pieces.split(spans, F.col("n") > regions.WHOLE)
+    found = pieces.whole_frames(small, pixels, outlines.outlined, f"i int, x {kinds['x0']}, y {kinds['y']}")
+    return found if mask is None else found.unionByName(_dealt_outlines(mask))
 
 
 def _dealt_outlines(mask: DataFrame) -> DataFrame:

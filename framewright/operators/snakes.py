@@ -3,11 +3,13 @@
 A curve is one row: its points as arrays, its own number of points and spacing. A frame's forces are tiles. In each pass a curve meets the tiles within
 `REACH` of its points and takes its steps inside a task, until it rests, has used its rounds, or a point leaves those tiles; curves
 that have left them meet their next tiles in the next pass. So passes follow how far curves travel, not how many steps they take, and a task holds the tiles along
-one curve, or along a few short ones that step together, never a whole frame.
+one curve, or along a few short ones that step together, never a whole frame. Small frames may come packed instead; a task then opens those of many curves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +21,11 @@ from framewright.operators import curves
 
 #: Pixels of a tile's side, and those around a point whose tiles a curve meets; curves of a group.
 TILE, REACH, CURVES = 64, 16, 64
+#: Curves of a group whose frames come packed.
+PACKED = 1024
 FRAME = ["video_id", "frame_idx"]
+#: Slopes (2: gx, gy; frames, height, width) of packed frames; None has no slopes.
+Opener = Callable[[list[bytes | None]], np.ndarray]
 
 
 def evolution(count: int, spacing: float, alpha: float, beta: float, gamma: float, closed: bool) -> FiveDiagonals:
@@ -71,8 +77,26 @@ class Forces:
         return total, there
 
 
-def _advance(size: tuple[int, int], alpha: float, beta: float, gamma: float, rounds: int, tolerance: float):
-    """Steps of the curves of a group among their tiles; those with equally many points step together."""
+class WholeForces:
+    """The forces on the whole frames of some curves, as arrays gx, gy (2, curves, height, width)."""
+
+    def __init__(self, values: np.ndarray):
+        self.width, self.area = values.shape[3], values.shape[2] * values.shape[3]
+        self.values = values.reshape(2, -1)
+
+    def at(self, x: np.ndarray, y: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `Forces.at`; a frame has all its pixels."""
+        x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+        fx, fy, total = x - x0, y - y0, np.zeros((2, *x.shape))
+        first = which[:, None] * self.area + y0 * self.width + x0
+        for dy, wy in ((0, 1 - fy), (1, fy)):
+            for dx, wx in ((0, 1 - fx), (1, fx)):
+                total += wy * wx * self.values[:, first + dy * self.width + dx]
+        return total, np.ones(len(which), bool)
+
+
+def _advance(size: tuple[int, int], alpha: float, beta: float, gamma: float, rounds: int, tolerance: float, opened: Opener | None = None):
+    """Steps of the curves of a group among their tiles, or in frames that are `opened`; those with equally many points step together."""
     limit = np.array([size[0] - 2.0, size[1] - 2.0])[:, None, None]
 
     def together(rows: pd.DataFrame, patch: pd.DataFrame) -> pd.DataFrame:
@@ -80,21 +104,27 @@ def _advance(size: tuple[int, int], alpha: float, beta: float, gamma: float, rou
         held = np.array([rows["hold_x"].tolist(), rows["hold_y"].tolist()], float)
         systems = [evolution(now.shape[2], h, alpha, beta, gamma, bool(c)) for h, c in zip(rows["spacing"], rows["closed"], strict=True)]
         inverse = None if systems[0].inverse is None else np.stack([m.inverse for m in systems])
-        forces = Forces(patch, rows["curve_id"].tolist())
+        forces = Forces(patch, rows["curve_id"].tolist()) if opened is None else WholeForces(opened(rows["curve_id"].map(patch.set_index("curve")["packed"]).tolist()))
         used, rests = rows["rounds"].to_numpy(np.int64).copy(), rows["converged"].to_numpy(bool).copy()
         which = np.flatnonzero(used < rounds)
+        own = inverse if inverse is None else inverse[which]
         while len(which):
             force, there = forces.at(*now[:, which], which)
-            which = which[there]
+            if not there.all():
+                which = which[there]
+                own = inverse if inverse is None else inverse[which]
             before = now[:, which]
             pushed = before + gamma * force[:, there]
-            after = np.array([[m.solve(v) for m, v in zip([systems[k] for k in which], axis, strict=True)] for axis in pushed]).reshape(before.shape) if inverse is None else (inverse[which] @ pushed[..., None])[..., 0]
+            after = np.array([[m.solve(v) for m, v in zip([systems[k] for k in which], axis, strict=True)] for axis in pushed]).reshape(before.shape) if inverse is None else (own @ pushed[..., None])[..., 0]
             after = np.where(np.isnan(held[:, which]), after, held[:, which])
             still = np.abs(after - before).sum(axis=(0, 2)) < tolerance * gamma
             now[:, which] = np.clip(after, 0, limit)
             used[which] += 1
             rests[which[still]] = True
-            which = which[~still & (used[which] < rounds)]
+            goes = ~still & (used[which] < rounds)
+            if not goes.all():
+                which = which[goes]
+                own = inverse if inverse is None else inverse[which]
         return rows.assign(xs=list(now[0]), ys=list(now[1]), rounds=used, converged=rests, done=rests | (used >= rounds))
 
     def run(curve: pd.DataFrame, patch: pd.DataFrame) -> pd.DataFrame:
@@ -105,12 +135,16 @@ def _advance(size: tuple[int, int], alpha: float, beta: float, gamma: float, rou
     return run
 
 
-def _dealt(active: DataFrame) -> DataFrame:
-    """The curves with `deal`, their group: about `CURVES` curves of few points and tiles, or a single one of more."""
+def _dealt(active: DataFrame, packed: bool = False) -> DataFrame:
+    """The curves with `deal`, their group: about `CURVES` curves of few points and tiles, or a single one of more. Where frames come packed `PACKED` at most,
+    but fewer if cores would be idle."""
     tiles = F.lit(1)
     for c in ("xs", "ys"):
         tiles = tiles * (F.floor((F.array_max(c) + REACH + 1) / TILE) - F.floor((F.array_min(c) - REACH) / TILE) + 1)
-    groups = max(1, -(-active.count() // CURVES))
+    count = active.count()
+    groups = max(1, -(-count // CURVES))
+    if packed:
+        groups = max(-(-count // PACKED), min(groups, active.sparkSession.sparkContext.defaultParallelism))
     few = (F.size("xs") <= DENSE) & (tiles <= 4)
     return active.withColumn("deal", F.when(few, F.concat(F.lit("group "), F.pmod(F.xxhash64("curve_id"), F.lit(groups)).cast("string"))).otherwise(F.concat(F.lit("curve "), F.col("curve_id").cast("string"))))
 
@@ -135,14 +169,15 @@ def _packed(points: DataFrame, anchors: DataFrame | None, size: tuple[int, int])
     return rows.select("curve_id", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"), F.col("p.hold_x").alias("hold_x"), F.col("p.hold_y").alias("hold_y"), "spacing")
 
 
-def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, int], alpha: float = 0.0, beta: float = 100.0, gamma: float = 0.001, closed: bool = False, anchors: DataFrame | None = None, rounds: int = 50, tolerance: float = 1.0) -> DataFrame:
+def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, int], alpha: float = 0.0, beta: float = 100.0, gamma: float = 0.001, closed: bool = False, anchors: DataFrame | None = None, rounds: int = 50, tolerance: float = 1.0, opened: Opener | None = None) -> DataFrame:
     """Evolves curves (curve_id, video_id, frame_idx, i, x, y[, closed]) toward high potential: curve_id, video_id, frame_idx, i, x, y, rounds, converged.
 
     `gradients` are the potential's slopes gx, gy by pixel (0 where a pixel lacks). Points are put at equal distances first. A step adds gamma
     times the slope, solves the curve's own system, puts held coordinates back and keeps points within the frame, less a last row and column.
     `anchors` (curve_id, i, hold_x, hold_y) name vertices whose x, y or both are held, at the nearest of the new points. A curve rests, and has
     `converged`, once the points move less than `tolerance * gamma` in all; others stop after `rounds`. A `closed` column says it for each
-    curve. Curves of two points at most, or without length, stay as they are and rest.
+    curve. Curves of two points at most, or without length, stay as they are and rest. With `opened`, which makes the slopes of packed frames,
+    `gradients` are small packed frames: video_id, frame_idx, packed.
     """
     shut = F.col("closed") if "closed" in points.columns else F.lit(closed)
     given = cut(points.select("curve_id", *FRAME, "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), shut.alias("closed")))
@@ -152,11 +187,18 @@ def active_contours(points: DataFrame, gradients: DataFrame, size: tuple[int, in
     state = _packed(moving.select("curve_id", "i", "x", "y"), anchors, size).join(about.select("curve_id", *FRAME, "closed"), "curve_id")
     state = cut(state.withColumns({"rounds": F.lit(0), "converged": F.lit(False), "done": F.lit(rounds <= 0)}))
     place = {t: F.floor(F.col(c) / TILE).cast("int") for t, c in (("ty", "y"), ("tx", "x"))}
-    tiles = cut(gradients.withColumns(place).groupBy(*FRAME, "ty", "tx").agg(*[F.collect_list(F.struct("y", "x", "gx", "gy")).alias("p")]).select(*FRAME, "ty", "tx", *[F.col(f"p.{c}").alias(n) for c, n in (("y", "ys"), ("x", "xs"), ("gx", "gx"), ("gy", "gy"))]))
+    tiles = gradients if opened else cut(gradients.withColumns(place).groupBy(*FRAME, "ty", "tx").agg(*[F.collect_list(F.struct("y", "x", "gx", "gy")).alias("p")]).select(*FRAME, "ty", "tx", *[F.col(f"p.{c}").alias(n) for c, n in (("y", "ys"), ("x", "xs"), ("gx", "gx"), ("gy", "gy"))]))
     done = state.where("done")
     active = state.where("not done")
     while active.take(1):
-        active = _dealt(active)
+        active = _dealt(active, opened is not None)
+        if opened:
+            patch = active.select(F.col("deal").alias("among"), F.col("curve_id").alias("curve"), *FRAME).join(tiles, FRAME, "left").select("among", "curve", "packed")
+            parts = active.select("deal").distinct().count()  # few bytes, but much work a row
+            moved = active.repartition(parts, "deal").groupBy("deal").cogroup(patch.repartition(parts, "among").groupBy("among"))
+            after = cut(moved.applyInPandas(_advance(size, alpha, beta, gamma, rounds, tolerance, opened), active.drop("deal").schema))
+            done, active = done.unionByName(after.where("done")), after.where("not done")
+            continue
         corner = active.select(F.col("deal").alias("among"), F.col("curve_id").alias("curve"), *FRAME, F.explode(F.arrays_zip("xs", "ys")).alias("p"))
         for t, c in (("ty", "ys"), ("tx", "xs")):
             low, high = (F.floor((F.floor(F.col(f"p.{c}")) + d) / TILE).cast("int") for d in (-REACH, REACH + 1))

@@ -1,13 +1,14 @@
 """Steps whose memory, rounds or time once grew faster than their input."""
 
+import math
 import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from framewright.functions import buckets
+from framewright.functions import buckets, pieces
 from framewright.functions.iterate import cut
-from framewright.operators import fields, graphs, outlines, regions, shapes, snakes
+from framewright.operators import boxes, composites, fields, graphs, outlines, regions, shapes, snakes
 from framewright.plans import registry, stream_queries
 from framewright.plans.base import Views
 
@@ -173,9 +174,9 @@ def test_outlines_of_small_frames_are_made_in_tasks_and_as_the_dealt_ones(spark,
 
 
 def test_outlines_of_overlapping_spans_over_pieces(monkeypatch):
-    boxes = pd.DataFrame([(1, k, y, x0, 5) for k in range(50) for y in range(3) for x0 in (2, 4)], columns=["video_id", "frame_idx", "y", "x0", "x1"])
-    monkeypatch.setattr(outlines, "PIXELS", 60)
-    found = list(outlines._pieces(boxes.iloc[i : i + 7] for i in range(0, len(boxes), 7)))
+    spans = pd.DataFrame([(1, k, y, x0, 5) for k in range(50) for y in range(3) for x0 in (2, 4)], columns=["video_id", "frame_idx", "y", "x0", "x1"])
+    monkeypatch.setattr(pieces, "PIXELS", 60)
+    found = list(pieces.pieces((spans.iloc[i : i + 7] for i in range(0, len(spans), 7)), outlines.outlined))
     assert len(found) > 10 and max(map(len, found)) < 60
     for _, ring in pd.concat(found).groupby("frame_idx"):
         assert ring["i"].tolist() == list(range(14)) and ring[["x", "y"]].values.tolist()[:6] == [[2, 0], [3, 0], [4, 0], [5, 0], [6, 0], [6, 1]]
@@ -186,3 +187,43 @@ def test_pixels_of_a_polygon_with_corners_that_lack(spark):
     corners = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 4, 0), (1, 2, None, 2), (1, 3, 0, 3)], "poly_id long, i int, x int, y int")
     found = {(r["y"], r["x"]) for r in shapes.rasterize(corners).collect()}
     assert found == {(0, x) for x in range(5)} | {(1, 0), (1, 1), (1, 2), (2, 0), (2, None), (3, 0), (3, None)}
+
+
+def test_longest_ways_of_small_frames_are_made_in_tasks_and_as_tile_by_tile(spark):
+    rng = random.Random(6)
+    rows = {(v, k, rng.randrange(-2, 7), rng.randrange(-3, 9)) for v in range(3) for k in range(30) for _ in range(rng.randrange(1, 90))}
+    rows |= {(4, 0, 5, 5)} | {(4, 1, y, x) for y in range(20) for x in range(9)} | {(4, 2, 0, x) for x in range(40)} | {(4, 3, y, x) for y in range(0, 20, 2) for x in range(20)} | {(4, 3, y, 19 * (y % 4 == 1)) for y in range(1, 20, 2)}
+    mask = spark.createDataFrame(sorted(rows), "video_id long, frame_idx long, y int, x int")
+    seeds = mask.groupBy(*regions.FRAME).agg(F.min(F.struct("y", "x")).alias("p")).select(*regions.FRAME, "p.y", "p.x")
+    want = regions.farthest_path(mask, seeds)
+    found = boxes.longest_ways(mask.select(*regions.FRAME, "y", F.col("x").alias("x0"), F.col("x").alias("x1")), len(rows))
+    assert found.dtypes == want.select(found.columns).dtypes
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(found.columns).collect()))
+
+
+def test_slopes_of_packed_frames_are_those_of_pixels(spark):
+    rng = random.Random(7)
+    rows = {(k, 0, rng.randrange(-1, 9), rng.randrange(-1, 12)) for k in range(12) for _ in range(20 * k + 1)}
+    rows |= {(20, 0, y, x) for y in range(8) for x in range(11)}
+    mask = spark.createDataFrame(sorted(rows), "video_id long, frame_idx long, y int, x int")
+    want = {tuple(r)[:4]: (r["gx"], r["gy"]) for r in composites._depth_slopes(mask, (11, 8)).collect()}
+    packed = boxes.packed(mask.select(*regions.FRAME, "y", F.col("x").alias("x0"), F.col("x").alias("x1")), len(rows), 8, 11).collect()
+    slopes = boxes.depth_slopes(8, 11, 1.0)([*[r["packed"] for r in packed], None])
+    assert {w[0] for w in want} == {r["video_id"] for r in packed} and not slopes[:, -1].any()
+    for k, r in enumerate(packed):
+        assert all(abs(slopes[c, k, y, x] - want.get((r["video_id"], 0, y, x), (0, 0))[c]) < 1e-9 for c in (0, 1) for y in range(8) for x in range(11))
+
+
+def test_centre_lines_of_small_polygons_are_made_in_tasks_and_as_tile_by_tile(spark, monkeypatch):
+    corners = [(p, i, 14 + round((3 + (p * 5 + i * i) % 9) * math.cos(i * math.pi / 4)), 14 + round((3 + (p * 5 + i * i) % 9) * math.sin(i * math.pi / 4))) for p in range(12) for i in range(8)]
+    contours = spark.createDataFrame(corners, "poly_id long, i int, x int, y int")
+    lines = lambda: sorted(map(tuple, composites.optimised_centerlines(contours, (28, 28), 3.0, 10.0, 10.0, rounds=60).select("poly_id", "i", F.round("x", 6), F.round("y", 6), "converged").collect()))
+    with monkeypatch.context() as m:
+        m.setattr(boxes, "CELLS", 200)  # some polygons are larger, and so is the frame
+        want = lines()
+    with monkeypatch.context() as m:
+        m.setattr(regions, "farthest_path", None)
+        m.setattr(regions, "background_distance", None)
+        assert lines() == want and len({w[0] for w in want}) == 12
+        monkeypatch.setattr(snakes, "PACKED", 5)
+        assert lines() == want
