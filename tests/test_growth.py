@@ -227,3 +227,10 @@ def test_centre_lines_of_small_polygons_are_made_in_tasks_and_as_tile_by_tile(sp
         assert lines() == want and len({w[0] for w in want}) == 12
         monkeypatch.setattr(snakes, "PACKED", 5)
         assert lines() == want
+
+
+def test_smooth_centre_lines_of_small_polygons_need_no_rounds_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(fields, "_settled", None)
+    bar = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([(0, 0), (20, 0), (20, 4), (0, 4)])], "poly_id long, i int, x int, y int")
+    line = composites.smooth_centerlines(bar, (24, 8), 1.0, 2.0, 4.0, alpha=1.0, beta=1.0, rounds=5).collect()
+    assert len(line) > 15 and all(r["smoothed"] for r in line)
